@@ -1,0 +1,51 @@
+"""Dialogue text renderings.
+
+The rendering of one dialogue is one output string, so its messages are
+gathered per dialogue (bounded by that dialogue's length, which is the
+size of the answer); no other grouping is done.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .dialogs import positions, turn_pairs
+
+
+def _ordered_texts(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    return (df.groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))).alias("_a"))
+            .select(key, F.transform("_a", lambda x: x["v"]).alias(name)))
+
+
+def answer_only_text(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """Responses (odd positions) joined by newline."""
+    p = positions(conv, True, conv_col=conv_col).filter(F.col("pos") % 2 == 1)
+    t = _ordered_texts(p, conv_col, "pos", F.col("text"), "_t")
+    return t.select(conv_col, F.array_join("_t", "\n").alias("answer_text"))
+
+
+def complete_rounds(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """B8 in long form: (instruction, response) pairs that both exist
+    (``zip`` stops at the shorter list)."""
+    p = positions(conv, True, conv_col=conv_col)
+    has_resp = p.filter(F.col("pos") % 2 == 1).select(conv_col, ((F.col("pos") - 1) / 2).cast("long").alias("pair_idx"))
+    return turn_pairs(conv, conv_col=conv_col).join(has_resp, [conv_col, "pair_idx"], "left_semi")
+
+
+def history_text(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """``[HUMAN]: q\\n[AI]: a\\n`` for every complete round, in order."""
+    r = complete_rounds(conv, conv_col)
+    piece = F.concat(F.lit("[HUMAN]: "), F.col("instruction"), F.lit("\n[AI]: "), F.col("response"), F.lit("\n"))
+    t = _ordered_texts(r, conv_col, "pair_idx", piece, "_t")
+    return t.select(conv_col, F.array_join("_t", "").alias("history"), F.size("_t").cast("long").alias("n_rounds"))
+
+
+def message_array(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """``messages ARRAY<STRUCT<role, content>>`` of complete rounds."""
+    r = complete_rounds(conv, conv_col)
+    two = F.array(F.struct(F.lit("user").alias("role"), F.col("instruction").alias("content")),
+                  F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")))
+    t = _ordered_texts(r, conv_col, "pair_idx", two, "_t")
+    return t.select(conv_col, F.flatten("_t").alias("messages"))

@@ -97,14 +97,16 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     ranked = global_rank(base, [F.col("score").desc_nulls_last(), F.col("id").asc()])
     batch = F.when(F.col("rk") == 0, F.lit(0)).otherwise(
         F.lit(1) + F.floor((F.col("rk") - 1) / F.lit(batch_size))).cast("long")
-    ranked = cut_lineage(ranked.withColumn("batch", batch))
+    ranked = ranked.withColumn("batch", batch)
     vecs = ranked.select("id", "v")
     state = ranked.select("id", "score", "rk", "batch", F.lit(_U).alias("status"))
-    n_active = ranked.count()
+    n_active = None
     kernel = _round_kernel(tau, metric)
 
     for _ in range(max_rounds):
         active = state.filter(F.col("status").isin(_U, _N)).join(vecs, "id")
+        if n_active is None:
+            n_active = active.count()
         src = to_block_pairs(active.select("id", "rk", "batch", "status", "v"), "id",
                              n_blocks_for(n_active, block_rows))
         fl = (src.groupBy("_pair")
@@ -137,7 +139,9 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     kept = state.filter(F.col("status").isin(_N, _K))
     if data_size > -1 and n_undecided:
         kept = kept.filter(F.col("rk") < F.lit(first_undecided))
-    out = global_rank(kept, [F.col("rk").asc()], rank_col="sel_rank")
+    # ``kept`` reads a checkpointed table, so the numbering is stable without
+    # another checkpoint.
+    out = global_rank(kept, [F.col("rk").asc()], rank_col="sel_rank", checkpoint=False)
     if data_size > -1:
         out = out.filter(F.col("sel_rank") < data_size)
     return out.select(F.col("id").alias(id_col), F.col("score").alias(score_col), "rk", "sel_rank")

@@ -16,3 +16,219 @@ def greedy_diverse_q(spark, sf):
 def greedy_diverse_batched_q(spark, sf):
     """tau 0.2, no size limit, batches of 4."""
     return greedy_selection(spark, sf, tau=0.2, data_size=-1, batch_size=4)
+
+
+# ----------------------------------------------------------------- dialogues
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import text as T  # noqa: E402
+from ..operators import dialogs as DG  # noqa: E402
+from ..operators import select as SEL  # noqa: E402
+from ..operators.rank import global_rank  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+from .registry import SQL_PAIRS, SQL_POSITIONS, SQL_SCORED  # noqa: E402
+
+
+@query("turn_pairs", "WITH " + SQL_PAIRS + " SELECT conv_id, pair_idx, instruction, response FROM pairs")
+def turn_pairs_q(spark, sf):
+    """B1/E1."""
+    return DG.turn_pairs(table(spark, sf, "conversations"))
+
+
+@query("dialog_lengths", "WITH " + SQL_POSITIONS + """
+SELECT conv_id,
+       sum(CASE WHEN pos % 2 = 0 THEN length(text) ELSE 0 END)::BIGINT AS instruction_chars,
+       sum(CASE WHEN pos % 2 = 1 THEN length(text) ELSE 0 END)::BIGINT AS response_chars,
+       sum(length(text))::BIGINT AS total_chars, count(*)::BIGINT AS n_messages
+FROM pos GROUP BY conv_id""")
+def dialog_lengths_q(spark, sf):
+    """D12."""
+    return DG.dialog_lengths(table(spark, sf, "conversations"))
+
+
+@query("first_turn_rule", "WITH " + SQL_POSITIONS + """,
+rep AS (SELECT conv_id, sum(CASE WHEN role <> CASE WHEN pos % 2 = 0 THEN 'user' ELSE 'assistant' END
+                                 THEN 1 ELSE 0 END)::BIGINT AS bad_roles, count(*)::BIGINT AS n_messages
+        FROM pos GROUP BY conv_id)
+SELECT conv_id, bad_roles, n_messages, (s.s IS NOT NULL) AS dropped_first, bad_roles = 0 AS valid
+FROM rep LEFT JOIN shifted s USING (conv_id)""")
+def first_turn_rule_q(spark, sf):
+    """B10."""
+    return DG.alternation_report(table(spark, sf, "conversations"))
+
+
+@query("answer_only_text", "WITH " + SQL_POSITIONS + """
+SELECT conv_id, string_agg(text, chr(10) ORDER BY pos) AS answer_text
+FROM pos WHERE pos % 2 = 1 GROUP BY conv_id""")
+def answer_only_text_q(spark, sf):
+    """Responses of a dialogue joined by newline (one string per dialogue)."""
+    from ..operators.render import answer_only_text
+    return answer_only_text(table(spark, sf, "conversations"))
+
+
+@query("history_text", "WITH " + SQL_PAIRS + """
+SELECT conv_id, string_agg('[HUMAN]: ' || instruction || chr(10) || '[AI]: ' || response || chr(10), ''
+                           ORDER BY pair_idx) AS history, count(*)::BIGINT AS n_rounds
+FROM pairs p WHERE EXISTS (SELECT 1 FROM pos r WHERE r.conv_id = p.conv_id AND r.pos = 2 * p.pair_idx + 1)
+GROUP BY conv_id""")
+def history_text_q(spark, sf):
+    """Zipped (user, assistant) rounds as ``[HUMAN]: ..\\n[AI]: ..\\n``."""
+    from ..operators.render import history_text
+    return history_text(table(spark, sf, "conversations"))
+
+
+@query("final_score", "WITH " + SQL_SCORED + """
+SELECT conv_id, final_score, (row_number() OVER (ORDER BY final_score DESC, conv_id) - 1)::BIGINT AS rk
+FROM sc""")
+def final_score_q(spark, sf):
+    """D2 + F1: final score and its priority position (score desc, id)."""
+    from .selection import scored_dialogs
+    return global_rank(scored_dialogs(spark, sf), [F.col("final_score").desc(), F.col("conv_id")])
+
+
+# ------------------------------------------------------ reward thresholds
+
+def _reward_frame(spark, sf):
+    """Triplets from documents with the label table as reward plug-in (K5
+    default): question = first line (+ source as input, B5), reward from
+    labels."""
+    from ..operators.indicators import default_reward
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels")
+    return default_reward(docs, labels)
+
+
+SQL_REWARD = """
+SELECT d.doc_id,
+       CASE WHEN coalesce(d.source, '') = '' THEN split_part(d.text, chr(10), 1)
+            ELSE split_part(d.text, chr(10), 1) || chr(10) || d.source END AS question,
+       (l.quality * 4.0 - l.toxic * 2.0 + ln(1 + d.n_chars) / 2.0)::DOUBLE AS reward_score
+FROM documents d JOIN labels l USING (doc_id)"""
+
+
+@query("quality_filter", SQL_REWARD.replace("SELECT d.doc_id", "SELECT * FROM (SELECT d.doc_id") + ") WHERE reward_score > 5.0")
+def quality_filter_q(spark, sf):
+    """B3 + B5: keep reward strictly above 5."""
+    return SEL.above(_reward_frame(spark, sf), 5.0)
+
+
+@query("necessity_filter", SQL_REWARD.replace("SELECT d.doc_id", "SELECT * FROM (SELECT d.doc_id") + ") WHERE reward_score < 3.0")
+def necessity_filter_q(spark, sf):
+    """Keep reward strictly below 3."""
+    return SEL.below(_reward_frame(spark, sf), 3.0)
+
+
+def _hist_sql(tbl: str, col: str) -> str:
+    return f"""
+WITH b AS (SELECT floor({col})::BIGINT AS lower, ceil({col})::BIGINT AS upper, count(*)::BIGINT AS n
+           FROM {tbl} WHERE {col} IS NOT NULL GROUP BY 1, 2)
+SELECT lower, upper, n, n / (SELECT count(*) FROM {tbl} WHERE {col} IS NOT NULL)::DOUBLE AS share FROM b"""
+
+
+@query("score_histogram", _hist_sql("events", "value"))
+def score_histogram_q(spark, sf):
+    """D1 over events.value."""
+    return SEL.score_histogram(table(spark, sf, "events"), "value")
+
+
+@query("score_histogram_reward", _hist_sql("(" + SQL_REWARD + ")", "reward_score"))
+def score_histogram_reward_q(spark, sf):
+    """D1 over the reward stand-in (the reference's use)."""
+    return SEL.score_histogram(_reward_frame(spark, sf), "reward_score")
+
+
+# --------------------------------------------------------- text operators
+
+@query("duplicate_texts", """
+SELECT sha256(text) AS text_sha, count(*)::BIGINT AS n_copies, min(doc_id) AS first_doc_id
+FROM documents GROUP BY text HAVING count(*) > 1""")
+def duplicate_texts_q(spark, sf):
+    """Repeated texts (report), keyed by their hash."""
+    from ..operators.indicators import duplicate_report
+    return duplicate_report(table(spark, sf, "documents"), "text", "doc_id")
+
+
+def _kw_sql(col: str, keywords, lower: bool) -> str:
+    kws = sorted({k.lower() for k in keywords}) if lower else list(dict.fromkeys(keywords))
+    lits = ", ".join("'" + k.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for k in kws)
+    txt = f"lower({col})" if lower else col
+    return f"len(list_filter([{lits}], lambda k: strpos({txt}, k) > 0))::BIGINT"
+
+
+@query("keyword_tags", f"""
+SELECT doc_id, {_kw_sql('text', T.MATH_KEYWORDS, True)} AS math_hits,
+       {_kw_sql('text', T.CODE_KEYWORDS, False)} AS code_hits FROM documents""")
+def keyword_tags_q(spark, sf):
+    """Math and code keyword hits per document."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.keyword_hits("text", T.MATH_KEYWORDS, True).alias("math_hits"),
+                    T.keyword_hits("text", T.CODE_KEYWORDS, False).alias("code_hits"))
+
+
+@query("keyword_search", """
+SELECT doc_id, lang FROM documents WHERE text ILIKE '%th_t%' OR text ILIKE '%licen%'""")
+def keyword_search_q(spark, sf):
+    """Case-insensitive substring search; ``_`` and ``%`` stay wildcards."""
+    from ..operators.store import keyword_search
+    d = table(spark, sf, "documents")
+    return keyword_search(d, "text", ["th_t", "licen"]).select("doc_id", "lang")
+
+
+@query("judge_parse", """
+WITH j AS (SELECT event_id,
+  CASE WHEN event_type = 'error' THEN 'model failed: ' || props
+       WHEN event_type = 'click' THEN '```json' || chr(10) || '{"rate": ' || (floor(value)::BIGINT % 11)::VARCHAR
+                                      || ', "reason": "' || event_type || '"}' || chr(10) || '```'
+       ELSE '{"rate": ' || (floor(value)::BIGINT % 11)::VARCHAR || ', "reason": "' || event_type || '"}' END AS judge
+  FROM events),
+b AS (SELECT event_id, judge,
+             regexp_replace(regexp_replace(judge, '^\\s*```(json)?\\s*', ''), '\\s*```\\s*$', '') AS body FROM j),
+c AS (SELECT event_id, judge, CASE WHEN json_valid(body) AND trim(body) LIKE '{%' THEN body ELSE '{}' END AS jb FROM b),
+d AS (SELECT event_id, judge, json_extract_string(jb, '$.rate') AS r, json_extract_string(jb, '$.reason') AS why FROM c)
+SELECT event_id,
+  CASE WHEN r IS NOT NULL AND why IS NOT NULL THEN TRY_CAST(r AS DOUBLE) ELSE -1.0 END AS rate,
+  CASE WHEN r IS NOT NULL AND why IS NOT NULL THEN why ELSE judge END AS reason
+FROM d""")
+def judge_parse_q(spark, sf):
+    """H17 over judge texts derived from events (fenced, plain and failed)."""
+    e = table(spark, sf, "events")
+    rate = (F.floor("value").cast("long") % 11).cast("string")
+    judge = (F.when(F.col("event_type") == "error", F.concat(F.lit("model failed: "), F.col("props")))
+             .when(F.col("event_type") == "click",
+                   F.concat(F.lit('```json\n{"rate": '), rate, F.lit(', "reason": "'), F.col("event_type"), F.lit('"}\n```')))
+             .otherwise(F.concat(F.lit('{"rate": '), rate, F.lit(', "reason": "'), F.col("event_type"), F.lit('"}'))))
+    p = T.parse_judge(judge)
+    return e.select("event_id", p["rate"].alias("rate"), p["reason"].alias("reason"))
+
+
+@query("chunked_text", """
+SELECT doc_id, (s // 400)::BIGINT AS chunk_idx, substring(text, s + 1, 500) AS chunk
+FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents)""")
+def chunked_text_q(spark, sf):
+    """Chunks of 500 characters overlapping by 100."""
+    from ..operators.indicators import chunk_text
+    return chunk_text(table(spark, sf, "documents"), "doc_id", "text", 500, 100)
+
+
+@query("stop_token_cut", """
+SELECT conv_id, turn, split_part(split_part(split_part(text, '. ', 1), chr(10), 1), ', ', 1) AS cut
+FROM conversations WHERE role = 'assistant'""")
+def stop_token_cut_q(spark, sf):
+    """Cut completions at stop tokens ". ", newline, ", " in that order."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", T.cut_at_stop_tokens("text", [". ", "\n", ", "]).alias("cut"))
+
+
+@query("numbered_lines", """
+SELECT doc_id, (i - 1)::BIGINT AS line_no, regexp_replace(line, '^[0-9]+\\.\\s*', '') AS line
+FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+      FROM (SELECT doc_id, string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)) AS l FROM benchmark
+            JOIN (SELECT item_id AS doc_id FROM benchmark) USING (doc_id)))""".replace(
+    "FROM benchmark\n            JOIN (SELECT item_id AS doc_id FROM benchmark) USING (doc_id)",
+    "FROM (SELECT item_id AS doc_id, text FROM benchmark)"))
+def numbered_lines_q(spark, sf):
+    """H7 over benchmark items: strip, split on newline, drop ``N.`` prefixes."""
+    from ..operators.indicators import numbered_lines
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return numbered_lines(b, "doc_id", "text")

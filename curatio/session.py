@@ -18,6 +18,7 @@ def get_session(master: str | None = None, app: str = "curatio",
     master = master or os.environ.get("CURATIO_MASTER", "local[*]")
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -54,6 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint folder)."""
+    """Reliable checkpoint (written to the shared checkpoint folder).
+
+    The plan is persisted first: writing a checkpoint otherwise runs the
+    whole plan a second time.  The persisted copy is released once the
+    checkpoint files exist; later reads come from the shared folder, so an
+    executor loss re-reads files instead of replaying the lineage."""
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist(blocking=False)
+    return out
