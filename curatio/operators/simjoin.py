@@ -145,3 +145,51 @@ def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embe
     return (cand.withColumn("_r", F.row_number().over(w))
             .filter(F.col("_r") == k)
             .select(F.col("id").alias(id_col), F.col("dist").alias(f"knn_{i}")))
+
+
+def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: float | None = None,
+                   q_id: str = "query_id", d_id: str = "doc_id", vec_col: str = "embedding",
+                   block_rows: int = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
+                   n_docs: int | None = None) -> DataFrame:
+    """C11: for every query vector the ``k`` nearest documents by cosine
+    distance (``1 - cos``), optionally only those with distance ``<= max_distance``.
+
+    Queries and documents are cut into bounded blocks; each (query block,
+    doc block) pair emits its local top-k per query, and a ranked window
+    (limited per group before the shuffle) merges them.  Nothing is
+    broadcast, so the query side may be as large as the corpus.
+    Output: ``query_id, doc_id, rank (1-based), distance``."""
+    from pyspark.sql import Window
+
+    nq = n_queries if n_queries is not None else queries.count()
+    nd = n_docs if n_docs is not None else docs.count()
+    bq, bd = n_blocks_for(nq, block_rows), n_blocks_for(nd, block_rows)
+    q = (queries.select(F.col(q_id).alias("id"), F.col(vec_col).alias("v"))
+         .withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(bq)))
+         .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(bd - 1))))
+         .withColumn("_side", F.lit(0)))
+    d = (docs.select(F.col(d_id).alias("id"), F.col(vec_col).alias("v"))
+         .withColumn("_db", F.pmod(F.xxhash64("id"), F.lit(bd)))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+         .withColumn("_side", F.lit(1)))
+    cols = ["id", "v", "_qb", "_db", "_side"]
+    both = q.select(*cols).unionByName(d.select(*cols))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, ds = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        if len(qs) == 0 or len(ds) == 0:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
+        dist = 1.0 - similarity(stack(qs["v"]), stack(ds["v"]), "cosine")
+        kk = min(k, dist.shape[1])
+        part = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
+        vals = np.take_along_axis(dist, part, axis=1)
+        return pd.DataFrame({"query_id": np.repeat(qs["id"].to_numpy(), kk),
+                             "doc_id": ds["id"].to_numpy()[part].ravel(), "distance": vals.ravel()})
+
+    cand = both.groupBy("_qb", "_db").applyInPandas(kernel, "query_id long, doc_id long, distance double")
+    if max_distance is not None:
+        cand = cand.filter(F.col("distance") <= F.lit(max_distance))
+    w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
+    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(F.col("query_id").alias(q_id), F.col("doc_id").alias(d_id),
+                    F.col("rank").cast("long").alias("rank"), "distance"))

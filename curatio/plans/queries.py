@@ -232,3 +232,106 @@ def numbered_lines_q(spark, sf):
     from ..operators.indicators import numbered_lines
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return numbered_lines(b, "doc_id", "text")
+
+
+# ------------------------------------------------------------------ vectors
+
+from ..functions import vectors as V  # noqa: E402
+from ..operators import simjoin as SJ  # noqa: E402
+
+
+@query("expected_score", """
+WITH l AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+x AS (SELECT vec_id, e[1:6] AS lg FROM l),
+y AS (SELECT vec_id, lg, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM x)
+SELECT vec_id,
+       CASE WHEN len(lg) < 6 OR list_count(lg) < 6 THEN 3.0
+            ELSE list_dot_product(ex, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) / list_sum(ex) END AS expected_score
+FROM y""")
+def expected_score_q(spark, sf):
+    """D10 with the first six components as class logits."""
+    from ..operators.indicators import expected_score
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", expected_score(F.slice("embedding", 1, 6)).alias("expected_score"))
+
+
+@query("similar_pairs", """
+SELECT a.vec_id AS id_a, b.vec_id AS id_b,
+       list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3""")
+def similar_pairs_q(spark, sf):
+    """All pairs with cosine similarity above 0.3 (blocked self-join)."""
+    e = table(spark, sf, "embeddings")
+    return SJ.similar_pairs(e, 0.3, id_col="vec_id", vec_col="embedding")
+
+
+@query("knn_i", """
+WITH d AS (SELECT a.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dist
+           FROM embeddings a, embeddings b),
+r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM d)
+SELECT vec_id, dist AS knn_3 FROM r WHERE rn = 4""")
+def knn_i_q(spark, sf):
+    """Distance to the 3rd nearest neighbour (self is the 0th)."""
+    e = table(spark, sf, "embeddings")
+    return SJ.knn_distance(e, 3, id_col="vec_id", vec_col="embedding")
+
+
+@query("vector_topk", """
+WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 0),
+d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1.0 - list_cosine_similarity(q.v, d.v) AS distance
+      FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank
+      FROM s WHERE distance <= 0.9)
+SELECT query_id, doc_id, rank::BIGINT AS rank, distance FROM r WHERE rank <= 3""")
+def vector_topk_q(spark, sf):
+    """C11: top-3 documents (label <> 0) per query vector (label 0), distance <= 0.9."""
+    e = table(spark, sf, "embeddings")
+    return SJ.bipartite_topk(e.filter(F.col("label") == 0), e.filter(F.col("label") != 0), 3, 0.9,
+                             q_id="vec_id", d_id="vec_id").toDF("query_id", "doc_id", "rank", "distance")
+
+
+@query("kcenter", """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+kc(step, centers) AS (
+  SELECT 1, [(SELECT min(vec_id) FROM e)]
+  UNION ALL
+  SELECT step + 1, list_append(centers, (
+    SELECT vec_id FROM (
+      SELECT x.vec_id, min(list_distance(x.v, c.v)) AS md
+      FROM e x JOIN e c ON list_contains(kc.centers, c.vec_id) GROUP BY x.vec_id)
+    ORDER BY md DESC, vec_id LIMIT 1))
+  FROM kc WHERE step < 8)
+SELECT unnest(centers) AS vec_id, (generate_subscripts(centers, 1) - 1)::BIGINT AS pick
+FROM (SELECT centers FROM kc ORDER BY step DESC LIMIT 1)""")
+def kcenter_q(spark, sf):
+    """8 centres, first = lowest id."""
+    e = table(spark, sf, "embeddings")
+    return SEL.kcenter_greedy(e, 8, id_col="vec_id", vec_col="embedding")
+
+
+@query("influence", """
+WITH ck AS (SELECT unnest([0, 1, 2]) AS ckpt),
+v AS (SELECT e.vec_id AS row_id, e.label, ck.ckpt,
+             list_concat(e.embedding[ck.ckpt + 1:], e.embedding[1:ck.ckpt])::DOUBLE[] AS vec
+      FROM embeddings e, ck),
+w AS (SELECT ckpt, (ckpt + 1) / 6.0 AS weight FROM ck),
+tr AS (SELECT * FROM v WHERE label >= 3),
+va AS (SELECT * FROM v WHERE label < 3),
+p AS (SELECT tr.row_id, va.label AS subtask, va.row_id AS vid,
+             sum(w.weight * list_dot_product(tr.vec, va.vec)) AS s
+      FROM tr JOIN va ON tr.ckpt = va.ckpt JOIN w ON w.ckpt = tr.ckpt
+      GROUP BY tr.row_id, va.label, va.row_id),
+m AS (SELECT row_id, subtask, avg(s) AS s FROM p GROUP BY row_id, subtask)
+SELECT row_id, max(s) AS influence FROM m GROUP BY row_id""")
+def influence_q(spark, sf):
+    """Labels 0-2 are validation subtasks, the rest train rows;
+    three checkpoints weighted 1:2:3 (normalised)."""
+    from ..operators.influence import checkpoint_vectors, influence_scores
+    v = checkpoint_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 3)
+    train = v.filter(F.col("label") >= 3).select("row_id", "ckpt", "vec")
+    valid = v.filter(F.col("label") < 3).select("ckpt", F.col("label").alias("subtask"), "vec")
+    weights = spark.range(3).select(F.col("id").cast("int").alias("ckpt"),
+                                    (F.col("id") + 1).cast("double").alias("weight"))
+    return influence_scores(train, valid, weights)
