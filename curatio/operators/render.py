@@ -49,3 +49,123 @@ def message_array(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                   F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")))
     t = _ordered_texts(r, conv_col, "pair_idx", two, "_t")
     return t.select(conv_col, F.flatten("_t").alias("messages"))
+
+
+# ------------------------------------------------------------ chat templates
+
+# Conversation templates (name, style, system, user role,
+# assistant role, sep, sep2).
+TEMPLATES = [
+    ("vicuna_v1.1", "ADD_COLON_TWO",
+     "A chat between a curious user and an artificial intelligence assistant. "
+     "The assistant gives helpful, detailed, and polite answers to the user's questions.",
+     "USER", "ASSISTANT", " ", "</s>"),
+    ("vicuna_simple", "ADD_COLON_TWO", "", "USER", "ASSISTANT", " ", "</s>"),
+    ("alpaca", "ADD_COLON_TWO",
+     "Below is an instruction that describes a task. Write a response that appropriately completes the request.",
+     "### Instruction", "### Response", "\n\n", "</s>"),
+    ("tulu", "ADD_NEW_LINE_SINGLE", "", "<|user|>", "<|assistant|>", "\n", None),
+]
+
+STYLES = ("ADD_COLON_SINGLE", "ADD_COLON_TWO", "ADD_COLON_SPACE_SINGLE", "ADD_NEW_LINE_SINGLE",
+          "NO_COLON_SINGLE", "NO_COLON_TWO", "CHATML", "PHOENIX", "ROBIN", "DOLLY", "SCORER")
+
+
+def template(name: str):
+    for t in TEMPLATES:
+        if t[0] == name:
+            return dict(zip(("name", "style", "system", "user", "assistant", "sep", "sep2"), t))
+    raise KeyError(f"no conversation template {name!r}")
+
+
+def _piece(style: str, i, role, msg, sep, sep2):
+    """Rendering of message ``i`` (0-based) per separator style."""
+    s_i = F.when(i % 2 == 0, F.lit(sep)).otherwise(F.lit(sep2 if sep2 is not None else sep))
+    empty = msg.isNull() | (msg == "")
+    m = F.coalesce(msg, F.lit(""))
+    lit = F.lit
+    if style == "ADD_COLON_SINGLE":
+        return F.when(empty, F.concat(role, lit(":"))).otherwise(F.concat(role, lit(": "), m, lit(sep)))
+    if style == "ADD_COLON_TWO":
+        return F.when(empty, F.concat(role, lit(":"))).otherwise(F.concat(role, lit(": "), m, s_i))
+    if style == "ADD_COLON_SPACE_SINGLE":
+        return F.when(empty, F.concat(role, lit(": "))).otherwise(F.concat(role, lit(": "), m, lit(sep)))
+    if style == "ADD_NEW_LINE_SINGLE":
+        return F.when(empty, F.concat(role, lit("\n"))).otherwise(F.concat(role, lit("\n"), m, lit(sep)))
+    if style == "NO_COLON_SINGLE":
+        return F.when(empty, role).otherwise(F.concat(role, m, lit(sep)))
+    if style == "NO_COLON_TWO":
+        return F.when(empty, role).otherwise(F.concat(role, m, s_i))
+    if style == "CHATML":
+        return F.when(empty, F.concat(role, lit("\n"))).otherwise(F.concat(role, lit("\n"), m, lit(sep), lit("\n")))
+    if style == "PHOENIX":
+        return F.when(empty, F.concat(role, lit(": <s>"))).otherwise(F.concat(role, lit(": <s>"), m, lit("</s>")))
+    if style == "ROBIN":
+        return F.when(empty, F.concat(role, lit(":\n"))).otherwise(F.concat(role, lit(":\n"), m, lit(sep)))
+    if style == "DOLLY":
+        tail = F.when(i % 2 == 1, lit("\n\n")).otherwise(lit(""))
+        return F.when(empty, F.concat(role, lit(":\n"))).otherwise(F.concat(role, lit(":\n"), m, s_i, tail))
+    if style == "SCORER":
+        return m
+    raise ValueError(f"style {style!r} not supported")
+
+
+def _start(style: str, system: str, sep: str) -> str:
+    if style in ("ADD_COLON_SINGLE", "ADD_COLON_TWO", "ADD_COLON_SPACE_SINGLE", "ROBIN"):
+        return system + sep
+    if style in ("ADD_NEW_LINE_SINGLE",):
+        return "" if system == "" else system + sep
+    if style == "CHATML":
+        return "" if system == "" else system + sep + "\n"
+    if style == "SCORER":
+        return ""
+    return system
+
+
+def render(conv: DataFrame, template_name: str, conv_col: str = "conv_id",
+           add_generation_prompt: bool = False) -> DataFrame:
+    """One rendered prompt per dialogue (leading non-user message
+    dropped, roles by alternation).  ``add_generation_prompt`` appends the
+    empty assistant turn used before generation."""
+    t = template(template_name)
+    p = positions(conv, True, conv_col=conv_col)
+    role = F.when(F.col("pos") % 2 == 0, F.lit(t["user"])).otherwise(F.lit(t["assistant"]))
+    piece = _piece(t["style"], F.col("pos"), role, F.col("text"), t["sep"], t["sep2"])
+    per = _ordered_texts(p, conv_col, "pos", piece, "_t")
+    body = F.array_join("_t", "")
+    if add_generation_prompt:
+        body = F.concat(body, F.concat(F.lit(t["assistant"]), F.lit(":" if "COLON" in t["style"] else "\n")))
+    return per.select(conv_col, F.concat(F.lit(_start(t["style"], t["system"], t["sep"])), body).alias("prompt"))
+
+
+def role_tagged(conv: DataFrame, conv_col: str = "conv_id", strict: bool = True) -> DataFrame:
+    """``<|system|>\\n..\\n<|user|>\\n..\\n<|assistant|>\\n..</s>\\n``;
+    an unknown role raises (``strict``) or yields NULL."""
+    tag = (F.when(F.col("role") == "system", F.concat(F.lit("<|system|>\n"), F.col("text"), F.lit("\n")))
+           .when(F.col("role") == "user", F.concat(F.lit("<|user|>\n"), F.col("text"), F.lit("\n")))
+           .when(F.col("role") == "assistant", F.concat(F.lit("<|assistant|>\n"), F.col("text"), F.lit("</s>\n"))))
+    if strict:
+        tag = tag.otherwise(F.raise_error(F.concat(F.lit("invalid role: "), F.col("role"))))
+    per = _ordered_texts(conv, conv_col, "turn", tag, "_t")
+    return per.select(conv_col, F.array_join("_t", "").alias("text"))
+
+
+def instruction_prompt(instruction, inp=None) -> "F.Column":
+    """Instruction prompt with an input section only when input is non-empty."""
+    head = "Below is an instruction that describes a task"
+    if inp is None:
+        return F.concat(F.lit(head + ". Write a response that appropriately completes the request.\n\n### Instruction:\n"),
+                        instruction, F.lit("\n\n### Response:"))
+    return F.when(F.coalesce(inp, F.lit("")) != "", F.concat(
+        F.lit(head + ", paired with an input that provides further context. Write a response that appropriately "
+              "completes the request.\n\n### Instruction:\n"), instruction, F.lit("\n\n### Input:\n"), inp,
+        F.lit("\n\n### Response:"))).otherwise(instruction_prompt(instruction))
+
+
+def token_mask(conv: DataFrame, max_len: int, conv_col: str = "conv_id") -> DataFrame:
+    """Whitespace tokens of a dialogue, each flagged ``is_target`` when it
+    comes from an assistant message, cut to ``max_len``."""
+    toks = F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), 0),
+                       lambda w: F.struct(w.alias("token"), (F.col("role") == "assistant").alias("is_target")))
+    per = _ordered_texts(conv, conv_col, "turn", toks, "_t")
+    return per.select(conv_col, F.slice(F.flatten("_t"), 1, max_len).alias("tokens"))

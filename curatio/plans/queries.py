@@ -335,3 +335,114 @@ def influence_q(spark, sf):
     weights = spark.range(3).select(F.col("id").cast("int").alias("ckpt"),
                                     (F.col("id") + 1).cast("double").alias("weight"))
     return influence_scores(train, valid, weights)
+
+
+# ------------------------------------------------------------ prompts, store
+
+TEMPLATE_TEXT = "写{$c_name} from {$n_name}: {$segment} {$$history} {$num} {$关键}"
+
+
+@query("prompt_fill", """
+WITH r AS (SELECT c.c_custkey, c.c_name, n.n_name, c.c_mktsegment
+           FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+t AS (SELECT '""" + TEMPLATE_TEXT + """' AS tpl)
+SELECT c_custkey,
+       replace(replace(replace(tpl, '{$c_name}', c_name), '{$n_name}', n_name), '{$segment}', c_mktsegment) AS filled,
+       array_to_string(list_filter(regexp_extract_all(tpl, '\\{\\$([\\p{L}\\p{N}_]+)\\}', 1),
+                                   lambda k: NOT list_contains(['c_name', 'n_name', 'segment'], k)), ',') AS missing,
+       array_to_string(regexp_extract_all(tpl, '\\{\\$\\$([\\p{L}\\p{N}_]+)\\}', 1), ',') AS deferred
+FROM r, t""")
+def prompt_fill_q(spark, sf):
+    """One template filled from each customer record
+    (customer joined to nation as the keyword record)."""
+    c = table(spark, sf, "customer")
+    n = table(spark, sf, "nation")
+    rec = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        "c_custkey", F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("n_name"), F.col("n_name"),
+                                  F.lit("segment"), F.col("c_mktsegment")).alias("kw"))
+    tpl = F.lit(TEMPLATE_TEXT)
+    return rec.select("c_custkey", T.fill(tpl, F.col("kw")).alias("filled"),
+                      F.array_join(T.missing_keys(tpl, F.col("kw")), ",").alias("missing"),
+                      F.array_join(T.placeholders(tpl, deferred=True), ",").alias("deferred"))
+
+
+@query("upsert_template", """SELECT DISTINCT role, text FROM conversations""")
+def upsert_template_q(spark, sf):
+    """Store of user messages, then a batch of all messages
+    inserted if absent (null-safe match on all fields)."""
+    from ..operators.store import insert_if_absent
+    conv = table(spark, sf, "conversations")
+    store = conv.filter(F.col("role") == "user").select("role", "text").dropDuplicates()
+    return insert_if_absent(store, conv.select("role", "text"), ["role", "text"])
+
+
+@query("render_template", "WITH " + SQL_POSITIONS + """
+SELECT conv_id, 'A chat between a curious user and an artificial intelligence assistant. '
+       || 'The assistant gives helpful, detailed, and polite answers to the user''s questions. '
+       || string_agg(CASE WHEN pos % 2 = 0 THEN 'USER' ELSE 'ASSISTANT' END || ': ' || text
+                     || CASE WHEN pos % 2 = 0 THEN ' ' ELSE '</s>' END, '' ORDER BY pos) AS prompt
+FROM pos GROUP BY conv_id""")
+def render_template_q(spark, sf):
+    """Dialogues rendered with the vicuna_v1.1 template."""
+    from ..operators.render import render
+    return render(table(spark, sf, "conversations"), "vicuna_v1.1")
+
+
+@query("dataset_stats", """
+WITH t AS (SELECT conv_id, sum(len(regexp_extract_all(text, '\\S+'))) AS n_tok,
+                  sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END) AS n_tgt
+           FROM conversations GROUP BY conv_id)
+SELECT 'train' AS split, count(*)::BIGINT AS n_rows, avg(n_tok)::DOUBLE AS avg_tokens,
+       avg(n_tgt)::DOUBLE AS avg_target_tokens FROM t""")
+def dataset_stats_q(spark, sf):
+    """Dialogues, mean tokens and mean target (assistant) tokens."""
+    from ..operators.dialogs import word_count
+    c = table(spark, sf, "conversations")
+    wc = word_count(F.col("text"))
+    per = c.groupBy("conv_id").agg(F.sum(wc).alias("n_tok"),
+                                   F.sum(F.when(F.col("role") == "assistant", wc).otherwise(0)).alias("n_tgt"))
+    return per.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("n_tok").alias("avg_tokens"),
+                   F.avg("n_tgt").alias("avg_target_tokens")).select(F.lit("train").alias("split"), "*")
+
+
+@query("mtld")
+def mtld_q(spark, sf):
+    """D11 per document (Arrow UDF fold), whole texts."""
+    from ..operators.indicators import mtld
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", "lang", mtld(F.col("text")).alias("mtld"))
+
+
+def _ppl_sql() -> str:
+    return "WITH " + SQL_PAIRS + """,
+corpus AS (SELECT unnest(regexp_extract_all(text, '\\S+')) AS token FROM (SELECT instruction AS text FROM pairs UNION ALL SELECT response FROM pairs)),
+cnt AS (SELECT token, count(*) AS c FROM corpus GROUP BY token),
+tot AS (SELECT sum(c)::DOUBLE AS n_tokens, count(*)::DOUBLE AS vocab FROM cnt),
+tk AS (SELECT conv_id, pair_idx, 'q' AS side, unnest(regexp_extract_all(instruction, '\\S+')) AS token FROM pairs
+       UNION ALL SELECT conv_id, pair_idx, 'a', unnest(regexp_extract_all(response, '\\S+')) FROM pairs),
+cc AS (SELECT conv_id, pair_idx, side, token, count(*) AS cc FROM tk GROUP BY ALL),
+cl AS (SELECT conv_id, pair_idx, side, count(*) AS clen FROM tk GROUP BY ALL),
+j AS (SELECT tk.conv_id, tk.pair_idx, tk.side,
+             ln((coalesce(cnt.c, 0) + 1) / (tot.n_tokens + tot.vocab)) AS lp,
+             ln((coalesce(cnt.c, 0) + coalesce(cc.cc, 0) + 1) / (tot.n_tokens + tot.vocab + coalesce(cl.clen, 0))) AS lpc
+      FROM tk CROSS JOIN tot LEFT JOIN cnt USING (token)
+      LEFT JOIN cc ON cc.conv_id = tk.conv_id AND cc.pair_idx = tk.pair_idx AND cc.token = tk.token
+                   AND cc.side = CASE WHEN tk.side = 'q' THEN 'a' ELSE 'q' END
+      LEFT JOIN cl ON cl.conv_id = tk.conv_id AND cl.pair_idx = tk.pair_idx
+                   AND cl.side = CASE WHEN tk.side = 'q' THEN 'a' ELSE 'q' END),
+g AS (SELECT conv_id, pair_idx, side, exp(-avg(lp)) AS ppl, exp(-avg(lpc)) AS pplc FROM j GROUP BY ALL)
+SELECT p.conv_id, p.pair_idx, a.ppl AS ppl_answer, a.pplc AS ppl_answer_given_q, q.ppl AS ppl_question,
+       a.pplc / a.ppl AS ifd, q.pplc / q.ppl AS rifd
+FROM pairs p LEFT JOIN g a ON a.conv_id = p.conv_id AND a.pair_idx = p.pair_idx AND a.side = 'a'
+LEFT JOIN g q ON q.conv_id = p.conv_id AND q.pair_idx = p.pair_idx AND q.side = 'q'"""
+
+
+@query("unigram_ppl", _ppl_sql())
+def unigram_ppl_q(spark, sf):
+    """D5/D6/D7 + K3: PPL, IFD and reversed IFD per turn pair under the
+    add-one unigram model fitted on the whole dialogue corpus."""
+    from ..operators.indicators import pair_perplexities, tokens, unigram_model
+    pairs = DG.turn_pairs(table(spark, sf, "conversations"))
+    corpus = tokens(pairs, [], "instruction", "q").unionByName(tokens(pairs, [], "response", "a"))
+    counts, totals = unigram_model(corpus)
+    return pair_perplexities(pairs, counts, totals)
