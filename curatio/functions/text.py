@@ -148,48 +148,50 @@ def _drop_bold_at_1(c: Column) -> Column:
     return F.when(F.instr(c, "**") == 2, strip(F.replace(c, F.lit("**"), F.lit("")))).otherwise(strip(c))
 
 
-def clean_instruction(c, family: str) -> Column:
-    """Returns struct(text, class) for model families gemma-2,
-    llama-3.1; any other family returns the text unchanged with class 0.
+def clean_instructions(df, col: str, family: str, out: str = "cleaned"):
+    """H11-H13 on a DataFrame: adds ``out`` = struct(text, class).  Model
+    families gemma-2 and llama-3.1 get the ordered clean-up arms (SURVEY
+    A.2, first match wins); any other family keeps the text, class 0.
 
-    Ordered arms, first match wins (SURVEY A.2)."""
+    Intermediate strings are projected once each (staged selects), so the
+    arms reference columns instead of re-inlining the regex work."""
     fam = family.lower()
-    x = _c(c)
     if "gemma-2" in fam:
         llama = False
     elif "llama-3.1" in fam:
         llama = True
     else:
-        return F.struct(x.alias("text"), F.lit(0.0).alias("class"))
-    s0 = remove_prefix(x)
-    assist = s0.rlike(_ASSIST_RE)
-    a_pos_text = _before_match(s0, _ASSIST_RE)        # offset taken before the 2nd prefix pass
-    step = s0.rlike(_STEP_RE)
-    s_pos_text = _before_match(s0, _STEP_RE)
-    has_q0 = F.instr(s0, "?") > 0
-    arm1 = remove_prefix(F.concat(strip(F.replace(before_first(s0, "?"), F.lit("*"), F.lit(""))), F.lit("?")))
-    s1 = remove_prefix(s0)
-    has_q = F.instr(s1, "?") > 0
+        return df.withColumn(out, F.struct(F.col(col).alias("text"), F.lit(0.0).alias("class")))
+    keep = df.columns
+    st = df.withColumn("_s0", remove_prefix(F.col(col)))
+    st = st.withColumn("_s1", remove_prefix(F.col("_s0")))
+    s0, s1 = F.col("_s0"), F.col("_s1")
+    st = st.select("*",
+                   s0.rlike(_ASSIST_RE).alias("_am"),
+                   F.length(_before_match(s0, _ASSIST_RE)).alias("_apos"),
+                   s0.rlike(_STEP_RE).alias("_sm"),
+                   F.length(_before_match(s0, _STEP_RE)).alias("_spos"),
+                   (s0.startswith("*") & (F.instr(s0, "?") > 0)).alias("_arm1"),
+                   (F.instr(s1, "?") > 0).alias("_hq"),
+                   strip(first_line(s1)).alias("_l1"))
+    has_q, line1 = F.col("_hq"), F.col("_l1")
     q_text = F.concat(strip(before_first(s1, "?")), F.lit("?"))
-    line1 = strip(first_line(s1))
-    no_star_line = strip(F.replace(strip(first_line(s1)), F.lit("*"), F.lit("")))
-    # the offset of the marker match refers to s0, applied to s1 (kept quirk)
-    a_cut = F.substring(s1, 1, F.length(a_pos_text))
-    s_cut = F.substring(s1, 1, F.length(s_pos_text))
+    no_star_line = strip(F.replace(line1, F.lit("*"), F.lit("")))
     cls_colon = (6.1, 6.2, 6.3) if llama else (5.1, 5.2, 5.3)
     cls_plain = (99.1, 99.2) if llama else (6.1, 6.2)
 
     def arm(text: Column, cls: float):
         return F.struct(text.alias("text"), F.lit(cls).alias("class"))
 
+    # the marker offsets were measured on _s0 and are applied to _s1 (kept quirk)
     chain = (F.when(s1.startswith('"') & has_q,
                     arm(F.concat(strip(F.replace(before_first(s1, "?"), F.lit('"'), F.lit(""))), F.lit("?")), 2.1))
              .when(s1.startswith('"'),
                    arm(strip(F.replace(strip(F.replace(first_line(s1), F.lit('"'), F.lit(""))), F.lit("*"), F.lit(""))), 2.2))
              .when(s1.startswith("<b>"), arm(strip(F.replace(s1, F.lit("*"), F.lit(""))), 3.0))
-             .when(assist, arm(_drop_bold_at_1(strip(a_cut)), 4.0)))
+             .when(F.col("_am"), arm(_drop_bold_at_1(strip(F.substring(s1, 1, F.col("_apos")))), 4.0)))
     if llama:
-        chain = chain.when(step, arm(_drop_bold_at_1(strip(s_cut)), 5.0))
+        chain = chain.when(F.col("_sm"), arm(_drop_bold_at_1(strip(F.substring(s1, 1, F.col("_spos")))), 5.0))
     chain = (chain
              .when(line1.endswith(":") & (F.instr(s1, "#") > 0),
                    arm(_drop_bold_at_1(strip(before_first(s1, "#"))), cls_colon[0]))
@@ -197,8 +199,12 @@ def clean_instruction(c, family: str) -> Column:
              .when(line1.endswith(":"), arm(no_star_line, cls_colon[2]))
              .when(has_q, arm(_drop_bold_at_1(q_text), cls_plain[0]))
              .otherwise(arm(no_star_line, cls_plain[1])))
-    final = F.struct(remove_prefix(chain["text"]).alias("text"), chain["class"].alias("class"))
-    return F.when(s0.startswith("*") & has_q0, arm(arm1, 1.0)).otherwise(final)
+    st = st.withColumn("_ch", chain)
+    st = st.withColumn("_t2", remove_prefix(F.col("_ch.text")))
+    arm1 = remove_prefix(F.concat(strip(F.replace(before_first(s0, "?"), F.lit("*"), F.lit(""))), F.lit("?")))
+    res = F.when(F.col("_arm1"), arm(arm1, 1.0)).otherwise(
+        F.struct(F.col("_t2").alias("text"), F.col("_ch.class").alias("class")))
+    return st.select(*keep, res.alias(out))
 
 
 def cut_at_stop_tokens(c, tokens) -> Column:

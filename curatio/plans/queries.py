@@ -446,3 +446,64 @@ def unigram_ppl_q(spark, sf):
     corpus = tokens(pairs, [], "instruction", "q").unionByName(tokens(pairs, [], "response", "a"))
     counts, totals = unigram_model(corpus)
     return pair_perplexities(pairs, counts, totals)
+
+
+# -------------------------------------------------- category map, clean-up
+
+@query("category_map", """
+WITH c AS (SELECT sha256(split_part(text, chr(10), 1)) AS instr_sha, source AS category, doc_id FROM documents)
+SELECT instr_sha, arg_max(category, doc_id) AS category, count(DISTINCT category)::BIGINT AS n_categories,
+       (count(*) - count(DISTINCT category))::BIGINT AS same_category_repeats
+FROM c GROUP BY instr_sha""")
+def category_map_q(spark, sf):
+    """Instruction (first line) -> category (source), last one by
+    position wins; repeats inside a category are counted."""
+    d = table(spark, sf, "documents")
+    c = d.select(F.sha2(T.first_line("text"), 256).alias("instr_sha"), F.col("source").alias("category"), "doc_id")
+    return c.groupBy("instr_sha").agg(
+        F.max_by("category", "doc_id").alias("category"),
+        F.count_distinct("category").alias("n_categories"),
+        (F.count(F.lit(1)) - F.count_distinct("category")).alias("same_category_repeats"))
+
+
+@query("mcq_detect", """
+WITH m AS (SELECT doc_id, text,
+                  len(regexp_extract_all(text, '(?i)\\([A-D]\\)|[A-D][\\.\\)]|[a-d][\\.\\)]')) AS n_marks FROM documents)
+SELECT doc_id, n_marks >= 4 AS is_mcq,
+       CASE WHEN n_marks >= 4 THEN length(regexp_extract(text, '(?is)^(.*(?:\\([A-D]\\)|[A-D][\\.\\)]|[a-d][\\.\\)]))', 1))
+            ELSE -1 END::BIGINT AS end_pos,
+       (strpos(text, chr(10)) - 1)::BIGINT AS next_newline
+FROM m""")
+def mcq_detect_q(spark, sf):
+    """Multiple-choice marks and first newline offset per document."""
+    d = table(spark, sf, "documents")
+    m = T.mcq(F.col("text"))
+    return d.select("doc_id", m["is_mcq"].alias("is_mcq"), m["end_pos"].cast("long").alias("end_pos"),
+                    T.next_newline(F.col("text")).cast("long").alias("next_newline"))
+
+
+@query("instruction_cleanup")
+def instruction_cleanup_q(spark, sf):
+    """User messages cleaned by the gemma-2 and llama-3.1 rules."""
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    c = T.clean_instructions(c, "text", "gemma-2", "g")
+    c = T.clean_instructions(c, "text", "llama-3.1", "l")
+    return c.select("conv_id", "turn", F.col("g.text").alias("gemma_text"), F.col("g.class").alias("gemma_class"),
+                    F.col("l.text").alias("llama_text"), F.col("l.class").alias("llama_class"))
+
+
+# ----------------------------------------------------------------- sampling
+
+@query("sample_exact")
+def sample_exact_q(spark, sf):
+    """exactly int(n * 0.1) documents, seeded."""
+    from ..operators.sample import sample_exact
+    return sample_exact(table(spark, sf, "documents"), "doc_id", share=0.1, seed=42).select("doc_id", "lang")
+
+
+@query("train_eval_split")
+def train_eval_split_q(spark, sf):
+    """98/2 split of the dialogues by seeded permutation."""
+    from ..operators.sample import train_eval_split
+    ids = table(spark, sf, "conversations").select("conv_id").distinct()
+    return train_eval_split(ids, "conv_id", 0.98, 42)
