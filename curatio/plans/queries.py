@@ -507,3 +507,27 @@ def train_eval_split_q(spark, sf):
     from ..operators.sample import train_eval_split
     ids = table(spark, sf, "conversations").select("conv_id").distinct()
     return train_eval_split(ids, "conv_id", 0.98, 42)
+
+
+# ---------------------------------------------------------- construction
+
+@query("dialog_construction")
+def dialog_construction_q(spark, sf):
+    """Customer records fill a bundle of four prompts, each gets
+    1-3 rounds (F14), dialogues are generated (K1 default) and judged."""
+    from ..operators.prompts import round_counts
+    from .construction import construct
+    c = table(spark, sf, "customer")
+    n = table(spark, sf, "nation")
+    kw = F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("n_name"), F.col("n_name"))
+    rec = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("bundle_id"), kw.alias("kw"))
+    prompts = {
+        "first_query_prompt": "List two questions {$c_name} from {$n_name} might ask:\n1. about orders\n2. about prices",
+        "query_prompt": "Ask a follow-up question as {$c_name}.",
+        "answer_prompt": "Answer for {$n_name}: {query}",
+        "evaluate_prompt": "Rate the dialogue for {$c_name} as JSON with rate and reason.",
+    }
+    b = rec.select("bundle_id", *[T.fill(F.lit(v), F.col("kw")).alias(k) for k, v in prompts.items()],
+                   F.lit(1).alias("n"))
+    b = round_counts(b, "n", 1, 3, seed=7, id_col="bundle_id").withColumn("turn", F.col("turn")[0])
+    return construct(b).select("bundle_id", "q_idx", "n_messages", "rate")
