@@ -122,3 +122,17 @@ def alternation_report(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             .select(conv_col, "bad_roles", "n_messages",
                     F.coalesce(F.col("dropped_first"), F.lit(False)).alias("dropped_first"),
                     (F.col("bad_roles") == 0).alias("valid")))
+
+
+def round_numbers(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """Round number of every message = user messages at or before it in
+    its dialogue.  A global prefix sum over ``(conv_id, turn)`` minus the
+    count before the dialogue's first message (a partial ``min`` per
+    dialogue), so no dialogue is buffered whole by one task."""
+    from .rank import global_prefix_sum
+    u = conv.withColumn("_u", (F.col("role").isin(*HUMAN_ROLES)).cast("long"))
+    p = global_prefix_sum(u, [F.col(conv_col), F.col(turn_col)], "_u", "_p")
+    base = p.groupBy(conv_col).agg(F.min(F.col("_p") - F.col("_u")).alias("_b"))
+    return (p.join(base, conv_col)
+            .withColumn("round", (F.col("_p") - F.col("_b")).cast("long"))
+            .drop("_u", "_p", "_b"))

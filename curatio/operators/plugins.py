@@ -47,15 +47,23 @@ def split_rejected(df: DataFrame, out_col: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
-def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """K2 default: hashed whitespace-token counts, L2-normalised.  One fold
-    per row (no shuffle)."""
-    toks = F.regexp_extract_all(text, F.lit(r"\S+"), 0)
+def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
+                     out_col: str = "embedding") -> DataFrame:
+    """K2 default: hashed whitespace-token counts, L2-normalised.
+
+    Tokens are exploded and counted per (row, bucket) with a partial
+    aggregate; each row's vector is then assembled from at most ``dim``
+    bucket counts.  Rows without tokens get the zero vector."""
+    toks = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), 0)).alias("_t"))
+    cnt = (toks.groupBy(id_col, F.pmod(F.xxhash64("_t"), F.lit(dim)).cast("int").alias("_j"))
+           .agg(F.count(F.lit(1)).cast("double").alias("_c")))
+    per = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_j", "_c"))).alias("_m"),
+                                  F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda j: F.coalesce(F.col("_m")[j], F.lit(0.0)) / F.greatest(F.col("_n"), F.lit(1e-12)))
     zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.aggregate(toks, zero, lambda acc, t: F.transform(
-        acc, lambda x, j: x + F.when(F.pmod(F.xxhash64(t), F.lit(dim)) == j, F.lit(1.0)).otherwise(F.lit(0.0))))
-    nrm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: x / F.greatest(nrm, F.lit(1e-12)))
+    return (df.join(per.select(id_col, vec.alias("_v")), id_col, "left")
+            .withColumn(out_col, F.coalesce(F.col("_v"), zero)).drop("_v"))
 
 
 def class_logits_from_counts(n: Column) -> Column:

@@ -32,3 +32,22 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "rk",
     return (s.join(F.broadcast(offs), "_pid")
             .withColumn(rank_col, (F.col("_off") + local).cast("long"))
             .drop("_pid", "_mid", "_off"))
+
+
+def global_prefix_sum(df: DataFrame, order_cols, value_col: str, out_col: str = "prefix") -> DataFrame:
+    """Inclusive running sum of ``value_col`` in ``order_cols`` order over the
+    whole table.  Range-partitioned sort; each range partition (bounded by
+    the partitioner, whatever the key skew) sums locally, and per-partition
+    totals (one row per partition) are broadcast back as offsets."""
+    s = (df.orderBy(*order_cols)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
+    local = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("_loc", F.sum(value_col).over(local))
+    tot = s.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(offs), "_pid")
+            .withColumn(out_col, F.col("_off") + F.col("_loc"))
+            .drop("_pid", "_mid", "_loc", "_off"))

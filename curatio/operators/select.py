@@ -72,7 +72,7 @@ def _round_kernel(tau: float, metric: str):
 def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_size: int = 1,
                    id_col: str = "id", score_col: str = "final_score", vec_col: str = "embedding",
                    metric: str = "cosine", block_rows: int = DEFAULT_BLOCK_ROWS,
-                   max_rounds: int = 10_000) -> DataFrame:
+                   max_rounds: int = 10_000, checkpoint_every: int = 3) -> DataFrame:
     """F2/F3 score-first diversity filter, as rounds of a parallel greedy.
 
     Sequential rule: scan rows by ``score desc, id``; row 0 is kept, each
@@ -103,7 +103,10 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     n_active = None
     kernel = _round_kernel(tau, metric)
 
-    for _ in range(max_rounds):
+    from pyspark import StorageLevel
+
+    cached = []
+    for rnd in range(max_rounds):
         active = state.filter(F.col("status").isin(_U, _N)).join(vecs, "id")
         if n_active is None:
             n_active = active.count()
@@ -118,15 +121,23 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
                       .when(F.col("se") | F.col("kn"), F.lit(_D))
                       .when(~F.col("hu"), F.lit(_N))
                       .otherwise(F.lit(_U)))
-        state = cut_lineage(state.join(fl, "id", "left")
-                            .select("id", "score", "rk", "batch", new_status.alias("status")))
+        nxt = state.join(fl, "id", "left").select("id", "score", "rk", "batch", new_status.alias("status"))
+        if (rnd + 1) % checkpoint_every == 0:
+            state = cut_lineage(nxt)          # bounded lineage, survives executor loss
+            for c in cached:
+                c.unpersist(blocking=False)
+            cached = []
+        else:
+            state = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(state)
         stats = state.agg(F.sum((st == _U).cast("long")).alias("u"),
                           F.min(F.when(st == _U, F.col("rk"))).alias("min_u"),
-                          F.sum((st == _N).cast("long")).alias("n")).first()
+                          F.sum((st == _N).cast("long")).alias("n"),
+                          F.sum(st.isin(_N, _K).cast("long")).alias("kept")).first()
         n_undecided, first_undecided, n_new = stats["u"] or 0, stats["min_u"], stats["n"] or 0
         if n_undecided == 0:
             break
-        if data_size > -1:
+        if data_size > -1 and (stats["kept"] or 0) >= data_size:
             settled = state.filter(st.isin(_N, _K) & (F.col("rk") < first_undecided)).count()
             if settled >= data_size:
                 break
@@ -139,7 +150,7 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     kept = state.filter(F.col("status").isin(_N, _K))
     if data_size > -1 and n_undecided:
         kept = kept.filter(F.col("rk") < F.lit(first_undecided))
-    # ``kept`` reads a checkpointed table, so the numbering is stable without
+    # ``kept`` reads a materialised table, so the numbering is stable without
     # another checkpoint.
     out = global_rank(kept, [F.col("rk").asc()], rank_col="sel_rank", checkpoint=False)
     if data_size > -1:
@@ -183,13 +194,14 @@ def kcenter_greedy(df: DataFrame, n_picks: int, id_col: str = "id", vec_col: str
     for r in range(todo):
         if not picks:
             nxt = seed_id
+            centre = cur.filter(F.col("id") == nxt).select("v").first()["v"]
         else:
-            best = cur.agg(F.max_by(F.struct("id", "min_dist"),
+            # farthest row and its vector in one partial aggregate
+            best = cur.agg(F.max_by(F.struct("id", "min_dist", "v"),
                                     F.struct(F.col("min_dist"), -F.col("id"))).alias("b")).first()["b"]
             if best is None or best["min_dist"] is None or best["min_dist"] <= 0.0:
                 break
-            nxt = best["id"]
-        centre = cur.filter(F.col("id") == nxt).select("v").first()["v"]
+            nxt, centre = best["id"], best["v"]
         cur = cur.withColumn("min_dist", F.least(F.col("min_dist"), euclidean(F.col("v"), F.lit(centre))))
         picks.append(nxt)
         if (r + 1) % checkpoint_every == 0:

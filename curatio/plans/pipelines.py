@@ -1,0 +1,119 @@
+"""Named pipelines (I1-I8): ``Pipeline.create(name, **params).transform(...)``.
+
+A registry maps names to classes; a duplicate or unknown name is an
+error.  Each pipeline is a chain of DataFrame operators (load, preprocess,
+forward, save are explicit steps the caller composes).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_REGISTRY: dict[str, type] = {}
+
+
+def register(name: str):
+    def deco(cls):
+        if name in _REGISTRY:
+            raise ValueError(f"pipeline {name!r} already registered")
+        _REGISTRY[name] = cls
+        return cls
+    return deco
+
+
+class Pipeline:
+    """I1/I2."""
+
+    def __init__(self, **params):
+        self.params = params
+
+    @staticmethod
+    def create(name: str, **params) -> "Pipeline":
+        if name not in _REGISTRY:
+            raise KeyError(f"unknown pipeline {name!r}; known: {sorted(_REGISTRY)}")
+        return _REGISTRY[name](**params)
+
+    def transform(self, *dfs: DataFrame) -> DataFrame:  # pragma: no cover - abstract
+        raise NotImplementedError
+
+
+@register("score_pipeline")
+class ScorePipeline(Pipeline):
+    """Dialogues (long form) -> pairs -> class logits (K4) -> expected
+    score (D10) -> one score array per dialogue (B2)."""
+
+    def transform(self, conv: DataFrame, logits_fn=None) -> DataFrame:
+        from ..operators.dialogs import inject_scores, turn_pairs, word_count
+        from ..operators.indicators import expected_score
+        from ..operators.plugins import class_logits_from_counts
+        kind = self.params.get("score_type", "complexity")
+        if kind not in ("complexity", "quality"):
+            raise ValueError("score_type must be complexity or quality")
+        pairs = turn_pairs(conv)
+        text = F.col("instruction") if kind == "complexity" else F.col("response")
+        lg = logits_fn(pairs) if logits_fn else class_logits_from_counts(word_count(text))
+        scored = pairs.withColumn(f"{kind}", expected_score(lg))
+        return inject_scores(conv.select("conv_id"), scored, kind)
+
+
+@register("embed_pipeline")
+class EmbedPipeline(Pipeline):
+    """I4: dialogue text (answer-only or rendered) -> embedding (K2)."""
+
+    def transform(self, conv: DataFrame, embed_fn=None) -> DataFrame:
+        from ..operators.plugins import hashed_embedding
+        from ..operators.render import answer_only_text, render
+        if self.params.get("only_answer"):
+            t = answer_only_text(conv).withColumnRenamed("answer_text", "text")
+        else:
+            t = render(conv, self.params.get("template", "vicuna_simple")).withColumnRenamed("prompt", "text")
+        if embed_fn:
+            return t.select(F.col("conv_id").alias("idx"), embed_fn(t).alias("embedding"))
+        e = hashed_embedding(t, "conv_id", "text", self.params.get("dim", 64))
+        return e.select(F.col("conv_id").alias("idx"), "embedding")
+
+
+@register("filter_pipeline")
+class FilterPipeline(Pipeline):
+    """Scores + embeddings (joined on id, C1 with count check) -> D2 ->
+    F2/F3 -> selected ids in order."""
+
+    def transform(self, scores: DataFrame, embeddings: DataFrame) -> DataFrame:
+        from ..operators.select import greedy_diverse
+        p = self.params
+        j = scores.join(embeddings, "idx")
+        if p.get("check_counts", True):
+            a, b, c = scores.count(), embeddings.count(), j.count()
+            if not (a == b == c):
+                raise ValueError(f"scores ({a}) and embeddings ({b}) do not align ({c} matched)")
+        return greedy_diverse(j, tau=p.get("threshold", 0.9), data_size=p.get("data_size", -1),
+                              batch_size=p.get("batch_size", 1), id_col="idx", score_col="final_score",
+                              metric=p.get("distance_metric", "cosine"))
+
+
+@register("influence_pipeline")
+class InfluencePipeline(Pipeline):
+    """Vectors -> influence (C5/D8) -> top ``n``."""
+
+    def transform(self, train: DataFrame, valid: DataFrame, weights: DataFrame) -> DataFrame:
+        from ..operators.influence import influence_scores
+        s = influence_scores(train, valid, weights)
+        n = self.params.get("top_n")
+        return s.orderBy(F.col("influence").desc(), "row_id").limit(n) if n else s
+
+
+@register("indicator_pipeline")
+class IndicatorPipeline(Pipeline):
+    """I8: length, MTLD and kNN-i distance per text in one table."""
+
+    def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        from ..operators.indicators import mtld
+        from ..operators.plugins import hashed_embedding
+        from ..operators.simjoin import knn_distance
+        i = self.params.get("knn_i", 3)
+        base = hashed_embedding(docs.select(id_col, text_col), id_col, text_col, self.params.get("dim", 64))
+        base = base.select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"),
+                           "embedding")
+        knn = knn_distance(base, i, id_col=id_col, vec_col="embedding")
+        return base.drop("embedding").join(knn, id_col, "left")

@@ -161,8 +161,8 @@ SELECT doc_id, {_kw_sql('text', T.MATH_KEYWORDS, True)} AS math_hits,
        {_kw_sql('text', T.CODE_KEYWORDS, False)} AS code_hits FROM documents""")
 def keyword_tags_q(spark, sf):
     """Math and code keyword hits per document."""
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", T.keyword_hits("text", T.MATH_KEYWORDS, True).alias("math_hits"),
+    d = table(spark, sf, "documents").select("doc_id", "text", F.lower("text").alias("_lt"))
+    return d.select("doc_id", T.keyword_hits(F.col("_lt"), [k.lower() for k in T.MATH_KEYWORDS], False).alias("math_hits"),
                     T.keyword_hits("text", T.CODE_KEYWORDS, False).alias("code_hits"))
 
 
@@ -531,3 +531,63 @@ def dialog_construction_q(spark, sf):
                    F.lit(1).alias("n"))
     b = round_counts(b, "n", 1, 3, seed=7, id_col="bundle_id").withColumn("turn", F.col("turn")[0])
     return construct(b).select("bundle_id", "q_idx", "n_messages", "rate")
+
+
+# ------------------------------------------------------- more compositions
+
+@query("round_number", """
+SELECT conv_id, turn, role,
+       sum(CASE WHEN role IN ('user', 'human') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS round
+FROM conversations""")
+def round_number_q(spark, sf):
+    """Round number of every message (scalable global prefix sum)."""
+    return DG.round_numbers(table(spark, sf, "conversations")).select("conv_id", "turn", "role", "round")
+
+
+@query("influence_top", """
+WITH ck AS (SELECT unnest([0, 1, 2]) AS ckpt),
+v AS (SELECT e.vec_id AS row_id, e.label, ck.ckpt,
+             list_concat(e.embedding[ck.ckpt + 1:], e.embedding[1:ck.ckpt])::DOUBLE[] AS vec
+      FROM embeddings e, ck),
+va AS (SELECT ckpt, label AS subtask, vec FROM v WHERE label < 3),
+p AS (SELECT tr.row_id, va.subtask, avg((tr.ckpt + 1) / 6.0 * list_dot_product(tr.vec, va.vec)) * 3 AS s
+      FROM v tr JOIN va ON tr.ckpt = va.ckpt WHERE tr.label >= 3 GROUP BY tr.row_id, va.subtask),
+m AS (SELECT row_id, max(s) AS influence FROM p GROUP BY row_id)
+SELECT row_id, influence FROM m ORDER BY influence DESC, row_id LIMIT 20""")
+def influence_top_q(spark, sf):
+    """The 20 most influential training rows (a top-k report)."""
+    from ..operators.influence import checkpoint_vectors
+    from .pipelines import Pipeline
+    v = checkpoint_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 3)
+    train = v.filter(F.col("label") >= 3).select("row_id", "ckpt", "vec")
+    valid = v.filter(F.col("label") < 3).select("ckpt", F.col("label").alias("subtask"), "vec")
+    weights = spark.range(3).select(F.col("id").cast("int").alias("ckpt"), (F.col("id") + 1).cast("double").alias("weight"))
+    return Pipeline.create("influence_pipeline", top_n=20).transform(train, valid, weights)
+
+
+@query("diversity_sample")
+def diversity_sample_q(spark, sf):
+    """Reward above 5 (B3) -> hashed-token embedding (K2) -> 16
+    k-center picks (F4) -> records in pick order (C2)."""
+    from ..operators.plugins import hashed_embedding
+    good = SEL.above(_reward_frame(spark, sf), 5.0)
+    emb = hashed_embedding(good.select("doc_id", "question"), "doc_id", "question").select("doc_id", "embedding")
+    picks = SEL.kcenter_greedy(emb, 16, id_col="doc_id", vec_col="embedding")
+    return good.join(picks, "doc_id").select("doc_id", "pick", "reward_score")
+
+
+@query("indicator_set")
+def indicator_set_q(spark, sf):
+    """I8: length, MTLD and kNN-3 distance (hashed embeddings) per document."""
+    from .pipelines import Pipeline
+    return Pipeline.create("indicator_pipeline", knn_i=3).transform(table(spark, sf, "documents"))
+
+
+@query("score_arrays")
+def score_arrays_q(spark, sf):
+    """Per-dialogue complexity score arrays (K4 default logits)."""
+    from .pipelines import Pipeline
+    out = Pipeline.create("score_pipeline", score_type="complexity").transform(table(spark, sf, "conversations"))
+    return out.select("conv_id", F.size("complexity_scores").cast("long").alias("n_pairs"),
+                      F.aggregate("complexity_scores", F.lit(0.0), lambda s, x: s + x).alias("score_sum"))
