@@ -1,6 +1,7 @@
 """Exact-size seeded sampling, splits and shuffles.
 
-Rows are ordered by a seeded 64-bit hash of their id and numbered with
+Rows are ordered by a seeded MD5 of ``"<id>:<seed>"`` (portable: any
+engine reproduces the same order) and numbered with
 the scalable global rank (range-partitioned sort + per-partition
 offsets), so an exact ``k`` of ``n`` rows is a filter on the rank: no
 ``orderBy().limit(k)`` that would pull ``k`` rows into one task.
@@ -15,7 +16,7 @@ from .rank import global_rank
 
 
 def _hashed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    return df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    return df.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))))
 
 
 def sample_exact(df: DataFrame, id_col: str, size: int | None = None, share: float | None = None,

@@ -494,14 +494,21 @@ def instruction_cleanup_q(spark, sf):
 
 # ----------------------------------------------------------------- sampling
 
-@query("sample_exact")
+@query("sample_exact", """
+WITH r AS (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || ':42'), doc_id) - 1 AS rk
+           FROM documents)
+SELECT doc_id, lang FROM r WHERE rk < (SELECT floor(count(*) * 0.1) FROM documents)""")
 def sample_exact_q(spark, sf):
     """exactly int(n * 0.1) documents, seeded."""
     from ..operators.sample import sample_exact
     return sample_exact(table(spark, sf, "documents"), "doc_id", share=0.1, seed=42).select("doc_id", "lang")
 
 
-@query("train_eval_split")
+@query("train_eval_split", """
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations),
+r AS (SELECT conv_id, row_number() OVER (ORDER BY md5(conv_id::VARCHAR || ':42'), conv_id) - 1 AS rk FROM ids)
+SELECT conv_id, CASE WHEN rk < (SELECT floor(count(*) * 0.98) FROM ids) THEN 'train' ELSE 'eval' END AS split
+FROM r""")
 def train_eval_split_q(spark, sf):
     """98/2 split of the dialogues by seeded permutation."""
     from ..operators.sample import train_eval_split
