@@ -136,3 +136,38 @@ def round_numbers(conv: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return (p.join(base, conv_col)
             .withColumn("round", (F.col("_p") - F.col("_b")).cast("long"))
             .drop("_u", "_p", "_b"))
+
+
+def cut_suffix(c: Column, n: int = 4) -> Column:
+    """Drop the last ``n`` characters (the ``</s>`` end mark)."""
+    return F.substring(c, 1, F.greatest(F.length(c) - F.lit(n), F.lit(0)))
+
+
+def require_messages(df: DataFrame, col: str = "messages") -> tuple[DataFrame, DataFrame]:
+    """Rows with a non-empty message array, and the rejected rest
+    (a missing column is an error, as in the reference)."""
+    if col not in df.columns:
+        raise ValueError(f"input has no {col!r} column")
+    ok = F.coalesce(F.size(col) > 0, F.lit(False))
+    return df.filter(ok), df.filter(~ok)
+
+
+def new_ids(candidates: DataFrame, selected: DataFrame, id_col: str) -> DataFrame:
+    """Candidate ids not already selected (anti join)."""
+    return candidates.join(selected.select(id_col), id_col, "left_anti")
+
+
+def length_sorted(df: DataFrame, text_col: str, partitions: int | None = None) -> DataFrame:
+    """F8: rows range-partitioned and sorted by text length, so batches fed to
+    a model plug-in hold similar lengths."""
+    n = partitions or df.rdd.getNumPartitions()
+    return (df.withColumn("_len", F.length(text_col))
+            .repartitionByRange(n, "_len").sortWithinPartitions("_len").drop("_len"))
+
+
+def observe_counts(df: DataFrame, name: str):
+    """Row count of a stage, collected as a side effect of the next
+    action on the returned frame (no extra job)."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs

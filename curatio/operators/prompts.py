@@ -70,3 +70,28 @@ def check_args(templates: DataFrame, prompt_col: str, args_col: str) -> DataFram
     parsed = T.parse_args(F.col(args_col))
     return templates.select("*", parsed.alias("parsed_args"),
                             (parsed["input_args"] == T.placeholders(F.col(prompt_col))).alias("args_match"))
+
+
+PROMPT_TYPES = ("first_query_prompt", "query_prompt", "answer_prompt", "evaluate_prompt")
+
+
+def bundles_from_typed(typed: DataFrame, keys=("domain_name", "task_name", "cls_name")) -> tuple[DataFrame, DataFrame]:
+    """Typed prompt rows ``(*keys, prompt_type, prompt)`` -> one bundle
+    row per taxonomy key with the four prompt columns (pivot on a fixed
+    value list, so no extra job to find the values).  Keys missing any of
+    the four prompts go to the second (rejected) frame."""
+    keys = list(keys)
+    piv = typed.groupBy(*keys).pivot("prompt_type", list(PROMPT_TYPES)).agg(F.first("prompt"))
+    complete = F.lit(True)
+    for c in PROMPT_TYPES:
+        complete = complete & F.col(c).isNotNull()
+    return piv.filter(complete), piv.filter(~complete)
+
+
+def lookup_bundles(bundles: DataFrame, requests: DataFrame, keys=("domain_name", "task_name", "cls_name")):
+    """C8 join: requests matched to their bundle; unmatched requests returned
+    separately (the reference raises on a missing template)."""
+    keys = list(keys)
+    hit = requests.join(bundles, keys, "inner")
+    miss = requests.join(bundles.select(*keys), keys, "left_anti")
+    return hit, miss

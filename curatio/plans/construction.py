@@ -63,3 +63,33 @@ def construct(bundles: DataFrame, gen=None, query_prompt_for_rounds: bool = True
 def to_raw_dialog(dialogs: DataFrame) -> DataFrame:
     """Stored form ``(message, turn)`` with the round count."""
     return dialogs.select(F.col("messages").alias("message"), (F.size("messages") / 2).cast("int").alias("turn"))
+
+
+def construct_by_taxonomy(typed_prompts: DataFrame, requests: DataFrame, gen=None,
+                          score_threshold: float | None = None):
+    """Requests ``(request_id, domain_name, task_name, cls_name, turn)``
+    -> bundle lookup (C8) -> dialogues (I10) -> SFT rows with inputs,
+    targets, history text and judge score.  ``score_threshold`` (B21, off
+    by default as in the reference) keeps rows scoring at least that much.
+    Returns (rows, requests without a template)."""
+    from ..operators.prompts import bundles_from_typed, lookup_bundles
+    bundles, _ = bundles_from_typed(typed_prompts)
+    hit, miss = lookup_bundles(bundles, requests)
+    d = construct(hit.withColumnRenamed("request_id", "bundle_id"), gen)
+    msgs = F.col("messages")
+    inputs = F.transform(F.filter(msgs, lambda m: m["role"] == "user"), lambda m: m["content"])
+    targets = F.transform(F.filter(msgs, lambda m: m["role"] == "assistant"), lambda m: m["content"])
+    rows = d.select(F.col("bundle_id").alias("request_id"), "q_idx", inputs.alias("inputs"),
+                    targets.alias("targets"), _history(msgs).alias("history"), F.col("rate").alias("score"))
+    if score_threshold is not None:
+        rows = rows.filter(F.col("score") >= F.lit(score_threshold))
+    return rows, miss
+
+
+def answers_for_prompts(filled: DataFrame, id_col: str, prompt_col: str, gen=None) -> DataFrame:
+    """One answer per filled prompt, with the (prompt, answer) history
+    as JSON text (H28)."""
+    a = generate(filled, id_col, prompt_col, "answer", gen, "answer")
+    hist = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col(prompt_col).alias("content")),
+                             F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"))))
+    return a.select(id_col, prompt_col, "answer", hist.alias("history"))

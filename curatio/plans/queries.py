@@ -441,11 +441,8 @@ LEFT JOIN g q ON q.conv_id = p.conv_id AND q.pair_idx = p.pair_idx AND q.side =
 def unigram_ppl_q(spark, sf):
     """D5/D6/D7 + K3: PPL, IFD and reversed IFD per turn pair under the
     add-one unigram model fitted on the whole dialogue corpus."""
-    from ..operators.indicators import pair_perplexities, tokens, unigram_model
-    pairs = DG.turn_pairs(table(spark, sf, "conversations"))
-    corpus = tokens(pairs, [], "instruction", "q").unionByName(tokens(pairs, [], "response", "a"))
-    counts, totals = unigram_model(corpus)
-    return pair_perplexities(pairs, counts, totals)
+    from ..operators.indicators import pair_perplexities
+    return pair_perplexities(DG.turn_pairs(table(spark, sf, "conversations")))
 
 
 # -------------------------------------------------- category map, clean-up
@@ -598,3 +595,26 @@ def score_arrays_q(spark, sf):
     out = Pipeline.create("score_pipeline", score_type="complexity").transform(table(spark, sf, "conversations"))
     return out.select("conv_id", F.size("complexity_scores").cast("long").alias("n_pairs"),
                       F.aggregate("complexity_scores", F.lit(0.0), lambda s, x: s + x).alias("score_sum"))
+
+
+@query("render_chatglm2", "WITH " + SQL_POSITIONS + """
+SELECT conv_id, string_agg(CASE WHEN pos % 2 = 0 THEN '[Round ' || (pos // 2 + 1)::VARCHAR || ']' || chr(10) || chr(10) ELSE '' END
+                           || CASE WHEN pos % 2 = 0 THEN '问' ELSE '答' END || '：' || text || chr(10) || chr(10),
+                           '' ORDER BY pos) AS prompt
+FROM pos GROUP BY conv_id""")
+def render_chatglm2_q(spark, sf):
+    """H18 CHATGLM style (chatglm2: rounds counted from 1)."""
+    from ..operators.render import render
+    return render(table(spark, sf, "conversations"), "chatglm2")
+
+
+@query("role_tagged_text", """
+SELECT conv_id, string_agg(CASE role WHEN 'system' THEN '<|system|>' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10)
+                                     WHEN 'user' THEN '<|user|>' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10)
+                                     ELSE '<|assistant|>' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '</s>' || chr(10) END,
+                           '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""")
+def role_tagged_text_q(spark, sf):
+    """Role-tagged training text of every dialogue (system kept)."""
+    from ..operators.render import role_tagged
+    return role_tagged(table(spark, sf, "conversations"))
