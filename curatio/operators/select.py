@@ -69,10 +69,58 @@ def _round_kernel(tau: float, metric: str):
     return kernel
 
 
+# Remainder bound for the sequential finish: at most this many rows, and
+# rows^2 * dim below REMAINDER_MAX_WORK (the work of one task).
+REMAINDER_MAX_ROWS = 4096
+REMAINDER_MAX_WORK = 2e10
+
+
+def _sequential_kernel(tau: float, metric: str):
+    """Exact sequential scan over one bounded group: rows with status N are
+    already kept; undecided rows are scanned batch by batch in rank order
+    (dropped if similar to a kept row or to an earlier row of their batch)."""
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rk")
+        seeds = pdf[pdf["status"] == _N]
+        todo = pdf[pdf["status"] == _U]
+        out_ids = [seeds["id"].to_numpy()]
+        out_st = [np.full(len(seeds), _K)]
+        if len(todo):
+            x = stack(todo["v"])
+            dim = x.shape[1]
+            kept = np.empty((len(seeds) + len(todo), dim))
+            nk = 0
+            if len(seeds):
+                kept[:len(seeds)] = stack(seeds["v"])
+                nk = len(seeds)
+            batches = todo["batch"].to_numpy()
+            status = np.full(len(todo), _D)
+            starts = np.flatnonzero(np.r_[True, batches[1:] != batches[:-1]])
+            ends = np.r_[starts[1:], len(todo)]
+            for a, b in zip(starts, ends):
+                blk = x[a:b]
+                bad = np.zeros(b - a, dtype=bool)
+                if nk:
+                    bad |= (similarity(blk, kept[:nk], metric) > tau).any(1)
+                if b - a > 1:
+                    bad |= np.tril(similarity(blk, blk, metric) > tau, -1).any(1)
+                keep = ~bad
+                status[a:b][keep] = _K
+                kk = int(keep.sum())
+                kept[nk:nk + kk] = blk[keep]
+                nk += kk
+            out_ids.append(todo["id"].to_numpy())
+            out_st.append(status)
+        return pd.DataFrame({"id": np.concatenate(out_ids), "status": np.concatenate(out_st).astype("int32")})
+
+    return kernel
+
+
 def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_size: int = 1,
                    id_col: str = "id", score_col: str = "final_score", vec_col: str = "embedding",
                    metric: str = "cosine", block_rows: int = DEFAULT_BLOCK_ROWS,
-                   max_rounds: int = 10_000, checkpoint_every: int = 3) -> DataFrame:
+                   max_rounds: int = 10_000, checkpoint_every: int = 3,
+                   remainder_rows: int = REMAINDER_MAX_ROWS, trace: list | None = None) -> DataFrame:
     """F2/F3 score-first diversity filter, as rounds of a parallel greedy.
 
     Sequential rule: scan rows by ``score desc, id``; row 0 is kept, each
@@ -88,6 +136,12 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     earlier rows, so the loop stops as soon as ``data_size`` rows before the
     first undecided row are kept.  Result equals the sequential scan.
 
+    Tail: every kept row has been compared with every undecided row in the
+    round after it was kept, so once the undecided plus newly kept rows fit
+    a checked bound (``remainder_rows`` rows and rows^2*dim work) they are
+    finished by one exact sequential scan in a single group.  Small inputs
+    thus take one pass; large ones take rounds until the tail fits.
+
     Output: ``id_col, score_col, rk`` (priority position) and ``sel_rank``
     (0-based order of selection).
     """
@@ -105,11 +159,27 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
 
     from pyspark import StorageLevel
 
+    import time as _time
+
     cached = []
+    t_prev = _time.perf_counter()
     for rnd in range(max_rounds):
         active = state.filter(F.col("status").isin(_U, _N)).join(vecs, "id")
         if n_active is None:
-            n_active = active.count()
+            first = active.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+            n_active, dim = first["n"], first["d"] or 1
+        if n_active <= remainder_rows and float(n_active) ** 2 * dim <= REMAINDER_MAX_WORK:
+            fin = (active.select("id", "rk", "batch", "status", "v").withColumn("_g", F.lit(0))
+                   .groupBy("_g").applyInPandas(_sequential_kernel(tau, metric), "id long, status int")
+                   .withColumnRenamed("status", "_fin"))
+            state = cut_lineage(state.join(fin, "id", "left")
+                                .select("id", "score", "rk", "batch",
+                                        F.coalesce(F.col("_fin"), F.col("status")).alias("status")))
+            n_undecided = 0
+            if trace is not None:
+                trace.append({"round": rnd, "active": n_active, "undecided": 0, "new_kept": None,
+                              "sec": round(_time.perf_counter() - t_prev, 3), "sequential_tail": True})
+            break
         src = to_block_pairs(active.select("id", "rk", "batch", "status", "v"), "id",
                              n_blocks_for(n_active, block_rows))
         fl = (src.groupBy("_pair")
@@ -135,6 +205,11 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
                           F.sum((st == _N).cast("long")).alias("n"),
                           F.sum(st.isin(_N, _K).cast("long")).alias("kept")).first()
         n_undecided, first_undecided, n_new = stats["u"] or 0, stats["min_u"], stats["n"] or 0
+        if trace is not None:
+            now = _time.perf_counter()
+            trace.append({"round": rnd, "active": n_active, "undecided": n_undecided, "new_kept": n_new,
+                          "sec": round(now - t_prev, 3)})
+            t_prev = now
         if n_undecided == 0:
             break
         if data_size > -1 and (stats["kept"] or 0) >= data_size:

@@ -27,18 +27,21 @@ def sel_ids(df):
     return [r.id for r in df.orderBy("sel_rank").collect()]
 
 
-def test_f2_batch1_keeps_rows_1_and_3(chain):
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9)) == [1, 3]
+@pytest.mark.parametrize("rem", [0, 4096])
+def test_f2_batch1_keeps_rows_1_and_3(chain, rem):
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, remainder_rows=rem)) == [1, 3]
 
 
-def test_f3_batch2_drops_row_3_with_its_batch_mate(chain):
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, batch_size=2)) == [1]
+@pytest.mark.parametrize("rem", [0, 4096])
+def test_f3_batch2_drops_row_3_with_its_batch_mate(chain, rem):
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, batch_size=2, remainder_rows=rem)) == [1]
 
 
-def test_f2_data_size(chain):
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=0)) == []
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=1)) == [1]
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=-1)) == [1, 3]
+@pytest.mark.parametrize("rem", [0, 4096])
+def test_f2_data_size(chain, rem):
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=0, remainder_rows=rem)) == []
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=1, remainder_rows=rem)) == [1]
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=-1, remainder_rows=rem)) == [1, 3]
 
 
 def _sequential(ids, scores, m, tau, batch):
@@ -54,8 +57,9 @@ def _sequential(ids, scores, m, tau, batch):
     return [ids[i] for i in kept]
 
 
-@pytest.mark.parametrize("tau,batch,block", [(0.2, 1, 2048), (0.3, 3, 2048), (0.25, 1, 64)])
-def test_greedy_equals_sequential_scan(spark, tau, batch, block):
+@pytest.mark.parametrize("tau,batch,block,rem", [(0.2, 1, 2048, 0), (0.3, 3, 2048, 0), (0.25, 1, 64, 0),
+                                                  (0.2, 1, 2048, 4096), (0.3, 3, 64, 4096), (0.2, 2, 64, 300)])
+def test_greedy_equals_sequential_scan(spark, tau, batch, block, rem):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     rows = emb.select("vec_id", "embedding").collect()
@@ -64,7 +68,10 @@ def test_greedy_equals_sequential_scan(spark, tau, batch, block):
     ids = [r.vec_id for r in rows]
     m = np.array([r.embedding for r in rows], dtype=float)
     df = vecs(spark, [(i, float(s), [float(v) for v in r.embedding]) for i, s, r in zip(ids, scores, rows)])
-    got = sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, block_rows=block))
+    trace = []
+    got = sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, block_rows=block, remainder_rows=rem, trace=trace))
+    if rem == 300:      # rounds first, then the sequential tail
+        assert len(trace) > 1 and trace[-1].get("sequential_tail")
     assert got == _sequential(ids, scores, m, tau, batch)
 
 
@@ -72,7 +79,7 @@ def test_greedy_result_has_no_close_pair_and_is_maximal(spark):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.lit(1.0).alias("final_score"), "embedding")
-    kept = set(sel_ids(SEL.greedy_diverse(emb, tau=0.3, block_rows=100)))
+    kept = set(sel_ids(SEL.greedy_diverse(emb, tau=0.3, block_rows=100, remainder_rows=0)))
     pairs = SJ.similar_pairs(emb, 0.3, block_rows=100).collect()
     assert not any(p.id_a in kept and p.id_b in kept for p in pairs)
     nbrs = {}
