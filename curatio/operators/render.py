@@ -313,3 +313,15 @@ def label_counts(judged: DataFrame, json_col: str, key: str) -> DataFrame:
     """Counts per label parsed from rating outputs (``key`` of the JSON)."""
     lab = F.get_json_object(F.col(json_col), f"$.{key}")
     return judged.groupBy(lab.alias(key)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def append_message(messages, role: str, content) -> "F.Column":
+    """A new message at the end of a dialogue."""
+    return F.concat(messages, F.array(F.struct(F.lit(role).alias("role"), content.alias("content"))))
+
+
+def replace_last_message(messages, content) -> "F.Column":
+    """The content of the last message replaced (empty stays empty)."""
+    n = F.size(messages)
+    last = F.struct(F.element_at(messages, -1)["role"].alias("role"), content.alias("content"))
+    return F.when(n > 0, F.concat(F.slice(messages, 1, n - 1), F.array(last))).otherwise(messages)

@@ -79,3 +79,15 @@ def exists_ci(df: DataFrame, probes: DataFrame, col: str) -> DataFrame:
     """B14 batch form: probes whose text equals some row case-insensitively."""
     t = df.select(F.lower(F.col(col)).alias("_k")).distinct()
     return probes.join(t, F.lower(probes[col]) == t["_k"], "left_semi")
+
+
+def with_audit(df: DataFrame, user: str | None = None, id_col: str = "id") -> DataFrame:
+    """Audit columns on new rows: ``create_time``/``update_time`` now
+    (UTC session time zone), ``create_by``/``update_by``; an ``id`` is added
+    when missing (unique, not dense)."""
+    out = df
+    if id_col not in out.columns:
+        out = out.withColumn(id_col, F.monotonically_increasing_id())
+    now = F.current_timestamp()
+    return (out.withColumn("create_time", now).withColumn("update_time", now)
+            .withColumn("create_by", F.lit(user).cast("string")).withColumn("update_by", F.lit(user).cast("string")))

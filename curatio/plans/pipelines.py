@@ -117,3 +117,33 @@ class IndicatorPipeline(Pipeline):
                            "embedding")
         knn = knn_distance(base, i, id_col=id_col, vec_col="embedding")
         return base.drop("embedding").join(knn, id_col, "left")
+
+
+@register("staged_selection")
+class StagedSelection(Pipeline):
+    """Quality threshold (B3) -> k-center diversity sample (F7) ->
+    generation on the sample (K1) -> reward of the generation (K5) ->
+    necessity threshold (B4).  ``triplets(id, instruction, input, output,
+    reward_score)``; ``reward_fn(df) -> df + necessity_reward``."""
+
+    def transform(self, triplets: DataFrame, reward_fn=None, gen=None) -> DataFrame:
+        from ..functions.text import strip
+        from ..operators.plugins import generate, hashed_embedding
+        from ..operators.render import instruction_prompt
+        from ..operators.select import above, below, kcenter_greedy
+        p = self.params
+        good = above(triplets, p.get("quality_threshold", 0.0))
+        emb = hashed_embedding(good.select("id", "instruction"), "id", "instruction", p.get("dim", 64))
+        picks = kcenter_greedy(emb, p.get("k", 100), id_col="id", vec_col="embedding")
+        sample = good.join(picks, "id")
+        q = F.when(F.coalesce(F.col("input"), F.lit("")) == "", F.col("instruction")).otherwise(
+            F.concat_ws("\n", "instruction", "input"))                       # B5 (necessity joins always)
+        g = generate(sample.withColumn("_prompt", instruction_prompt(q)), "id", "_prompt", "generated", gen)
+        if reward_fn is None:       # default: overlap of generated and reference output words
+            ref = F.array_distinct(F.split(strip(F.col("output")), r"\s+"))
+            hyp = F.array_distinct(F.split(strip(F.col("generated")), r"\s+"))
+            g = g.withColumn("necessity_reward",
+                             F.size(F.array_intersect(ref, hyp)) / F.greatest(F.size(ref), F.lit(1)))
+        else:
+            g = reward_fn(g)
+        return below(g, p.get("necessity_threshold", 0.5), "necessity_reward").drop("_prompt")

@@ -618,3 +618,25 @@ def role_tagged_text_q(spark, sf):
     """Role-tagged training text of every dialogue (system kept)."""
     from ..operators.render import role_tagged
     return role_tagged(table(spark, sf, "conversations"))
+
+
+
+# ---------------------------------------------------------------- projection
+
+def _projection_sql() -> str:
+    from ..operators.projection import sign_sql
+    return f"""
+WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+j AS (SELECT unnest(range(16)) AS j)
+SELECT vec_id, j::BIGINT AS j, sum(v * {sign_sql('i', 'j', 7)}) / 4.0 AS value
+FROM x, j GROUP BY vec_id, j"""
+
+
+@query("random_projection", _projection_sql())
+def random_projection_q(spark, sf):
+    """Embeddings projected to 16 components (Rademacher, seed 7),
+    reported one component per row."""
+    from ..operators.projection import project
+    p = project(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 16, seed=7)
+    return p.select("vec_id", F.posexplode("proj").alias("j", "value")).select(
+        "vec_id", F.col("j").cast("long").alias("j"), "value")
