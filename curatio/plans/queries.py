@@ -588,7 +588,12 @@ def indicator_set_q(spark, sf):
     return Pipeline.create("indicator_pipeline", knn_i=3).transform(table(spark, sf, "documents"))
 
 
-@query("score_arrays")
+@query("score_arrays", "WITH " + SQL_PAIRS + """,
+b AS (SELECT conv_id, pair_idx, least(6, greatest(1, ceil(len(regexp_extract_all(instruction, '\\S+')) / 20.0))) AS b FROM pairs),
+k AS (SELECT unnest(range(1, 7)) AS k),
+e AS (SELECT conv_id, pair_idx, sum(k * exp(-abs(k - b))) / sum(exp(-abs(k - b))) AS s FROM b, k GROUP BY conv_id, pair_idx)
+SELECT c.conv_id, count(e.s)::BIGINT AS n_pairs, coalesce(sum(e.s), 0.0) AS score_sum
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e USING (conv_id) GROUP BY c.conv_id""")
 def score_arrays_q(spark, sf):
     """Per-dialogue complexity score arrays (K4 default logits)."""
     from .pipelines import Pipeline
