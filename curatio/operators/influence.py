@@ -20,9 +20,9 @@ BROADCAST_MAX_ROWS = 4096
 
 
 def normalised_weights(weights: DataFrame, ckpt_col: str = "ckpt", w_col: str = "weight") -> DataFrame:
-    """Checkpoint weights scaled to sum 1 (a one-row total joined back)."""
-    tot = weights.agg(F.sum(w_col).alias("_t"))
-    return weights.crossJoin(F.broadcast(tot)).select(ckpt_col, (F.col(w_col) / F.col("_t")).alias(w_col))
+    """Checkpoint weights scaled to sum 1 (the total is a scalar subquery)."""
+    tot = weights.agg(F.sum(w_col)).scalar()
+    return weights.select(ckpt_col, (F.col(w_col) / tot).alias(w_col))
 
 
 def subtask_means(valid: DataFrame, vec_col: str = "vec") -> DataFrame:

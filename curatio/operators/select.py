@@ -27,14 +27,13 @@ def below(df: DataFrame, t: float, col: str = "reward_score") -> DataFrame:
 def score_histogram(df: DataFrame, col: str) -> DataFrame:
     """Rows per ``(floor, ceil)`` bucket and their share of all rows.
 
-    The grand total comes from a second tiny aggregate (one row) joined
-    back, not from an unpartitioned window."""
+    The grand total is a scalar subquery (a partial count evaluated once),
+    not an unpartitioned window or a join."""
     b = (df.filter(F.col(col).isNotNull())
          .groupBy(F.floor(col).cast("long").alias("lower"), F.ceil(col).cast("long").alias("upper"))
          .agg(F.count(F.lit(1)).alias("n")))
-    total = df.filter(F.col(col).isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
-    return (b.crossJoin(F.broadcast(total))  # one-row side
-            .select("lower", "upper", "n", (F.col("n") / F.col("_total")).alias("share")))
+    total = df.filter(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    return b.select("lower", "upper", "n", (F.col("n") / total).alias("share"))
 
 
 # ------------------------------------------------------ greedy diverse filter
