@@ -234,6 +234,50 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
 
 # ------------------------------------------------------------ k-center greedy
 
+# Inputs at most this large run all picks in one bounded group.
+KCENTER_LOCAL_MAX_ROWS = 65536
+KCENTER_LOCAL_MAX_CELLS = 10_000_000      # rows * dim
+
+
+def _fold_distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distance summed component by component from 0.0, the same
+    order as the Spark expression (``aggregate(zip_with(..))``), so both
+    paths produce identical doubles and identical tie-breaks."""
+    acc = np.zeros(x.shape[0])
+    for d in range(x.shape[1]):
+        diff = x[:, d] - c[d]
+        acc = acc + diff * diff
+    return np.sqrt(acc)
+
+
+def _kcenter_local_kernel(n_picks: int, seeds, seed_id):
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        x = stack(pdf["v"])
+        pos = {int(i): k for k, i in enumerate(ids)}
+        min_d = np.full(len(ids), np.nan)
+        picks: list[int] = []
+        if seeds:
+            picks = [int(p) for p in seeds]
+            for p in picks:
+                d = _fold_distance(x, x[pos[p]])
+                min_d = np.where(np.isnan(min_d), d, np.minimum(min_d, d))
+        for _ in range(n_picks):
+            if not picks:
+                nxt = int(seed_id if seed_id is not None else ids[0])
+            else:
+                m = np.nanmax(min_d)
+                if not m > 0.0:
+                    break
+                nxt = int(ids[int(np.nanargmax(min_d))])     # first maximum = lowest id
+            d = _fold_distance(x, x[pos[nxt]])
+            min_d = np.where(np.isnan(min_d), d, np.minimum(min_d, d))
+            picks.append(nxt)
+        return pd.DataFrame({"id": np.array(picks, dtype=np.int64), "pick": np.arange(len(picks), dtype=np.int64)})
+
+    return kernel
+
 def kcenter_greedy(df: DataFrame, n_picks: int, id_col: str = "id", vec_col: str = "embedding",
                    seeds=None, seed_id: int | None = None, checkpoint_every: int = 4) -> DataFrame:
     """F4 k-center greedy (Euclidean).
@@ -251,8 +295,15 @@ def kcenter_greedy(df: DataFrame, n_picks: int, id_col: str = "id", vec_col: str
     from ..functions.vectors import euclidean
 
     spark = df.sparkSession
-    cur = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    cur = cut_lineage(cur.withColumn("min_dist", F.lit(None).cast("double")))
+    src = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    size = src.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n_rows, dim = size["n"], size["d"] or 1
+    if n_rows <= KCENTER_LOCAL_MAX_ROWS and n_rows * dim <= KCENTER_LOCAL_MAX_CELLS:
+        # checked bound: every pick in one group, same arithmetic and ties
+        out = (src.withColumn("_g", F.lit(0)).groupBy("_g")
+               .applyInPandas(_kcenter_local_kernel(n_picks, seeds, seed_id), "id long, pick long"))
+        return out.select(F.col("id").alias(id_col), "pick")
+    cur = cut_lineage(src.withColumn("min_dist", F.lit(None).cast("double")))
     picks: list[int] = []
     if seeds:
         picks = list(seeds)
@@ -265,6 +316,9 @@ def kcenter_greedy(df: DataFrame, n_picks: int, id_col: str = "id", vec_col: str
         if seed_id is None:
             seed_id = cur.agg(F.min("id")).first()[0]
         todo = n_picks
+    from pyspark import StorageLevel
+
+    held = []
     for r in range(todo):
         if not picks:
             nxt = seed_id
@@ -273,12 +327,26 @@ def kcenter_greedy(df: DataFrame, n_picks: int, id_col: str = "id", vec_col: str
             # farthest row and its vector in one partial aggregate
             best = cur.agg(F.max_by(F.struct("id", "min_dist", "v"),
                                     F.struct(F.col("min_dist"), -F.col("id"))).alias("b")).first()["b"]
+            # ``cur`` is materialised now: older cached steps can go
+            for h in held[:-1]:
+                h.unpersist(blocking=False)
+            held = held[-1:]
             if best is None or best["min_dist"] is None or best["min_dist"] <= 0.0:
                 break
             nxt, centre = best["id"], best["v"]
         cur = cur.withColumn("min_dist", F.least(F.col("min_dist"), euclidean(F.col("v"), F.lit(centre))))
         picks.append(nxt)
         if (r + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-    rows = [(int(p), i) for i, p in enumerate(picks)]
-    return spark.createDataFrame(rows, f"{id_col} long, pick long")
+            cur = cut_lineage(cur)          # bounded lineage in the shared folder
+            for h in held:
+                h.unpersist(blocking=False)
+            held = []
+        else:
+            cur = cur.persist(StorageLevel.MEMORY_AND_DISK)   # the next pick reads it once
+            held.append(cur)
+    for h in held:
+        h.unpersist(blocking=False)
+    order = spark.createDataFrame([(int(p), i) for i, p in enumerate(picks)], "id long, pick long")
+    # the result is the picked rows of the input (the pick list is n_picks rows)
+    return (df.select(F.col(id_col).alias("id")).join(F.broadcast(order), "id")
+            .select(F.col("id").alias(id_col), "pick"))

@@ -112,11 +112,12 @@ class IndicatorPipeline(Pipeline):
         from ..operators.plugins import hashed_embedding
         from ..operators.simjoin import knn_distance
         i = self.params.get("knn_i", 3)
-        base = hashed_embedding(docs.select(id_col, text_col), id_col, text_col, self.params.get("dim", 64))
-        base = base.select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"),
-                           "embedding")
-        knn = knn_distance(base, i, id_col=id_col, vec_col="embedding")
-        return base.drop("embedding").join(knn, id_col, "left")
+        emb = hashed_embedding(docs.select(id_col, text_col), id_col, text_col, self.params.get("dim", 64))
+        # row count from the source scan (parquet metadata), not from the embeddings
+        knn = knn_distance(emb.select(id_col, "embedding"), i, id_col=id_col, vec_col="embedding",
+                           n_rows=docs.count())
+        main = docs.select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
+        return main.join(knn, id_col, "left")
 
 
 @register("staged_selection")

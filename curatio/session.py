@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "curatio",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Session with the settings the operators are tuned for.
 
     On a cluster the caller's session (and its spark-defaults) wins: this
@@ -27,6 +27,8 @@ def get_session(master: str | None = None, app: str = "curatio",
          .config("spark.driver.memory", os.environ.get("CURATIO_DRIVER_MEM", "16g")))
     if shuffle_partitions is not None:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra_conf or {}).items():
+        b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -11,7 +11,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from curatio.session import get_session
-    s = get_session("local[4]", app="curatio-tests", shuffle_partitions=4)
+    wh = tempfile.mkdtemp(prefix="curatio-wh-", dir="/tmp")
+    s = get_session("local[4]", app="curatio-tests", shuffle_partitions=4,
+                    extra_conf={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()

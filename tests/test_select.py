@@ -131,3 +131,16 @@ def test_d1_histogram_and_thresholds(spark):
     t = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "reward_score double")
     assert [r.reward_score for r in SEL.above(t, 2.0).collect()] == [3.0]
     assert [r.reward_score for r in SEL.below(t, 2.0).collect()] == [1.0]
+
+
+def test_kcenter_local_path_equals_distributed(spark, monkeypatch):
+    from conftest import SF_SMALL
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    local = [r.vec_id for r in SEL.kcenter_greedy(emb, 12, "vec_id").orderBy("pick").collect()]
+    monkeypatch.setattr(SEL, "KCENTER_LOCAL_MAX_ROWS", 0)
+    dist = [r.vec_id for r in SEL.kcenter_greedy(emb, 12, "vec_id").orderBy("pick").collect()]
+    assert local == dist and len(local) == 12
+    seeded_local = SEL.kcenter_greedy(emb, 3, "vec_id", seeds=[5, 9])
+    monkeypatch.setattr(SEL, "KCENTER_LOCAL_MAX_ROWS", 10**9)
+    seeded_dist = SEL.kcenter_greedy(emb, 3, "vec_id", seeds=[5, 9])
+    assert [r.vec_id for r in seeded_local.orderBy("pick").collect()] == [r.vec_id for r in seeded_dist.orderBy("pick").collect()]
