@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .rank import global_rank
-from .simjoin import DEFAULT_BLOCK_ROWS, n_blocks_for, similarity, split_sides, stack, to_block_pairs
+from .simjoin import DEFAULT_BLOCK_ROWS, n_blocks_for, sim_chunks, similarity, split_sides, stack, to_block_pairs
 
 
 # ---------------------------------------------------------------- thresholds
@@ -41,28 +41,34 @@ def score_histogram(df: DataFrame, col: str) -> DataFrame:
 _U, _N, _K, _D = 0, 1, 2, 3   # undecided, newly kept, kept, dropped
 
 
-def _round_kernel(tau: float, metric: str):
+def _round_kernel(tau: float, metric: str, chunk_rows: int | None = None):
+    """Per-row flags for one block pair, similarities computed in chunks of
+    left rows: ``kn`` similar to a newly kept row, ``hu`` similar to an
+    undecided row of an earlier batch, ``se`` similar to an earlier row of
+    the same batch."""
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, diag = split_sides(pdf)
-        out_cols = {"id": [], "kn": [], "hu": [], "se": []}
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame(out_cols)
-        hit = similarity(stack(left["v"]), stack(right["v"]), metric) > tau
-
-        def flags(h, me, other):
-            st = other["status"].to_numpy()
-            ob = other["batch"].to_numpy()
-            orank = other["rk"].to_numpy()
-            mb = me["batch"].to_numpy()[:, None]
-            mr = me["rk"].to_numpy()[:, None]
-            kn = (h & (st == _N)[None, :]).any(1)
-            hu = (h & (st == _U)[None, :] & (ob[None, :] < mb)).any(1)
-            se = (h & (ob[None, :] == mb) & (orank[None, :] < mr)).any(1)
-            return pd.DataFrame({"id": me["id"].to_numpy(), "kn": kn, "hu": hu, "se": se})
-
-        parts = [flags(hit, left, right)]
+            return pd.DataFrame({"id": [], "kn": [], "hu": [], "se": []})
+        ls, lb, lr = left["status"].to_numpy(), left["batch"].to_numpy(), left["rk"].to_numpy()
+        rs, rbt, rr = right["status"].to_numpy(), right["batch"].to_numpy(), right["rk"].to_numpy()
+        L = {f: np.zeros(len(left), dtype=bool) for f in ("kn", "hu", "se")}
+        R = {f: np.zeros(len(right), dtype=bool) for f in ("kn", "hu", "se")}
+        for i0, i1, s in sim_chunks(stack(left["v"]), stack(right["v"]), metric, chunk_rows):
+            h = s > tau
+            cb, cr, cs = lb[i0:i1, None], lr[i0:i1, None], ls[i0:i1, None]
+            # flags of the left rows (every right row seen in this chunk)
+            L["kn"][i0:i1] = (h & (rs == _N)[None, :]).any(1)
+            L["hu"][i0:i1] = (h & (rs == _U)[None, :] & (rbt[None, :] < cb)).any(1)
+            L["se"][i0:i1] = (h & (rbt[None, :] == cb) & (rr[None, :] < cr)).any(1)
+            if not diag:
+                # flags of the right rows, accumulated over chunks
+                R["kn"] |= (h & (cs == _N)).any(0)
+                R["hu"] |= (h & (cs == _U) & (cb < rbt[None, :])).any(0)
+                R["se"] |= (h & (cb == rbt[None, :]) & (cr < rr[None, :])).any(0)
+        parts = [pd.DataFrame({"id": left["id"].to_numpy(), **L})]
         if not diag:
-            parts.append(flags(hit.T, right, left))
+            parts.append(pd.DataFrame({"id": right["id"].to_numpy(), **R}))
         return pd.concat(parts, ignore_index=True)
 
     return kernel
@@ -117,9 +123,10 @@ def _sequential_kernel(tau: float, metric: str):
 
 def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_size: int = 1,
                    id_col: str = "id", score_col: str = "final_score", vec_col: str = "embedding",
-                   metric: str = "cosine", block_rows: int = DEFAULT_BLOCK_ROWS,
+                   metric: str = "cosine", block_rows: int | None = DEFAULT_BLOCK_ROWS,
                    max_rounds: int = 10_000, checkpoint_every: int = 3,
-                   remainder_rows: int = REMAINDER_MAX_ROWS, trace: list | None = None) -> DataFrame:
+                   remainder_rows: int = REMAINDER_MAX_ROWS, trace: list | None = None,
+                   chunk_rows: int | None = None) -> DataFrame:
     """F2/F3 score-first diversity filter, as rounds of a parallel greedy.
 
     Sequential rule: scan rows by ``score desc, id``; row 0 is kept, each
@@ -154,7 +161,7 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     vecs = ranked.select("id", "v")
     state = ranked.select("id", "score", "rk", "batch", F.lit(_U).alias("status"))
     n_active = None
-    kernel = _round_kernel(tau, metric)
+    kernel = _round_kernel(tau, metric, chunk_rows)
 
     from pyspark import StorageLevel
 
@@ -180,7 +187,7 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
                               "sec": round(_time.perf_counter() - t_prev, 3), "sequential_tail": True})
             break
         src = to_block_pairs(active.select("id", "rk", "batch", "status", "v"), "id",
-                             n_blocks_for(n_active, block_rows))
+                             n_blocks_for(n_active, block_rows, dim))
         fl = (src.groupBy("_pair")
               .applyInPandas(kernel, "id long, kn boolean, hu boolean, se boolean")
               .groupBy("id").agg(F.max("kn").alias("kn"), F.max("hu").alias("hu"), F.max("se").alias("se")))

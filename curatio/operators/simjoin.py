@@ -7,6 +7,12 @@ shuffles on the pair id and one Arrow batch per pair is multiplied in
 numpy.  A kernel emits only what the operator needs (hits over a
 threshold, per-row flags, per-row top-k), never the dense product, so the
 shuffle output stays sparse.  Group size is bounded by ``2 * block_rows``.
+
+Replication (each row is shuffled ``B`` times) is the main cost, so blocks
+are as large as memory allows: ``auto_block_rows`` sizes them from the
+vector dimension (a block of vectors at most ~64 MB, 512..8192 rows), and
+kernels compute similarities in chunks of ``CHUNK_ROWS`` left rows so the
+working matrix stays ``CHUNK_ROWS x block_rows`` whatever the block size.
 """
 
 from __future__ import annotations
@@ -18,11 +24,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = None       # None: sized from the dimension
+CHUNK_ROWS = 1024
+BLOCK_BYTES = 1 << 26
+
+
+def auto_block_rows(dim: int) -> int:
+    return int(min(8192, max(512, BLOCK_BYTES // (8 * max(1, dim)))))
+
 
+def n_blocks_for(n_rows: int, block_rows: int | None = DEFAULT_BLOCK_ROWS, dim: int = 64) -> int:
+    br = block_rows or auto_block_rows(dim)
+    return max(1, math.ceil(n_rows / max(1, br)))
 
-def n_blocks_for(n_rows: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
-    return max(1, math.ceil(n_rows / max(1, block_rows)))
+
+def size_of(df: DataFrame, vec_col: str) -> tuple[int, int]:
+    """(rows, dimension) in one aggregate."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    return int(r["n"]), int(r["d"] or 1)
+
+
+def sim_chunks(a: np.ndarray, b: np.ndarray, metric: str, chunk: int | None = None):
+    """(start, end, similarity of a[start:end] to all of b), chunk by chunk."""
+    chunk = chunk or CHUNK_ROWS
+    if metric == "cosine":
+        b = l2_normalise(b)
+        for i in range(0, a.shape[0], chunk):
+            yield i, min(i + chunk, a.shape[0]), l2_normalise(a[i:i + chunk]) @ b.T
+    else:
+        for i in range(0, a.shape[0], chunk):
+            yield i, min(i + chunk, a.shape[0]), similarity(a[i:i + chunk], b, metric)
 
 
 def to_block_pairs(df: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
@@ -78,35 +109,41 @@ def split_sides(pdf: pd.DataFrame):
 
 
 def similar_pairs(df: DataFrame, tau: float, id_col: str = "id", vec_col: str = "embedding",
-                  metric: str = "cosine", block_rows: int = DEFAULT_BLOCK_ROWS,
-                  n_rows: int | None = None) -> DataFrame:
+                  metric: str = "cosine", block_rows: int | None = DEFAULT_BLOCK_ROWS,
+                  n_rows: int | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Every unordered pair ``(id_a < id_b)`` with similarity ``> tau``.
 
     The output is the answer (its size is the number of hits); NaN
     similarities (zero vectors) are never hits."""
-    n = n_rows if n_rows is not None else df.count()
+    n, dim = (n_rows, 64) if n_rows is not None else size_of(df, vec_col)
     src = to_block_pairs(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id",
-                         n_blocks_for(n, block_rows))
+                         n_blocks_for(n, block_rows, dim))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, diag = split_sides(pdf)
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id_a": [], "id_b": [], "sim": []})
-        s = similarity(stack(left["v"]), stack(right["v"]), metric)
         la = left["id"].to_numpy()
         rb = right["id"].to_numpy()
-        hit = s > tau
-        if diag:
-            hit &= la[:, None] < rb[None, :]
-        i, j = np.nonzero(hit)
-        a, b = la[i], rb[j]
-        return pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "sim": s[i, j]})
+        out_a, out_b, out_s = [], [], []
+        for i0, i1, s in sim_chunks(stack(left["v"]), stack(right["v"]), metric, chunk_rows):
+            hit = s > tau
+            if diag:
+                hit &= la[i0:i1, None] < rb[None, :]
+            i, j = np.nonzero(hit)
+            a, b = la[i0:i1][i], rb[j]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+            out_s.append(s[i, j])
+        return pd.DataFrame({"id_a": np.concatenate(out_a), "id_b": np.concatenate(out_b),
+                             "sim": np.concatenate(out_s)})
 
     return src.groupBy("_pair").applyInPandas(kernel, "id_a long, id_b long, sim double")
 
 
 def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embedding",
-                 block_rows: int = DEFAULT_BLOCK_ROWS, n_rows: int | None = None) -> DataFrame:
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
+                 chunk_rows: int | None = None) -> DataFrame:
     """Euclidean distance from each row to its i-th nearest neighbour,
     the row itself being the 0-th (so ``i = 0`` gives 0).
 
@@ -116,29 +153,35 @@ def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embe
     from pyspark.sql import Window
 
     k = i + 1
-    n = n_rows if n_rows is not None else df.count()
+    n, dim = (n_rows, 64) if n_rows is not None else size_of(df, vec_col)
     src = to_block_pairs(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id",
-                         n_blocks_for(n, block_rows))
+                         n_blocks_for(n, block_rows, dim))
 
-    def topk(ids, d):
+    def smallest(d):
         kk = min(k, d.shape[1])
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-        vals = np.take_along_axis(d, part, axis=1)
-        return np.repeat(ids, kk), vals.ravel()
+        return np.take_along_axis(d, np.argpartition(d, kk - 1, axis=1)[:, :kk], axis=1)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, diag = split_sides(pdf)
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"id": [], "dist": []})
-        d = similarity(stack(left["v"]), stack(right["v"]), "euclidean")
-        if diag:
-            np.fill_diagonal(d, 0.0)
-            ids, vals = topk(left["id"].to_numpy(), d)
-        else:
-            i1, v1 = topk(left["id"].to_numpy(), d)
-            i2, v2 = topk(right["id"].to_numpy(), d.T)
-            ids, vals = np.concatenate([i1, i2]), np.concatenate([v1, v2])
-        return pd.DataFrame({"id": ids, "dist": vals})
+        lv, rv = stack(left["v"]), stack(right["v"])
+        left_best = []
+        right_best = None            # running k smallest per right row
+        for i0, i1, d in sim_chunks(lv, rv, "euclidean", chunk_rows):
+            if diag:
+                d[np.arange(i1 - i0), np.arange(i0, i1)] = 0.0
+            left_best.append(smallest(d))
+            if not diag:
+                cand = smallest(d.T)
+                right_best = cand if right_best is None else smallest(np.hstack([right_best, cand]))
+        lb = np.vstack(left_best)
+        ids = [np.repeat(left["id"].to_numpy(), lb.shape[1])]
+        vals = [lb.ravel()]
+        if right_best is not None:
+            ids.append(np.repeat(right["id"].to_numpy(), right_best.shape[1]))
+            vals.append(right_best.ravel())
+        return pd.DataFrame({"id": np.concatenate(ids), "dist": np.concatenate(vals)})
 
     cand = src.groupBy("_pair").applyInPandas(kernel, "id long, dist double")
     w = Window.partitionBy("id").orderBy("dist")
@@ -149,7 +192,7 @@ def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embe
 
 def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: float | None = None,
                    q_id: str = "query_id", d_id: str = "doc_id", vec_col: str = "embedding",
-                   block_rows: int = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
+                   block_rows: int | None = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
                    n_docs: int | None = None) -> DataFrame:
     """C11: for every query vector the ``k`` nearest documents by cosine
     distance (``1 - cos``), optionally only those with distance ``<= max_distance``.
@@ -161,9 +204,9 @@ def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: fl
     Output: ``query_id, doc_id, rank (1-based), distance``."""
     from pyspark.sql import Window
 
-    nq = n_queries if n_queries is not None else queries.count()
+    nq, dim = (n_queries, 64) if n_queries is not None else size_of(queries, vec_col)
     nd = n_docs if n_docs is not None else docs.count()
-    bq, bd = n_blocks_for(nq, block_rows), n_blocks_for(nd, block_rows)
+    bq, bd = n_blocks_for(nq, block_rows, dim), n_blocks_for(nd, block_rows, dim)
     q = (queries.select(F.col(q_id).alias("id"), F.col(vec_col).alias("v"))
          .withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(bq)))
          .withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(bd - 1))))
@@ -179,12 +222,18 @@ def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: fl
         qs, ds = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
         if len(qs) == 0 or len(ds) == 0:
             return pd.DataFrame({"query_id": [], "doc_id": [], "distance": []})
-        dist = 1.0 - similarity(stack(qs["v"]), stack(ds["v"]), "cosine")
-        kk = min(k, dist.shape[1])
-        part = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
-        vals = np.take_along_axis(dist, part, axis=1)
-        return pd.DataFrame({"query_id": np.repeat(qs["id"].to_numpy(), kk),
-                             "doc_id": ds["id"].to_numpy()[part].ravel(), "distance": vals.ravel()})
+        dids = ds["id"].to_numpy()
+        parts_q, parts_d, parts_v = [], [], []
+        qids = qs["id"].to_numpy()
+        for i0, i1, s in sim_chunks(stack(qs["v"]), stack(ds["v"]), "cosine"):
+            dist = 1.0 - s
+            kk = min(k, dist.shape[1])
+            part = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
+            parts_q.append(np.repeat(qids[i0:i1], kk))
+            parts_d.append(dids[part].ravel())
+            parts_v.append(np.take_along_axis(dist, part, axis=1).ravel())
+        return pd.DataFrame({"query_id": np.concatenate(parts_q), "doc_id": np.concatenate(parts_d),
+                             "distance": np.concatenate(parts_v)})
 
     cand = both.groupBy("_qb", "_db").applyInPandas(kernel, "query_id long, doc_id long, distance double")
     if max_distance is not None:

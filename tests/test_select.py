@@ -57,9 +57,10 @@ def _sequential(ids, scores, m, tau, batch):
     return [ids[i] for i in kept]
 
 
-@pytest.mark.parametrize("tau,batch,block,rem", [(0.2, 1, 2048, 0), (0.3, 3, 2048, 0), (0.25, 1, 64, 0),
-                                                  (0.2, 1, 2048, 4096), (0.3, 3, 64, 4096), (0.2, 2, 64, 300)])
-def test_greedy_equals_sequential_scan(spark, tau, batch, block, rem):
+@pytest.mark.parametrize("tau,batch,block,rem,chunk", [(0.2, 1, 2048, 0, None), (0.3, 3, 2048, 0, 7),
+                                                        (0.25, 1, 64, 0, 5), (0.2, 1, 2048, 4096, None),
+                                                        (0.3, 3, 64, 4096, None), (0.2, 2, 64, 300, 9)])
+def test_greedy_equals_sequential_scan(spark, tau, batch, block, rem, chunk):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     rows = emb.select("vec_id", "embedding").collect()
@@ -69,7 +70,8 @@ def test_greedy_equals_sequential_scan(spark, tau, batch, block, rem):
     m = np.array([r.embedding for r in rows], dtype=float)
     df = vecs(spark, [(i, float(s), [float(v) for v in r.embedding]) for i, s, r in zip(ids, scores, rows)])
     trace = []
-    got = sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, block_rows=block, remainder_rows=rem, trace=trace))
+    got = sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, block_rows=block, remainder_rows=rem,
+                                     trace=trace, chunk_rows=chunk))
     if rem == 300:      # rounds first, then the sequential tail
         assert len(trace) > 1 and trace[-1].get("sequential_tail")
     assert got == _sequential(ids, scores, m, tau, batch)
@@ -94,7 +96,7 @@ def test_blocked_pairs_equal_single_block(spark):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     a = {(r.id_a, r.id_b) for r in SJ.similar_pairs(emb, 0.3, "vec_id", block_rows=10_000).collect()}
-    b = {(r.id_a, r.id_b) for r in SJ.similar_pairs(emb, 0.3, "vec_id", block_rows=37).collect()}
+    b = {(r.id_a, r.id_b) for r in SJ.similar_pairs(emb, 0.3, "vec_id", block_rows=37, chunk_rows=5).collect()}
     assert a == b and len(a) > 0
 
 
@@ -105,7 +107,7 @@ def test_knn_blocked_equals_brute_force(spark):
     m = np.array([r.embedding for r in rows], dtype=float)
     d = np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(-1))
     want = dict(zip([r.vec_id for r in rows], np.sort(d, axis=1)[:, 2]))
-    got = {r.vec_id: r.knn_2 for r in SJ.knn_distance(emb, 2, "vec_id", block_rows=50).collect()}
+    got = {r.vec_id: r.knn_2 for r in SJ.knn_distance(emb, 2, "vec_id", block_rows=50, chunk_rows=7).collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
