@@ -121,10 +121,17 @@ def _sequential_kernel(tau: float, metric: str):
     return kernel
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_size: int = 1,
                    id_col: str = "id", score_col: str = "final_score", vec_col: str = "embedding",
                    metric: str = "cosine", block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                   max_rounds: int = 10_000, checkpoint_every: int = 3,
+                   max_rounds: int = 10_000,
                    remainder_rows: int = REMAINDER_MAX_ROWS, trace: list | None = None,
                    chunk_rows: int | None = None) -> DataFrame:
     """F2/F3 score-first diversity filter, as rounds of a parallel greedy.
@@ -158,30 +165,26 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
     batch = F.when(F.col("rk") == 0, F.lit(0)).otherwise(
         F.lit(1) + F.floor((F.col("rk") - 1) / F.lit(batch_size))).cast("long")
     ranked = ranked.withColumn("batch", batch)
-    vecs = ranked.select("id", "v")
-    state = ranked.select("id", "score", "rk", "batch", F.lit(_U).alias("status"))
-    n_active = None
+    # Rounds work on the active rows only (undecided + newly kept, with their
+    # vectors); rows decided in a round move to that round's settled frame.
+    active = ranked.select("id", "score", "rk", "batch", F.lit(_U).alias("status"), "v")
+    settled: list[DataFrame] = []
     kernel = _round_kernel(tau, metric, chunk_rows)
-
-    from pyspark import StorageLevel
+    first = active.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n_active, dim = first["n"], first["d"] or 1
+    n_undecided, first_undecided, kept_total = n_active, None, 0
 
     import time as _time
 
-    cached = []
     t_prev = _time.perf_counter()
     for rnd in range(max_rounds):
-        active = state.filter(F.col("status").isin(_U, _N)).join(vecs, "id")
-        if n_active is None:
-            first = active.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-            n_active, dim = first["n"], first["d"] or 1
         if n_active <= remainder_rows and float(n_active) ** 2 * dim <= REMAINDER_MAX_WORK:
             fin = (active.select("id", "rk", "batch", "status", "v").withColumn("_g", F.lit(0))
                    .groupBy("_g").applyInPandas(_sequential_kernel(tau, metric), "id long, status int")
                    .withColumnRenamed("status", "_fin"))
-            state = cut_lineage(state.join(fin, "id", "left")
-                                .select("id", "score", "rk", "batch",
-                                        F.coalesce(F.col("_fin"), F.col("status")).alias("status")))
-            n_undecided = 0
+            settled.append(cut_lineage(active.join(fin, "id", "left").select(
+                "id", "score", "rk", F.coalesce(F.col("_fin"), F.col("status")).alias("status"))))
+            active, n_undecided = None, 0
             if trace is not None:
                 trace.append({"round": rnd, "active": n_active, "undecided": 0, "new_kept": None,
                               "sec": round(_time.perf_counter() - t_prev, 3), "sequential_tail": True})
@@ -193,24 +196,21 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
               .groupBy("id").agg(F.max("kn").alias("kn"), F.max("hu").alias("hu"), F.max("se").alias("se")))
         st = F.col("status")
         new_status = (F.when(st == _N, F.lit(_K))
-                      .when(st != _U, st)
                       .when(F.col("se") | F.col("kn"), F.lit(_D))
                       .when(~F.col("hu"), F.lit(_N))
                       .otherwise(F.lit(_U)))
-        nxt = state.join(fl, "id", "left").select("id", "score", "rk", "batch", new_status.alias("status"))
-        if (rnd + 1) % checkpoint_every == 0:
-            state = cut_lineage(nxt)          # bounded lineage, survives executor loss
-            for c in cached:
-                c.unpersist(blocking=False)
-            cached = []
-        else:
-            state = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(state)
-        stats = state.agg(F.sum((st == _U).cast("long")).alias("u"),
-                          F.min(F.when(st == _U, F.col("rk"))).alias("min_u"),
-                          F.sum((st == _N).cast("long")).alias("n"),
-                          F.sum(st.isin(_N, _K).cast("long")).alias("kept")).first()
+        # every round's output goes to the shared checkpoint folder: the next
+        # round and the settled frames read files, not a growing lineage
+        nxt = cut_lineage(active.join(fl, "id", "left")
+                          .select("id", "score", "rk", "batch", new_status.alias("status"), "v"))
+        stats = nxt.agg(F.sum((st == _U).cast("long")).alias("u"),
+                        F.min(F.when(st == _U, F.col("rk"))).alias("min_u"),
+                        F.sum((st == _N).cast("long")).alias("n"),
+                        F.sum((st == _K).cast("long")).alias("k")).first()
+        settled.append(nxt.filter(st.isin(_K, _D)).select("id", "score", "rk", "status"))
+        active = nxt.filter(st.isin(_U, _N))
         n_undecided, first_undecided, n_new = stats["u"] or 0, stats["min_u"], stats["n"] or 0
+        kept_total += stats["k"] or 0
         if trace is not None:
             now = _time.perf_counter()
             trace.append({"round": rnd, "active": n_active, "undecided": n_undecided, "new_kept": n_new,
@@ -218,17 +218,20 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
             t_prev = now
         if n_undecided == 0:
             break
-        if data_size > -1 and (stats["kept"] or 0) >= data_size:
-            settled = state.filter(st.isin(_N, _K) & (F.col("rk") < first_undecided)).count()
-            if settled >= data_size:
+        if data_size > -1 and kept_total + n_new >= data_size:
+            kept_now = _union(settled).filter(F.col("status") == _K).select("rk").unionByName(
+                active.filter(st == _N).select("rk"))
+            if kept_now.filter(F.col("rk") < first_undecided).count() >= data_size:
                 break
         n_active = n_undecided + n_new
     else:
         raise RuntimeError("greedy_diverse did not converge")
 
+    kept = _union(settled).filter(F.col("status") == _K).select("id", "score", "rk")
+    if active is not None:
+        kept = kept.unionByName(active.filter(F.col("status") == _N).select("id", "score", "rk"))
     # Rows before the first undecided one are final; after an early stop only
     # they can be reported.
-    kept = state.filter(F.col("status").isin(_N, _K))
     if data_size > -1 and n_undecided:
         kept = kept.filter(F.col("rk") < F.lit(first_undecided))
     # ``kept`` reads a materialised table, so the numbering is stable without
