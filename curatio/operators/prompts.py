@@ -57,11 +57,19 @@ def fill_bundles(templates: DataFrame, records: DataFrame, prompt_cols=PROMPT_CO
                     miss.alias("missing"), "kw")
 
 
+def portable_draw(*parts) -> "F.Column":
+    """A 32-bit integer from the MD5 of ``"p1:p2:..."``: reproducible by any
+    engine (the oracles recompute it)."""
+    key = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
 def round_counts(df: DataFrame, n_col: str, lo: int, hi: int, seed: int = 0, id_col: str = "id") -> DataFrame:
     """``n`` random round counts in ``[lo, hi]`` per row, reproducible
-    from (id, position, seed)."""
+    from (id, position, seed): ``lo + md5("id:i:seed")[:8] mod (hi-lo+1)``."""
     draws = F.transform(F.sequence(F.lit(1), F.col(n_col).cast("int")),
-                        lambda i: (F.lit(lo) + F.pmod(F.xxhash64(F.col(id_col), i, F.lit(seed)), F.lit(hi - lo + 1))).cast("int"))
+                        lambda i: (F.lit(lo) + F.pmod(portable_draw(F.col(id_col), i, F.lit(seed)),
+                                                      F.lit(hi - lo + 1))).cast("int"))
     return df.withColumn("turn", F.when(F.col(n_col) > 0, draws).otherwise(F.array().cast("array<int>")))
 
 

@@ -515,7 +515,18 @@ def train_eval_split_q(spark, sf):
 
 # ---------------------------------------------------------- construction
 
-@query("dialog_construction")
+FIRST_QUERY_TEMPLATE = "List two questions {$c_name} from {$n_name} might ask:\n1. about orders\n2. about prices"
+
+
+@query("dialog_construction", """
+WITH r AS (SELECT c.c_custkey AS bundle_id, c.c_name, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+t AS (SELECT bundle_id, 1 + (('0x' || substr(md5(bundle_id::VARCHAR || ':1:7'), 1, 8))::BIGINT % 3) AS turn,
+             '[query] ' || replace(replace('""" + FIRST_QUERY_TEMPLATE.replace("\n", "' || chr(10) || '") + """', '{$c_name}', c_name),
+                                   '{$n_name}', n_name) AS fq FROM r),
+l AS (SELECT bundle_id, turn, unnest(string_split(regexp_replace(fq, '^\s+|\s+$', '', 'g'), chr(10))) AS line,
+             generate_subscripts(string_split(regexp_replace(fq, '^\s+|\s+$', '', 'g'), chr(10)), 1) - 1 AS q_idx FROM t)
+SELECT bundle_id, q_idx::BIGINT AS q_idx, (2 * greatest(turn, 1))::INTEGER AS n_messages, -1.0 AS rate
+FROM l WHERE regexp_replace(regexp_replace(line, '^[0-9]+\.\s*', ''), '^\s+|\s+$', '', 'g') <> ''""")
 def dialog_construction_q(spark, sf):
     """Customer records fill a bundle of four prompts, each gets
     1-3 rounds (F14), dialogues are generated (K1 default) and judged."""
@@ -526,7 +537,7 @@ def dialog_construction_q(spark, sf):
     kw = F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("n_name"), F.col("n_name"))
     rec = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("bundle_id"), kw.alias("kw"))
     prompts = {
-        "first_query_prompt": "List two questions {$c_name} from {$n_name} might ask:\n1. about orders\n2. about prices",
+        "first_query_prompt": FIRST_QUERY_TEMPLATE,
         "query_prompt": "Ask a follow-up question as {$c_name}.",
         "answer_prompt": "Answer for {$n_name}: {query}",
         "evaluate_prompt": "Rate the dialogue for {$c_name} as JSON with rate and reason.",
