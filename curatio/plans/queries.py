@@ -479,7 +479,7 @@ def mcq_detect_q(spark, sf):
                     T.next_newline(F.col("text")).cast("long").alias("next_newline"))
 
 
-@query("instruction_cleanup")
+@query("instruction_cleanup", None)
 def instruction_cleanup_q(spark, sf):
     """User messages cleaned by the gemma-2 and llama-3.1 rules."""
     c = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
@@ -523,10 +523,10 @@ WITH r AS (SELECT c.c_custkey AS bundle_id, c.c_name, n.n_name FROM customer c J
 t AS (SELECT bundle_id, 1 + (('0x' || substr(md5(bundle_id::VARCHAR || ':1:7'), 1, 8))::BIGINT % 3) AS turn,
              '[query] ' || replace(replace('""" + FIRST_QUERY_TEMPLATE.replace("\n", "' || chr(10) || '") + """', '{$c_name}', c_name),
                                    '{$n_name}', n_name) AS fq FROM r),
-l AS (SELECT bundle_id, turn, unnest(string_split(regexp_replace(fq, '^\s+|\s+$', '', 'g'), chr(10))) AS line,
-             generate_subscripts(string_split(regexp_replace(fq, '^\s+|\s+$', '', 'g'), chr(10)), 1) - 1 AS q_idx FROM t)
+l AS (SELECT bundle_id, turn, unnest(string_split(regexp_replace(fq, '^\\s+|\\s+$', '', 'g'), chr(10))) AS line,
+             generate_subscripts(string_split(regexp_replace(fq, '^\\s+|\\s+$', '', 'g'), chr(10)), 1) - 1 AS q_idx FROM t)
 SELECT bundle_id, q_idx::BIGINT AS q_idx, (2 * greatest(turn, 1))::INTEGER AS n_messages, -1.0 AS rate
-FROM l WHERE regexp_replace(regexp_replace(line, '^[0-9]+\.\s*', ''), '^\s+|\s+$', '', 'g') <> ''""")
+FROM l WHERE regexp_replace(regexp_replace(line, '^[0-9]+\\.\\s*', ''), '^\\s+|\\s+$', '', 'g') <> ''""")
 def dialog_construction_q(spark, sf):
     """Customer records fill a bundle of four prompts, each gets
     1-3 rounds (F14), dialogues are generated (K1 default) and judged."""
@@ -656,3 +656,83 @@ def random_projection_q(spark, sf):
     p = project(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 16, seed=7)
     return p.select("vec_id", F.posexplode("proj").alias("j", "value")).select(
         "vec_id", F.col("j").cast("long").alias("j"), "value")
+
+
+def _cleanup_sql() -> str:
+    """DuckDB form of the gemma-2 / llama-3.1 clean-up arms (staged CTEs).
+    RE2 has no Unicode ``\\w``: letters, digits, marks and ``_`` stand in."""
+    w = r"[\p{L}\p{N}\p{M}_]"
+    pre = T._PREFIX_RE.replace("(?iU)", "(?i)")
+    num = r"^([0-9]+\.|" + w + r"+\))\s*"
+    assist = T._ASSIST_RE
+    step = T._STEP_RE
+
+    def strip(x):
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    def q(s):
+        return s.replace("'", "''")
+
+    def rp_stage(src, a, b):
+        # two columns: a = numbering removed + strip, b = label prefix removed
+        return (f"{strip(f'regexp_replace({src}, {chr(39)}{q(num)}{chr(39)}, {chr(39)}{chr(39)})')} AS {a}",
+                f"CASE WHEN regexp_matches({a}, '{q(pre)}') THEN {strip(f'regexp_replace({a}, {chr(39)}{q(pre)}{chr(39)}, {chr(39)}{chr(39)})')} ELSE {a} END AS {b}")
+
+    def bold(x):
+        return f"CASE WHEN strpos({x}, '**') = 2 THEN {strip(f'replace({x}, {chr(39)}**{chr(39)}, {chr(39)}{chr(39)})')} ELSE {strip(x)} END"
+
+    a0, b0 = rp_stage("text", "p0", "s0")
+    a1, b1 = rp_stage("s0", "p1", "s1")
+    out = []
+    for fam, llama in (("gemma", False), ("llama", True)):
+        c_colon = ("6.1", "6.2", "6.3") if llama else ("5.1", "5.2", "5.3")
+        c_plain = ("99.1", "99.2") if llama else ("6.1", "6.2")
+        qtext = strip("split_part(s1, '?', 1)") + " || '?'"
+        l1 = "l1"
+        arms = [
+            ("starts_with(s1, '\"') AND hq", strip("replace(split_part(s1, '?', 1), '\"', '')") + " || '?'", "2.1"),
+            ("starts_with(s1, '\"')", strip("replace(" + strip("replace(split_part(s1, chr(10), 1), '\"', '')") + ", '*', '')"), "2.2"),
+            ("starts_with(s1, '<b>')", strip("replace(s1, '*', '')"), "3.0"),
+            ("am", bold(strip("substring(s1, 1, apos)")), "4.0"),
+        ]
+        if llama:
+            arms.append(("sm", bold(strip("substring(s1, 1, spos)")), "5.0"))
+        arms += [
+            (f"ends_with({l1}, ':') AND strpos(s1, '#') > 0", bold(strip("split_part(s1, '#', 1)")), c_colon[0]),
+            (f"ends_with({l1}, ':') AND hq", bold(qtext), c_colon[1]),
+            (f"ends_with({l1}, ':')", strip(f"replace({l1}, '*', '')"), c_colon[2]),
+            ("hq", bold(qtext), c_plain[0]),
+            ("TRUE", strip(f"replace({l1}, '*', '')"), c_plain[1]),
+        ]
+        txt = "CASE " + " ".join(f"WHEN {c} THEN {t}" for c, t, _ in arms) + " END"
+        cls = "CASE " + " ".join(f"WHEN {c} THEN {k}" for c, _, k in arms) + " END"
+        out.append((fam, txt, cls))
+    arm1_src = strip("replace(split_part(s0, '?', 1), '*', '')") + " || '?'"
+    ga, gb = rp_stage("g_raw", "g_p", "g_text")
+    la, lb = rp_stage("l_raw", "l_p", "l_text")
+    xa, xb = rp_stage("a1_raw", "a1_p", "a1_text")
+    return f"""
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+st0 AS (SELECT *, {a0} FROM u),
+st1 AS (SELECT *, {b0} FROM st0),
+st2 AS (SELECT *, {a1} FROM st1),
+st3 AS (SELECT *, {b1} FROM st2),
+st4 AS (SELECT *, regexp_matches(s0, '{q(assist)}') AS am,
+               length(regexp_extract(s0, '(?s)^(.*?)(?:{q(assist)})', 1)) AS apos,
+               regexp_matches(s0, '{q(step)}') AS sm,
+               length(regexp_extract(s0, '(?s)^(.*?)(?:{q(step)})', 1)) AS spos,
+               starts_with(s0, '*') AND strpos(s0, '?') > 0 AS arm1,
+               strpos(s1, '?') > 0 AS hq, {strip("split_part(s1, chr(10), 1)")} AS l1 FROM st3),
+st5 AS (SELECT *, {out[0][1]} AS g_raw, {out[0][2]} AS g_cls, {out[1][1]} AS l_raw, {out[1][2]} AS l_cls,
+               {arm1_src} AS a1_raw FROM st4),
+st6 AS (SELECT *, {ga}, {la}, {xa} FROM st5),
+st7 AS (SELECT *, {gb}, {lb}, {xb} FROM st6)
+SELECT conv_id, turn,
+       CASE WHEN arm1 THEN a1_text ELSE g_text END AS gemma_text,
+       (CASE WHEN arm1 THEN 1.0 ELSE g_cls END)::DOUBLE AS gemma_class,
+       CASE WHEN arm1 THEN a1_text ELSE l_text END AS llama_text,
+       (CASE WHEN arm1 THEN 1.0 ELSE l_cls END)::DOUBLE AS llama_class
+FROM st7"""
+
+
+ORACLES["instruction_cleanup"] = _cleanup_sql()

@@ -103,3 +103,28 @@ def test_h35_chunks(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, "")], "id long, text string")
     got = [(r.chunk_idx, r.chunk) for r in chunk_text(df, "id", "text", 4, 1).orderBy("chunk_idx").collect()]
     assert got == [(0, "abcd"), (1, "defg"), (2, "ghij"), (3, "j")]
+
+
+def test_cleanup_sql_and_spark_agree_on_every_arm(spark):
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__ as E
+    texts = ["*Why is the sky blue?* Answer::", "Task: Solve this:\nx = 1", "Explain this\nmore",
+             "Do it. Answer:: 42", '"Quoted question? yes"', '"Quoted line\nnext"', "<b>bold *x*</b>",
+             "Intro:\n# Heading\nbody", "Intro:\nwhat now? ok", "Intro:\n**more**", "Why so? because",
+             "1. Question: how?", "a) list item", "Plan ## Step 1: go", "## Step 1 first", "Q2: second part",
+             "**Prompt** Write** it", " *Lead? star", "Étude) du texte?"]
+    pdf = pd.DataFrame({"conv_id": range(len(texts)), "turn": 0, "role": "user", "text": texts})
+    con = duckdb.connect()
+    con.register("conversations", pdf)
+    want = con.execute(E.oracle_sql()["instruction_cleanup"]).df().sort_values("conv_id")
+    from curatio.functions import text as T
+    df = spark.createDataFrame(pdf).filter("role = 'user'").select("conv_id", "turn", "text")
+    df = T.clean_instructions(T.clean_instructions(df, "text", "gemma-2", "g"), "text", "llama-3.1", "l")
+    got = df.select("conv_id", "g.text", "g.class", "l.text", "l.class").toPandas()
+    got.columns = ["conv_id", "gemma_text", "gemma_class", "llama_text", "llama_class"]
+    got = got.sort_values("conv_id")
+    for col in ["gemma_text", "gemma_class", "llama_text", "llama_class"]:
+        assert list(got[col]) == list(want[col]), col
+    assert len(set(got.gemma_class)) >= 8 and len(set(got.llama_class)) >= 8
