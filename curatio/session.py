@@ -31,6 +31,7 @@ def get_session(master: str | None = None, app: str = "curatio",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -70,3 +71,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     df.unpersist(blocking=False)
     return out
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``curatio`` importable in the Python workers of this session.
+
+    Kernels (pandas UDFs, ``applyInPandas``, ``mapInPandas``) are pickled by
+    reference to this package, so every worker must import it.  The package
+    is zipped once per SparkContext and added with ``addPyFile`` (shipped to
+    every executor on a cluster).  A no-op if it already was."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = (id(sc), sc.applicationId)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="curatio-pkg-", dir=os.environ.get("CURATIO_TMP", "/tmp")),
+                       "curatio.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            if "__pycache__" in dirpath:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
