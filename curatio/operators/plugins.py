@@ -48,14 +48,20 @@ def split_rejected(df: DataFrame, out_col: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
-                     out_col: str = "embedding") -> DataFrame:
+                     out_col: str = "embedding", bucket_hash: str = "xxhash64") -> DataFrame:
     """K2 default: hashed whitespace-token counts, L2-normalised.
 
     Tokens are exploded and counted per (row, bucket) with a partial
     aggregate; each row's vector is then assembled from at most ``dim``
-    bucket counts.  Rows without tokens get the zero vector."""
+    bucket counts.  Rows without tokens get the zero vector.
+    ``bucket_hash="md5"`` (first 32 bits of the token's MD5) is slower but
+    any engine can recompute it."""
     toks = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), 0)).alias("_t"))
-    cnt = (toks.groupBy(id_col, F.pmod(F.xxhash64("_t"), F.lit(dim)).cast("int").alias("_j"))
+    if bucket_hash == "md5":
+        h = F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long")
+    else:
+        h = F.xxhash64("_t")
+    cnt = (toks.groupBy(id_col, F.pmod(h, F.lit(dim)).cast("int").alias("_j"))
            .agg(F.count(F.lit(1)).cast("double").alias("_c")))
     per = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_j", "_c"))).alias("_m"),
                                   F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))

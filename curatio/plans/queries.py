@@ -581,13 +581,33 @@ def influence_top_q(spark, sf):
     return Pipeline.create("influence_pipeline", top_n=20).transform(train, valid, weights)
 
 
-@query("diversity_sample")
+@query("diversity_sample", "WITH RECURSIVE good AS (SELECT * FROM (" + SQL_REWARD + """) WHERE reward_score > 5.0),
+tk AS (SELECT doc_id, unnest(regexp_extract_all(question, '\\S+')) AS t FROM good),
+cnt AS (SELECT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS j, count(*)::DOUBLE AS c FROM tk GROUP BY ALL),
+nrm AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM cnt GROUP BY doc_id),
+grid AS (SELECT g.doc_id, r.j FROM good g, (SELECT unnest(range(64)) AS j) r),
+e AS (SELECT grid.doc_id AS vec_id,
+             list(coalesce(cnt.c, 0.0) / greatest(coalesce(nrm.n, 0.0), 1e-12) ORDER BY grid.j) AS v
+      FROM grid LEFT JOIN cnt USING (doc_id, j) LEFT JOIN nrm USING (doc_id) GROUP BY grid.doc_id),
+kc(step, centers) AS (
+  SELECT 1, [(SELECT min(vec_id) FROM e)]
+  UNION ALL
+  SELECT step + 1, list_append(centers, (
+    SELECT vec_id FROM (
+      SELECT x.vec_id, min(list_distance(x.v, c.v)) AS md
+      FROM e x JOIN e c ON list_contains(kc.centers, c.vec_id) GROUP BY x.vec_id)
+    WHERE md > 0 ORDER BY md DESC, vec_id LIMIT 1))
+  FROM kc WHERE step < 16),
+picks AS (SELECT unnest(centers) AS doc_id, (generate_subscripts(centers, 1) - 1)::BIGINT AS pick
+          FROM (SELECT centers FROM kc ORDER BY step DESC LIMIT 1))
+SELECT p.doc_id, p.pick, g.reward_score FROM picks p JOIN good g USING (doc_id)""")
 def diversity_sample_q(spark, sf):
-    """Reward above 5 (B3) -> hashed-token embedding (K2) -> 16
-    k-center picks (F4) -> records in pick order (C2)."""
+    """Reward above 5 (B3) -> hashed-token embedding (K2, portable
+    MD5 buckets) -> 16 k-center picks (F4) -> records in pick order (C2)."""
     from ..operators.plugins import hashed_embedding
     good = SEL.above(_reward_frame(spark, sf), 5.0)
-    emb = hashed_embedding(good.select("doc_id", "question"), "doc_id", "question").select("doc_id", "embedding")
+    emb = hashed_embedding(good.select("doc_id", "question"), "doc_id", "question",
+                           bucket_hash="md5").select("doc_id", "embedding")
     picks = SEL.kcenter_greedy(emb, 16, id_col="doc_id", vec_col="embedding")
     return good.join(picks, "doc_id").select("doc_id", "pick", "reward_score")
 
