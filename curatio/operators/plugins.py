@@ -47,15 +47,66 @@ def split_rejected(df: DataFrame, out_col: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
+_NON_SPACE = None
+
+
+def _hashed_vectors(texts: pd.Series, dim: int, how: str) -> pd.Series:
+    """One vector per text: bucket counts of its tokens, L2-normalised."""
+    import hashlib
+    import re
+
+    import numpy as np
+    global _NON_SPACE
+    if _NON_SPACE is None:
+        _NON_SPACE = re.compile(r"[^ \t\n\x0b\f\r]+")       # Java's \S
+    if how == "md5":
+        def bucket(t):
+            return int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
+    else:
+        import xxhash
+
+        def bucket(t):
+            h = xxhash.xxh64_intdigest(t.encode("utf-8"), seed=42)      # Spark's xxhash64
+            return (h - (1 << 64) if h >= (1 << 63) else h) % dim       # Python % = pmod
+    out = []
+    for text in texts:
+        if text is None:
+            out.append(None)
+            continue
+        toks = _NON_SPACE.findall(text)
+        c = np.bincount(np.fromiter((bucket(t) for t in toks), dtype=np.int64, count=len(toks)),
+                        minlength=dim).astype(np.float64)
+        out.append(c / max(float(np.sqrt((c * c).sum())), 1e-12))
+    return pd.Series(out)
+
+
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
-                     out_col: str = "embedding", bucket_hash: str = "xxhash64") -> DataFrame:
-    """K2 default: hashed whitespace-token counts, L2-normalised.
-
-    Tokens are exploded and counted per (row, bucket) with a partial
-    aggregate; each row's vector is then assembled from at most ``dim``
-    bucket counts.  Rows without tokens get the zero vector.
-    ``bucket_hash="md5"`` (first 32 bits of the token's MD5) is slower but
-    any engine can recompute it."""
+                     out_col: str = "embedding", bucket_hash: str = "xxhash64",
+                     engine: str = "auto") -> DataFrame:
+    """K2 default: hashed whitespace-token counts, L2-normalised; rows
+    without tokens get the zero vector.  ``bucket_hash="md5"`` (first 32
+    bits of the token's MD5) is slower but any engine can recompute it.
+
+    Each text is counted where it lies (Arrow UDF, one ``bincount`` per
+    text, no shuffle).  Without the ``xxhash`` package the same vectors come
+    from a Spark plan: tokens exploded and counted per (row, bucket) with a
+    partial aggregate, then assembled per row (``engine="spark"`` forces
+    it; both give identical vectors)."""
+    try:
+        if engine == "spark":
+            raise ImportError
+        if bucket_hash != "md5":
+            import xxhash  # noqa: F401
+        from pyspark.sql.functions import pandas_udf
+
+        def vec(texts: pd.Series) -> pd.Series:
+            return _hashed_vectors(texts, dim, bucket_hash)
+
+        vec.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        udf = pandas_udf(vec, "array<double>")
+        return df.withColumn(out_col, udf(F.col(text_col)))
+    except ImportError:
+        pass
     toks = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), 0)).alias("_t"))
     if bucket_hash == "md5":
         h = F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long")

@@ -122,3 +122,13 @@ def test_i4_i5_i6_pipelines(spark):
     import pytest
     with pytest.raises(KeyError):
         Pipeline.create("nope")
+
+
+def test_k2_udf_and_spark_paths_identical(spark):
+    from curatio.operators.plugins import hashed_embedding
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for how in ("xxhash64", "md5"):
+        a = {r.doc_id: r.embedding for r in hashed_embedding(d, "doc_id", "text", 32, bucket_hash=how).collect()}
+        b = {r.doc_id: r.embedding for r in hashed_embedding(d, "doc_id", "text", 32, bucket_hash=how,
+                                                               engine="spark").collect()}
+        assert a == b and len(a) == d.count()
