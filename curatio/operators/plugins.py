@@ -103,8 +103,9 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
             return _hashed_vectors(texts, dim, bucket_hash)
 
         vec.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        from ..session import spread
         udf = pandas_udf(vec, "array<double>")
-        return df.withColumn(out_col, udf(F.col(text_col)))
+        return spread(df).withColumn(out_col, udf(F.col(text_col)))
     except ImportError:
         pass
     toks = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), 0)).alias("_t"))

@@ -116,7 +116,8 @@ class IndicatorPipeline(Pipeline):
         # row count from the source scan (parquet metadata), not from the embeddings
         knn = knn_distance(emb.select(id_col, "embedding"), i, id_col=id_col, vec_col="embedding",
                            n_rows=docs.count())
-        main = docs.select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
+        from ..session import spread
+        main = spread(docs).select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
         return main.join(knn, id_col, "left")
 
 

@@ -161,7 +161,8 @@ SELECT doc_id, {_kw_sql('text', T.MATH_KEYWORDS, True)} AS math_hits,
        {_kw_sql('text', T.CODE_KEYWORDS, False)} AS code_hits FROM documents""")
 def keyword_tags_q(spark, sf):
     """Math and code keyword hits per document."""
-    d = table(spark, sf, "documents")
+    from ..session import spread
+    d = spread(table(spark, sf, "documents"))
     return d.select("doc_id", T.keyword_hits("text", T.MATH_KEYWORDS, True).alias("math_hits"),
                     T.keyword_hits("text", T.CODE_KEYWORDS, False).alias("code_hits"))
 
@@ -409,7 +410,8 @@ def dataset_stats_q(spark, sf):
 def mtld_q(spark, sf):
     """D11 per document (Arrow UDF fold), whole texts."""
     from ..operators.indicators import mtld
-    d = table(spark, sf, "documents")
+    from ..session import spread
+    d = spread(table(spark, sf, "documents"))
     return d.select("doc_id", "lang", mtld(F.col("text")).alias("mtld"))
 
 
