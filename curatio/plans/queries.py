@@ -209,7 +209,8 @@ FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documen
 def chunked_text_q(spark, sf):
     """Chunks of 500 characters overlapping by 100."""
     from ..operators.indicators import chunk_text
-    return chunk_text(table(spark, sf, "documents"), "doc_id", "text", 500, 100)
+    from ..session import spread
+    return chunk_text(spread(table(spark, sf, "documents")), "doc_id", "text", 500, 100)
 
 
 @query("stop_token_cut", """
@@ -475,7 +476,8 @@ SELECT doc_id, n_marks >= 4 AS is_mcq,
 FROM m""")
 def mcq_detect_q(spark, sf):
     """Multiple-choice marks and first newline offset per document."""
-    d = table(spark, sf, "documents")
+    from ..session import spread
+    d = spread(table(spark, sf, "documents"))
     m = T.mcq(F.col("text"))
     return d.select("doc_id", m["is_mcq"].alias("is_mcq"), m["end_pos"].cast("long").alias("end_pos"),
                     T.next_newline(F.col("text")).cast("long").alias("next_newline"))
