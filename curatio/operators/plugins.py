@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 Generator = Callable[[pd.DataFrame], pd.DataFrame]   # (id, prompt) -> (id, text, error)
 
 
+def default_generation(prompt: Column, label: str = "") -> Column:
+    """The K1 default as an expression: a deterministic echo of the whole prompt."""
+    return F.concat(F.lit(f"[{label or 'reply'}] "), prompt)
+
+
 def generate(df: DataFrame, id_col: str, prompt_col: str, out_col: str = "generated",
              fn: Generator | None = None, label: str = "") -> DataFrame:
     """K1 text generation.  ``fn`` receives batches ``(id, prompt)`` and
@@ -25,7 +30,7 @@ def generate(df: DataFrame, id_col: str, prompt_col: str, out_col: str = "genera
     with NULL text and an error message (B7 rejects them).  Default: a
     deterministic echo of the whole prompt."""
     if fn is None:
-        return df.withColumn(out_col, F.concat(F.lit(f"[{label or 'reply'}] "), F.col(prompt_col))) \
+        return df.withColumn(out_col, default_generation(F.col(prompt_col), label)) \
                  .withColumn(f"{out_col}_error", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

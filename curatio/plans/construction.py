@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.plugins import generate
+from ..operators.plugins import default_generation, generate
 
 
 def _msg(role: str, c):
@@ -43,16 +43,30 @@ def construct(bundles: DataFrame, gen=None, query_prompt_for_rounds: bool = True
     d = d.withColumn("messages", F.array(_msg("user", F.col("query")), _msg("assistant", F.col("ans"))))
     d = d.drop("fq", "fq_error", "_q", "ap", "ans", "ans_error")
     max_turn = d.agg(F.max("turn")).first()[0] or 1
-    for i in range(2, int(max_turn) + 1):
-        active = d.filter(F.col("turn") >= i)
-        qp = F.col("query_prompt") if query_prompt_for_rounds else F.col("answer_prompt")
-        a = active.withColumn("_p", F.concat(qp, F.lit("\n"), _history(F.col("messages"))))
-        a = generate(a, "did", "_p", "_nq", gen, "query")
-        a = a.withColumn("_ap", T.fill_query(F.col("answer_prompt"), F.col("_nq")))
-        a = generate(a, "did", "_ap", "_na", gen, "answer")
-        a = a.select("did", F.concat("messages", F.array(_msg("user", F.col("_nq")), _msg("assistant", F.col("_na"))))
-                     .alias("_m"))
-        d = (d.join(a, "did", "left").withColumn("messages", F.coalesce("_m", "messages")).drop("_m"))
+    qp = F.col("query_prompt") if query_prompt_for_rounds else F.col("answer_prompt")
+    if gen is None:
+        # default generator is an expression: a round is a conditional append
+        for i in range(2, int(max_turn) + 1):
+            live = F.col("turn") >= i
+            d = d.withColumn("_nq", F.when(live, default_generation(
+                F.concat(qp, F.lit("\n"), _history(F.col("messages"))), "query")))
+            d = d.withColumn("_na", F.when(live, default_generation(
+                T.fill_query(F.col("answer_prompt"), F.col("_nq")), "answer")))
+            d = d.withColumn("messages", F.when(live, F.concat("messages", F.array(
+                _msg("user", F.col("_nq")), _msg("assistant", F.col("_na"))))).otherwise(F.col("messages")))
+            d = d.drop("_nq", "_na")
+    else:
+        from pyspark import StorageLevel
+        for i in range(2, int(max_turn) + 1):
+            d = d.persist(StorageLevel.MEMORY_AND_DISK)   # read twice below
+            active = d.filter(F.col("turn") >= i)
+            a = active.withColumn("_p", F.concat(qp, F.lit("\n"), _history(F.col("messages"))))
+            a = generate(a, "did", "_p", "_nq", gen, "query")
+            a = a.withColumn("_ap", T.fill_query(F.col("answer_prompt"), F.col("_nq")))
+            a = generate(a, "did", "_ap", "_na", gen, "answer")
+            a = a.select("did", F.concat("messages", F.array(_msg("user", F.col("_nq")),
+                                                             _msg("assistant", F.col("_na")))).alias("_m"))
+            d = d.join(a, "did", "left").withColumn("messages", F.coalesce("_m", "messages")).drop("_m")
     j = d.withColumn("_jp", F.concat(F.col("evaluate_prompt"), F.lit("\n"), _history(F.col("messages"))))
     j = generate(j, "did", "_jp", "_judge", gen, "judge")
     parsed = T.parse_judge(F.col("_judge"))

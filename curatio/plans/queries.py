@@ -549,7 +549,8 @@ def dialog_construction_q(spark, sf):
     b = rec.select("bundle_id", *[T.fill(F.lit(v), F.col("kw")).alias(k) for k, v in prompts.items()],
                    F.lit(1).alias("n"))
     b = round_counts(b, "n", 1, 3, seed=7, id_col="bundle_id").withColumn("turn", F.col("turn")[0])
-    return construct(b).select("bundle_id", "q_idx", "n_messages", "rate")
+    from ..session import spread
+    return construct(spread(b)).select("bundle_id", "q_idx", "n_messages", "rate")
 
 
 # ------------------------------------------------------- more compositions

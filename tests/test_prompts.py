@@ -95,3 +95,28 @@ def test_i11_i12_flows(spark):
     f = spark.createDataFrame([(1, "hello")], "id long, p string")
     a = answers_for_prompts(f, "id", "p").collect()[0]
     assert a.answer == "[answer] hello" and '"content":"hello"' in a.history
+
+
+def test_construct_with_pandas_generator_and_failures(spark):
+    import pandas as pd
+
+    from curatio.operators.plugins import generate, split_rejected
+    from curatio.plans.construction import construct
+
+    def gen(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": batch["id"], "text": ["G:" + p[:0] + "ok" for p in batch["prompt"]],
+                             "error": None})
+
+    b = spark.createDataFrame([(1, "1. q one\n2. q two", "more", "A {query}", "judge", 3)],
+                              "bundle_id long, first_query_prompt string, query_prompt string, "
+                              "answer_prompt string, evaluate_prompt string, turn int")
+    rows = construct(b, gen).collect()
+    # the generator's first query is one line, so one dialogue with 3 rounds
+    assert len(rows) == 1 and rows[0].n_messages == 6 and rows[0].rate == -1.0
+
+    def broken(batch: pd.DataFrame) -> pd.DataFrame:
+        raise RuntimeError("model down")
+
+    df = spark.createDataFrame([(1, "p")], "id long, prompt string")
+    good, bad = split_rejected(generate(df, "id", "prompt", "g", broken), "g")
+    assert good.count() == 0 and bad.count() == 1 and "model down" in bad.first().g_error
