@@ -36,6 +36,7 @@ def construct(bundles: DataFrame, gen=None, query_prompt_for_rounds: bool = True
     fq = generate(bundles, "bundle_id", "first_query_prompt", "fq", gen, "query")
     # H7: one first query per non-empty line, numbering removed
     lines = fq.select("*", F.posexplode(F.split(T.strip("fq"), "\n")).alias("q_idx", "_q"))
+    lines = lines.withColumn("q_idx", F.col("q_idx").cast("long"))
     lines = lines.withColumn("query", T.strip(T.drop_numbering("_q"))).filter(F.col("query") != "")
     d = lines.withColumn("did", F.concat_ws(":", F.col("bundle_id").cast("string"), F.col("q_idx").cast("string")))
     d = d.withColumn("ap", T.fill_query(F.col("answer_prompt"), F.col("query")))

@@ -529,7 +529,7 @@ t AS (SELECT bundle_id, 1 + (('0x' || substr(md5(bundle_id::VARCHAR || ':1:7'),
                                    '{$n_name}', n_name) AS fq FROM r),
 l AS (SELECT bundle_id, turn, unnest(string_split(regexp_replace(fq, '^\\s+|\\s+$', '', 'g'), chr(10))) AS line,
              generate_subscripts(string_split(regexp_replace(fq, '^\\s+|\\s+$', '', 'g'), chr(10)), 1) - 1 AS q_idx FROM t)
-SELECT bundle_id, q_idx::BIGINT AS q_idx, (2 * greatest(turn, 1))::INTEGER AS n_messages, -1.0 AS rate
+SELECT bundle_id, q_idx::BIGINT AS q_idx, (2 * greatest(turn, 1))::INTEGER AS n_messages, -1.0::DOUBLE AS rate
 FROM l WHERE regexp_replace(regexp_replace(line, '^[0-9]+\\.\\s*', ''), '^\\s+|\\s+$', '', 'g') <> ''""")
 def dialog_construction_q(spark, sf):
     """Customer records fill a bundle of four prompts, each gets
