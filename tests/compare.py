@@ -47,6 +47,17 @@ def digest(pdf: pd.DataFrame) -> str:
     return hashlib.sha1("\n".join(rows).encode()).hexdigest()
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
+def type_diff(sdf, rel) -> dict:
+    """Columns whose Spark type maps to a different DuckDB type."""
+    st = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st[c], dt.get(c)) for c in st if st[c] != dt.get(c) and not st[c].startswith(("ArrayType", "Struct"))}
+
+
 def compare(spark, sf_dir: str, names=None, verbose=True):
     import __spark_entry__ as E
     qs, orc = E.queries(), E.oracle_sql()
@@ -55,7 +66,8 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
     for name in names or sorted(qs):
         t0 = time.time()
         try:
-            s = qs[name](spark, sf_dir).toPandas()
+            sdf = qs[name](spark, sf_dir)
+            s = sdf.toPandas()
         except Exception as e:  # noqa: BLE001
             out[name] = ("spark-error", repr(e)[:400])
             continue
@@ -64,16 +76,20 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
             out[name] = ("rows-only", len(s), round(ts, 2))
             continue
         try:
-            d = con.execute(orc[name]).df()
+            rel = con.sql(orc[name])
+            types = type_diff(sdf, rel)
+            d = rel.df()
         except Exception as e:  # noqa: BLE001
             out[name] = ("sql-error", repr(e)[:400])
             continue
         ok_cols = sorted(s.columns) == sorted(d.columns)
         ok_rows = len(s) == len(d)
         ok_hash = ok_cols and digest(s) == digest(d)
-        out[name] = ("OK" if ok_cols and ok_rows and ok_hash else "MISMATCH",
-                     dict(rows=(len(s), len(d)), cols=ok_cols or (sorted(s.columns), sorted(d.columns)),
-                          hash=ok_hash, sec=round(ts, 2)))
+        status = "OK" if ok_cols and ok_rows and ok_hash else "MISMATCH"
+        if status == "OK" and types:
+            status = "TYPE-MISMATCH"
+        out[name] = (status, dict(rows=(len(s), len(d)), cols=ok_cols or (sorted(s.columns), sorted(d.columns)),
+                                  hash=ok_hash, types=types or True, sec=round(ts, 2)))
     if verbose:
         for k, v in out.items():
             print(k, v)
