@@ -1,4 +1,4 @@
-"""Named pipelines (I1-I8): ``Pipeline.create(name, **params).transform(...)``.
+"""Named flows (I1-I8): ``Flow.create(name, **params).transform(...)``.
 
 A registry maps names to classes; a duplicate or unknown name is an
 error.  Each pipeline is a chain of DataFrame operators (load, preprocess,
@@ -16,30 +16,30 @@ _REGISTRY: dict[str, type] = {}
 def register(name: str):
     def deco(cls):
         if name in _REGISTRY:
-            raise ValueError(f"pipeline {name!r} already registered")
+            raise ValueError(f"flow {name!r} already registered")
         _REGISTRY[name] = cls
         return cls
     return deco
 
 
-class Pipeline:
+class Flow:
     """I1/I2."""
 
     def __init__(self, **params):
         self.params = params
 
     @staticmethod
-    def create(name: str, **params) -> "Pipeline":
+    def create(name: str, **params) -> "Flow":
         if name not in _REGISTRY:
-            raise KeyError(f"unknown pipeline {name!r}; known: {sorted(_REGISTRY)}")
+            raise KeyError(f"unknown flow {name!r}; known: {sorted(_REGISTRY)}")
         return _REGISTRY[name](**params)
 
     def transform(self, *dfs: DataFrame) -> DataFrame:  # pragma: no cover - abstract
         raise NotImplementedError
 
 
-@register("score_pipeline")
-class ScorePipeline(Pipeline):
+@register("score")
+class ScoreFlow(Flow):
     """Dialogues (long form) -> pairs -> class logits (K4) -> expected
     score (D10) -> one score array per dialogue (B2)."""
 
@@ -57,8 +57,8 @@ class ScorePipeline(Pipeline):
         return inject_scores(conv.select("conv_id"), scored, kind)
 
 
-@register("embed_pipeline")
-class EmbedPipeline(Pipeline):
+@register("embed")
+class EmbedFlow(Flow):
     """I4: dialogue text (answer-only or rendered) -> embedding (K2)."""
 
     def transform(self, conv: DataFrame, embed_fn=None) -> DataFrame:
@@ -74,8 +74,8 @@ class EmbedPipeline(Pipeline):
         return e.select(F.col("conv_id").alias("idx"), "embedding")
 
 
-@register("filter_pipeline")
-class FilterPipeline(Pipeline):
+@register("filter")
+class FilterFlow(Flow):
     """Scores + embeddings (joined on id, C1 with count check) -> D2 ->
     F2/F3 -> selected ids in order."""
 
@@ -92,8 +92,8 @@ class FilterPipeline(Pipeline):
                               metric=p.get("distance_metric", "cosine"))
 
 
-@register("influence_pipeline")
-class InfluencePipeline(Pipeline):
+@register("influence")
+class InfluenceFlow(Flow):
     """Vectors -> influence (C5/D8) -> top ``n``."""
 
     def transform(self, train: DataFrame, valid: DataFrame, weights: DataFrame) -> DataFrame:
@@ -103,8 +103,8 @@ class InfluencePipeline(Pipeline):
         return s.orderBy(F.col("influence").desc(), "row_id").limit(n) if n else s
 
 
-@register("indicator_pipeline")
-class IndicatorPipeline(Pipeline):
+@register("indicators")
+class IndicatorFlow(Flow):
     """I8: length, MTLD and kNN-i distance per text in one table."""
 
     def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +122,7 @@ class IndicatorPipeline(Pipeline):
 
 
 @register("staged_selection")
-class StagedSelection(Pipeline):
+class StagedSelection(Flow):
     """Quality threshold (B3) -> k-center diversity sample (F7) ->
     generation on the sample (K1) -> reward of the generation (K5) ->
     necessity threshold (B4).  ``triplets(id, instruction, input, output,

@@ -578,12 +578,12 @@ SELECT row_id, influence FROM m ORDER BY influence DESC, row_id LIMIT 20""")
 def influence_top_q(spark, sf):
     """The 20 most influential training rows (a top-k report)."""
     from ..operators.influence import checkpoint_vectors
-    from .pipelines import Pipeline
+    from .flows import Flow
     v = checkpoint_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 3)
     train = v.filter(F.col("label") >= 3).select("row_id", "ckpt", "vec")
     valid = v.filter(F.col("label") < 3).select("ckpt", F.col("label").alias("subtask"), "vec")
     weights = spark.range(3).select(F.col("id").cast("int").alias("ckpt"), (F.col("id") + 1).cast("double").alias("weight"))
-    return Pipeline.create("influence_pipeline", top_n=20).transform(train, valid, weights)
+    return Flow.create("influence", top_n=20).transform(train, valid, weights)
 
 
 @query("diversity_sample", "WITH RECURSIVE good AS (SELECT * FROM (" + SQL_REWARD + """) WHERE reward_score > 5.0),
@@ -620,8 +620,8 @@ def diversity_sample_q(spark, sf):
 @query("indicator_set")
 def indicator_set_q(spark, sf):
     """I8: length, MTLD and kNN-3 distance (hashed embeddings) per document."""
-    from .pipelines import Pipeline
-    return Pipeline.create("indicator_pipeline", knn_i=3).transform(table(spark, sf, "documents"))
+    from .flows import Flow
+    return Flow.create("indicators", knn_i=3).transform(table(spark, sf, "documents"))
 
 
 @query("score_arrays", "WITH " + SQL_PAIRS + """,
@@ -632,8 +632,8 @@ SELECT c.conv_id, count(e.s)::BIGINT AS n_pairs, coalesce(sum(e.s), 0.0) AS scor
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e USING (conv_id) GROUP BY c.conv_id""")
 def score_arrays_q(spark, sf):
     """Per-dialogue complexity score arrays (K4 default logits)."""
-    from .pipelines import Pipeline
-    out = Pipeline.create("score_pipeline", score_type="complexity").transform(table(spark, sf, "conversations"))
+    from .flows import Flow
+    out = Flow.create("score", score_type="complexity").transform(table(spark, sf, "conversations"))
     return out.select("conv_id", F.size("complexity_scores").cast("long").alias("n_pairs"),
                       F.aggregate("complexity_scores", F.lit(0.0), lambda s, x: s + x).alias("score_sum"))
 

@@ -106,22 +106,22 @@ def test_h34_h37(spark):
     assert len(r.p) == 3 and r.p[2].content == "q2"
 
 
-def test_i4_i5_i6_pipelines(spark):
-    from curatio.plans.pipelines import Pipeline
+def test_i4_i5_i6_flows(spark):
+    from curatio.plans.flows import Flow
     conv = spark.createDataFrame([(i, t, "user" if t % 2 == 0 else "assistant", f"m {i} {t} " * (t + 1))
                                   for i in range(6) for t in range(2)], "conv_id long, turn long, role string, text string")
-    emb = Pipeline.create("embed_pipeline", only_answer=True).transform(conv)
+    emb = Flow.create("embed", only_answer=True).transform(conv)
     assert emb.count() == 6 and len(emb.first().embedding) == 64
     scores = conv.select(F.col("conv_id").alias("idx")).distinct().withColumn("final_score", F.col("idx").cast("double"))
-    sel = Pipeline.create("filter_pipeline", threshold=0.99, data_size=3).transform(scores, emb)
+    sel = Flow.create("filter", threshold=0.99, data_size=3).transform(scores, emb)
     assert sel.count() <= 3
     trip = spark.createDataFrame([(i, f"do task {i % 3}", "", "out", float(i)) for i in range(10)],
                                  "id long, instruction string, input string, output string, reward_score double")
-    st = Pipeline.create("staged_selection", quality_threshold=2.0, k=4, necessity_threshold=0.5).transform(trip)
+    st = Flow.create("staged_selection", quality_threshold=2.0, k=4, necessity_threshold=0.5).transform(trip)
     assert st.count() <= 4
     import pytest
     with pytest.raises(KeyError):
-        Pipeline.create("nope")
+        Flow.create("nope")
 
 
 def test_k2_udf_and_spark_paths_identical(spark):
