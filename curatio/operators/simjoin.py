@@ -190,6 +190,24 @@ def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embe
             .select(F.col("id").alias(id_col), F.col("dist").alias(f"knn_{i}")))
 
 
+def topk_by_distance_then_id(dist: np.ndarray, col_ids: np.ndarray, k: int):
+    """Per row, the ``k`` columns with the smallest (distance, id): all
+    entries strictly below the k-th distance, then the tied entries in id
+    order.  ``argpartition`` alone would keep an arbitrary subset of ties."""
+    kk = min(k, dist.shape[1])
+    kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+    rows, cols = [], []
+    for r in range(dist.shape[0]):
+        below = np.flatnonzero(dist[r] < kth[r, 0])
+        tied = np.flatnonzero(dist[r] == kth[r, 0])
+        if len(below) + len(tied) > kk:
+            tied = tied[np.argsort(col_ids[tied], kind="stable")[:kk - len(below)]]
+        pick = np.concatenate([below, tied])
+        rows.append(np.full(len(pick), r))
+        cols.append(pick)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: float | None = None,
                    q_id: str = "query_id", d_id: str = "doc_id", vec_col: str = "embedding",
                    block_rows: int | None = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
@@ -201,7 +219,8 @@ def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: fl
     doc block) pair emits its local top-k per query, and a ranked window
     (limited per group before the shuffle) merges them.  Nothing is
     broadcast, so the query side may be as large as the corpus.
-    Output: ``query_id, doc_id, rank (1-based), distance``."""
+    Distances are rounded to 12 decimals, so exact copies tie and are
+    ranked by id.  Output: ``query_id, doc_id, rank (1-based), distance``."""
     from pyspark.sql import Window
 
     nq, dim = (n_queries, 64) if n_queries is not None else size_of(queries, vec_col)
@@ -226,12 +245,13 @@ def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: fl
         parts_q, parts_d, parts_v = [], [], []
         qids = qs["id"].to_numpy()
         for i0, i1, s in sim_chunks(stack(qs["v"]), stack(ds["v"]), "cosine"):
-            dist = 1.0 - s
-            kk = min(k, dist.shape[1])
-            part = np.argpartition(dist, kk - 1, axis=1)[:, :kk]
-            parts_q.append(np.repeat(qids[i0:i1], kk))
-            parts_d.append(dids[part].ravel())
-            parts_v.append(np.take_along_axis(dist, part, axis=1).ravel())
+            # rounded so that equal vectors tie exactly (the matrix product may
+            # differ in the last bit by column position) and fall to the id order
+            dist = np.round(1.0 - s, 12)
+            r, c = topk_by_distance_then_id(dist, dids, k)
+            parts_q.append(qids[i0:i1][r])
+            parts_d.append(dids[c])
+            parts_v.append(dist[r, c])
         return pd.DataFrame({"query_id": np.concatenate(parts_q), "doc_id": np.concatenate(parts_d),
                              "distance": np.concatenate(parts_v)})
 

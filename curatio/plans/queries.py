@@ -282,7 +282,7 @@ def knn_i_q(spark, sf):
 @query("vector_topk", """
 WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 0),
 d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1.0 - list_cosine_similarity(q.v, d.v) AS distance
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(1.0 - list_cosine_similarity(q.v, d.v), 12) AS distance
       FROM q, d),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank
       FROM s WHERE distance <= 0.9)
@@ -761,3 +761,31 @@ FROM st7"""
 
 
 ORACLES["instruction_cleanup"] = _cleanup_sql()
+
+
+def _md5_embedding_sql(table_sql: str, id_col: str, text_col: str, dim: int = 64) -> str:
+    """Hashed-token embedding (portable MD5 buckets) as SQL over a table."""
+    return f"""(WITH src AS ({table_sql}),
+tk AS (SELECT {id_col} AS id, unnest(regexp_extract_all({text_col}, '\\S+')) AS t FROM src),
+cnt AS (SELECT id, (('0x' || substr(md5(t), 1, 8))::BIGINT % {dim}) AS j, count(*)::DOUBLE AS c FROM tk GROUP BY ALL),
+nrm AS (SELECT id, sqrt(sum(c * c)) AS n FROM cnt GROUP BY id),
+grid AS (SELECT s.{id_col} AS id, r.j FROM src s, (SELECT unnest(range({dim})) AS j) r)
+SELECT grid.id, list(coalesce(cnt.c, 0.0) / greatest(coalesce(nrm.n, 0.0), 1e-12) ORDER BY grid.j) AS v
+FROM grid LEFT JOIN cnt USING (id, j) LEFT JOIN nrm USING (id) GROUP BY grid.id)"""
+
+
+@query("benchmark_search", """
+WITH q AS """ + _md5_embedding_sql("SELECT item_id, text FROM benchmark", "item_id", "text") + """,
+d AS """ + _md5_embedding_sql("SELECT doc_id, text FROM documents", "doc_id", "text") + """,
+s AS (SELECT q.id AS item_id, d.id AS doc_id, round(1.0 - list_cosine_similarity(q.v, d.v), 12) AS distance FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id) AS rank FROM s)
+SELECT item_id, doc_id, rank::BIGINT AS rank, distance FROM r WHERE rank <= 3""")
+def benchmark_search_q(spark, sf):
+    """C11 over text: the 3 documents nearest to every benchmark item
+    (hashed-token embeddings, portable MD5 buckets; blocked top-k)."""
+    from ..operators.plugins import hashed_embedding
+    b = hashed_embedding(table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text",
+                         bucket_hash="md5").select("item_id", "embedding")
+    d = hashed_embedding(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text",
+                         bucket_hash="md5").select("doc_id", "embedding")
+    return SJ.bipartite_topk(b, d, 3, q_id="item_id", d_id="doc_id")

@@ -146,3 +146,14 @@ def test_kcenter_local_path_equals_distributed(spark, monkeypatch):
     monkeypatch.setattr(SEL, "KCENTER_LOCAL_MAX_ROWS", 10**9)
     seeded_dist = SEL.kcenter_greedy(emb, 3, "vec_id", seeds=[5, 9])
     assert [r.vec_id for r in seeded_local.orderBy("pick").collect()] == [r.vec_id for r in seeded_dist.orderBy("pick").collect()]
+
+
+def test_topk_ties_resolved_by_id(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    d = spark.createDataFrame([(9, [0.0, 1.0]), (5, [0.0, 1.0]), (3, [0.0, 1.0]), (7, [-1.0, 0.0])],
+                              "doc_id long, embedding array<double>")
+    for block in (1, 2, 100):
+        got = [r.doc_id for r in SJ.bipartite_topk(q, d, 2, block_rows=block).orderBy("rank").collect()]
+        assert got == [3, 5], (block, got)
+    r, c = SJ.topk_by_distance_then_id(np.array([[0.5, 0.5, 0.5, 0.1]]), np.array([9, 5, 3, 7]), 2)
+    assert sorted(np.array([9, 5, 3, 7])[c]) == [3, 7]
