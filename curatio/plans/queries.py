@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .registry import ORACLES, QUERIES, greedy_sql, query
+from .registry import ORACLES, greedy_sql, query
 from .selection import greedy_selection
 
 
