@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatio.sources.tables import table
 
-from . import quality
+from . import minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the boosted trees for every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", *quality.BASE, "base_failed", "kept", "score")
+
+
+@_query
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document (five words, similarity 0.75)."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
