@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatio.sources.tables import table
 
-from . import minhash, quality
+from . import minhash, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document (five words, similarity 0.75)."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier one holds, in strings of 50 bytes."""
+    return suffix.remove_earlier_copies(table(spark, sf_dir, "documents"), with_bytes=False)
