@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curatio.sources.tables import table
 
-from . import minhash, quality, suffix
+from . import minhash, packing, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,20 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that an earlier one holds, in strings of 50 bytes."""
     return suffix.remove_earlier_copies(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place in it."""
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), _vocabulary(BYTE_BPE), end_id=1)
+    digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digest)
