@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatio.sources.tables import table
 
-from . import minhash, packing, quality, suffix
+from . import byte_bpe, minhash, packing, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), _vocabulary(BYTE_BPE), end_id=1)
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digest)
+
+
+@_query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the rank file, and the bytes they decode to."""
+    import public_tokenizers
+
+    path = _vocabulary("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode_ids(ids, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
