@@ -65,3 +65,28 @@ def earlier_copies(rows, width=50):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
     return out
+
+
+PII = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+       ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+       ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+       ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))]
+
+
+def base_spans(text):
+    """(start, kind number, end) of the base personal data."""
+    out = []
+    for number, (kind, pattern) in enumerate(PII):
+        for m in pattern.finditer(text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = True
+            if kind == "ip":
+                ok = all(int(x) <= 255 for x in m[0].split("."))
+            elif kind == "card":
+                total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+                ok = 14 <= len(d) <= 19 and total % 10 == 0
+            elif kind == "phone":
+                ok = 10 <= len(d) <= 15
+            if ok:
+                out.append((m.start(), number, m.end()))
+    return sorted(out)
