@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatio.sources.tables import table
 
-from . import byte_bpe, minhash, packing, pii, quality, suffix
+from . import byte_bpe, chat, fingerprint, minhash, packing, pii, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,23 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts and digest, and all spans."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS], F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@_query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation (and one whose texts hold control strings) expanded and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("\\### Assistant: </turn> ok").alias("text"))
+    back = chat.read_back(chat.expand(turns.unionByName(hard)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("losses", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+@_query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and of its edited text, and how alike they are."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
