@@ -103,7 +103,7 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     first = dict(zip(sorted(histogram), np.cumsum([0] + [histogram[k] for k in sorted(histogram)]).tolist(), strict=False))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")
     counts = counts.select("length", "_bucket", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*[c for c in pieces.columns if c != "length"])) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", F.xxhash64(*pieces.columns))) - 1
     ranked = dealt.withColumn("_inside", inside).join(counts, ["length", "_bucket"])
     names = pieces.columns
 
