@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, shuffle_parts
@@ -38,7 +38,7 @@ from .suffix_core import GRAM, SPAN, WIDTH, anchors, repeated_starts
 from .words import U64, RangeHash, buffers, chunks, mix64
 
 HOT = 4096
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: one anchor as it travels; the six low bytes of the key are enough inside a partition
 ANCHOR = np.dtype([("key", "<u4"), ("key2", "<u2"), ("ctx", "<u8"), ("start", "<u4"), ("n", "u1")])
 SPANS = np.dtype([("start", "<u4"), ("end", "<u4")])
@@ -288,40 +288,59 @@ def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield _lists(c["doc"][i], c["tag"][i].astype(np.int64), s, True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stays of each text, and what was counted."""
-    for batch in batches:
-        for piece in chunks(batch, "text"):
-            cols = [[] for _ in range(5)]
-            for text, a, b in zip(*(piece.column(k).to_pylist() for k in ("text", "gone", "gone2")), strict=True):
-                raw = (text or "").encode()
-                x = np.frombuffer(b"".join([*(a or []), *(b or [])]), SPANS)
-                x = x[np.argsort(x["start"], kind="stable")]
-                s, e = merged(x["start"].astype(np.int64), x["end"].astype(np.int64))
-                if len(s):
-                    ends = [0, *e.tolist()]
-                    rest = b"".join(raw[p:q] for p, q in zip(ends, [*s.tolist(), len(raw)], strict=True))
-                else:
-                    rest = raw
-                for to, v in zip(cols, (len(raw), len(raw) - len(rest), len(s), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                    to.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc"), piece.column("tag")] + [pa.array(v, pa.int64()) for v in cols[:3]] + [pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())],
-                names=["doc", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+def _cut(give: str):
+    """What was counted of each text, with its kept bytes, its kept whole characters, or neither."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                counts, left = [[] for _ in range(4)], []
+                for text, a, b in zip(*(piece.column(k).to_pylist() for k in ("text", "gone", "gone2")), strict=True):
+                    raw = (text or "").encode()
+                    x = np.frombuffer(b"".join([*(a or []), *(b or [])]), SPANS)
+                    x = x[np.argsort(x["start"], kind="stable")]
+                    s, e = merged(x["start"].astype(np.int64), x["end"].astype(np.int64))
+                    rest = b"".join(raw[p:q] for p, q in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)) if len(s) else raw
+                    for to, v in zip(counts, (len(raw), len(raw) - len(rest), len(s), hashlib.sha256(rest).hexdigest()), strict=True):
+                        to.append(v)
+                    if give == "kept_bytes":
+                        left.append(rest)
+                    elif give == "kept_text":
+                        left.append(None if text is None else rest.decode("utf-8", "ignore"))
+                cols = [piece.column("doc"), piece.column("rest")] + [pa.array(v, pa.int64()) for v in counts[:3]] + [pa.array(counts[3], pa.string())]
+                names = ["doc", "rest", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if give:
+                    cols.append(pa.array(left, pa.binary() if give == "kept_bytes" else pa.string()))
+                    names.append(give)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+    return run
 
 
-def remove_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_bytes) kept_bytes of every row."""
-    base = pick(docs, doc=id_col, text=text_col).select("doc", F.hash("text").alias("tag"), "text")
+def _applied(docs: DataFrame, id_col: str, text_col: str, rest: Column, give: str) -> DataFrame:
+    """doc, rest, the counts and, if named, kept_bytes or kept_text; ``rest`` travels with each row."""
+    base = docs.select(F.col(id_col).alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"), rest.alias("rest"))
     parts = shuffle_parts(docs)
-    sent = base.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(_send_anchors(parts), SENT)
+    sent = base.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "tag", "text").mapInArrow(_send_anchors(parts), SENT)
     lists = sent.repartitionById(parts, F.col("part")).mapInArrow(_settle_anchors, LISTS)
     lists = materialize(lists.groupBy("doc", "tag").agg(F.collect_list("gone").alias("gone"), F.collect_list("asks").alias("asks")))
     # both uses of this join read the same shuffled texts
     known = base.join(lists, ["doc", "tag"], "left")
     more = (known.mapInArrow(_send_contexts(parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(_settle_contexts, LISTS)
             .groupBy("doc", "tag").agg(F.collect_list("gone").alias("gone2")))
-    out = known.join(more, ["doc", "tag"], "left").mapInArrow(
-        _cut, "doc long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
-    cols = [F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return out.select(*cols, *(["kept_bytes"] if with_bytes else []))
+    kind = base.schema["rest"].dataType.simpleString()
+    return known.join(more, ["doc", "tag"], "left").mapInArrow(
+        _cut(give), f"doc long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        + {"": "", "kept_bytes": ", kept_bytes binary", "kept_text": ", kept_text string"}[give])
+
+
+def remove_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_bytes) kept_bytes of every row."""
+    give = "kept_bytes" if with_bytes else ""
+    out = _applied(docs, id_col, text_col, F.lit(True), give)
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *([give] if give else []))
+
+
+def without_earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the kept bytes as text.  A character that loses some of its bytes goes with them; a null text stays null."""
+    others = [c for c in docs.columns if c != text_col]
+    out = _applied(docs, id_col, text_col, F.struct(*others), "kept_text")
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.{c}").alias(c) for c in docs.columns])
