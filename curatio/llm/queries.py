@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curatio.sources.tables import table
 
-from . import byte_bpe, chat, fingerprint, minhash, packing, pii, quality, suffix
+from . import byte_bpe, chat, compact, fingerprint, minhash, packing, pii, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch of every document and of its edited text, and how alike they are."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that nearly repeat a passage of an earlier document."""
+    return compact.near_duplicate_passages(table(spark, sf_dir, "documents")).withColumn(
+        "similarity", F.round(F.col("n_common") / F.col("n_union"), 6))
