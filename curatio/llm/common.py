@@ -37,3 +37,17 @@ def signed(x):
 
 def hex64(col) -> F.Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
+
+
+def range_starts(ids: DataFrame, column: str, parts: int) -> list[int]:
+    """First ids of about ``parts`` even ranges of a frame's non-null ids; at most ``parts`` longs come to the driver."""
+    dealt = ids.select(F.col(column).alias("id")).where("id IS NOT NULL").repartitionByRange(parts, "id")
+    return sorted(r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("id")).collect())
+
+
+def range_part(column: str, starts: list[int]) -> F.Column:
+    """1-based number of the range an id lies in: a coarse count, then a fine one."""
+    step = max(1, int(len(starts) ** 0.5))
+    fine, coarse = F.array(*[F.lit(x).cast("bigint") for x in starts]), F.array(*[F.lit(x).cast("bigint") for x in starts[::step]])
+    near = (F.size(F.filter(coarse, lambda x: x <= F.col(column))) - 1) * step
+    return near + F.size(F.filter(F.slice(fine, near + 1, F.lit(step)), lambda x: x <= F.col(column)))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shuffle_parts
+from .common import pick, range_part, range_starts, shuffle_parts
 
 SPLIT = r"\n|(?<=[.!?])\x20"
 BASE_THIRD, THIRD, LOAD, ROUNDS, TRIES = 4, 12, 8, 12, 8
@@ -131,17 +131,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, text, next_text: the next document in ascending id order, after the last the first."""
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     parts = 2 * shuffle_parts(docs)
-    ids = d.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id")
-    starts = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect())     # at most ``parts`` longs
+    starts = range_starts(d, "doc_id", parts)
     lone = d.where("doc_id IS NULL").withColumn("next_text", F.lit(""))
     if not starts:
         return lone
-    step = max(1, int(len(starts) ** 0.5))
-    fine, coarse = F.array(*[F.lit(x).cast("bigint") for x in starts]), F.array(*[F.lit(x).cast("bigint") for x in starts[::step]])
-    near = (F.size(F.filter(coarse, lambda x: x <= F.col("doc_id"))) - 1) * step
-    part = near + F.size(F.filter(F.slice(fine, near + 1, F.lit(step)), lambda x: x <= F.col("doc_id")))
-    d = d.where("doc_id IS NOT NULL").withColumn("part", part)
-    first = F.get(fine, F.col("part") - 1) == F.col("doc_id")
+    d = d.where("doc_id IS NOT NULL").withColumn("part", range_part("doc_id", starts))
+    first = F.get(F.array(*[F.lit(x).cast("bigint") for x in starts]), F.col("part") - 1) == F.col("doc_id")
     before = F.when(F.col("part") == 1, F.lit(len(starts))).otherwise(F.col("part") - 1)
     d = d.withColumn("to", F.explode(F.when(first, F.array(F.struct(F.lit(False).alias("tail"), F.col("part").alias("part")),
                                                            F.struct(F.lit(True).alias("tail"), before.alias("part"))))

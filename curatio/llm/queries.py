@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatio.session import checkpoint_dir
 from curatio.sources.tables import table
 
-from . import byte_bpe, chat, compact, fingerprint, minhash, packing, pii, quality, suffix
+from . import byte_bpe, chat, compact, fingerprint, minhash, packing, pii, quality, suffix, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that nearly repeat a passage of an earlier document."""
     return compact.near_duplicate_passages(table(spark, sf_dir, "documents")).withColumn(
         "similarity", F.round(F.col("n_common") / F.col("n_union"), 6))
+
+
+@_query
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to token files and read back from them."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), out, _vocabulary("word_bpe_49k.json"), end_id=2)
+    digest = F.crc32("ids").alias("ids_crc32")
+    return tokenfile.read_tokens(spark, out).select("doc_id", "start", "n_tokens", digest)
