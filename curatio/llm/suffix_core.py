@@ -106,17 +106,18 @@ def repeated_starts(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndar
     size = np.diff(off)
     right_len, left_len = np.minimum(size - at, WIDTH), at
     anchor = off[:-1] + at
-    last = max(len(buf) - 1, 0)
+    padded = np.concatenate([buf, np.zeros(WIDTH, np.uint8)])
+    forward = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)          # a view: no place is copied
+    backward = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf[::-1], np.zeros(SPAN, np.uint8)]), SPAN - 1)
 
-    def rows(first: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
-        i = np.arange(width)
-        r = buf[np.clip(first[:, None] + step * i, 0, last)]
-        r[i[None, :] >= length[:, None]] = 0
+    def rows(view: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        r = view[first]
+        r[np.arange(r.shape[1], dtype=np.uint8)[None, :] >= length[:, None].astype(np.uint8)] = 0
         return r
 
     reach = []
-    for first, length, width, step in ((anchor, right_len, WIDTH, 1), (anchor - 1, left_len, SPAN - 1, -1)):
-        r = rows(first, length, width, step)
+    for view, first, length in ((forward, anchor, right_len), (backward, len(buf) - anchor, left_len)):
+        r = rows(view, first, length)
         order = np.lexsort([length, *words_of(r)[::-1], key])
         lcp = common_prefix(r, order, length, key)
         best = np.zeros(len(key), np.int64)
@@ -131,7 +132,7 @@ def repeated_starts(key: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndar
     if not len(ctx):
         return ctx, win
     first = off[:-1][ctx] + win
-    r = buf[first[:, None] + np.arange(WIDTH)]
+    r = forward[first]
     order = np.lexsort([doc[ctx], *words_of(r)[::-1], key[ctx]])
     lcp = common_prefix(r, order, np.full(len(ctx), WIDTH), key[ctx])
     hit = order[previous_factors(lcp, doc[ctx][order]) >= WIDTH]
