@@ -42,7 +42,7 @@ def hex64(col) -> F.Column:
 def range_starts(ids: DataFrame, column: str, parts: int) -> list[int]:
     """First ids of about ``parts`` even ranges of a frame's non-null ids; at most ``parts`` longs come to the driver."""
     dealt = ids.select(F.col(column).alias("id")).where("id IS NOT NULL").repartitionByRange(parts, "id")
-    return sorted(r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("id")).collect())
+    return sorted(r["start"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("id").alias("start")).collect())
 
 
 def range_part(column: str, starts: list[int]) -> F.Column:
