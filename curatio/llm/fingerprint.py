@@ -45,7 +45,7 @@ def entries(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
         return (F.pmod(F.xxhash64(k, seed, F.lit(j)), F.lit(third)) + j * third).cast("int")
 
     return F.transform(keys, lambda k: F.struct(
-        k.alias("k"), check(k, seed).alias("h"), F.pmod(F.xxhash64(k, seed, F.lit(9)), blocks).cast("int").alias("b"),
+        F.pmod(F.xxhash64(k, seed, F.lit(9)), blocks).cast("int").alias("b"), k.alias("k"), check(k, seed).alias("h"),
         at(k, 0).alias("p0"), at(k, 1).alias("p1"), at(k, 2).alias("p2")))
 
 
@@ -70,8 +70,18 @@ def sketch(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(3 * third - 1)), lambda i: F.aggregate(
             F.filter(own, lambda e: in_cell(e, i)), zero, lambda cell, e: changed(cell, e, 1)))
 
-    return let(entries(keys, seed, blocks, third), lambda every: F.transform(
-        F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda b: let(F.filter(every, lambda e: e["b"] == b), cells)))
+    def blocks_of(every: Column) -> Column:
+        """Entries sorted by block: a block is a slice between its first and last place."""
+        places = F.transform(every, lambda e: e["b"])
+        return let(F.struct(every.alias("e"), places.alias("b"), F.reverse(places).alias("r")), lambda x: F.transform(
+            F.sequence(F.lit(0), blocks.cast("int") - 1), lambda b: let(own(x, b), cells)))
+
+    def own(x: Column, b: Column) -> Column:
+        first = F.array_position(x["b"], b).cast("int")
+        last = F.size(x["b"]) + 1 - F.array_position(x["r"], b).cast("int")
+        return F.when(first > 0, F.slice(x["e"], first, last - first + 1)).otherwise(F.slice(x["e"], 1, 0))
+
+    return let(F.array_sort(entries(keys, seed, blocks, third)), blocks_of)
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -89,14 +99,15 @@ def peeled(cells: Column, seed: Column, third: int) -> Column:
     def without(state: Column, out: Column) -> Column:
         left = let(signed(out), lambda es: F.transform(state["cells"], lambda x, i: F.aggregate(
             F.filter(es, lambda e: in_cell(e, i)), x, lambda cell, e: changed(cell, e, -e["c"]))))
-        return F.struct(left.alias("cells"), (state["n"] + F.size(out)).alias("n"))
+        return F.struct(left.alias("cells"), (state["n"] + F.size(out)).alias("n"), F.lit(True).alias("more"))
 
     def round_(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (check(x["k"], seed) == x["h"]))
         given = F.array_distinct(F.transform(pure, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"))))
-        return let(given, lambda out: F.when(F.size(out) > 0, without(state, out)).otherwise(state))
+        stuck = F.struct(state["cells"].alias("cells"), state["n"].alias("n"), F.lit(False).alias("more"))
+        return F.when(state["more"], let(given, lambda out: F.when(F.size(out) > 0, without(state, out)).otherwise(stuck))).otherwise(state)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), F.lit(0).alias("n")), round_)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), F.lit(0).alias("n"), F.lit(True).alias("more")), round_)
     return let(end, lambda e: F.when(~F.exists(e["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0)), e["n"]))
 
 
