@@ -305,16 +305,21 @@ def keyword_hits(c, keywords, lower: bool) -> Column:
 # ------------------------------------------------------------- judge output
 
 def parse_judge(c, strip_fence: bool = True, rate_key: str = "rate", reason_key: str = "reason") -> Column:
-    """struct(rate DOUBLE, reason STRING).  Valid JSON object with both
-    keys -> their values; anything else -> (-1, raw text).  ``strip_fence``
-    removes a surrounding markdown code fence first (the reference meant to
-    and did not: ``strip_fence=False`` reproduces it)."""
+    """struct(rate DOUBLE, reason STRING).  A text that is as a whole one
+    JSON object with both keys and a numeric rate gives their values; anything
+    else gives (-1, raw text).  ``strip_fence`` removes a surrounding markdown code fence
+    first (the reference meant to and did not: ``strip_fence=False`` reproduces it).
+
+    The text is parsed inside an array: text after the object, or a second
+    object, then breaks the array instead of being ignored."""
     raw = _c(c)
     body = F.regexp_replace(raw, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "") if strip_fence else raw
-    rate = F.get_json_object(body, f"$.{rate_key}")
-    reason = F.get_json_object(body, f"$.{reason_key}")
-    ok = F.trim(body).startswith("{") & rate.isNotNull() & reason.isNotNull()
-    return F.struct(F.when(ok, rate.try_cast("double")).otherwise(F.lit(-1.0)).alias("rate"),
+    only = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>",
+                       {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    entry = F.when((F.size(only) == 1) & F.ltrim(body).startswith("{"), F.get(only, F.lit(0)))
+    rate, reason = entry[rate_key].try_cast("double"), entry[reason_key]
+    ok = rate.isNotNull() & reason.isNotNull()
+    return F.struct(F.when(ok, rate).otherwise(F.lit(-1.0)).alias("rate"),
                     F.when(ok, reason).otherwise(raw).alias("reason"))
 
 

@@ -8,7 +8,7 @@ per record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,16 +21,22 @@ def read_keyword_files(spark: SparkSession, paths) -> DataFrame:
     that is not a JSON object raises (FAILFAST).  ``file_pos`` follows the
     order of ``paths``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    order = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)],
-                                  "file_name string, file_pos int")
-    raw = (spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file_name"),
-                                         F.col("_metadata.file_path").alias("_path")))
-    raw = raw.filter(F.trim("value") != "")
+    if len(set(paths)) != len(paths):
+        raise ValueError("a keyword file is listed twice")
     kw = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     bad = F.when(kw.isNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("value"))))
-    with_line = raw.withColumn("line_no", F.monotonically_increasing_id())
-    return (with_line.select("file_name", "line_no", F.coalesce(kw, bad.cast("map<string,string>")).alias("kw"))
-            .join(F.broadcast(order), "file_name"))
+    frames = []
+    for i, p in enumerate(paths):
+        raw = spark.read.text(p).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_at"),
+                                        F.monotonically_increasing_id().alias("_mid"))
+        # inside a split rows come in file order; splits are ordered by where they start
+        place = F.row_number().over(Window.partitionBy("file_name").orderBy("_at", "_mid")) - 1
+        raw = raw.withColumn("line_no", place.cast("long")).filter(F.trim("value") != "")
+        frames.append(raw.select("file_name", "line_no", F.coalesce(kw, bad.cast("map<string,string>")).alias("kw"), F.lit(i).alias("file_pos")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def required_key_report(records: DataFrame, key: str = "num") -> DataFrame:

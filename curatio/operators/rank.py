@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def global_rank(df: DataFrame, order_cols, rank_col: str = "rk",
-                checkpoint: bool = True) -> DataFrame:
+def global_rank(df: DataFrame, order_cols, rank_col: str = "rk") -> DataFrame:
     """0-based dense position of every row in ``order_cols`` order.
 
-    ``order_cols`` must define a total order (end it with a unique key)."""
-    s = (df.orderBy(*order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        # pin the partition ids so the offsets and the rows agree on re-run
-        s = cut_lineage(s)
+    ``order_cols`` must define a total order (end it with a unique key).  The
+    sorted rows are written out once, with their partition and place, so the
+    offsets and the numbered rows come from the same files whatever Spark
+    plans later.  Every column of ``df`` is written: pass the id and the sort
+    keys alone and join the rest back (``rank_ids``)."""
+    s = cut_lineage(df.orderBy(*order_cols)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -34,6 +34,15 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "rk",
             .drop("_pid", "_mid", "_off"))
 
 
+def rank_ids(df: DataFrame, id_col: str, order_cols, rank_col: str = "rk") -> DataFrame:
+    """``id_col`` and its position by rising ``order_cols`` (values, not sort orders), then id: only the id
+    and the keys are written."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    named = df.select(F.col(id_col).alias("_id"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    ranked = global_rank(named, [F.col(f"_k{i}") for i in range(len(keys))] + [F.col("_id")], rank_col)
+    return ranked.select(F.col("_id").alias(id_col), rank_col)
+
+
 def global_prefix_sum(df: DataFrame, order_cols, value_col: str, out_col: str = "prefix") -> DataFrame:
     """Inclusive running sum of ``value_col`` in ``order_cols`` order over the
     whole table.  Range-partitioned sort; each range partition (bounded by

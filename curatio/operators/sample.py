@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rank import global_rank
+from .rank import rank_ids
 
 
 def _hashed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -27,16 +27,17 @@ def sample_exact(df: DataFrame, id_col: str, size: int | None = None, share: flo
     k = size if size is not None else int(n * float(share))
     if k >= n:
         return df
-    r = global_rank(_hashed(df, id_col, seed), [F.col("_h"), F.col(id_col)], rank_col="_r")
-    return r.filter(F.col("_r") < k).drop("_h", "_r")
+    r = rank_ids(_hashed(df, id_col, seed), id_col, ["_h"], rank_col="_r")
+    return df.join(r.filter(F.col("_r") < k).select(id_col), id_col, "left_semi")
 
 
 def train_eval_split(df: DataFrame, id_col: str, train_share: float = 0.98, seed: int = 42) -> DataFrame:
     """seeded permutation, the first ``int(n * share)`` rows are train."""
     n = df.count()
     cut = int(n * train_share)
-    r = global_rank(_hashed(df, id_col, seed), [F.col("_h"), F.col(id_col)], rank_col="_r")
-    return r.withColumn("split", F.when(F.col("_r") < cut, F.lit("train")).otherwise(F.lit("eval"))).drop("_h", "_r")
+    r = rank_ids(_hashed(df, id_col, seed), id_col, ["_h"], rank_col="_r")
+    split = F.when(F.col("_r") < cut, F.lit("train")).otherwise(F.lit("eval"))
+    return df.join(r.select(id_col, split.alias("split")), id_col).select(*df.columns, "split")
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .rank import global_rank
-from .simjoin import DEFAULT_BLOCK_ROWS, n_blocks_for, sim_chunks, similarity, split_sides, stack, to_block_pairs
+from ..session import new_folder, stored
+from .rank import rank_ids
+from .simjoin import sim_chunks, stack
 
 
 # ---------------------------------------------------------------- thresholds
@@ -38,324 +38,144 @@ def score_histogram(df: DataFrame, col: str) -> DataFrame:
 
 # ------------------------------------------------------ greedy diverse filter
 
-_U, _N, _K, _D = 0, 1, 2, 3   # undecided, newly kept, kept, dropped
-
-
-def _round_kernel(tau: float, metric: str, chunk_rows: int | None = None):
-    """Per-row flags for one block pair, similarities computed in chunks of
-    left rows: ``kn`` similar to a newly kept row, ``hu`` similar to an
-    undecided row of an earlier batch, ``se`` similar to an earlier row of
-    the same batch."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, diag = split_sides(pdf)
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"id": [], "kn": [], "hu": [], "se": []})
-        ls, lb, lr = left["status"].to_numpy(), left["batch"].to_numpy(), left["rk"].to_numpy()
-        rs, rbt, rr = right["status"].to_numpy(), right["batch"].to_numpy(), right["rk"].to_numpy()
-        L = {f: np.zeros(len(left), dtype=bool) for f in ("kn", "hu", "se")}
-        R = {f: np.zeros(len(right), dtype=bool) for f in ("kn", "hu", "se")}
-        for i0, i1, s in sim_chunks(stack(left["v"]), stack(right["v"]), metric, chunk_rows):
-            h = s > tau
-            cb, cr, cs = lb[i0:i1, None], lr[i0:i1, None], ls[i0:i1, None]
-            # flags of the left rows (every right row seen in this chunk)
-            L["kn"][i0:i1] = (h & (rs == _N)[None, :]).any(1)
-            L["hu"][i0:i1] = (h & (rs == _U)[None, :] & (rbt[None, :] < cb)).any(1)
-            L["se"][i0:i1] = (h & (rbt[None, :] == cb) & (rr[None, :] < cr)).any(1)
-            if not diag:
-                # flags of the right rows, accumulated over chunks
-                R["kn"] |= (h & (cs == _N)).any(0)
-                R["hu"] |= (h & (cs == _U) & (cb < rbt[None, :])).any(0)
-                R["se"] |= (h & (cb == rbt[None, :]) & (cr < rr[None, :])).any(0)
-        parts = [pd.DataFrame({"id": left["id"].to_numpy(), **L})]
-        if not diag:
-            parts.append(pd.DataFrame({"id": right["id"].to_numpy(), **R}))
-        return pd.concat(parts, ignore_index=True)
-
-    return kernel
+#: bytes of vectors in one chunk of the scan; a chunk is all that the driver and a task hold at once
+CHUNK_BYTES = 8 << 20
 
 
-# Remainder bound for the sequential finish: at most this many rows, and
-# rows^2 * dim below REMAINDER_MAX_WORK (the work of one task).
-REMAINDER_MAX_ROWS = 4096
-REMAINDER_MAX_WORK = 2e10
-
-
-def _sequential_kernel(tau: float, metric: str):
-    """Exact sequential scan over one bounded group: rows with status N are
-    already kept; undecided rows are scanned batch by batch in rank order
-    (dropped if similar to a kept row or to an earlier row of their batch)."""
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rk")
-        seeds = pdf[pdf["status"] == _N]
-        todo = pdf[pdf["status"] == _U]
-        out_ids = [seeds["id"].to_numpy()]
-        out_st = [np.full(len(seeds), _K)]
-        if len(todo):
-            x = stack(todo["v"])
-            dim = x.shape[1]
-            kept = np.empty((len(seeds) + len(todo), dim))
-            nk = 0
-            if len(seeds):
-                kept[:len(seeds)] = stack(seeds["v"])
-                nk = len(seeds)
-            batches = todo["batch"].to_numpy()
-            status = np.full(len(todo), _D)
-            starts = np.flatnonzero(np.r_[True, batches[1:] != batches[:-1]])
-            ends = np.r_[starts[1:], len(todo)]
-            for a, b in zip(starts, ends):
-                blk = x[a:b]
-                bad = np.zeros(b - a, dtype=bool)
-                if nk:
-                    bad |= (similarity(blk, kept[:nk], metric) > tau).any(1)
-                if b - a > 1:
-                    bad |= np.tril(similarity(blk, blk, metric) > tau, -1).any(1)
-                keep = ~bad
-                status[a:b][keep] = _K
-                kk = int(keep.sum())
-                kept[nk:nk + kk] = blk[keep]
-                nk += kk
-            out_ids.append(todo["id"].to_numpy())
-            out_st.append(status)
-        return pd.DataFrame({"id": np.concatenate(out_ids), "status": np.concatenate(out_st).astype("int32")})
+def _hits_kernel(x: np.ndarray, batch: np.ndarray, tau: float, metric: str):
+    """Positions of chunk rows that a scanned row rules out: a kept row of an earlier batch, or any row of the same batch."""
+    def kernel(frames):
+        hit = np.zeros(len(x), bool)
+        for pdf in frames:
+            if len(pdf):
+                kept, other = pdf["kept"].to_numpy(), pdf["batch"].to_numpy()
+                for i0, i1, s in sim_chunks(x, stack(pdf["v"]), metric):
+                    mine = batch[i0:i1, None]
+                    may = np.where(other[None, :] == mine, True, kept[None, :] & (other[None, :] < mine))
+                    hit[i0:i1] |= ((s > tau) & may).any(1)
+        yield pd.DataFrame({"place": np.flatnonzero(hit).astype("int64")})
 
     return kernel
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def _settle(x: np.ndarray, batch: np.ndarray, out: np.ndarray, tau: float, metric: str) -> np.ndarray:
+    """Which rows of a chunk stay, scanned in order: ``out`` marks those already ruled out."""
+    keep = ~out
+    for i0, i1, s in sim_chunks(x, x, metric, 512):
+        near = s > tau
+        for i in range(i0, i1):
+            if keep[i]:
+                before = near[i - i0, :i]
+                keep[i] = not (before & (keep[:i] | (batch[:i] == batch[i]))).any()
+    return keep
 
 
 def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_size: int = 1,
                    id_col: str = "id", score_col: str = "final_score", vec_col: str = "embedding",
-                   metric: str = "cosine", block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                   max_rounds: int = 10_000,
-                   remainder_rows: int = REMAINDER_MAX_ROWS, trace: list | None = None,
-                   chunk_rows: int | None = None) -> DataFrame:
-    """F2/F3 score-first diversity filter, as rounds of a parallel greedy.
-
-    Sequential rule: scan rows by ``score desc, id``; row 0 is kept, each
-    later batch of ``batch_size`` rows keeps a row unless it is similar
-    (``> tau``) to a kept row of an earlier batch or to *any* earlier row of
-    its own batch; stop at ``data_size`` kept rows (-1 = all).
-
-    Rounds: a row that has an earlier-batch neighbour already kept is
-    dropped; one with no undecided earlier-batch neighbour is kept; the rest
-    wait.  Each round is one blocked pass over the undecided and the newly
-    kept rows that emits three flags per row (no edge list, so a dense
-    cluster costs compute but not shuffle).  Kept status depends only on
-    earlier rows, so the loop stops as soon as ``data_size`` rows before the
-    first undecided row are kept.  Result equals the sequential scan.
-
-    Tail: every kept row has been compared with every undecided row in the
-    round after it was kept, so once the undecided plus newly kept rows fit
-    a checked bound (``remainder_rows`` rows and rows^2*dim work) they are
-    finished by one exact sequential scan in a single group.  Small inputs
-    thus take one pass; large ones take rounds until the tail fits.
+                   metric: str = "cosine", chunk_rows: int | None = None) -> DataFrame:
+    """F2/F3 score-first diversity filter, as a scan of the ranked rows chunk by chunk.
 
-    Output: ``id_col, score_col, rk`` (priority position) and ``sel_rank``
-    (0-based order of selection).
-    """
-    base = scored.select(F.col(id_col).alias("id"), F.col(score_col).alias("score"),
-                         F.col(vec_col).alias("v"))
-    ranked = global_rank(base, [F.col("score").desc_nulls_last(), F.col("id").asc()])
-    batch = F.when(F.col("rk") == 0, F.lit(0)).otherwise(
-        F.lit(1) + F.floor((F.col("rk") - 1) / F.lit(batch_size))).cast("long")
-    ranked = ranked.withColumn("batch", batch)
-    # Rounds work on the active rows only (undecided + newly kept, with their
-    # vectors); rows decided in a round move to that round's settled frame.
-    active = ranked.select("id", "score", "rk", "batch", F.lit(_U).alias("status"), "v")
-    settled: list[DataFrame] = []
-    kernel = _round_kernel(tau, metric, chunk_rows)
-    first = active.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n_active, dim = first["n"], first["d"] or 1
-    n_undecided, first_undecided, kept_total = n_active, None, 0
-
-    import time as _time
-
-    t_prev = _time.perf_counter()
-    for rnd in range(max_rounds):
-        if n_active <= remainder_rows and float(n_active) ** 2 * dim <= REMAINDER_MAX_WORK:
-            fin = (active.select("id", "rk", "batch", "status", "v").withColumn("_g", F.lit(0))
-                   .groupBy("_g").applyInPandas(_sequential_kernel(tau, metric), "id long, status int")
-                   .withColumnRenamed("status", "_fin"))
-            settled.append(cut_lineage(active.join(fin, "id", "left").select(
-                "id", "score", "rk", F.coalesce(F.col("_fin"), F.col("status")).alias("status"))))
-            active, n_undecided = None, 0
-            if trace is not None:
-                trace.append({"round": rnd, "active": n_active, "undecided": 0, "new_kept": None,
-                              "sec": round(_time.perf_counter() - t_prev, 3), "sequential_tail": True})
-            break
-        src = to_block_pairs(active.select("id", "rk", "batch", "status", "v"), "id",
-                             n_blocks_for(n_active, block_rows, dim))
-        fl = (src.groupBy("_pair")
-              .applyInPandas(kernel, "id long, kn boolean, hu boolean, se boolean")
-              .groupBy("id").agg(F.max("kn").alias("kn"), F.max("hu").alias("hu"), F.max("se").alias("se")))
-        st = F.col("status")
-        new_status = (F.when(st == _N, F.lit(_K))
-                      .when(F.col("se") | F.col("kn"), F.lit(_D))
-                      .when(~F.col("hu"), F.lit(_N))
-                      .otherwise(F.lit(_U)))
-        # every round's output goes to the shared checkpoint folder: the next
-        # round and the settled frames read files, not a growing lineage
-        nxt = cut_lineage(active.join(fl, "id", "left")
-                          .select("id", "score", "rk", "batch", new_status.alias("status"), "v"))
-        stats = nxt.agg(F.sum((st == _U).cast("long")).alias("u"),
-                        F.min(F.when(st == _U, F.col("rk"))).alias("min_u"),
-                        F.sum((st == _N).cast("long")).alias("n"),
-                        F.sum((st == _K).cast("long")).alias("k")).first()
-        settled.append(nxt.filter(st.isin(_K, _D)).select("id", "score", "rk", "status"))
-        active = nxt.filter(st.isin(_U, _N))
-        n_undecided, first_undecided, n_new = stats["u"] or 0, stats["min_u"], stats["n"] or 0
-        kept_total += stats["k"] or 0
-        if trace is not None:
-            now = _time.perf_counter()
-            trace.append({"round": rnd, "active": n_active, "undecided": n_undecided, "new_kept": n_new,
-                          "sec": round(now - t_prev, 3)})
-            t_prev = now
-        if n_undecided == 0:
-            break
-        if data_size > -1 and kept_total + n_new >= data_size:
-            kept_now = _union(settled).filter(F.col("status") == _K).select("rk").unionByName(
-                active.filter(st == _N).select("rk"))
-            if kept_now.filter(F.col("rk") < first_undecided).count() >= data_size:
-                break
-        n_active = n_undecided + n_new
-    else:
-        raise RuntimeError("greedy_diverse did not converge")
-
-    kept = _union(settled).filter(F.col("status") == _K).select("id", "score", "rk")
-    if active is not None:
-        kept = kept.unionByName(active.filter(F.col("status") == _N).select("id", "score", "rk"))
-    # Rows before the first undecided one are final; after an early stop only
-    # they can be reported.
-    if data_size > -1 and n_undecided:
-        kept = kept.filter(F.col("rk") < F.lit(first_undecided))
-    # ``kept`` reads a materialised table, so the numbering is stable without
-    # another checkpoint.
-    out = global_rank(kept, [F.col("rk").asc()], rank_col="sel_rank", checkpoint=False)
-    if data_size > -1:
-        out = out.filter(F.col("sel_rank") < data_size)
-    return out.select(F.col("id").alias(id_col), F.col("score").alias(score_col), "rk", "sel_rank")
+    Rule: rows by ``score desc, id``; row 0 is kept, each later batch of
+    ``batch_size`` rows keeps a row unless it is similar (``> tau``) to a kept row
+    of an earlier batch or to *any* earlier row of its own batch; stop at
+    ``data_size`` kept rows (-1 = all).
 
+    Whether a row stays depends on earlier rows only.  A chunk (``CHUNK_BYTES``
+    of vectors, whatever the table's size) travels to the partitions of the rows
+    kept so far, which stay where they are and answer with the chunk rows they
+    rule out; the rest of the chunk is settled in rank order.  The work is rows
+    times kept rows, as in the sequential rule, and ends at ``data_size``.
 
-# ------------------------------------------------------------ k-center greedy
+    Output: ``id_col, score_col, rk`` (priority position) and ``sel_rank``
+    (0-based order of selection)."""
+    spark = scored.sparkSession
+    base = scored.select(F.col(id_col).alias("id"), F.col(score_col).cast("double").alias("score"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = base.schema["id"].dataType.simpleString()
+    # falling score as rising keys: NULL last, NaN first
+    order = rank_ids(base, "id", [F.col("score").isNull(), ~F.isnan("score"), -F.col("score")])
+    batch = F.when(F.col("rk") == 0, F.lit(0)).otherwise(F.lit(1) + F.floor((F.col("rk") - 1) / F.lit(batch_size))).cast("long")
+    ranked = stored(base.join(order, "id").withColumn("batch", batch).repartitionByRange("rk").sortWithinPartitions("rk"))
+    size = ranked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, dim = size["n"], size["d"] or 1
+    step = max(1, chunk_rows or CHUNK_BYTES // (8 * dim))
+    schema = f"id {kind}, score double, rk long, batch long, v array<double>, sel_rank long"
+    kept_path, n_kept, at = new_folder(spark), 0, 0
+    while at < n and (data_size < 0 or n_kept < data_size):
+        chunk = ranked.filter((F.col("rk") >= at) & (F.col("rk") < at + step)).toPandas().sort_values("rk", ignore_index=True)
+        x, b = stack(chunk["v"]), chunk["batch"].to_numpy()
+        scans = []
+        if n_kept:
+            scans.append(spark.read.schema(schema).parquet(kept_path).select("batch", "v", F.lit(True).alias("kept")))
+        opened = 0 if b[0] == 0 else 1 + (int(b[0]) - 1) * batch_size       # where the chunk's first batch began
+        if opened < at:
+            scans.append(ranked.filter((F.col("rk") >= opened) & (F.col("rk") < at)).select("batch", "v", F.lit(False).alias("kept")))
+        out = np.zeros(len(chunk), bool)
+        for scan in scans:
+            hits = scan.mapInPandas(_hits_kernel(x, b, tau, metric), "place long").distinct().toPandas()["place"].to_numpy()
+            out[hits.astype(np.int64)] = True
+        stays = chunk[_settle(x, b, out, tau, metric)].copy()
+        if data_size > -1:
+            stays = stays.head(data_size - n_kept)
+        if len(stays):
+            stays["sel_rank"] = np.arange(n_kept, n_kept + len(stays))
+            stays["v"] = [list(map(float, v)) for v in stays["v"]]
+            spark.createDataFrame(stays[["id", "score", "rk", "batch", "v", "sel_rank"]], schema).write.mode("append").parquet(kept_path)
+            n_kept += len(stays)
+        at += step
+    kept = spark.read.schema(schema).parquet(kept_path) if n_kept else spark.createDataFrame([], schema)
+    return kept.select(F.col("id").alias(id_col), F.col("score").alias(score_col), "rk", "sel_rank")
 
-# Inputs at most this large run all picks in one bounded group.
-KCENTER_LOCAL_MAX_ROWS = 65536
-KCENTER_LOCAL_MAX_CELLS = 10_000_000      # rows * dim
-
-
-def _fold_distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Euclidean distance summed component by component from 0.0, the same
-    order as the Spark expression (``aggregate(zip_with(..))``), so both
-    paths produce identical doubles and identical tie-breaks."""
-    acc = np.zeros(x.shape[0])
-    for d in range(x.shape[1]):
-        diff = x[:, d] - c[d]
-        acc = acc + diff * diff
-    return np.sqrt(acc)
-
-
-def _kcenter_local_kernel(n_picks: int, seeds, seed_id):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        x = stack(pdf["v"])
-        pos = {int(i): k for k, i in enumerate(ids)}
-        min_d = np.full(len(ids), np.nan)
-        picks: list[int] = []
-        if seeds:
-            picks = [int(p) for p in seeds]
-            for p in picks:
-                d = _fold_distance(x, x[pos[p]])
-                min_d = np.where(np.isnan(min_d), d, np.minimum(min_d, d))
-        for _ in range(n_picks):
-            if not picks:
-                nxt = int(seed_id if seed_id is not None else ids[0])
-            else:
-                m = np.nanmax(min_d)
-                if not m > 0.0:
-                    break
-                nxt = int(ids[int(np.nanargmax(min_d))])     # first maximum = lowest id
-            d = _fold_distance(x, x[pos[nxt]])
-            min_d = np.where(np.isnan(min_d), d, np.minimum(min_d, d))
-            picks.append(nxt)
-        return pd.DataFrame({"id": np.array(picks, dtype=np.int64), "pick": np.arange(len(picks), dtype=np.int64)})
 
-    return kernel
+# ------------------------------------------------------------ k-center greedy
 
 def kcenter_greedy(df: DataFrame, n_picks: int, id_col: str = "id", vec_col: str = "embedding",
-                   seeds=None, seed_id: int | None = None, checkpoint_every: int = 4) -> DataFrame:
+                   seeds=None, seed_id=None, checkpoint_every: int = 8) -> DataFrame:
     """F4 k-center greedy (Euclidean).
 
     Without ``seeds`` the first pick is ``seed_id`` (default: lowest id) and
     counts as one of ``n_picks``; with seeds, distances start from the
     seeds and ``n_picks`` new rows follow them.  Every pick is the row
-    farthest from its nearest centre, lowest id on ties: one ``max_by``
-    aggregate per round (partial aggregation, one row to the driver), then
-    the new centre is broadcast as a literal and folded into ``min_dist``.
-    Stops early if every row is already a centre (max distance 0).
+    farthest from its nearest centre, lowest id on ties: two partial
+    aggregates per round (one row to the driver each), then
+    the new centre is folded into ``min_dist`` as a literal.
+    Stops early if every row is already a centre (max distance 0); a seed
+    id that no row has is an error.
 
     Output: ``id_col, pick`` (0-based pick order; seeds first).
     """
     from ..functions.vectors import euclidean
 
     spark = df.sparkSession
-    src = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    size = src.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n_rows, dim = size["n"], size["d"] or 1
-    if n_rows <= KCENTER_LOCAL_MAX_ROWS and n_rows * dim <= KCENTER_LOCAL_MAX_CELLS:
-        # checked bound: every pick in one group, same arithmetic and ties
-        out = (src.withColumn("_g", F.lit(0)).groupBy("_g")
-               .applyInPandas(_kcenter_local_kernel(n_picks, seeds, seed_id), "id long, pick long"))
-        return out.select(F.col("id").alias(id_col), "pick")
-    cur = cut_lineage(src.withColumn("min_dist", F.lit(None).cast("double")))
-    picks: list[int] = []
-    if seeds:
-        picks = list(seeds)
-        seed_rows = cur.filter(F.col("id").isin(picks)).select("v").collect()
-        for r in seed_rows:
-            cur = cur.withColumn("min_dist", F.least("min_dist", euclidean(F.col("v"), F.lit(r["v"]))))
-        cur = cut_lineage(cur)
-        todo = n_picks
-    else:
-        if seed_id is None:
-            seed_id = cur.agg(F.min("id")).first()[0]
-        todo = n_picks
-    from pyspark import StorageLevel
-
-    held = []
-    for r in range(todo):
-        if not picks:
-            nxt = seed_id
-            centre = cur.filter(F.col("id") == nxt).select("v").first()["v"]
-        else:
-            # farthest row and its vector in one partial aggregate
-            best = cur.agg(F.max_by(F.struct("id", "min_dist", "v"),
-                                    F.struct(F.col("min_dist"), -F.col("id"))).alias("b")).first()["b"]
-            # ``cur`` is materialised now: older cached steps can go
-            for h in held[:-1]:
-                h.unpersist(blocking=False)
-            held = held[-1:]
-            if best is None or best["min_dist"] is None or best["min_dist"] <= 0.0:
-                break
-            nxt, centre = best["id"], best["v"]
-        cur = cur.withColumn("min_dist", F.least(F.col("min_dist"), euclidean(F.col("v"), F.lit(centre))))
-        picks.append(nxt)
-        if (r + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)          # bounded lineage in the shared folder
-            for h in held:
-                h.unpersist(blocking=False)
-            held = []
-        else:
-            cur = cur.persist(StorageLevel.MEMORY_AND_DISK)   # the next pick reads it once
-            held.append(cur)
-    for h in held:
-        h.unpersist(blocking=False)
-    order = spark.createDataFrame([(int(p), i) for i, p in enumerate(picks)], "id long, pick long")
-    # the result is the picked rows of the input (the pick list is n_picks rows)
-    return (df.select(F.col(id_col).alias("id")).join(F.broadcast(order), "id")
-            .select(F.col("id").alias(id_col), "pick"))
+    kind = df.schema[id_col].dataType.simpleString()
+    src = stored(df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
+    cur = src.withColumn("min_dist", F.lit(None).cast("double"))
+    picks: list = list(seeds or [])
+    if not picks:
+        first = F.min("id") if seed_id is None else F.min(F.when(F.col("id") == F.lit(seed_id), F.col("id")))
+        start = cur.agg(first).first()[0]
+        if start is None and seed_id is not None:
+            raise KeyError(f"no row has the seed id {seed_id!r}")
+        picks = [] if start is None or n_picks < 1 else [start]
+        n_picks -= 1
+    centres = {r["id"]: r["v"] for r in src.filter(F.col("id").isin(picks)).collect()} if picks else {}
+    if len(centres) < len(set(picks)):
+        raise KeyError(f"no row has the seed ids {sorted(set(picks) - set(centres))}")
+    for p in picks:
+        cur = cur.withColumn("min_dist", F.least("min_dist", euclidean(F.col("v"), F.lit(centres[p]))))
+    for r in range(n_picks if picks else 0):
+        if r % checkpoint_every == 0:
+            cur = stored(cur)          # bounded lineage, distances in the shared folder
+        best = _farthest(cur)
+        if best is None or best["min_dist"] is None or best["min_dist"] <= 0.0:
+            break
+        picks.append(best["id"])
+        cur = cur.withColumn("min_dist", F.least("min_dist", euclidean(F.col("v"), F.lit(best["v"]))))
+    return spark.createDataFrame([(p, i) for i, p in enumerate(picks)], f"`{id_col}` {kind}, pick long")
+
+
+def _farthest(cur: DataFrame):
+    """The row with the largest ``min_dist``, of those the lowest id: one partial aggregate, one row."""
+    far = cur.agg(F.max("min_dist")).first()[0]
+    if far is None:
+        return None
+    return cur.filter(F.col("min_dist") == F.lit(far)).agg(F.min(F.struct("id", "min_dist", "v")).alias("b")).first()["b"]

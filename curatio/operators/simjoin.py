@@ -59,13 +59,13 @@ def sim_chunks(a: np.ndarray, b: np.ndarray, metric: str, chunk: int | None = No
 def to_block_pairs(df: DataFrame, id_col: str, n_blocks: int) -> DataFrame:
     """Adds ``_pair`` (group key), ``_side`` (0 = lower block) and ``_diag``."""
     if n_blocks == 1:
-        return df.withColumn("_pair", F.lit(0)).withColumn("_side", F.lit(0)).withColumn("_diag", F.lit(True))
+        return df.withColumn("_pair", F.lit(0).cast("long")).withColumn("_side", F.lit(0)).withColumn("_diag", F.lit(True))
     blk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int")
     d = (df.withColumn("_blk", blk)
          .withColumn("_oth", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
     lo = F.least("_blk", "_oth")
     hi = F.greatest("_blk", "_oth")
-    return (d.withColumn("_pair", lo * F.lit(n_blocks) + hi)
+    return (d.withColumn("_pair", lo.cast("long") * F.lit(n_blocks) + hi)
             .withColumn("_side", (F.col("_blk") != lo).cast("int"))
             .withColumn("_diag", lo == hi)
             .drop("_blk", "_oth"))
@@ -82,12 +82,15 @@ def l2_normalise(m: np.ndarray) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """cosine similarity, or Manhattan *distance* (compared with the same
-    ``> tau`` rule as the reference, which keeps far rows apart: a kept quirk)."""
+def similarity(a: np.ndarray, b: np.ndarray, metric: str, normalise: bool = True) -> np.ndarray:
+    """cosine similarity, or Manhattan *distance* of the rows scaled to length 1
+    (``normalise=False``: as they are), compared with the same ``> tau`` rule as
+    the reference, which keeps far rows apart: a kept quirk."""
     if metric == "cosine":
         return l2_normalise(a) @ l2_normalise(b).T
     if metric == "manhattan":
+        if normalise:
+            a, b = l2_normalise(a), l2_normalise(b)
         out = np.empty((a.shape[0], b.shape[0]))
         step = max(1, 2_000_000 // max(1, b.shape[0] * max(1, a.shape[1])))
         for i in range(0, a.shape[0], step):
@@ -110,12 +113,12 @@ def split_sides(pdf: pd.DataFrame):
 
 def similar_pairs(df: DataFrame, tau: float, id_col: str = "id", vec_col: str = "embedding",
                   metric: str = "cosine", block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                  n_rows: int | None = None, chunk_rows: int | None = None) -> DataFrame:
+                  chunk_rows: int | None = None) -> DataFrame:
     """Every unordered pair ``(id_a < id_b)`` with similarity ``> tau``.
 
     The output is the answer (its size is the number of hits); NaN
     similarities (zero vectors) are never hits."""
-    n, dim = (n_rows, 64) if n_rows is not None else size_of(df, vec_col)
+    n, dim = size_of(df, vec_col)
     src = to_block_pairs(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id",
                          n_blocks_for(n, block_rows, dim))
 
@@ -142,7 +145,7 @@ def similar_pairs(df: DataFrame, tau: float, id_col: str = "id", vec_col: str =
 
 
 def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embedding",
-                 block_rows: int | None = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS,
                  chunk_rows: int | None = None) -> DataFrame:
     """Euclidean distance from each row to its i-th nearest neighbour,
     the row itself being the 0-th (so ``i = 0`` gives 0).
@@ -153,7 +156,7 @@ def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embe
     from pyspark.sql import Window
 
     k = i + 1
-    n, dim = (n_rows, 64) if n_rows is not None else size_of(df, vec_col)
+    n, dim = size_of(df, vec_col)
     src = to_block_pairs(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id",
                          n_blocks_for(n, block_rows, dim))
 
@@ -191,27 +194,23 @@ def knn_distance(df: DataFrame, i: int, id_col: str = "id", vec_col: str = "embe
 
 
 def topk_by_distance_then_id(dist: np.ndarray, col_ids: np.ndarray, k: int):
-    """Per row, the ``k`` columns with the smallest (distance, id): all
-    entries strictly below the k-th distance, then the tied entries in id
-    order.  ``argpartition`` alone would keep an arbitrary subset of ties."""
+    """Per row, the ``k`` columns with the smallest (distance, id), as (rows, columns).
+
+    NaN distances (zero vectors) are never hits.  One sort over all entries not
+    beyond their row's k-th distance settles the ties of all rows at once."""
+    dist = np.where(np.isnan(dist), np.inf, dist)
     kk = min(k, dist.shape[1])
     kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
-    rows, cols = [], []
-    for r in range(dist.shape[0]):
-        below = np.flatnonzero(dist[r] < kth[r, 0])
-        tied = np.flatnonzero(dist[r] == kth[r, 0])
-        if len(below) + len(tied) > kk:
-            tied = tied[np.argsort(col_ids[tied], kind="stable")[:kk - len(below)]]
-        pick = np.concatenate([below, tied])
-        rows.append(np.full(len(pick), r))
-        cols.append(pick)
-    return np.concatenate(rows), np.concatenate(cols)
+    rows, cols = np.nonzero((dist <= kth) & np.isfinite(dist))
+    order = np.lexsort((col_ids[cols], dist[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    return rows[place < kk], cols[place < kk]
 
 
 def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: float | None = None,
                    q_id: str = "query_id", d_id: str = "doc_id", vec_col: str = "embedding",
-                   block_rows: int | None = DEFAULT_BLOCK_ROWS, n_queries: int | None = None,
-                   n_docs: int | None = None) -> DataFrame:
+                   block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """C11: for every query vector the ``k`` nearest documents by cosine
     distance (``1 - cos``), optionally only those with distance ``<= max_distance``.
 
@@ -223,8 +222,8 @@ def bipartite_topk(queries: DataFrame, docs: DataFrame, k: int, max_distance: fl
     ranked by id.  Output: ``query_id, doc_id, rank (1-based), distance``."""
     from pyspark.sql import Window
 
-    nq, dim = (n_queries, 64) if n_queries is not None else size_of(queries, vec_col)
-    nd = n_docs if n_docs is not None else docs.count()
+    nq, dim = size_of(queries, vec_col)
+    nd = docs.count()
     bq, bd = n_blocks_for(nq, block_rows, dim), n_blocks_for(nd, block_rows, dim)
     q = (queries.select(F.col(q_id).alias("id"), F.col(vec_col).alias("v"))
          .withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(bq)))

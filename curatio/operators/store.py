@@ -17,35 +17,47 @@ def _null_safe_on(a: DataFrame, b: DataFrame, keys) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def insert_if_absent(table: DataFrame, batch: DataFrame, keys) -> DataFrame:
-    """Rows of ``batch`` whose ``keys`` match no row of ``table``
-    (NULL matches NULL) are appended; matching rows are left as they are
-    (the reference's update branch rewrites the same values).  The batch is
-    de-duplicated on ``keys`` first.  Returns the new table."""
+def absent_rows(table: DataFrame, batch: DataFrame, keys) -> DataFrame:
+    """Rows of ``batch``, one per ``keys``, whose keys match no row of
+    ``table`` (NULL matches NULL), in the table's columns."""
     keys = list(keys)
     b = batch.dropDuplicates(keys)
     new = b.alias("b").join(table.alias("t"), _null_safe_on(b.alias("b"), table.alias("t"), keys), "left_anti")
-    return table.unionByName(new.select(*table.columns), allowMissingColumns=False)
+    return new.select(*table.columns)
+
+
+def insert_if_absent(table: DataFrame, batch: DataFrame, keys) -> DataFrame:
+    """The table with the absent rows of ``batch`` after it; matching
+    rows are left as they are (the reference's update branch rewrites the
+    same values)."""
+    return table.unionByName(absent_rows(table, batch, keys))
 
 
 def delete_by(table: DataFrame, victims: DataFrame, keys, first_only: bool = False,
               id_col: str = "id") -> DataFrame:
-    """Remove rows matching ``victims`` on ``keys``; with ``first_only``
-    only the lowest ``id_col`` per match is removed.  Absent keys are fine."""
+    """Remove rows matching ``victims`` on ``keys`` (NULL matches NULL); with
+    ``first_only`` only the lowest ``id_col`` per match is removed.  Absent keys are fine."""
     keys = list(keys)
+    t, v = table.alias("t"), victims.select(*keys).distinct().alias("v")
+    match = _null_safe_on(t, v, keys)
     if first_only:
-        hit = table.join(victims.select(*keys).distinct(), keys, "left_semi")
-        victims_ids = hit.groupBy(*keys).agg(F.min(id_col).alias(id_col)).select(id_col)
-        return table.join(victims_ids, id_col, "left_anti")
-    return table.alias("t").join(victims.alias("v"), _null_safe_on(table.alias("t"), victims.alias("v"), keys), "left_anti")
+        first = t.join(v, match, "left_semi").groupBy(*keys).agg(F.min(id_col).alias(id_col)).select(id_col)
+        return table.join(first, id_col, "left_anti")
+    return t.join(v, match, "left_anti")
 
 
 def update_by_id(table: DataFrame, updates: DataFrame, id_col: str = "id",
-                 time_col: str | None = "update_time") -> DataFrame:
+                 time_col: str | None = "update_time", order_col: str | None = None) -> DataFrame:
     """Partial update by id; columns of ``updates`` unknown to the
-    table are ignored, NULL in ``updates`` means "leave as is"."""
-    cols = [c for c in updates.columns if c in table.columns and c != id_col]
-    u = updates.select(id_col, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
+    table are ignored, NULL in ``updates`` means "leave as is".
+
+    Several updates of one id become one: by column, the last non-NULL value in
+    ``order_col`` order (default: the greatest value, so the result never
+    depends on row order).  Ids the table lacks: see ``missing_ids``."""
+    cols = [c for c in updates.columns if c in table.columns and c not in (id_col, order_col)]
+    by = F.col(order_col) if order_col else None
+    last = [(F.max_by(c, F.when(F.col(c).isNotNull(), by)) if order_col else F.max(c)).alias(f"_new_{c}") for c in cols]
+    u = updates.groupBy(id_col).agg(F.lit(True).alias("_hit"), *last)
     j = table.join(u, id_col, "left")
     out = []
     for c in table.columns:
@@ -58,6 +70,11 @@ def update_by_id(table: DataFrame, updates: DataFrame, id_col: str = "id",
     return j.select(*out)
 
 
+def missing_ids(table: DataFrame, updates: DataFrame, id_col: str = "id") -> DataFrame:
+    """The ids of ``updates`` that no row of the table has."""
+    return updates.select(id_col).distinct().join(table.select(id_col), id_col, "left_anti")
+
+
 def keyword_search(df: DataFrame, col: str, keywords, escape: bool = False) -> DataFrame:
     """Case-insensitive substring match of any keyword.  ``%`` and
     ``_`` inside a keyword stay wildcards (as in the reference) unless
@@ -81,6 +98,12 @@ def exists_ci(df: DataFrame, probes: DataFrame, col: str) -> DataFrame:
     return probes.join(t, F.lower(probes[col]) == t["_k"], "left_semi")
 
 
+def exists_like(df: DataFrame, col: str, text: str) -> DataFrame:
+    """One row ``(found)``: whether some row matches ``text`` case-insensitively,
+    with ``%`` and ``_`` in ``text`` as wildcards."""
+    return df.agg(F.coalesce(F.bool_or(F.col(col).ilike(text)), F.lit(False)).alias("found"))
+
+
 def with_audit(df: DataFrame, user: str | None = None, id_col: str = "id") -> DataFrame:
     """Audit columns on new rows: ``create_time``/``update_time`` now
     (UTC session time zone), ``create_by``/``update_by``; an ``id`` is added

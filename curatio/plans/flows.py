@@ -114,8 +114,7 @@ class IndicatorFlow(Flow):
         i = self.params.get("knn_i", 3)
         emb = hashed_embedding(docs.select(id_col, text_col), id_col, text_col, self.params.get("dim", 64))
         # row count from the source scan (parquet metadata), not from the embeddings
-        knn = knn_distance(emb.select(id_col, "embedding"), i, id_col=id_col, vec_col="embedding",
-                           n_rows=docs.count())
+        knn = knn_distance(emb.select(id_col, "embedding"), i, id_col=id_col, vec_col="embedding")
         from ..session import spread
         main = spread(docs).select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
         return main.join(knn, id_col, "left")

@@ -24,17 +24,24 @@ def _paths(p):
 
 
 def is_json_array(spark: SparkSession, path: str) -> bool:
-    """First non-space character of the first file is ``[``."""
-    first = (spark.read.text(_paths(path)[0]).select(F.ltrim("value").alias("v"))
+    """First non-space character of a file is ``[``."""
+    first = (spark.read.text(path).select(F.ltrim("value").alias("v"))
              .filter(F.col("v") != "").limit(1).collect())
     return bool(first) and first[0]["v"].startswith("[")
 
 
 def read_json_records(spark: SparkSession, path, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    """A1/A2/A3: one JSON array per file or JSON lines, sniffed; a list of
-    paths is read as one set (UNION ALL, G1)."""
-    multi = is_json_array(spark, path)
-    return spark.read.schema(schema).option("multiLine", multi).option("mode", mode).json(_paths(path))
+    """A1/A2/A3: one JSON array per file or JSON lines; a list of paths is read
+    as one set (UNION ALL, G1), each path by its own kind."""
+    kinds: dict[bool, list[str]] = {}
+    for p in _paths(path):
+        kinds.setdefault(is_json_array(spark, p), []).append(p)
+    frames = [spark.read.schema(schema).option("multiLine", multi).option("mode", mode).json(some)
+              for multi, some in sorted(kinds.items())]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def read_dialogues(spark: SparkSession, path) -> DataFrame:

@@ -10,29 +10,29 @@ the restart point.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import insert_if_absent
+from ..operators.store import absent_rows
 
 RAW_DIALOG_SCHEMA = "message array<struct<role: string, content: string>>, turn int"
 
 
 def _read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stored rows; a table that does not exist yet is empty, any other failure is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001  (table not created yet)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def upsert_batch(spark: SparkSession, batch: DataFrame, table_path: str, keys, schema: str) -> None:
     """Append the rows of ``batch`` not yet in the table (null-safe on
     ``keys``).  Idempotent, so a replayed micro-batch writes nothing."""
-    cur = _read_table(spark, table_path, schema)
-    merged = insert_if_absent(cur, batch, keys)
-    # rows of ``merged`` that are not in ``cur`` are exactly the new ones
-    new = merged.join(cur, list(keys), "left_anti") if cur.columns else merged
-    new.write.mode("append").parquet(table_path)
+    absent_rows(_read_table(spark, table_path, schema), batch, keys).write.mode("append").parquet(table_path)
 
 
 def dialog_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint_location: str,

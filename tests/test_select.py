@@ -27,21 +27,21 @@ def sel_ids(df):
     return [r.id for r in df.orderBy("sel_rank").collect()]
 
 
-@pytest.mark.parametrize("rem", [0, 4096])
-def test_f2_batch1_keeps_rows_1_and_3(chain, rem):
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, remainder_rows=rem)) == [1, 3]
+@pytest.mark.parametrize("rows", [None, 1, 2])
+def test_f2_batch1_keeps_rows_1_and_3(chain, rows):
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, chunk_rows=rows)) == [1, 3]
 
 
-@pytest.mark.parametrize("rem", [0, 4096])
-def test_f3_batch2_drops_row_3_with_its_batch_mate(chain, rem):
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, batch_size=2, remainder_rows=rem)) == [1]
+@pytest.mark.parametrize("rows", [None, 1, 2])
+def test_f3_batch2_drops_row_3_with_its_batch_mate(chain, rows):
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, batch_size=2, chunk_rows=rows)) == [1]
 
 
-@pytest.mark.parametrize("rem", [0, 4096])
-def test_f2_data_size(chain, rem):
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=0, remainder_rows=rem)) == []
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=1, remainder_rows=rem)) == [1]
-    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=-1, remainder_rows=rem)) == [1, 3]
+@pytest.mark.parametrize("rows", [None, 1, 2])
+def test_f2_data_size(chain, rows):
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=0, chunk_rows=rows)) == []
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=1, chunk_rows=rows)) == [1]
+    assert sel_ids(SEL.greedy_diverse(chain, tau=0.9, data_size=-1, chunk_rows=rows)) == [1, 3]
 
 
 def _sequential(ids, scores, m, tau, batch):
@@ -57,31 +57,26 @@ def _sequential(ids, scores, m, tau, batch):
     return [ids[i] for i in kept]
 
 
-@pytest.mark.parametrize("tau,batch,block,rem,chunk", [(0.2, 1, 2048, 0, None), (0.3, 3, 2048, 0, 7),
-                                                        (0.25, 1, 64, 0, 5), (0.2, 1, 2048, 4096, None),
-                                                        (0.3, 3, 64, 4096, None), (0.2, 2, 64, 300, 9)])
-def test_greedy_equals_sequential_scan(spark, tau, batch, block, rem, chunk):
+@pytest.mark.parametrize("tau,batch,chunk", [(0.2, 1, None), (0.3, 3, 7), (0.25, 1, 64), (0.2, 2, 33), (0.3, 40, 16), (0.3, 5, 1)])
+def test_greedy_equals_sequential_scan(spark, tau, batch, chunk):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
-    rows = emb.select("vec_id", "embedding").collect()
+    rows = emb.select("vec_id", "embedding").limit(60 if chunk == 1 else 500).collect()
     rng = np.random.default_rng(7)
     scores = rng.integers(0, 50, len(rows)).astype(float)   # many ties: id breaks them
     ids = [r.vec_id for r in rows]
     m = np.array([r.embedding for r in rows], dtype=float)
     df = vecs(spark, [(i, float(s), [float(v) for v in r.embedding]) for i, s, r in zip(ids, scores, rows)])
-    trace = []
-    got = sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, block_rows=block, remainder_rows=rem,
-                                     trace=trace, chunk_rows=chunk))
-    if rem == 300:      # rounds first, then the sequential tail
-        assert len(trace) > 1 and trace[-1].get("sequential_tail")
-    assert got == _sequential(ids, scores, m, tau, batch)
+    want = _sequential(ids, scores, m, tau, batch)
+    assert sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, chunk_rows=chunk)) == want
+    assert sel_ids(SEL.greedy_diverse(df, tau=tau, batch_size=batch, chunk_rows=chunk, data_size=5)) == want[:5]
 
 
 def test_greedy_result_has_no_close_pair_and_is_maximal(spark):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select(
         F.col("vec_id").alias("id"), F.lit(1.0).alias("final_score"), "embedding")
-    kept = set(sel_ids(SEL.greedy_diverse(emb, tau=0.3, block_rows=100, remainder_rows=0)))
+    kept = set(sel_ids(SEL.greedy_diverse(emb, tau=0.3, chunk_rows=100)))
     pairs = SJ.similar_pairs(emb, 0.3, block_rows=100).collect()
     assert not any(p.id_a in kept and p.id_b in kept for p in pairs)
     nbrs = {}
@@ -135,17 +130,50 @@ def test_d1_histogram_and_thresholds(spark):
     assert [r.reward_score for r in SEL.below(t, 2.0).collect()] == [1.0]
 
 
-def test_kcenter_local_path_equals_distributed(spark, monkeypatch):
+def test_kcenter_equals_a_plain_scan(spark):
     from conftest import SF_SMALL
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
-    local = [r.vec_id for r in SEL.kcenter_greedy(emb, 12, "vec_id").orderBy("pick").collect()]
-    monkeypatch.setattr(SEL, "KCENTER_LOCAL_MAX_ROWS", 0)
-    dist = [r.vec_id for r in SEL.kcenter_greedy(emb, 12, "vec_id").orderBy("pick").collect()]
-    assert local == dist and len(local) == 12
-    seeded_local = SEL.kcenter_greedy(emb, 3, "vec_id", seeds=[5, 9])
-    monkeypatch.setattr(SEL, "KCENTER_LOCAL_MAX_ROWS", 10**9)
-    seeded_dist = SEL.kcenter_greedy(emb, 3, "vec_id", seeds=[5, 9])
-    assert [r.vec_id for r in seeded_local.orderBy("pick").collect()] == [r.vec_id for r in seeded_dist.orderBy("pick").collect()]
+    rows = emb.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], dtype=float)
+    picks, far = [5, 9], np.minimum(*(np.sqrt(((x - x[i]) ** 2).sum(1)) for i in (5, 9)))
+    for _ in range(3):
+        picks.append(int(far.argmax()))
+        far = np.minimum(far, np.sqrt(((x - x[picks[-1]]) ** 2).sum(1)))
+    got = [r.vec_id for r in SEL.kcenter_greedy(emb, 3, "vec_id", seeds=[rows[5].vec_id, rows[9].vec_id]).orderBy("pick").collect()]
+    assert got == [rows[i].vec_id for i in picks]
+
+
+def test_kcenter_takes_any_id_type_and_refuses_unknown_seeds(spark):
+    df = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [9.0])], "id string, embedding array<double>")
+    assert [r.id for r in SEL.kcenter_greedy(df, 2).orderBy("pick").collect()] == ["a", "c"]
+    with pytest.raises(KeyError):
+        SEL.kcenter_greedy(df, 2, seed_id="z")
+    with pytest.raises(KeyError):
+        SEL.kcenter_greedy(df, 2, seeds=["a", "z"])
+
+
+def test_a_zero_vector_hides_no_neighbour(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    d = spark.createDataFrame([(2, [1.0, 0.0]), (3, [0.0, 0.0])], "doc_id long, embedding array<double>")
+    assert [(r.doc_id, r.rank) for r in SJ.bipartite_topk(q, d, 2).collect()] == [(2, 1)]
+
+
+def test_manhattan_scales_rows_by_default():
+    a = np.array([[1.0, 0.0], [0.0, 2.0]])
+    assert SJ.similarity(a[:1], 3 * a[:1], "manhattan")[0, 0] == 0 and SJ.similarity(a[:1], 3 * a[:1], "manhattan", normalise=False)[0, 0] == 2
+
+
+def test_global_rank_is_dense_whatever_aqe_merges(spark):
+    from curatio.operators.rank import global_rank
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        df = spark.range(400_000).select("id", (F.col("id") * 7919 % 400_009).alias("k"), F.lit("x" * 20).alias("wide"))
+        r = global_rank(df, ["k", "id"])
+        assert r.agg(F.count("rk"), F.count_distinct("rk"), F.min("rk"), F.max("rk")).first() == (400_000, 400_000, 0, 399_999)
+        want = df.toPandas().sort_values(["k", "id"])["id"].tolist()
+        assert r.select("id", "rk").toPandas().sort_values("rk")["id"].tolist() == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_topk_ties_resolved_by_id(spark):
