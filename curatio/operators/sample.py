@@ -45,6 +45,11 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     return _hashed(df, id_col, seed).orderBy("_h", id_col).drop("_h")
 
 
+def shuffle_positions(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """``(id_col, place)``, each row's 0-based position in the seeded shuffle."""
+    return rank_ids(_hashed(df, id_col, seed), id_col, ["_h"], rank_col="place")
+
+
 def first_rows(df: DataFrame, n: int, id_col: str) -> DataFrame:
     """The first ``n`` rows by id (a top-n report)."""
     return df.orderBy(id_col).limit(n)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from ..functions import text as T  # noqa: E402
 from ..operators import dialogs as DG  # noqa: E402
 from ..operators import select as SEL  # noqa: E402
-from ..operators.rank import global_rank  # noqa: E402
+from ..operators.rank import rank_ids  # noqa: E402
 from ..sources.tables import table  # noqa: E402
 from .registry import SQL_PAIRS, SQL_POSITIONS, SQL_SCORED  # noqa: E402
 
@@ -84,7 +84,8 @@ FROM sc""")
 def final_score_q(spark, sf):
     """D2 + F1: final score and its priority position (score desc, id)."""
     from .selection import scored_dialogs
-    return global_rank(scored_dialogs(spark, sf), [F.col("final_score").desc(), F.col("conv_id")])
+    scored = scored_dialogs(spark, sf)
+    return scored.join(rank_ids(scored, "conv_id", [-F.col("final_score")]), "conv_id")
 
 
 # ------------------------------------------------------ reward thresholds
@@ -407,7 +408,29 @@ def dataset_stats_q(spark, sf):
                    F.avg("n_tgt").alias("avg_target_tokens")).select(F.lit("train").alias("split"), "*")
 
 
-@query("mtld")
+MTLD_SQL = """
+WITH RECURSIVE toks AS (SELECT doc_id, lang, regexp_extract_all(text, '\\S+') AS w FROM documents),
+tk AS (SELECT doc_id, 0 AS dir, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM toks
+       UNION ALL SELECT doc_id, 1, unnest(list_reverse(w)), generate_subscripts(w, 1) - 1 FROM toks),
+pv AS (SELECT doc_id, dir, pos, coalesce(lag(pos) OVER (PARTITION BY doc_id, dir, t ORDER BY pos), -1) AS prev FROM tk),
+f(doc_id, dir, s, k) AS (
+  SELECT DISTINCT doc_id, dir, 0::BIGINT, 0::BIGINT FROM pv
+  UNION ALL
+  SELECT doc_id, dir, min(pos) + 1, k + 1 FROM (
+    SELECT f.doc_id, f.dir, f.k, pv.pos, pv.pos - f.s + 1 AS n,
+           sum(CASE WHEN pv.prev < f.s THEN 1 ELSE 0 END) OVER (PARTITION BY f.doc_id, f.dir ORDER BY pv.pos) AS types
+    FROM f JOIN pv ON pv.doc_id = f.doc_id AND pv.dir = f.dir AND pv.pos >= f.s) x
+  WHERE types::DOUBLE / n < 0.72 GROUP BY doc_id, dir, k),
+e AS (SELECT doc_id, dir, max(s) AS s, max(k) AS k FROM f GROUP BY ALL),
+r AS (SELECT e.doc_id, e.dir, e.k, count(pv.pos) AS n, count(*) FILTER (pv.prev < e.s) AS types
+      FROM e LEFT JOIN pv ON pv.doc_id = e.doc_id AND pv.dir = e.dir AND pv.pos >= e.s GROUP BY ALL),
+c AS (SELECT doc_id, dir, k + CASE WHEN n > 0 THEN (1 - types::DOUBLE / n) / (1 - 0.72::DOUBLE) ELSE 0.0 END AS factors FROM r),
+m AS (SELECT doc_id, max(CASE WHEN dir = 0 THEN factors END) AS a, max(CASE WHEN dir = 1 THEN factors END) AS b FROM c GROUP BY doc_id)
+SELECT toks.doc_id, lang, CASE WHEN a > 0 AND b > 0 THEN (len(w) / a + len(w) / b) / 2 END AS mtld
+FROM toks LEFT JOIN m USING (doc_id)"""
+
+
+@query("mtld", MTLD_SQL)
 def mtld_q(spark, sf):
     """D11 per document (Arrow UDF fold), whole texts."""
     from ..operators.indicators import mtld
@@ -789,3 +812,6 @@ def benchmark_search_q(spark, sf):
     d = hashed_embedding(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text",
                          bucket_hash="md5").select("doc_id", "embedding")
     return SJ.bipartite_topk(b, d, 3, q_id="item_id", d_id="doc_id")
+
+
+from . import store_queries  # noqa: E402,F401  (registers)
