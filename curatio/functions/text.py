@@ -248,58 +248,16 @@ CODE_KEYWORDS = [
 ]
 
 
-def _instr_hits(txt: Column, kws) -> Column:
-    total = None
-    for k in kws:
-        t = (F.instr(txt, k) > 0).cast("long")
-        total = t if total is None else total + t
-    return total
-
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(kws: tuple):
-    """One Aho-Corasick automaton per keyword list per Python worker."""
-    a = _AUTOMATA.get(kws)
-    if a is None:
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for i, k in enumerate(kws):
-            a.add_word(k, i)
-        a.make_automaton()
-        _AUTOMATA[kws] = a
-    return a
-
-
 def keyword_hits(c, keywords, lower: bool) -> Column:
     """How many of ``keywords`` occur in the text (substring test;
-    ``lower``: text and keywords lower-cased).
-
-    Multi-pattern matching: an Aho-Corasick automaton scans each text once
-    for all keywords (Arrow-batched pandas UDF), instead of one substring
-    search per keyword.  Without the ``pyahocorasick`` package the same
-    count is built from ``instr`` expressions."""
-    kws = tuple(sorted({k.lower() for k in keywords})) if lower else tuple(dict.fromkeys(keywords))
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return _instr_hits(F.lower(_c(c)) if lower else _c(c), kws)
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def count(texts: pd.Series) -> pd.Series:
-        auto = _automaton(kws)
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-            else:
-                out.append(len({v for _, v in auto.iter(t.lower() if lower else t)}))
-        return pd.Series(out, dtype="Int64")
-
-    count.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return pandas_udf(count, "long")(_c(c))
+    ``lower``: text and keywords lower-cased).  NULL for a NULL text.
+
+    The keywords are one array literal filtered by ``contains``: a small
+    expression whatever the length of the list."""
+    kws = sorted({k.lower() for k in keywords}) if lower else list(dict.fromkeys(keywords))
+    text = F.lower(_c(c)) if lower else _c(c)
+    hits = F.filter(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(text, k))
+    return F.when(text.isNotNull(), F.size(hits).cast("long"))
 
 
 # ------------------------------------------------------------- judge output

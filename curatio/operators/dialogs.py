@@ -82,6 +82,20 @@ def final_score(pair_scores: DataFrame, score_cols=("complexity", "quality"),
     return pair_scores.groupBy(conv_col).agg(F.sum(prod).alias("final_score"))
 
 
+def array_final_score(*score_cols: str) -> Column:
+    """D2 over score arrays (one entry per turn): the sum over turns of the product
+    of all arrays.  Arrays of unequal length are an error; no turns give 0."""
+    def both(a: Column, b: Column) -> Column:
+        same = F.size(a) == F.size(b)
+        return F.when(same, F.zip_with(a, b, lambda x, y: x * y)).otherwise(
+            F.raise_error(F.lit("score arrays have unequal lengths")).cast("array<double>"))
+
+    product = F.col(score_cols[0]).cast("array<double>")
+    for c in score_cols[1:]:
+        product = both(product, F.col(c).cast("array<double>"))
+    return F.aggregate(product, F.lit(0.0), lambda a, x: a + x)
+
+
 def inject_scores(conv_ids: DataFrame, pair_scores: DataFrame, score_col: str,
                   conv_col: str = "conv_id") -> DataFrame:
     """B2: per-pair scores back as one array per dialogue, in pair order;

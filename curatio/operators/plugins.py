@@ -52,81 +52,30 @@ def split_rejected(df: DataFrame, out_col: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
-_NON_SPACE = None
-
-
-def _hashed_vectors(texts: pd.Series, dim: int, how: str) -> pd.Series:
-    """One vector per text: bucket counts of its tokens, L2-normalised."""
-    import hashlib
-    import re
-
-    import numpy as np
-    global _NON_SPACE
-    if _NON_SPACE is None:
-        _NON_SPACE = re.compile(r"[^ \t\n\x0b\f\r]+")       # Java's \S
-    if how == "md5":
-        def bucket(t):
-            return int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
-    else:
-        import xxhash
-
-        def bucket(t):
-            h = xxhash.xxh64_intdigest(t.encode("utf-8"), seed=42)      # Spark's xxhash64
-            return (h - (1 << 64) if h >= (1 << 63) else h) % dim       # Python % = pmod
-    out = []
-    for text in texts:
-        if text is None:
-            out.append(None)
-            continue
-        toks = _NON_SPACE.findall(text)
-        c = np.bincount(np.fromiter((bucket(t) for t in toks), dtype=np.int64, count=len(toks)),
-                        minlength=dim).astype(np.float64)
-        out.append(c / max(float(np.sqrt((c * c).sum())), 1e-12))
-    return pd.Series(out)
-
-
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
-                     out_col: str = "embedding", bucket_hash: str = "xxhash64",
-                     engine: str = "auto") -> DataFrame:
+                     out_col: str = "embedding", bucket_hash: str = "xxhash64") -> DataFrame:
     """K2 default: hashed whitespace-token counts, L2-normalised; rows
-    without tokens get the zero vector.  ``bucket_hash="md5"`` (first 32
-    bits of the token's MD5) is slower but any engine can recompute it.
-
-    Each text is counted where it lies (Arrow UDF, one ``bincount`` per
-    text, no shuffle).  Without the ``xxhash`` package the same vectors come
-    from a Spark plan: tokens exploded and counted per (row, bucket) with a
-    partial aggregate, then assembled per row (``engine="spark"`` forces
-    it; both give identical vectors)."""
-    try:
-        if engine == "spark":
-            raise ImportError
-        if bucket_hash != "md5":
-            import xxhash  # noqa: F401
-        from pyspark.sql.functions import pandas_udf
-
-        def vec(texts: pd.Series) -> pd.Series:
-            return _hashed_vectors(texts, dim, bucket_hash)
-
-        vec.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        from ..session import spread
-        udf = pandas_udf(vec, "array<double>")
-        return spread(df).withColumn(out_col, udf(F.col(text_col)))
-    except ImportError:
-        pass
-    toks = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), 0)).alias("_t"))
+    without tokens get the zero vector, a NULL text NULL.  ``bucket_hash="md5"``
+    (first 32 bits of the token's MD5) is slower but any engine can recompute it.
+
+    One expression per row, no shuffle: the tokens' buckets and one marker
+    for every bucket are sorted together, so a bucket's count is the distance
+    between its marker's first place and the next one's."""
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), F.lit(0))
     if bucket_hash == "md5":
-        h = F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("long")
+        buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
     else:
-        h = F.xxhash64("_t")
-    cnt = (toks.groupBy(id_col, F.pmod(h, F.lit(dim)).cast("int").alias("_j"))
-           .agg(F.count(F.lit(1)).cast("double").alias("_c")))
-    per = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("_j", "_c"))).alias("_m"),
-                                  F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda j: F.coalesce(F.col("_m")[j], F.lit(0.0)) / F.greatest(F.col("_n"), F.lit(1e-12)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return (df.join(per.select(id_col, vec.alias("_v")), id_col, "left")
-            .withColumn(out_col, F.coalesce(F.col("_v"), zero)).drop("_v"))
+        buckets = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    marked = F.array_sort(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim))))
+    held = "_sorted"
+    while held in df.columns:
+        held += "_"
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: (
+        F.array_position(F.col(held), j + 1) - F.array_position(F.col(held), j) - 1).cast("double"))
+    norm = F.sqrt(F.aggregate(F.col(out_col), F.lit(0.0), lambda a, x: a + x * x))
+    return (df.withColumn(held, marked).withColumn(out_col, F.when(F.col(held).isNotNull(), counts))
+            .withColumn(held, F.array(norm)).withColumn(out_col, F.transform(out_col, lambda x: x / F.greatest(F.get(held, F.lit(0)), F.lit(1e-12))))
+            .drop(held))
 
 
 def class_logits_from_counts(n: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.plugins import default_generation, generate
+from ..session import stored
+from ..operators.plugins import default_generation, generate, split_rejected
 
 
 def _msg(role: str, c):
@@ -26,21 +27,34 @@ def _history(messages) -> "F.Column":
         F.when(m["role"] == "user", F.lit("[HUMAN]: ")).otherwise(F.lit("[AI]: ")), m["content"], F.lit("\n"))), "")
 
 
-def construct(bundles: DataFrame, gen=None, query_prompt_for_rounds: bool = True) -> DataFrame:
+def construct(bundles: DataFrame, gen=None, query_prompt_for_rounds: bool = True, rejects: list | None = None) -> DataFrame:
     """``bundles(bundle_id, first_query_prompt, query_prompt, answer_prompt,
     evaluate_prompt, turn)`` -> ``(bundle_id, q_idx, messages, rate, reason)``.
 
     Round ``i`` (i >= 2) is generated iff ``turn >= i``; turn 0 and 1 both
     give one round.  ``query_prompt_for_rounds=False`` reproduces the
-    reference, which used the answer prompt for later queries too."""
-    fq = generate(bundles, "bundle_id", "first_query_prompt", "fq", gen, "query")
+    reference, which used the answer prompt for later queries too.
+
+    B7: a dialogue whose query, answer or judgement could not be generated goes no
+    further; its ``(bundle_id, q_idx, stage, error)`` is in one of the frames
+    appended to ``rejects``, one frame per generating step."""
+    def passed(df: DataFrame, col: str, stage: str) -> DataFrame:
+        if gen is None:          # the default expression never fails
+            return df
+        good, bad = split_rejected(df, col)
+        if rejects is not None:
+            q = F.col("q_idx") if "q_idx" in df.columns else F.lit(None).cast("long")
+            rejects.append(bad.select("bundle_id", q.alias("q_idx"), F.lit(stage).alias("stage"), F.col(f"{col}_error").alias("error")))
+        return good
+
+    fq = passed(generate(bundles, "bundle_id", "first_query_prompt", "fq", gen, "query"), "fq", "first query")
     # H7: one first query per non-empty line, numbering removed
     lines = fq.select("*", F.posexplode(F.split(T.strip("fq"), "\n")).alias("q_idx", "_q"))
     lines = lines.withColumn("q_idx", F.col("q_idx").cast("long"))
     lines = lines.withColumn("query", T.strip(T.drop_numbering("_q"))).filter(F.col("query") != "")
     d = lines.withColumn("did", F.concat_ws(":", F.col("bundle_id").cast("string"), F.col("q_idx").cast("string")))
     d = d.withColumn("ap", T.fill_query(F.col("answer_prompt"), F.col("query")))
-    d = generate(d, "did", "ap", "ans", gen, "answer")
+    d = passed(generate(d, "did", "ap", "ans", gen, "answer"), "ans", "first answer")
     d = d.withColumn("messages", F.array(_msg("user", F.col("query")), _msg("assistant", F.col("ans"))))
     d = d.drop("fq", "fq_error", "_q", "ap", "ans", "ans_error")
     max_turn = d.agg(F.max("turn")).first()[0] or 1
@@ -57,19 +71,18 @@ def construct(bundles: DataFrame, gen=None, query_prompt_for_rounds: bool = True
                 _msg("user", F.col("_nq")), _msg("assistant", F.col("_na"))))).otherwise(F.col("messages")))
             d = d.drop("_nq", "_na")
     else:
-        from pyspark import StorageLevel
         for i in range(2, int(max_turn) + 1):
-            d = d.persist(StorageLevel.MEMORY_AND_DISK)   # read twice below
-            active = d.filter(F.col("turn") >= i)
+            d = stored(d)                          # read twice below; a lost executor re-reads files, nothing is generated again
+            active, done = d.filter(F.col("turn") >= i), d.filter(F.coalesce(F.col("turn"), F.lit(0)) < i)
             a = active.withColumn("_p", F.concat(qp, F.lit("\n"), _history(F.col("messages"))))
-            a = generate(a, "did", "_p", "_nq", gen, "query")
+            a = passed(generate(a, "did", "_p", "_nq", gen, "query"), "_nq", f"query {i}")
             a = a.withColumn("_ap", T.fill_query(F.col("answer_prompt"), F.col("_nq")))
-            a = generate(a, "did", "_ap", "_na", gen, "answer")
-            a = a.select("did", F.concat("messages", F.array(_msg("user", F.col("_nq")),
-                                                             _msg("assistant", F.col("_na")))).alias("_m"))
-            d = d.join(a, "did", "left").withColumn("messages", F.coalesce("_m", "messages")).drop("_m")
+            a = stored(generate(a, "did", "_ap", "_na", gen, "answer"))
+            a = passed(a, "_na", f"answer {i}")
+            d = done.unionByName(a.withColumn("messages", F.concat("messages", F.array(
+                _msg("user", F.col("_nq")), _msg("assistant", F.col("_na"))))).select(*done.columns))
     j = d.withColumn("_jp", F.concat(F.col("evaluate_prompt"), F.lit("\n"), _history(F.col("messages"))))
-    j = generate(j, "did", "_jp", "_judge", gen, "judge")
+    j = passed(generate(j, "did", "_jp", "_judge", gen, "judge"), "_judge", "judge")
     parsed = T.parse_judge(F.col("_judge"))
     return j.select("bundle_id", "q_idx", "messages", F.size("messages").alias("n_messages"),
                     parsed["rate"].alias("rate"), parsed["reason"].alias("reason"))

@@ -77,19 +77,37 @@ class EmbedFlow(Flow):
 @register("filter")
 class FilterFlow(Flow):
     """Scores + embeddings (joined on id, C1 with count check) -> D2 ->
-    F2/F3 -> selected ids in order."""
+    F2/F3 -> selected ids in order, or their ``records`` (C2).
 
-    def transform(self, scores: DataFrame, embeddings: DataFrame) -> DataFrame:
+    ``scores`` is one frame or several (``idx`` or ``conv_id``): either with a
+    ``final_score``, or with the arrays of ``ScoreFlow``, whose products are
+    summed over the turns; ``sort_key`` names them (H27)."""
+
+    def transform(self, scores, embeddings: DataFrame, records: DataFrame | None = None) -> DataFrame:
+        from ..functions.text import sort_key_split
+        from ..operators.dialogs import array_final_score
         from ..operators.select import greedy_diverse
+        from ..sources.io import gather_in_order
         p = self.params
-        j = scores.join(embeddings, "idx")
+        frames = [f.withColumnRenamed("conv_id", "idx") if "idx" not in f.columns else f
+                  for f in (scores if isinstance(scores, (list, tuple)) else [scores])]
+        s = frames[0]
+        for f in frames[1:]:
+            s = s.join(f, "idx")
+        if "final_score" not in s.columns:
+            s = s.withColumn("final_score", array_final_score(*sort_key_split(p.get("sort_key", ["complexity_scores", "quality_scores"]))))
+        j = s.join(embeddings, "idx")
         if p.get("check_counts", True):
-            a, b, c = scores.count(), embeddings.count(), j.count()
+            a, b, c = *(f.count() for f in frames[:1]), embeddings.count(), j.count()
             if not (a == b == c):
                 raise ValueError(f"scores ({a}) and embeddings ({b}) do not align ({c} matched)")
-        return greedy_diverse(j, tau=p.get("threshold", 0.9), data_size=p.get("data_size", -1),
-                              batch_size=p.get("batch_size", 1), id_col="idx", score_col="final_score",
-                              metric=p.get("distance_metric", "cosine"))
+        out = greedy_diverse(j, tau=p.get("threshold", 0.9), data_size=p.get("data_size", -1),
+                             batch_size=p.get("batch_size", 1), id_col="idx", score_col="final_score",
+                             metric=p.get("distance_metric", "cosine"))
+        if records is None:
+            return out
+        return gather_in_order(records, out.withColumnRenamed("idx", "conv_id") if "idx" not in records.columns else out,
+                               "conv_id" if "idx" not in records.columns else "idx")
 
 
 @register("influence")
@@ -115,8 +133,7 @@ class IndicatorFlow(Flow):
         emb = hashed_embedding(docs.select(id_col, text_col), id_col, text_col, self.params.get("dim", 64))
         # row count from the source scan (parquet metadata), not from the embeddings
         knn = knn_distance(emb.select(id_col, "embedding"), i, id_col=id_col, vec_col="embedding")
-        from ..session import spread
-        main = spread(docs).select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
+        main = docs.select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
         return main.join(knn, id_col, "left")
 
 

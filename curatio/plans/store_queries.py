@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sample as SM
 from ..operators import store as ST
+from ..operators.dialogs import bucket6, word_count
 from ..operators.indicators import distinct_texts
 from ..sources.tables import table
-from .registry import query
+from .flows import Flow
+from .registry import greedy_sql, query
 
 
 @query("upsert_null_keys", """
@@ -99,3 +101,20 @@ SELECT coalesce(bool_or(text ILIKE '%th_t %the%'), false) AS found FROM document
 def exists_wildcard_q(spark, sf):
     """Case-insensitive existence test whose wildcards stay wildcards."""
     return ST.exists_like(table(spark, sf, "documents"), "text", "%th_t %the%")
+
+
+@query("filter_flow", greedy_sql(0.2, 10, 1).replace("SELECT r.conv_id, r.final_score", "SELECT r.conv_id AS idx, r.final_score"))
+def filter_flow_q(spark, sf):
+    """I3 -> C1 -> I5: score arrays of both kinds, their D2 sum, the supplied vectors, the diverse filter."""
+    conv = table(spark, sf, "conversations")
+
+    def certain(text: str):
+        """Class logits that leave no doubt: the expected score is the length class itself."""
+        return lambda pairs: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.when(
+            k == bucket6(word_count(F.col(text))), 0.0).otherwise(-1e6))
+
+    scores = [Flow.create("score", score_type=k).transform(conv, certain(text))
+              for k, text in (("complexity", "instruction"), ("quality", "response"))]
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
+    return Flow.create("filter", threshold=0.2, data_size=10, check_counts=False).transform(scores, emb).select(
+        "idx", "final_score", "sel_rank")

@@ -117,12 +117,3 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(key)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the default parallelism when the frame has
-    fewer partitions (a small file read as one split); a no-op for large
-    inputs, which already arrive in many splits.  Used before per-row
-    Python work so it is not confined to a few tasks."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -124,11 +124,45 @@ def test_i4_i5_i6_flows(spark):
         Flow.create("nope")
 
 
-def test_k2_udf_and_spark_paths_identical(spark):
+def test_k2_hashed_embedding_equals_a_plain_count(spark):
+    import hashlib
+    import math
+    import re
+
     from curatio.operators.plugins import hashed_embedding
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for how in ("xxhash64", "md5"):
-        a = {r.doc_id: r.embedding for r in hashed_embedding(d, "doc_id", "text", 32, bucket_hash=how).collect()}
-        b = {r.doc_id: r.embedding for r in hashed_embedding(d, "doc_id", "text", 32, bucket_hash=how,
-                                                               engine="spark").collect()}
-        assert a == b and len(a) == d.count()
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, ""), (-2, None)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    got = {r.doc_id: r.embedding for r in hashed_embedding(d, "doc_id", "text", 32, bucket_hash="md5").collect()}
+    for i, t in texts.items():
+        if t is None:
+            assert got[i] is None
+            continue
+        c = [0.0] * 32
+        for w in re.findall(r"\S+", t, re.ASCII):
+            c[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32] += 1
+        n = max(math.sqrt(sum(x * x for x in c)), 1e-12)
+        assert got[i] == [x / n for x in c]
+    assert hashed_embedding(d, "doc_id", "text", 8).columns == ["doc_id", "text", "embedding"]
+
+
+def test_files_are_sniffed_one_by_one(spark, tmp_path):
+    from curatio.sources import io
+    (tmp_path / "a.json").write_text('[{"instruction": "a"}, {"instruction": "b"}]')
+    (tmp_path / "b.json").write_text('{"instruction": "c"}\n{"instruction": "d"}\n')
+    got = io.read_triplets(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
+    assert sorted(r.instruction for r in got.collect()) == ["a", "b", "c", "d"]
+
+
+def test_score_embed_filter_chain(spark):
+    import pytest
+
+    from curatio.plans.flows import Flow
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    scores = [Flow.create("score", score_type=k).transform(conv) for k in ("complexity", "quality")]
+    emb = Flow.create("embed", dim=16).transform(conv)
+    out = Flow.create("filter", threshold=0.99, data_size=5).transform(scores, emb, conv)
+    assert set(conv.columns) <= set(out.columns) and out.select("conv_id").distinct().count() == 5
+    bad = spark.createDataFrame([(1, [1.0], [1.0, 2.0], [1.0])], "idx long, complexity_scores array<double>, quality_scores array<double>, embedding array<double>")
+    with pytest.raises(Exception, match="unequal"):
+        Flow.create("filter").transform(bad.drop("embedding"), bad.select("idx", "embedding")).collect()

@@ -114,9 +114,29 @@ def test_construct_with_pandas_generator_and_failures(spark):
     # the generator's first query is one line, so one dialogue with 3 rounds
     assert len(rows) == 1 and rows[0].n_messages == 6 and rows[0].rate == -1.0
 
+    def no_answers(batch: pd.DataFrame) -> pd.DataFrame:
+        fail = batch["prompt"].str.startswith("A ")
+        return pd.DataFrame({"id": batch["id"], "text": batch["prompt"].mask(fail, None), "error": fail.map({True: "refused", False: None})})
+
+    rejects = []
+    assert construct(b, no_answers, rejects=rejects).count() == 0
+    lost = [tuple(r) for f in rejects for r in f.collect()]
+    assert lost == [(1, 0, "first answer", "refused"), (1, 1, "first answer", "refused")]
+
     def broken(batch: pd.DataFrame) -> pd.DataFrame:
         raise RuntimeError("model down")
 
     df = spark.createDataFrame([(1, "p")], "id long, prompt string")
     good, bad = split_rejected(generate(df, "id", "prompt", "g", broken), "g")
     assert good.count() == 0 and bad.count() == 1 and "model down" in bad.first().g_error
+
+
+def test_keyword_files_of_the_same_name_stay_apart(spark, tmp_path):
+    from curatio.operators.prompts import read_keyword_files
+    paths = []
+    for k in ("one", "two"):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "k.txt").write_text(f'{{"num": "{k}"}}\n\n{{"num": "{k}2"}}\n')
+        paths.append(str(tmp_path / k / "k.txt"))
+    got = sorted((r.file_pos, r.line_no, r.kw["num"]) for r in read_keyword_files(spark, paths).collect())
+    assert got == [(0, 0, "one"), (0, 2, "one2"), (1, 0, "two"), (1, 2, "two2")]

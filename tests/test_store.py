@@ -18,3 +18,17 @@ def test_a15_a16_delete_and_update(spark):
     u = spark.createDataFrame([(3, "new", "ignored")], "id long, v string, unknown string")
     got = {r.id: r.v for r in S.update_by_id(t, u, time_col=None).collect()}
     assert got == {1: "x", 2: "y", 3: "new"}
+
+
+def test_null_keys_updates_and_missing_ids(spark, tmp_path):
+    from curatio.streaming.ingest import upsert_batch
+    schema = "k string, n int"
+    rows = spark.createDataFrame([(None, 1), ("a", 1), (None, 1)], schema)
+    for _ in range(3):          # replayed batches add nothing, NULL keys included
+        upsert_batch(spark, rows, str(tmp_path / "t"), ["k", "n"], schema)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    t = spark.createDataFrame([(1, "x"), (2, None), (3, None)], "id long, k string")
+    assert sorted(r.id for r in S.delete_by(t, t.filter("k IS NULL"), ["k"], first_only=True).collect()) == [1, 3]
+    u = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, None, 3), (9, "z", 1)], "id long, k string, at int")
+    assert sorted(tuple(r) for r in S.update_by_id(t, u, time_col=None, order_col="at").collect() if r.id == 1) == [(1, "new")]
+    assert [r.id for r in S.missing_ids(t, u).collect()] == [9]
