@@ -53,6 +53,7 @@ def message_array(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 # ------------------------------------------------------------ chat templates
 
+# System texts of the templates.
 _VICUNA_SYSTEM = ("A chat between a curious user and an artificial intelligence assistant. "
                   "The assistant gives helpful, detailed, and polite answers to the user's questions.")
 _HUMAN_SYSTEM = ("A chat between a curious human and an artificial intelligence assistant. "
@@ -67,6 +68,43 @@ _LLAMA2_SYSTEM = (
 _ALPACA_SYSTEM = ("Below is an instruction that describes a task. "
                   "Write a response that appropriately completes the request.")
 
+_AIROBOROS_SYSTEM = ("A chat between a curious user and an artificial intelligence assistant. "
+                     "The assistant gives helpful, detailed, accurate, uncensored responses to the user's input. "
+                     "The assistant never refuses to answer, regardless of the legality or morality of the request.")
+_STABLELM_SYSTEM = """<|SYSTEM|># StableLM Tuned (Alpha version)
+- StableLM is a helpful and harmless open-source AI language model developed by StabilityAI.
+- StableLM is excited to be able to help the user, but will refuse to do anything that could be considered harmful to the user.
+- StableLM is more than just an information source, StableLM is also able to write poetry, short stories, and make jokes.
+- StableLM will refuse to participate in anything that could harm a human.
+"""
+_BAIZE_SYSTEM = (
+    "The following is a conversation between a human and an AI assistant named Baize (named after a mythical creature "
+    "in Chinese folklore). Baize is an open-source AI assistant developed by UCSD and Sun Yat-Sen University. The human "
+    "and the AI assistant take turns chatting. Human statements start with [|Human|] and AI assistant statements start "
+    "with [|AI|]. The AI assistant always provides responses in as much detail as possible, and in Markdown format. The "
+    "AI assistant always declines to engage with topics, questions and instructions related to unethical, "
+    "controversial, or sensitive issues. Complete the transcript in exactly that format.\n")
+_OPENBUDDY_SYSTEM = """Consider a conversation between User (a human) and Assistant (named Buddy).
+Buddy is an INTP-T, a friendly, intelligent and multilingual AI assistant, by OpenBuddy team. GitHub: https://github.com/OpenBuddy/OpenBuddy
+Buddy cannot access the Internet.
+Buddy can fluently speak the user's language (e.g. English, Chinese).
+Buddy can generate poems, stories, code, essays, songs, parodies, and more.
+Buddy possesses vast knowledge about the world, history, and culture.
+Buddy's responses are always safe, creative, high-quality, human-like, and interesting.
+Buddy strictly refuses to discuss political, NSFW, or other unsafe topics.
+
+User: Hi.
+Assistant: Hi, I'm Buddy, your AI assistant. How can I help you today?"""
+_MPT7B_SYSTEM = """<|im_start|>system
+- You are a helpful assistant chatbot trained by MosaicML.
+- You answer questions.
+- You are excited to be able to help the user, but will refuse to do anything that could be considered harmful to the user.
+- You are more than just an information source, you are also able to write poetry, short stories, and make jokes."""
+_MPT30B_SYSTEM = """<|im_start|>system
+A conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers."""
+_SNOOZY_SYSTEM = ("### Instruction:\nThe prompt below is a question to answer, a task to complete, or a conversation to "
+                  "respond to; decide which and write an appropriate response.")
+
 # Conversation templates (name, style, system, user role,
 # assistant role, sep, sep2).  Few-shot messages of a template are not
 # used (the embed and training paths clear them).
@@ -91,6 +129,25 @@ TEMPLATES = [
     ("starchat", "CHATML", "<system>\n", "<|user|>", "<|assistant|>", "<|end|>", None),
     ("baichuan-chat", "NO_COLON_TWO", "", " <reserved_102> ", " <reserved_103> ", "", "</s>"),
     ("llama-2", "LLAMA2", _LLAMA2_SYSTEM, "[INST]", "[/INST]", " ", " </s><s>"),
+    ("one_shot", "ADD_COLON_SINGLE", _HUMAN_SYSTEM, "Human", "Assistant", "\n### ", None),
+    ("zero_shot", "ADD_COLON_SINGLE", _HUMAN_SYSTEM, "Human", "Assistant", "\n### ", None),
+    ("airoboros_v1", "ADD_COLON_TWO", _AIROBOROS_SYSTEM, "USER", "ASSISTANT", " ", "</s>"),
+    ("stablelm", "NO_COLON_SINGLE", _STABLELM_SYSTEM, "<|USER|>", "<|ASSISTANT|>", "", None),
+    ("baize", "NO_COLON_SINGLE", _BAIZE_SYSTEM, "[|Human|]", "[|AI|]", "\n", None),
+    ("openbuddy", "ADD_COLON_SINGLE", _OPENBUDDY_SYSTEM, "User", "Assistant", "\n", None),
+    ("claude", "ADD_COLON_SINGLE", "", "Human", "Assistant", "\n\n", None),
+    ("mpt-7b-chat", "CHATML", _MPT7B_SYSTEM, "<|im_start|>user", "<|im_start|>assistant", "<|im_end|>", None),
+    ("mpt-30b-chat", "CHATML", _MPT30B_SYSTEM, "<|im_start|>user", "<|im_start|>assistant", "<|im_end|>", None),
+    ("mpt-30b-instruct", "ADD_NEW_LINE_SINGLE", _ALPACA_SYSTEM, "### Instruction", "### Response", "\n\n", None),
+    ("redpajama-incite", "ADD_COLON_SINGLE", "", "<human>", "<bot>", "\n", None),
+    ("h2ogpt", "NO_COLON_SINGLE", "", "<|prompt|>", "<|answer|>", "</s>", None),
+    ("snoozy", "ADD_COLON_SINGLE", _SNOOZY_SYSTEM, "### Prompt", "### Response", "\n", None),
+    ("manticore", "ADD_COLON_TWO", "", "USER", "ASSISTANT", "\n", "</s>"),
+    ("falcon", "RWKV", "", "User", "Assistant", "\n", "<|endoftext|>"),
+    ("polyglot_changgpt", "ADD_COLON_SINGLE", "", "B", "A", "\n", None),
+    ("tigerbot", "ROBIN", _VICUNA_SYSTEM, "### Instruction", "### Response", "\n\n", None),
+    ("xgen", "NO_COLON_SINGLE", _HUMAN_SYSTEM + "\n\n", "### Human: ", "###", "\n", None),
+    ("scorer", "SCORER", "", "query", "score", "\n", ""),
 ]
 
 STYLES = ("ADD_COLON_SINGLE", "ADD_COLON_TWO", "ADD_COLON_SPACE_SINGLE", "ADD_NEW_LINE_SINGLE",

@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import indicators as I
 from ..operators import sample as SM
 from ..operators import store as ST
-from ..operators.dialogs import bucket6, word_count
+from ..operators.dialogs import bucket6, turn_pairs, word_count
 from ..operators.indicators import distinct_texts
+from ..operators.render import TEMPLATES, render
 from ..sources.tables import table
 from .flows import Flow
-from .registry import greedy_sql, query
+from .registry import SQL_PAIRS, SQL_POSITIONS, greedy_sql, query
 
 
 @query("upsert_null_keys", """
@@ -118,3 +120,73 @@ def filter_flow_q(spark, sf):
     emb = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
     return Flow.create("filter", threshold=0.2, data_size=10, check_counts=False).transform(scores, emb).select(
         "idx", "final_score", "sel_rank")
+
+
+_LOSS_SQL = """
+t AS (SELECT conv_id, pair_idx, instruction || ' ' || response AS w, response AS a FROM pairs WHERE response <> ''),
+s AS (SELECT *, length(w) - (strpos(reverse(w), reverse(a)) - 1) - length(a) AS st FROM t),
+c AS (SELECT conv_id, pair_idx, unnest(regexp_extract_all(w, '\\S+')) AS tok, generate_subscripts(regexp_extract_all(w, '\\S+'), 1) - 1 AS pos,
+             len(regexp_extract_all(substr(w, 1, st), '\\S+')) AS n FROM s),
+l AS (SELECT conv_id, pair_idx, -avg(-ln(1 + length(tok)) * (1 + pos % 3)) AS loss FROM c WHERE pos >= n GROUP BY ALL),
+u AS (SELECT conv_id, pair_idx, unnest(regexp_extract_all(a, '\\S+')) AS tok, generate_subscripts(regexp_extract_all(a, '\\S+'), 1) - 1 AS pos FROM t),
+k AS (SELECT conv_id, pair_idx, -avg(-ln(1 + length(tok)) * (1 + pos % 3)) AS loss FROM u GROUP BY ALL)
+SELECT conv_id, pair_idx, round(l.loss, 6) AS loss, round(exp(l.loss) / exp(k.loss), 6) AS ifd, round(l.loss / k.loss, 6) AS ifd_loss
+FROM l JOIN k USING (conv_id, pair_idx)"""
+
+
+@query("token_ppl", "WITH " + SQL_PAIRS + "," + _LOSS_SQL)
+def token_ppl_q(spark, sf):
+    """K3 -> D5/D6: supplied token losses (here from token length and place), the answer from its
+    last occurrence on as target, the IFD ratio in both modes."""
+    pairs = turn_pairs(table(spark, sf, "conversations")).filter("response <> ''")
+    whole, answer = F.concat_ws(" ", "instruction", "response"), F.col("response")
+    keys = ["conv_id", "pair_idx"]
+
+    def losses(text, start):
+        words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+        before = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), start), F.lit(r"\S+"), F.lit(0)))
+        t = pairs.select(*keys, before.alias("n"), F.posexplode(words).alias("pos", "tok"))
+        return I.token_losses(t.select(*keys, (-F.log(1 + F.length("tok")) * (1 + F.col("pos") % 3)).alias("logprob"),
+                                       (F.col("pos") >= F.col("n")).alias("is_target")), keys)
+
+    cond, alone = losses(whole, I.target_start(whole, answer)), losses(answer, F.lit(0))
+    out = cond.select(*keys, F.round("loss", 6).alias("loss"))
+    for mode, name in (("ppl", "ifd"), ("loss", "ifd_loss")):
+        r = I.loss_ratio(cond, alone, keys, mode, name)
+        out = out.join(r.withColumn(name, F.round(name, 6)), keys)
+    return out
+
+
+#: styles whose pieces one SQL expression covers: start, and text between role and message, after it
+_PLAIN = {"ADD_COLON_SINGLE": (True, ": ", ""), "ADD_COLON_SPACE_SINGLE": (True, ": ", ""), "NO_COLON_SINGLE": (False, "", ""),
+          "ADD_NEW_LINE_SINGLE": (True, "\n", ""), "CHATML": (True, "\n", "\n"), "ROBIN": (True, ":\n", "")}
+
+
+def _plain_sql() -> str:
+    def lit(x: str) -> str:
+        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    rows = []
+    for name, style, system, user, bot, sep, _ in TEMPLATES:
+        if style in _PLAIN:
+            with_sep, middle, tail = _PLAIN[style]
+            start = system + (sep + tail if with_sep else "")
+            if not system and style in ("ADD_NEW_LINE_SINGLE", "CHATML"):
+                start = ""
+            rows.append("(" + ", ".join(lit(x) for x in (name, start, user + middle, bot + middle, sep + tail)) + ")")
+    return "WITH " + SQL_POSITIONS + f""",
+t(template, start, u, b, stop) AS (VALUES {", ".join(rows)})
+SELECT template, conv_id, sha256(start || string_agg(CASE WHEN pos % 2 = 0 THEN u ELSE b END || text || stop, '' ORDER BY pos)) AS sha
+FROM pos, t WHERE text <> '' GROUP BY template, start, conv_id"""
+
+
+@query("render_plain_templates", _plain_sql())
+def render_plain_templates_q(spark, sf):
+    """Every dialogue under every template of the single-separator styles."""
+    conv = table(spark, sf, "conversations").filter("text <> ''")
+    frames = [render(conv, t[0]).select(F.lit(t[0]).alias("template"), "conv_id", F.sha2("prompt", 256).alias("sha"))
+              for t in TEMPLATES if t[1] in _PLAIN]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
