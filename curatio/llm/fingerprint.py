@@ -53,8 +53,9 @@ def check(k: Column, seed: Column) -> Column:
     return F.pmod(F.xxhash64(k, seed, F.lit(8)), F.lit(1 << 32))
 
 
-def in_cell(e: Column, i: Column) -> Column:
-    return (e["p0"] == i) | (e["p1"] == i) | (e["p2"] == i)
+def thirds(third: int, one) -> Column:
+    """one(j) for the three thirds of a block's cells, end to end: an entry has one cell in each."""
+    return F.concat(*[one(j) for j in range(3)])
 
 
 def changed(cell: Column, e: Column, sign) -> Column:
@@ -67,8 +68,8 @@ def sketch(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
     def cells(own: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(3 * third - 1)), lambda i: F.aggregate(
-            F.filter(own, lambda e: in_cell(e, i)), zero, lambda cell, e: changed(cell, e, 1)))
+        return thirds(third, lambda j: F.transform(F.sequence(F.lit(j * third), F.lit((j + 1) * third - 1)), lambda i: F.aggregate(
+            F.filter(own, lambda e: e[f"p{j}"] == i), zero, lambda cell, e: changed(cell, e, 1))))
 
     def blocks_of(every: Column) -> Column:
         """Entries sorted by block: a block is a slice between its first and last place."""
@@ -97,8 +98,9 @@ def peeled(cells: Column, seed: Column, third: int) -> Column:
             e["k"].alias("k"), e["h"].alias("h"), e["p0"].alias("p0"), e["p1"].alias("p1"), e["p2"].alias("p2"), o["c"].alias("c")))
 
     def without(state: Column, out: Column) -> Column:
-        left = let(signed(out), lambda es: F.transform(state["cells"], lambda x, i: F.aggregate(
-            F.filter(es, lambda e: in_cell(e, i)), x, lambda cell, e: changed(cell, e, -e["c"]))))
+        left = let(signed(out), lambda es: thirds(third, lambda j: F.transform(
+            F.slice(state["cells"], j * third + 1, third), lambda x, i: F.aggregate(
+                F.filter(es, lambda e: e[f"p{j}"] == i + j * third), x, lambda cell, e: changed(cell, e, -e["c"])))))
         return F.struct(left.alias("cells"), (state["n"] + F.size(out)).alias("n"), F.lit(True).alias("more"))
 
     def round_(state: Column, _: Column) -> Column:
