@@ -184,6 +184,53 @@ def test_passages_of_fifty_words_are_found(spark):
     assert near_duplicate_passages(edge.frame(spark, [])).count() == 0
 
 
+def _best_pair(a, b, width):
+    """Largest similarity of two stretches of at least width shingles, by trying equal lengths everywhere."""
+    best = 0.0
+    for n in range(width, min(len(a), len(b)) + 1):
+        sets = [[set(x[i:i + n].tolist()) for i in range(len(x) - n + 1)] for x in (a, b)]
+        best = max([best, *(len(p & q) / len(p | q) for p in sets[0] for q in sets[1])])
+    return best
+
+
+def _edited(r, passage, n):
+    out = passage.copy()
+    out[r.choice(len(out), n, replace=False)] = r.randint(1 << 40, 1 << 41, n)
+    return out
+
+
+def test_passages_beside_shared_lines_match_brute_force():
+    from curatio.llm.compact import common_passages
+    r = np.random.RandomState(7)
+
+    def fresh(n):
+        return r.randint(0, 1 << 40, n)
+
+    def join(*parts):
+        return np.concatenate(parts).astype(np.uint64)
+
+    for k in range(12):
+        p, line = fresh(60), fresh(40)
+        near = _edited(r, p, 4 + k % 4)                                  # 0.79 - 0.87
+        pairs = [(join(fresh(5), near, fresh(14), line), join(fresh(9), p, fresh(30), line)),     # an exact run beside it
+                 (join(line, fresh(14), near), join(p, fresh(20), line)),
+                 (join(near, fresh(6)), join(p[10:50], fresh(50), p)),                            # part of it once more in b
+                 (join(fresh(70), line), join(line[:30], fresh(80)))]                             # no passage
+        for a, b in pairs[: 4 if k < 2 else 3]:
+            want = _best_pair(a, b, 46) >= 0.75 if k < 2 else True
+            got = common_passages(a, b, 75, 46)
+            assert bool(got) == want
+            for a0, a1, b0, b1, inter, union in got:
+                x, y = set(a[a0:a1].tolist()), set(b[b0:b1].tolist())
+                assert (inter, union) == (len(x & y), len(x | y)) and 4 * inter >= 3 * union and min(a1 - a0, b1 - b0) >= 46
+        line = fresh(26)
+        a = join(*[x for _ in range(10) for x in (line, fresh(4))], fresh(30), p, fresh(3))
+        got = common_passages(a, join(line, fresh(40), p), 75, 46)
+        assert any(x[0] <= 330 and x[1] >= 390 for x in got)             # the line ten times, then the passage
+        a[330:390] = near.astype(np.uint64)
+        assert any(x[0] < 360 < x[1] for x in common_passages(a, join(line, fresh(40), p), 75, 46))
+
+
 def test_compact_windows_are_the_cartesian_tree_nodes():
     from curatio.llm.compact import compact_windows
     r = np.random.RandomState(1)
