@@ -5,8 +5,9 @@ cells of a sketch, each holding a count, the exclusive-or of digests and that of
 their check values.  Subtracting two sketches leaves the differing paragraphs;
 cells that hold one digest give it up, which frees others, until all are
 recovered.  If that fails, the sketches are made larger with other hashes and
-peeled again.  Larger sketches consist of blocks by a hash of the digest, so
-the work grows in proportion to the number of paragraphs.
+peeled again.  Larger sketches consist of blocks by a hash of the digest; only the
+digests of blocks that stay hidden go into the next, and what is left after the
+last is compared as sets, so every likeness is exact.
 
 Next documents come from one shuffle: ids are cut into ranges, a window inside
 each range gives the next text, and the first document of a range is also sent
@@ -45,10 +46,14 @@ def entries(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
         return (F.pmod(F.xxhash64(k, seed, F.lit(j)), F.lit(third)) + j * third).cast("int")
 
     return F.transform(keys, lambda k: F.struct(
-        F.pmod(F.xxhash64(k, seed, F.lit(9)), blocks).cast("int").alias("b"), k.alias("k"), check(k, seed).alias("h"),
+        block(k, seed, blocks).alias("b"), k.alias("k"), check(k, seed).alias("h"),
         at(k, 0).alias("p0"), at(k, 1).alias("p1"), at(k, 2).alias("p2")))
 
 
+def block(k: Column, seed: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(k, seed, F.lit(9)), blocks).cast("int")
+
+
 def check(k: Column, seed: Column) -> Column:
     return F.pmod(F.xxhash64(k, seed, F.lit(8)), F.lit(1 << 32))
 
@@ -114,20 +119,35 @@ def peeled(cells: Column, seed: Column, third: int) -> Column:
 
 
 def differing(a: Column, b: Column, seed: Column, third: int) -> Column:
-    """Number of digests in which two sketches differ, or null."""
-    found = F.transform(minus(a, b), lambda cells: peeled(cells, seed, third))
-    return F.aggregate(found, F.lit(0), lambda n, x: n + x)
+    """Numbers of digests in which the blocks of two sketches differ, null for a block where some stay hidden."""
+    return F.transform(minus(a, b), lambda cells: peeled(cells, seed, third))
 
 
 def likeness(keys_a: Column, keys_b: Column, base_a: Column, base_b: Column) -> Column:
     """Share of common paragraphs among all of both: from the base sketches if they can be peeled, else from larger ones."""
-    n = F.size(keys_a) + F.size(keys_b)
+    def state(d: Column, a: Column, b: Column) -> Column:
+        return F.struct(d.cast("int").alias("d"), a.alias("a"), b.alias("b"))
+
+    def left(s: Column) -> Column:
+        return F.size(s["a"]) + F.size(s["b"])
 
-    def larger(got: Column, i: Column) -> Column:
-        blocks = F.greatest(F.lit(1).cast("bigint"), F.ceil(n * F.pow(F.lit(2.0), i - 1) / LOAD).cast("bigint"))
-        return F.coalesce(got, differing(sketch(keys_a, i, blocks, THIRD), sketch(keys_b, i, blocks, THIRD), i, THIRD))
+    def larger(s: Column, i: Column) -> Column:
+        blocks = F.greatest(F.lit(1).cast("bigint"), F.ceil(left(s) * F.pow(F.lit(2.0), i - 1) / LOAD).cast("bigint"))
 
-    d = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), differing(base_a, base_b, F.lit(0), BASE_THIRD), larger)
+        def after(found: Column) -> Column:
+            def hidden(keys: Column) -> Column:
+                return F.filter(keys, lambda k: F.get(found, block(k, i, F.size(found).cast("bigint"))).isNull())
+
+            return state(F.aggregate(found, s["d"], lambda n, x: n + F.coalesce(x, F.lit(0))), hidden(s["a"]), hidden(s["b"]))
+
+        return F.when(left(s) == 0, s).otherwise(let(differing(sketch(s["a"], i, blocks, THIRD), sketch(s["b"], i, blocks, THIRD), i, THIRD), after))
+
+    n = F.size(keys_a) + F.size(keys_b)
+    base = F.get(differing(base_a, base_b, F.lit(0), BASE_THIRD), F.lit(0))
+    none = F.slice(keys_a, 1, 0)
+    start = let(base, lambda d: F.when(d.isNull(), state(F.lit(0), keys_a, keys_b)).otherwise(state(d, none, none)))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), start, larger)
+    d = let(end, lambda s: s["d"] + left(s) - 2 * F.size(F.array_intersect(s["a"], s["b"])))
     return F.when(n == 0, 1.0).otherwise(let(d, lambda x: (n - x) / (n + x)))
 
 

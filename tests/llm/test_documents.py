@@ -354,6 +354,32 @@ def test_fingerprints_odd_rows(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+@pytest.mark.parametrize("rounds,tries", [(12, 8), (12, 1), (0, 2)])
+def test_likeness_is_exact_whatever_stays_hidden(spark, rounds, tries, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from curatio.llm import fingerprint as f
+    monkeypatch.setattr(f, "ROUNDS", max(rounds, 1))
+    monkeypatch.setattr(f, "TRIES", tries)
+    if rounds == 0:
+        monkeypatch.setattr(f, "THIRD", 1)                                  # nothing can be peeled
+    data = [(i, "\n".join(f"{i % 3} {k}" if k % 4 else f"all {k}" for k in range(n))) for i, n in enumerate([0, 3, 40, 300, 1500, 1501])]
+    sets = {i: set(t.split("\n")) - {""} for i, t in data}
+    d = edge.frame(spark, data).select("doc_id", f.digests(F.col("text")).alias("k"))
+    d = d.crossJoin(d.toDF("other", "l")).withColumn("x", f.base_sketch(F.col("k"))).withColumn("y", f.base_sketch(F.col("l")))
+    for i, j, got in d.select("doc_id", "other", f.likeness(F.col("k"), F.col("l"), F.col("x"), F.col("y"))).collect():
+        a, b = sets[i], sets[j]
+        assert got == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_likeness_of_fifty_thousand_lines(spark):
+    from curatio.llm.fingerprint import fingerprints
+    long = "\n".join(f"line {k}" for k in range(50_000))
+    got = {r.doc_id: r for r in fingerprints(edge.frame(spark, [(1, long), (2, "line 7\nline x")])).collect()}
+    assert got[1].near_next == got[2].near_next == pytest.approx(1 / 50_001)
+    assert got[1].near_edited is not None and got[2].near_edited is not None
+
+
 # encoding, packing, token files --------------------------------------------------
 
 def _tokenizer(name):
