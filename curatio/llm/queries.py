@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatio.session import checkpoint_dir
 from curatio.sources.tables import table
 
-from . import byte_bpe, chat, compact, fingerprint, minhash, packing, pii, quality, suffix, tokenfile
+from . import byte_bpe, chat, codes, compact, fingerprint, minhash, packing, pii, quality, search, simhash, suffix, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,70 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, out).select("doc_id", "start", "n_tokens", digest)
 
 
+@_query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, the error of its label, and a digest of the codebooks."""
+    coded, codebooks = codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error",
+                                                 F.lit(codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+@_query
+def op13_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document (three differing bits)."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+q AS (SELECT item_id, t, count(*) AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT doc_id, 75 + ((25 * n * docs) // terms) AS m FROM n, c),
+f AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """The rounds written out one after the other, on one row per (vector, part)."""
+    assign = """a{i} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+      SELECT v.vec_id, v.p, c.e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist
+      FROM v JOIN c{i} c USING (p)) GROUP BY ALL),"""
+    update = """c{j} AS MATERIALIZED (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+      SELECT p, e, list(mean ORDER BY k) AS x FROM (
+        SELECT p, e, k, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+        FROM (SELECT v.p, a.e, unnest(v.x) AS x, unnest(range(len(v.x))) AS k FROM v JOIN a{i} a USING (vec_id, p)) GROUP BY ALL)
+      GROUP BY ALL) m USING (p, e)),"""
+    steps = "\n".join(assign.format(i=i) + "\n" + update.format(i=i, j=i + 1) for i in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x FROM k, range({parts}) r(p)),
+c0 AS MATERIALIZED (SELECT p, e, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k
+                    QUALIFY e < {entries}) USING (vec_id)),
+{steps}
+{assign.format(i=rounds)}
+r AS (SELECT vec_id, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM r JOIN k USING (vec_id)"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql(codes.PARTS, codes.ENTRIES, codes.ROUNDS)
+
 ORACLES["op6_chat_formatting"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
