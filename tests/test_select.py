@@ -185,3 +185,128 @@ def test_topk_ties_resolved_by_id(spark):
         assert got == [3, 5], (block, got)
     r, c = SJ.topk_by_distance_then_id(np.array([[0.5, 0.5, 0.5, 0.1]]), np.array([9, 5, 3, 7]), 2)
     assert sorted(np.array([9, 5, 3, 7])[c]) == [3, 7]
+
+
+# ---------------------------------------------------------------- settling edges on executors
+
+def _settled_by_hand(edges):
+    out = set()
+    for later, earlier in sorted(edges):
+        if earlier not in out:
+            out.add(later)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40, 3])
+@pytest.mark.parametrize("kind", ["chain", "random", "star"])
+def test_settle_equals_the_sequential_rule(spark, kind, limit):
+    """Long chains, dense graphs and hubs, in one task or in rounds and prefixes."""
+    rng = np.random.default_rng(5)
+    n = {1 << 20: 400, 40: 150, 3: 24}[limit]
+    if kind == "chain":
+        edges = [(i + 1, i) for i in range(n)]
+    elif kind == "star":
+        edges = [(i, 0) for i in range(1, n)] + [(i, 1) for i in range(2, n, 2)]
+    else:
+        edges = sorted({(max(a, b), min(a, b)) for a, b in rng.integers(0, n, (2 * n, 2)).tolist() if a != b})
+    got = SEL.settle(spark.createDataFrame(edges, "later long, earlier long"), limit)
+    rows = [r.rk for r in got.collect()]
+    assert set(rows) == _settled_by_hand(edges)
+    assert SEL.settle(spark.createDataFrame([], "later long, earlier long"), limit).count() == 0
+
+
+def test_greedy_filter_brings_no_vectors_to_the_driver():
+    import inspect
+    source = inspect.getsource(SEL.greedy_diverse) + inspect.getsource(SEL.settle)
+    assert "toPandas" not in source and ".collect(" not in source
+
+
+def test_greedy_of_large_batches_and_null_or_zero_vectors(spark, monkeypatch):
+    monkeypatch.setattr(SEL, "BATCH_GROUP", 4)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(60, 4))
+    scores = rng.integers(0, 9, 60).astype(float)
+    want = _sequential(list(range(60)), scores, m, 0.7, 9)
+    rows = [(i, float(s), [float(v) for v in x]) for i, (s, x) in enumerate(zip(scores, m))]
+    assert sel_ids(SEL.greedy_diverse(vecs(spark, rows), tau=0.7, batch_size=9, chunk_rows=30)) == want
+    odd = rows + [(100, -1.0, None), (101, -2.0, [0.0] * 4), (102, None, [0.0] * 4)]
+    assert sel_ids(SEL.greedy_diverse(vecs(spark, odd), tau=0.7, batch_size=9)) == want + [100, 101, 102]
+
+
+# ---------------------------------------------------------------- metric pruning
+
+def clustered(n, dim=8, seed=0):
+    """Rows around a few centres, a third of them one and the same vector."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, dim)) * 4
+    x = centres[rng.integers(0, 12, n)] + 0.3 * rng.normal(size=(n, dim))
+    x[: n // 3] = centres[0]
+    return x
+
+
+def test_pruned_joins_equal_the_full_product(spark):
+    x = clustered(600)
+    df = vecs(spark, [(i, 0.0, [float(v) for v in row]) for i, row in enumerate(x)]).select("id", "embedding").repartition(3)
+    full = {(r.id_a, r.id_b) for r in SJ.similar_pairs(df, 0.95, block_rows=10_000).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if s[i, j] > 0.95}
+    assert full == want
+    got = [(r.id_a, r.id_b) for r in SJ.similar_pairs(df, 0.95, block_rows=25, chunk_rows=7).collect()]
+    assert len(got) == len(want) and set(got) == want
+    for i in (0, 3, 40):
+        a = {r.id: r[f"knn_{i}"] for r in SJ.knn_distance(df, i, block_rows=10_000).collect()}
+        b = {r.id: r[f"knn_{i}"] for r in SJ.knn_distance(df, i, block_rows=25, chunk_rows=9).collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+    queries = df.where("id % 7 = 0").toDF("query_id", "embedding")
+    docs = df.where("id % 7 <> 0").toDF("doc_id", "embedding")
+    for most in (None, 0.02):
+        a = sorted(map(tuple, SJ.bipartite_topk(queries, docs, 5, most, block_rows=10_000).collect()))
+        b = sorted(map(tuple, SJ.bipartite_topk(queries, docs, 5, most, block_rows=25).collect()))
+        assert a == b and len(a) > 0
+    left, right = df.where("id < 100").toDF("id", "v"), df.where("id >= 300").toDF("id", "v")
+    assert {r.id for r in SJ.hits(left, right, 0.95, "cosine", 25).collect()} == {i for i in range(100) if (s[i, 300:] > 0.95).any()}
+    far = sorted(map(tuple, SJ.similar_pairs(df.where("id > 500"), 2.0, metric="manhattan", block_rows=20).collect()))
+    near = sorted(map(tuple, SJ.similar_pairs(df.where("id > 500"), 2.0, metric="manhattan", block_rows=10_000).collect()))
+    assert [r[:2] for r in far] == [r[:2] for r in near] and far
+
+
+def test_lower_bounds_hold_and_blocks_are_bounded(spark):
+    x = clustered(900, seed=4)
+    df = vecs(spark, [(i, 0.0, [float(v) for v in row]) for i, row in enumerate(x)]).select("id", F.col("embedding").alias("v"))
+    filed, filing = SJ.file_rows(df, 900, 8, "euclidean", 30)
+    rows = filed.select("id", "blk").toPandas()
+    assert len(rows) == 900 and rows.groupby("blk").size().max() < 120 and rows.blk.max() < len(filing.cell)
+    blk = rows.set_index("id").blk.loc[range(900)].to_numpy()
+    low = filing.lower_bounds(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert (low[:, blk] <= d).all()
+    figures = SJ.pruning_figures(df.withColumnRenamed("v", "embedding"), 1.0, "euclidean", 30)
+    assert figures["pairs_met"] < 0.5 and figures["rows_sent"] < 0.5
+
+
+# ---------------------------------------------------------------- coreset k-center
+
+def test_exact_kcenter_settles_several_picks_a_job(spark, monkeypatch):
+    x = clustered(400, seed=9)
+    df = vecs(spark, [(i, 0.0, [float(v) for v in row]) for i, row in enumerate(x)])
+    want = SEL._farthest_first(x, 30)
+    for size in (1 << 20, 8 * 8 * 5, 1):
+        monkeypatch.setattr(SEL, "CANDIDATE_BYTES", size)
+        got = [r.id for r in SEL.kcenter_greedy(df, 30 if size > 1 else 6).orderBy("pick").collect()]
+        assert got == want[:len(got)] and len(got) == (30 if size > 1 else 6)
+
+
+def test_coreset_covers_within_its_bound(spark):
+    x = clustered(700, seed=2)
+    df = vecs(spark, [(i, 0.0, [float(v) for v in row]) for i, row in enumerate(x)])
+    for k, rows in ((3, 60), (12, 30), (20, None)):
+        picks = [r.id for r in SEL.kcenter_coreset(df, k, group_rows=rows).orderBy("pick").collect()]
+        assert len(picks) == k == len(set(picks)) and picks[0] == 0
+        radius = np.sqrt(((x[:, None] - x[picks][None]) ** 2).sum(2)).min(1).max()
+        exact = SEL._farthest_first(x, k + 1)
+        best = np.sqrt(((x[exact][:, None] - x[exact][None]) ** 2).sum(2) + 1e9 * np.eye(len(exact))).min() / 2     # no k centres cover closer
+        assert radius <= 4 * (2 * best) + 1e-9
+        got = SEL.covering_radius(df, spark.createDataFrame([(p,) for p in picks], "id long")).first()["radius"]
+        assert abs(got - radius) < 1e-6
+    assert SEL.kcenter_coreset(df.where("false"), 5).count() == 0
