@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -252,12 +253,16 @@ def keyword_hits(c, keywords, lower: bool) -> Column:
     """How many of ``keywords`` occur in the text (substring test;
     ``lower``: text and keywords lower-cased).  NULL for a NULL text.
 
-    The keywords are one array literal filtered by ``contains``: a small
-    expression whatever the length of the list."""
-    kws = sorted({k.lower() for k in keywords}) if lower else list(dict.fromkeys(keywords))
-    text = F.lower(_c(c)) if lower else _c(c)
-    hits = F.filter(F.array(*[F.lit(k) for k in kws]), lambda k: F.contains(text, k))
-    return F.when(text.isNotNull(), F.size(hits).cast("long"))
+    An Arrow batch is scanned once for all keywords (``automaton``)."""
+    from .automaton import Keywords, text_buffer
+
+    table = Keywords(sorted({k.lower() for k in keywords}) if lower else list(dict.fromkeys(keywords)))
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(table.hits(*text_buffer(texts)), pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return count(F.lower(_c(c)) if lower else _c(c))
 
 
 # ------------------------------------------------------------- judge output

@@ -9,9 +9,14 @@ tested with no model.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,36 +57,59 @@ def split_rejected(df: DataFrame, out_col: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
+#: tokens whose bucket a worker remembers, and cells of the count matrix of one slice
+TOKENS_KEPT, CELLS = 1 << 18, 1 << 21
+_TOKEN = re.compile(rb"[^ \t-\r]+")
+
+
+def _bucket(token: bytes, dim: int, bucket_hash: str) -> int:
+    if bucket_hash == "md5":
+        return int.from_bytes(hashlib.md5(token).digest()[:4]) % dim
+    h = xxhash.xxh64_intdigest(token, 42)
+    return (h - (1 << 64) if h >> 63 else h) % dim
+
+
 def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64,
                      out_col: str = "embedding", bucket_hash: str = "xxhash64") -> DataFrame:
     """K2 default: hashed whitespace-token counts, L2-normalised; rows
-    without tokens get the zero vector, a NULL text NULL.  ``bucket_hash="md5"``
-    (first 32 bits of the token's MD5) is slower but any engine can recompute it.
-
-    One expression per row, no shuffle: the tokens' buckets and one marker
-    for every bucket are sorted together, so a bucket's count is the distance
-    between its marker's first place and the next one's."""
-    tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"\S+"), F.lit(0))
-    if bucket_hash == "md5":
-        buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-    else:
-        buckets = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    marked = F.array_sort(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim))))
-    held = "_sorted"
-    while held in df.columns:
-        held += "_"
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: (
-        F.array_position(F.col(held), j + 1) - F.array_position(F.col(held), j) - 1).cast("double"))
-    norm = F.sqrt(F.aggregate(F.col(out_col), F.lit(0.0), lambda a, x: a + x * x))
-    return (df.withColumn(held, marked).withColumn(out_col, F.when(F.col(held).isNotNull(), counts))
-            .withColumn(held, F.array(norm)).withColumn(out_col, F.transform(out_col, lambda x: x / F.greatest(F.get(held, F.lit(0)), F.lit(1e-12))))
-            .drop(held))
+    without tokens get the zero vector, a NULL text NULL.  Buckets are Spark's
+    ``xxhash64`` of the token, or with ``bucket_hash="md5"`` the first 32 bits of its
+    MD5, which any engine can recompute.
+
+    One Arrow pass, no shuffle: a worker remembers the buckets of tokens it has met
+    (at most ``TOKENS_KEPT``), and the counts of all texts of a slice are one bincount."""
+    known: dict[bytes, int] = {}
+
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        parts, step = [], max(1, CELLS // dim)
+        for at in range(0, len(texts), step):
+            some = [t.encode() if t is not None else b"" for t in texts.slice(at, step).to_pylist()]
+            places = []
+            for i, text in enumerate(some):
+                for token in _TOKEN.findall(text):
+                    j = known.get(token)
+                    if j is None:
+                        if len(known) >= TOKENS_KEPT:
+                            known.clear()
+                        j = known[token] = _bucket(token, dim, bucket_hash)
+                    places.append(i * dim + j)
+            counts = np.bincount(np.array(places, np.int64), minlength=len(some) * dim).reshape(len(some), dim).astype(float)
+            norm = np.sqrt((counts * counts).sum(1))
+            parts.append(counts / np.maximum(norm, 1e-12)[:, None])
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+        bounds = pa.array(np.arange(len(texts) + 1) * dim, pa.int32())
+        return pa.ListArray.from_arrays(bounds, pa.array(flat), mask=texts.is_null())
+
+    return df.withColumn(out_col, embed(F.col(text_col)))
 
 
 def class_logits_from_counts(n: Column) -> Column:
     """K4 default: six class logits peaking at the length bucket."""
-    b = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(n / F.lit(20.0))))
-    return F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: -F.abs(k - b).cast("double"))
+    bucket = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(n / F.lit(20.0))))
+    # bound once: inside the inner lambda it would be evaluated for every class
+    return F.get(F.transform(F.array(bucket), lambda b: F.transform(
+        F.sequence(F.lit(1), F.lit(6)), lambda k: -F.abs(k - b).cast("double"))), F.lit(0))
 
 
 class BaseFilter:

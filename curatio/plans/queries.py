@@ -312,6 +312,40 @@ def kcenter_q(spark, sf):
     return SEL.kcenter_greedy(e, 8, id_col="vec_id", vec_col="embedding")
 
 
+@query("kcenter_coreset", """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT
+                            % (SELECT greatest(1, (count(*) + 127) // 128) FROM embeddings) AS g FROM embeddings),
+kc(step, g, centers) AS (
+  SELECT 1, g, [min(vec_id)] FROM e GROUP BY g
+  UNION ALL
+  SELECT step + 1, g, list_append(centers, (
+    SELECT vec_id FROM (
+      SELECT x.vec_id, min(list_distance(x.v, c.v)) AS md
+      FROM e x JOIN e c ON list_contains(kc.centers, c.vec_id) WHERE x.g = kc.g GROUP BY x.vec_id)
+    WHERE md > 0 ORDER BY md DESC, vec_id LIMIT 1))
+  FROM kc WHERE step < 8),
+u AS (SELECT vec_id, v FROM e WHERE vec_id IN (SELECT unnest(centers) FROM kc WHERE step = 8)),
+kd(step, centers) AS (
+  SELECT 1, [(SELECT min(vec_id) FROM u)]
+  UNION ALL
+  SELECT step + 1, list_append(centers, (
+    SELECT vec_id FROM (
+      SELECT x.vec_id, min(list_distance(x.v, c.v)) AS md
+      FROM u x JOIN u c ON list_contains(kd.centers, c.vec_id) GROUP BY x.vec_id)
+    WHERE md > 0 ORDER BY md DESC, vec_id LIMIT 1))
+  FROM kd WHERE step < 8),
+p AS (SELECT unnest(centers) AS vec_id, (generate_subscripts(centers, 1) - 1)::BIGINT AS pick FROM kd WHERE step = 8),
+r AS (SELECT max(d) AS radius FROM (SELECT x.vec_id, min(list_distance(x.v, c.v)) AS d
+      FROM e x, (SELECT v FROM e JOIN p USING (vec_id)) c GROUP BY x.vec_id))
+SELECT vec_id, pick, round(radius, 6) AS radius FROM p, r WHERE vec_id IS NOT NULL""")
+def kcenter_coreset_q(spark, sf):
+    """F4, coreset mode: 8 centres from groups of about 128 rows, with the radius they cover all rows in."""
+    e = table(spark, sf, "embeddings")
+    picks = SEL.kcenter_coreset(e, 8, "vec_id", "embedding", group_rows=128)
+    radius = SEL.covering_radius(e, picks, "vec_id", "embedding")
+    return picks.withColumn("radius", F.round(radius.scalar(), 6))
+
+
 @query("influence", """
 WITH ck AS (SELECT unnest([0, 1, 2]) AS ckpt),
 v AS (SELECT e.vec_id AS row_id, e.label, ck.ckpt,

@@ -112,8 +112,8 @@ def filter_flow_q(spark, sf):
 
     def certain(text: str):
         """Class logits that leave no doubt: the expected score is the length class itself."""
-        return lambda pairs: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.when(
-            k == bucket6(word_count(F.col(text))), 0.0).otherwise(-1e6))
+        return lambda pairs: F.get(F.transform(F.array(bucket6(word_count(F.col(text)))), lambda b: F.transform(
+            F.sequence(F.lit(1), F.lit(6)), lambda k: F.when(k == b, 0.0).otherwise(-1e6))), F.lit(0))
 
     scores = [Flow.create("score", score_type=k).transform(conv, certain(text))
               for k, text in (("complexity", "instruction"), ("quality", "response"))]
@@ -145,7 +145,8 @@ def token_ppl_q(spark, sf):
     def losses(text, start):
         words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
         before = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), start), F.lit(r"\S+"), F.lit(0)))
-        t = pairs.select(*keys, before.alias("n"), F.posexplode(words).alias("pos", "tok"))
+        # the count in a step of its own below the explode: beside it, it would be made once a token
+        t = pairs.select(*keys, before.alias("n"), words.alias("w")).select(*keys, "n", F.posexplode("w").alias("pos", "tok"))
         return I.token_losses(t.select(*keys, (-F.log(1 + F.length("tok")) * (1 + F.col("pos") % 3)).alias("logprob"),
                                        (F.col("pos") >= F.col("n")).alias("is_target")), keys)
 
