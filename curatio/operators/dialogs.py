@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HUMAN_ROLES = ("user", "human")
+from .turns import HUMAN_ROLES, message_pairs
 
 
 def positions(conv: DataFrame, drop_leading_non_human: bool = True,
@@ -37,18 +37,12 @@ def turn_pairs(conv: DataFrame, drop_leading_non_human: bool = True,
                conv_col: str = "conv_id", text_col: str = "text", **kw) -> DataFrame:
     """Even position = instruction, next message = response, a trailing
     instruction gets ``""``.  Roles are not looked at (as in the reference);
-    the leading-message rule is the only role-aware step.
+    the leading-message rule is the only role-aware step.  One sorted pass, see ``turns``;
+    ``(conv_id, turn)`` must be unique, a row without a turn is left out.
 
     Output: ``conv_id, pair_idx, instruction, response``.
     """
-    p = positions(conv, drop_leading_non_human, conv_col=conv_col, **kw)
-    instr = p.filter(F.col("pos") % 2 == 0).select(
-        F.col(conv_col), F.col("pos"), F.col(text_col).alias("instruction"))
-    resp = p.filter(F.col("pos") % 2 == 1).select(
-        F.col(conv_col), (F.col("pos") - 1).alias("pos"), F.col(text_col).alias("response"))
-    return (instr.join(resp, [conv_col, "pos"], "left")
-            .select(F.col(conv_col), (F.col("pos") / 2).cast("long").alias("pair_idx"),
-                    F.col("instruction"), F.coalesce(F.col("response"), F.lit("")).alias("response")))
+    return message_pairs(conv, drop_leading_non_human, conv_col, text_col=text_col, **kw).drop("has_response")
 
 
 def word_count(c: Column) -> Column:
@@ -108,6 +102,14 @@ def inject_scores(conv_ids: DataFrame, pair_scores: DataFrame, score_col: str,
                                          F.array().cast("array<double>")).alias(f"{score_col}_scores")))
 
 
+def score_arrays(pair_scores: DataFrame, score_col: str, conv_col: str = "conv_id") -> DataFrame:
+    """B2 over pairs that hold a row with a NULL ``pair_idx`` for a dialogue without pairs
+    (``turns.message_pairs(keep_empty=True)``): one array per dialogue, no join back to the messages."""
+    pair = F.when(F.col("pair_idx").isNotNull(), F.struct("pair_idx", F.col(score_col).alias("s")))
+    return (pair_scores.groupBy(conv_col).agg(F.array_sort(F.collect_list(pair)).alias("_ps"))
+            .select(conv_col, F.transform("_ps", lambda x: x["s"]).alias(f"{score_col}_scores")))
+
+
 def dialog_lengths(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Character length of a dialogue by side (instruction = even
     position, response = odd, all)."""

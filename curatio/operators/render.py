@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dialogs import positions, turn_pairs
+from .dialogs import positions
+from .turns import message_pairs
 
 
 def _ordered_texts(df: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
@@ -29,9 +30,7 @@ def answer_only_text(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 def complete_rounds(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """B8 in long form: (instruction, response) pairs that both exist
     (``zip`` stops at the shorter list)."""
-    p = positions(conv, True, conv_col=conv_col)
-    has_resp = p.filter(F.col("pos") % 2 == 1).select(conv_col, ((F.col("pos") - 1) / 2).cast("long").alias("pair_idx"))
-    return turn_pairs(conv, conv_col=conv_col).join(has_resp, [conv_col, "pair_idx"], "left_semi")
+    return message_pairs(conv, conv_col=conv_col).where("has_response").drop("has_response")
 
 
 def history_text(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -44,17 +44,18 @@ class ScoreFlow(Flow):
     score (D10) -> one score array per dialogue (B2)."""
 
     def transform(self, conv: DataFrame, logits_fn=None) -> DataFrame:
-        from ..operators.dialogs import inject_scores, turn_pairs, word_count
+        from ..operators.dialogs import score_arrays, word_count
         from ..operators.indicators import expected_score
         from ..operators.plugins import class_logits_from_counts
+        from ..operators.turns import message_pairs
         kind = self.params.get("score_type", "complexity")
         if kind not in ("complexity", "quality"):
             raise ValueError("score_type must be complexity or quality")
-        pairs = turn_pairs(conv)
+        pairs = message_pairs(conv, keep_empty=True)
         text = F.col("instruction") if kind == "complexity" else F.col("response")
         lg = logits_fn(pairs) if logits_fn else class_logits_from_counts(word_count(text))
         scored = pairs.withColumn(f"{kind}", expected_score(lg))
-        return inject_scores(conv.select("conv_id"), scored, kind)
+        return score_arrays(scored, kind)
 
 
 @register("embed")
