@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 _REGISTRY: dict[str, type] = {}
 
 
@@ -124,18 +126,24 @@ class InfluenceFlow(Flow):
 
 @register("indicators")
 class IndicatorFlow(Flow):
-    """I8: length, MTLD and kNN-i distance per text in one table."""
+    """I8: character length, MTLD and kNN-i distance of the whole text of a pair, and PPL, IFD and
+    RIFD of its two sides, in one table (``id_col, length, mtld, knn_i, ppl, ifd, rifd``).
+
+    ``pairs(id_col, instruction, response)``, ids are longs.  The perplexities come from the unigram
+    default fitted on the same pairs, or as ``perplexities(id_col, ppl, ifd, rifd)`` from any model."""
 
-    def transform(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        from ..operators.indicators import mtld
+    def transform(self, pairs: DataFrame, perplexities: DataFrame | None = None, id_col: str = "pair_id") -> DataFrame:
+        from ..operators.indicators import mtld, pair_perplexities
         from ..operators.plugins import hashed_embedding
         from ..operators.simjoin import knn_distance
-        i = self.params.get("knn_i", 3)
-        emb = hashed_embedding(docs.select(id_col, text_col), id_col, text_col, self.params.get("dim", 64))
-        # row count from the source scan (parquet metadata), not from the embeddings
-        knn = knn_distance(emb.select(id_col, "embedding"), i, id_col=id_col, vec_col="embedding")
-        main = docs.select(id_col, F.length(text_col).alias("length"), mtld(F.col(text_col)).alias("mtld"))
-        return main.join(knn, id_col, "left")
+        p, i = self.params, self.params.get("knn_i", 3)
+        texts = stored(pairs.select(id_col, "instruction", "response", F.concat_ws("\n", "instruction", "response").alias("whole")))
+        emb = hashed_embedding(texts.select(id_col, "whole"), id_col, "whole", p.get("dim", 64), bucket_hash=p.get("bucket_hash", "xxhash64"))
+        knn = knn_distance(emb, i, id_col=id_col, vec_col="embedding")
+        if perplexities is None:
+            perplexities = pair_perplexities(texts, keys=[id_col]).withColumnRenamed("ppl_answer", "ppl")
+        main = texts.select(id_col, F.length("whole").cast("long").alias("length"), mtld(F.col("whole")).alias("mtld"))
+        return main.join(knn, id_col, "left").join(perplexities.select(id_col, "ppl", "ifd", "rifd"), id_col, "left")
 
 
 @register("staged_selection")

@@ -92,7 +92,7 @@ def final_score_q(spark, sf):
 
 def _reward_frame(spark, sf):
     """Triplets from documents with the label table as reward plug-in (K5
-    default): question = first line (+ source as input, B5), reward from
+    default): question = the whole text (+ source as input, B5), reward from
     labels."""
     from ..operators.indicators import default_reward
     docs = table(spark, sf, "documents")
@@ -102,8 +102,7 @@ def _reward_frame(spark, sf):
 
 SQL_REWARD = """
 SELECT d.doc_id,
-       CASE WHEN coalesce(d.source, '') = '' THEN split_part(d.text, chr(10), 1)
-            ELSE split_part(d.text, chr(10), 1) || chr(10) || d.source END AS question,
+       CASE WHEN coalesce(d.source, '') = '' THEN d.text ELSE d.text || chr(10) || d.source END AS question,
        (l.quality * 4.0 - l.toxic * 2.0 + ln(1 + d.n_chars) / 2.0)::DOUBLE AS reward_score
 FROM documents d JOIN labels l USING (doc_id)"""
 
@@ -243,17 +242,20 @@ from ..operators import simjoin as SJ  # noqa: E402
 
 @query("expected_score", """
 WITH l AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-x AS (SELECT vec_id, e[1:6] AS lg FROM l),
-y AS (SELECT vec_id, lg, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM x)
-SELECT vec_id,
+g AS (SELECT vec_id, unnest(range((len(e) + 5) // 6)) AS head, e FROM l),
+x AS (SELECT vec_id, head, e[6 * head + 1 : 6 * head + 6] AS lg FROM g),
+y AS (SELECT vec_id, head, lg, list_transform(lg, lambda v: exp(v - list_max(lg))) AS ex FROM x)
+SELECT vec_id, head::BIGINT AS head,
        CASE WHEN len(lg) < 6 OR list_count(lg) < 6 THEN 3.0
             ELSE list_dot_product(ex, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) / list_sum(ex) END AS expected_score
 FROM y""")
 def expected_score_q(spark, sf):
-    """D10 with the first six components as class logits."""
+    """D10 over all components: six at a time as class logits of one head, the short rest as one with too few."""
     from ..operators.indicators import expected_score
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", expected_score(F.slice("embedding", 1, 6)).alias("expected_score"))
+    heads = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 6).cast("int") - 1), lambda i: F.slice("embedding", 6 * i + 1, 6))
+    rows = e.select("vec_id", F.posexplode(heads).alias("head", "logits"))
+    return rows.select("vec_id", F.col("head").cast("long").alias("head"), expected_score(F.col("logits")).alias("expected_score"))
 
 
 @query("similar_pairs", """
@@ -505,15 +507,15 @@ def unigram_ppl_q(spark, sf):
 # -------------------------------------------------- category map, clean-up
 
 @query("category_map", """
-WITH c AS (SELECT sha256(split_part(text, chr(10), 1)) AS instr_sha, source AS category, doc_id FROM documents)
+WITH c AS (SELECT sha256(text) AS instr_sha, source AS category, doc_id FROM documents)
 SELECT instr_sha, arg_max(category, doc_id) AS category, count(DISTINCT category)::BIGINT AS n_categories,
        (count(*) - count(DISTINCT category))::BIGINT AS same_category_repeats
 FROM c GROUP BY instr_sha""")
 def category_map_q(spark, sf):
-    """Instruction (first line) -> category (source), last one by
+    """Instruction (whole text) -> category (source), last one by
     position wins; repeats inside a category are counted."""
     d = table(spark, sf, "documents")
-    c = d.select(F.sha2(T.first_line("text"), 256).alias("instr_sha"), F.col("source").alias("category"), "doc_id")
+    c = d.select(F.sha2("text", 256).alias("instr_sha"), F.col("source").alias("category"), "doc_id")
     return c.groupBy("instr_sha").agg(
         F.max_by("category", "doc_id").alias("category"),
         F.count_distinct("category").alias("n_categories"),
@@ -669,13 +671,6 @@ def diversity_sample_q(spark, sf):
     return good.join(picks, "doc_id").select("doc_id", "pick", "reward_score")
 
 
-@query("indicator_set")
-def indicator_set_q(spark, sf):
-    """I8: length, MTLD and kNN-3 distance (hashed embeddings) per document."""
-    from .flows import Flow
-    return Flow.create("indicators", knn_i=3).transform(table(spark, sf, "documents"))
-
-
 @query("score_arrays", "WITH " + SQL_PAIRS + """,
 b AS (SELECT conv_id, pair_idx, least(6, greatest(1, ceil(len(regexp_extract_all(instruction, '\\S+')) / 20.0))) AS b FROM pairs),
 k AS (SELECT unnest(range(1, 7)) AS k),
@@ -843,4 +838,26 @@ def benchmark_search_q(spark, sf):
     return SJ.bipartite_topk(b, d, 3, q_id="item_id", d_id="doc_id")
 
 
+_PAIR_TEXTS = "WITH " + SQL_PAIRS + """ SELECT conv_id, pair_idx, conv_id * 1000000 + pair_idx AS pair_id,
+instruction || chr(10) || response AS whole FROM pairs"""
+
+
+@query("indicator_set", f"""
+WITH t AS ({_PAIR_TEXTS}),
+m AS ({MTLD_SQL.replace("FROM documents", "FROM (SELECT pair_id AS doc_id, '' AS lang, whole AS text FROM (" + _PAIR_TEXTS + "))")}),
+e AS {_md5_embedding_sql("SELECT pair_id, whole FROM (" + _PAIR_TEXTS + ")", "pair_id", "whole")},
+d AS (SELECT a.id, list_distance(a.v, b.v) AS dist FROM e a, e b),
+k AS (SELECT id, dist FROM (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS rn FROM d) WHERE rn = 4),
+u AS ({_ppl_sql()})
+SELECT t.pair_id, length(whole)::BIGINT AS length, mtld, round(k.dist, 6) AS knn_3, ppl_answer AS ppl, ifd, rifd
+FROM t JOIN m ON m.doc_id = t.pair_id LEFT JOIN k ON k.id = t.pair_id JOIN u USING (conv_id, pair_idx)""")
+def indicator_set_q(spark, sf):
+    """I8: length, MTLD, kNN-3 distance, PPL of the answer, IFD and RIFD of every turn pair."""
+    from .flows import Flow
+    pairs = DG.turn_pairs(table(spark, sf, "conversations"))
+    pairs = pairs.select((F.col("conv_id") * 1_000_000 + F.col("pair_idx")).alias("pair_id"), "instruction", "response")
+    out = Flow.create("indicators", knn_i=3, bucket_hash="md5").transform(pairs, id_col="pair_id")
+    return out.withColumn("knn_3", F.round("knn_3", 6))
+
+
 from . import store_queries  # noqa: E402,F401  (registers)

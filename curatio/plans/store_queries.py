@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import indicators as I
 from ..operators import sample as SM
 from ..operators import store as ST
-from ..operators.dialogs import bucket6, turn_pairs, word_count
+from ..operators.dialogs import bucket6, positions, turn_pairs, word_count
 from ..operators.indicators import distinct_texts
 from ..operators.render import TEMPLATES, render
 from ..sources.tables import table
@@ -123,22 +123,23 @@ def filter_flow_q(spark, sf):
 
 
 _LOSS_SQL = """
-t AS (SELECT conv_id, pair_idx, instruction || ' ' || response AS w, response AS a FROM pairs WHERE response <> ''),
+t AS (SELECT conv_id, pair_idx, instruction || ' ' || response AS w, response AS a FROM pairs),
 s AS (SELECT *, length(w) - (strpos(reverse(w), reverse(a)) - 1) - length(a) AS st FROM t),
 c AS (SELECT conv_id, pair_idx, unnest(regexp_extract_all(w, '\\S+')) AS tok, generate_subscripts(regexp_extract_all(w, '\\S+'), 1) - 1 AS pos,
              len(regexp_extract_all(substr(w, 1, st), '\\S+')) AS n FROM s),
-l AS (SELECT conv_id, pair_idx, -avg(-ln(1 + length(tok)) * (1 + pos % 3)) AS loss FROM c WHERE pos >= n GROUP BY ALL),
+l AS (SELECT conv_id, pair_idx, -avg(-ln(1 + length(tok)) * (1 + pos % 3)) AS loss FROM c JOIN (SELECT conv_id, pair_idx FROM t WHERE a <> '') USING (conv_id, pair_idx)
+      WHERE pos >= n GROUP BY ALL),
 u AS (SELECT conv_id, pair_idx, unnest(regexp_extract_all(a, '\\S+')) AS tok, generate_subscripts(regexp_extract_all(a, '\\S+'), 1) - 1 AS pos FROM t),
 k AS (SELECT conv_id, pair_idx, -avg(-ln(1 + length(tok)) * (1 + pos % 3)) AS loss FROM u GROUP BY ALL)
 SELECT conv_id, pair_idx, round(l.loss, 6) AS loss, round(exp(l.loss) / exp(k.loss), 6) AS ifd, round(l.loss / k.loss, 6) AS ifd_loss
-FROM l JOIN k USING (conv_id, pair_idx)"""
+FROM t LEFT JOIN l USING (conv_id, pair_idx) LEFT JOIN k USING (conv_id, pair_idx)"""
 
 
 @query("token_ppl", "WITH " + SQL_PAIRS + "," + _LOSS_SQL)
 def token_ppl_q(spark, sf):
     """K3 -> D5/D6: supplied token losses (here from token length and place), the answer from its
-    last occurrence on as target, the IFD ratio in both modes."""
-    pairs = turn_pairs(table(spark, sf, "conversations")).filter("response <> ''")
+    last occurrence on as target, the IFD ratio in both modes; NULL for an empty answer."""
+    pairs = turn_pairs(table(spark, sf, "conversations"))
     whole, answer = F.concat_ws(" ", "instruction", "response"), F.col("response")
     keys = ["conv_id", "pair_idx"]
 
@@ -146,7 +147,7 @@ def token_ppl_q(spark, sf):
         words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
         before = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), start), F.lit(r"\S+"), F.lit(0)))
         # the count in a step of its own below the explode: beside it, it would be made once a token
-        t = pairs.select(*keys, before.alias("n"), words.alias("w")).select(*keys, "n", F.posexplode("w").alias("pos", "tok"))
+        t = pairs.select(*keys, before.alias("n"), words.alias("w")).select(*keys, "n", F.posexplode_outer("w").alias("pos", "tok"))
         return I.token_losses(t.select(*keys, (-F.log(1 + F.length("tok")) * (1 + F.col("pos") % 3)).alias("logprob"),
                                        (F.col("pos") >= F.col("n")).alias("is_target")), keys)
 
@@ -174,17 +175,23 @@ def _plain_sql() -> str:
             start = system + (sep + tail if with_sep else "")
             if not system and style in ("ADD_NEW_LINE_SINGLE", "CHATML"):
                 start = ""
-            rows.append("(" + ", ".join(lit(x) for x in (name, start, user + middle, bot + middle, sep + tail)) + ")")
+            bare = ":" if style == "ADD_COLON_SINGLE" else middle        # an empty message: the role and this, no separator
+            rows.append("(" + ", ".join(lit(x) for x in (name, start, user + middle, bot + middle, sep + tail, user + bare, bot + bare)) + ")")
     return "WITH " + SQL_POSITIONS + f""",
-t(template, start, u, b, stop) AS (VALUES {", ".join(rows)})
-SELECT template, conv_id, sha256(start || string_agg(CASE WHEN pos % 2 = 0 THEN u ELSE b END || text || stop, '' ORDER BY pos)) AS sha
-FROM pos, t WHERE text <> '' GROUP BY template, start, conv_id"""
+m AS (SELECT conv_id, pos, CASE WHEN (conv_id + pos) % 5 = 0 THEN '' WHEN (conv_id + pos) % 7 = 0 THEN NULL ELSE text END AS text FROM pos),
+t(template, start, u, b, stop, nu, nb) AS (VALUES {", ".join(rows)})
+SELECT template, conv_id, sha256(start || string_agg(CASE WHEN coalesce(text, '') = '' THEN CASE WHEN pos % 2 = 0 THEN nu ELSE nb END
+                                                          ELSE CASE WHEN pos % 2 = 0 THEN u ELSE b END || text || stop END, '' ORDER BY pos)) AS sha
+FROM m, t GROUP BY template, start, conv_id"""
 
 
 @query("render_plain_templates", _plain_sql())
 def render_plain_templates_q(spark, sf):
-    """Every dialogue under every template of the single-separator styles."""
-    conv = table(spark, sf, "conversations").filter("text <> ''")
+    """Every dialogue under every template of the single-separator styles, some messages empty or NULL."""
+    conv = table(spark, sf, "conversations")
+    first = positions(conv).select("conv_id", "turn", "pos")
+    empty = F.when((F.col("conv_id") + F.col("pos")) % 5 == 0, F.lit("")).when((F.col("conv_id") + F.col("pos")) % 7 != 0, F.col("text"))
+    conv = conv.join(first, ["conv_id", "turn"], "left").withColumn("text", F.when(F.col("pos").isNull(), F.col("text")).otherwise(empty))
     frames = [render(conv, t[0]).select(F.lit(t[0]).alias("template"), "conv_id", F.sha2("prompt", 256).alias("sha"))
               for t in TEMPLATES if t[1] in _PLAIN]
     out = frames[0]
