@@ -9,8 +9,11 @@ agreement, and only likely pairs reach the exact check on the full sets.
 Links are found without listing a bucket's pairs.  Texts with the same word
 sequence are one node.  First, each member of a bucket is compared with the
 bucket's smallest id.  Then buckets that still hold more than one component are
-searched in bounded blocks, only across components, and each task returns no more than
-a spanning set of the links it verified.
+searched in bounded blocks of packed signatures, only across components: a bit
+count of an exclusive or per pair, no text.  Likely pairs are distinct over all
+bands, and those of two components are verified best first until the components
+are joined or none is left.  Two blocks with very many likely pairs are compared
+by their full sets at once instead, and return a spanning set of the links.
 
 Defined cases: a null or empty text has no shingles and no links; rows that
 share a doc_id are one document; a null doc_id is never linked, its component
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, signed
@@ -35,6 +38,10 @@ HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 LONGS = HASHES * BITS // 64
 BLOCK = 256
+#: likely pairs of two blocks beyond which they are compared as sets
+CROWD = 4096
+#: pairs of two components verified in the first rounds
+FIRST_TRIES = (1, 8)
 _MULT, _ADD = random_odd(HASHES, 11), random_odd(HASHES, 12)
 
 
@@ -191,6 +198,56 @@ def _search_blocks(percent: int):
     return run
 
 
+def _block_sides(o: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of open buckets dealt to tasks (band, x, y): a minor block x against a minor block of no smaller
+    number or a major block (y = -1, -2, ...).  Blocks hold about BLOCK members."""
+    sizes = o.groupBy("band").agg(
+        F.ceil(F.sum(F.col("minor").cast("long")) / BLOCK).cast("long").alias("n_minor"),
+        F.ceil(F.sum((~F.col("minor")).cast("long")) / BLOCK).cast("long").alias("n_major"))
+    o = o.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("n_minor")).otherwise(F.col("n_major"))))
+    longs = [f"s{i}" for i in range(LONGS)]
+    xs = o.where("minor").select("band", F.col("own").alias("x"), F.explode(F.concat(
+        F.sequence(F.col("own"), F.col("n_minor") - 1), F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_major")), lambda i: -i))).alias("y"),
+        F.col("id").alias("a"), F.col("component").alias("a_component"), *[F.col(c).alias(f"a_{c}") for c in longs])
+    zero = F.lit(0).cast("long")
+    ys = o.select("band", F.explode(F.when(F.col("minor"), F.sequence(zero, F.col("own"))).otherwise(F.sequence(zero, F.col("n_minor") - 1))).alias("x"),
+                  F.when(F.col("minor"), F.col("own")).otherwise(-F.col("own") - 1).alias("y"),
+                  F.col("id").alias("b"), F.col("component").alias("b_component"), *[F.col(c).alias(f"b_{c}") for c in longs])
+    return xs, ys
+
+
+def _best_first(pairs: DataFrame, verify) -> list[DataFrame]:
+    """Links among candidate pairs (a, b, their components ca and cb, estimate), enough to join all components they join.
+
+    The likeliest pairs of every two components are verified first; pairs whose components
+    a link has joined meanwhile are not needed, all others are verified in the end."""
+    links = []
+    for most in FIRST_TRIES:
+        w = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b")
+        ranked = materialize(pairs.withColumn("r", F.row_number().over(w)))
+        tried = ranked.where(F.col("r") <= most)
+        links.append(materialize(verify(tried.select("a", "b"))))
+        joined = materialize(components(links[-1].join(tried, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        pairs = ranked.where(F.col("r") > most).drop("r")
+        for c in ("ca", "cb"):
+            pairs = pairs.join(joined.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+        pairs = materialize(pairs.where("ca <> cb"))
+        if pairs.isEmpty():
+            return links
+    return links + [materialize(verify(pairs.select("a", "b")))]
+
+
+def _crowded_links(xs: DataFrame, ys: DataFrame, crowded: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links across components in the blocks with many likely pairs, by their full sets."""
+    keys = ["band", "x", "y"]
+    x = xs.join(crowded, keys, "left_semi").select(*keys, F.col("a").alias("id"), F.lit(0).alias("side"))
+    y = ys.join(crowded, keys, "left_semi").select(*keys, F.col("b").alias("id"), F.lit(1).alias("side"))
+    rows = x.unionByName(y).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    still = rows.groupBy(keys).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select(keys)
+    rows = rows.join(still, keys, "left_semi").join(texts, "id")
+    return rows.groupBy(keys).applyInPandas(_search_blocks(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                     margin: float = 0.25) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
@@ -225,28 +282,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     verified = materialize(likely.join(ta, "a").join(tb, "b").mapInArrow(_verify(percent), "a long, b long"))
 
-    found = components(verified)
+    found = materialize(components(verified))
     placed = members.join(found, "id", "left").select("band", "id", "head", F.coalesce("component", "id").alias("component"))
     headed = placed.where("id = head").select("band", F.col("component").alias("head_component")).distinct()
-    mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 <> c1 AND n > 2")
     # minor: not in the component of the bucket's first member; major members need comparing with minor ones only
-    open_ = materialize(placed.join(mixed.select("band"), "band").join(headed, "band")
-                        .select("band", "id", "component", (F.col("component") != F.col("head_component")).alias("minor")))
-    sizes = open_.groupBy("band").agg(
-        F.ceil(F.sum(F.col("minor").cast("long")) / BLOCK).cast("long").alias("n_minor"),
-        F.ceil(F.sum((~F.col("minor")).cast("long")) / BLOCK).cast("long").alias("n_major"))
-    o = open_.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("n_minor")).otherwise(F.col("n_major"))))
-    # a task: one minor block (x) against a minor block of no smaller number or a major block (y)
-    minor_x = o.where("minor").select("band", "id", "component", F.col("own").alias("x"), F.explode(F.concat(
-        F.transform(F.sequence(F.col("own"), F.col("n_minor") - 1), lambda i: i),
-        F.transform(F.sequence(F.lit(1), F.col("n_major")), lambda i: -i))).alias("y"), F.lit(0).alias("side"))
-    minor_y = o.where("minor AND own > 0").select("band", "id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("x"),
-                                                  F.col("own").alias("y"), F.lit(1).alias("side"))
-    major_y = o.where("NOT minor").select("band", "id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_minor") - 1)).alias("x"),
-                                          (-F.col("own") - 1).alias("y"), F.lit(1).alias("side"))
-    tasks = minor_x.unionByName(minor_y).unionByName(major_y).join(texts, "id")
-    more = tasks.groupBy("band", "x", "y").applyInPandas(_search_blocks(percent), "a long, b long")
-    links = materialize(verified.unionByName(more).unionByName(same).distinct())
+    open_ = placed.join(mixed.select("band"), "band").join(headed, "band").select(
+        "band", "id", "component", (F.col("component") != F.col("head_component")).alias("minor"))
+    open_ = materialize(open_.join(bits, "id"))
+    xs, ys = _block_sides(open_)
+    apart = F.col("a_component") != F.col("b_component")
+    met = xs.join(ys, ["band", "x", "y"]).where(apart & (estimated_similarity() >= low))
+    # blocks where many pairs look alike are compared as sets at once, the pairs of the others one by one
+    crowded = materialize(met.groupBy("band", "x", "y").count().where(F.col("count") > CROWD).select("band", "x", "y"))
+    sparse = met.join(crowded, ["band", "x", "y"], "left_anti").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_component")).otherwise(F.col("b_component")).alias("ca"),
+        F.when(F.col("a") < F.col("b"), F.col("b_component")).otherwise(F.col("a_component")).alias("cb"), estimated_similarity().alias("estimate")).distinct()
+    gained = _best_first(materialize(sparse), lambda pairs: pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify(percent), "a long, b long"))
+    links = verified.unionByName(same)
+    for g in gained:
+        links = links.unionByName(g)
+    if not crowded.isEmpty():
+        links = links.unionByName(_crowded_links(xs, ys, crowded, components(links), texts, percent))
+    links = materialize(links.distinct())
 
     final = components(links)
     return (sig.select(F.col("id").alias("doc_id"), "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")

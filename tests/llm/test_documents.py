@@ -488,3 +488,23 @@ def test_rank_encoding_equals_tiktoken_and_decodes(spark):
     with pytest.raises(ValueError):
         b.decode_bytes(np.array([60_000]), path)
     assert b.encode_texts(edge.frame(spark, []), path, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("block,crowd", [(2, 4096), (3, 0), (256, 0), (2, 1)])
+def test_several_blocks_and_crowded_ones_match_brute_force(spark, block, crowd, monkeypatch):
+    """Clusters of versions in buckets that hold several components and blocks."""
+    from curatio.llm import minhash
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    r = np.random.RandomState(block + crowd)
+    data, at = [], 0
+    for seed in range(4):
+        base = edge.passage(100 + seed, 90).split(" ")
+        for _ in range(9):
+            w = list(base)
+            for k in r.choice(90, r.randint(0, 6), replace=False):
+                w[k] = f"v{r.randint(50)}"
+            data.append((int(1000 - 7 * at), " ".join(w)))
+            at += 1
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in _components(spark, data)}
+    assert got == brute.near_components(data)
