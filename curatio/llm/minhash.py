@@ -11,8 +11,7 @@ sequence are one node.  First, each member of a bucket is compared with the
 bucket's smallest id.  Then buckets that still hold more than one component are
 searched in bounded blocks of packed signatures, only across components: a bit
 count of an exclusive or per pair, no text.  Likely pairs are distinct over all
-bands, and those of two components are verified best first until the components
-are joined or none is left.  Two blocks with very many likely pairs are compared
+bands and verified one by one.  Two blocks with very many likely pairs are compared
 by their full sets at once instead, and return a spanning set of the links.
 
 Defined cases: a null or empty text has no shingles and no links; rows that
@@ -37,11 +36,10 @@ from .words import (LOWER_CODE, U64, RangeHash, WordArrays, buffers, chunks, mix
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 LONGS = HASHES * BITS // 64
-BLOCK = 256
+#: members of a bucket in one block (packed signatures only), and of them those whose sets are compared at once
+BLOCK, SETS = 1024, 256
 #: likely pairs of two blocks beyond which they are compared as sets
 CROWD = 4096
-#: pairs of two components verified in the first rounds
-FIRST_TRIES = (1, 8)
 _MULT, _ADD = random_odd(HASHES, 11), random_odd(HASHES, 12)
 
 
@@ -152,48 +150,54 @@ def _verify(percent: int):
     return run
 
 
+def common_counts(hx: np.ndarray, ox: np.ndarray, nx: int, hy: np.ndarray, oy: np.ndarray, ny: int) -> np.ndarray:
+    """Sizes of all intersections of two small lists of sets, given as hashes and their owners."""
+    inter = np.zeros((nx, ny), np.float32)
+    shared = np.intersect1d(hx, hy)
+    for at in range(0, len(shared), 4096):     # columns of the incidence matrices, a slice at a time
+        some = shared[at: at + 4096]
+        m = []
+        for h, o, n in ((hx, ox, nx), (hy, oy, ny)):
+            j = np.searchsorted(some, h)
+            hit = some[np.minimum(j, len(some) - 1)] == h
+            a = np.zeros((n, len(some)), np.float32)
+            a[o[hit], j[hit]] = 1
+            m.append(a)
+        inter += m[0] @ m[1].T
+    return inter.astype(np.int64)
+
+
 def _search_blocks(percent: int):
     """Exact links across components between two blocks, as a spanning set."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "side", "text"])
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(y):
-            y = x
+        sides = []
+        for side in (0, 1):
+            rows = pdf[pdf.side == side]
+            h, bounds, _ = shingle_sets(pa.array(rows.text, pa.large_string()))
+            sides.append((rows.id.to_numpy(), rows.component.to_numpy(), h, bounds))
+        root: dict[int, int] = {}
         out: list[tuple[int, int]] = []
-        if len(x) and (x.component.nunique() > 1 or y.component.nunique() > 1 or x.component.iloc[0] != y.component.iloc[0]):
-            hx, bx, _ = shingle_sets(pa.array(x.text, pa.large_string()))
-            hy, by, _ = shingle_sets(pa.array(y.text, pa.large_string()))
-            sx, sy = np.diff(bx), np.diff(by)
-            inter = np.zeros((len(x), len(y)), np.float32)
-            shared = np.intersect1d(hx, hy)
-            ox, oy = np.repeat(np.arange(len(x)), sx), np.repeat(np.arange(len(y)), sy)
-            for at in range(0, len(shared), 4096):     # columns of the incidence matrices, a slice at a time
-                some = shared[at: at + 4096]
-                m = []
-                for h, o, n in ((hx, ox, len(x)), (hy, oy, len(y))):
-                    j = np.searchsorted(some, h)
-                    hit = some[np.minimum(j, len(some) - 1)] == h
-                    a = np.zeros((n, len(some)), np.float32)
-                    a[o[hit], j[hit]] = 1
-                    m.append(a)
-                inter += m[0] @ m[1].T
-            cx, cy = x.component.to_numpy(), y.component.to_numpy()
-            ok = linked(inter.astype(np.int64), sx[:, None], sy[None, :], percent) & (sx[:, None] > 0) & (cx[:, None] != cy[None, :])
-            i, j = np.nonzero(ok)
-            pairs = pd.DataFrame({"a": x.id.to_numpy()[i], "b": y.id.to_numpy()[j], "lo": np.minimum(cx[i], cy[j]), "hi": np.maximum(cx[i], cy[j])})
-            pairs = pairs.drop_duplicates(["lo", "hi"])
-            root: dict[int, int] = {}
-
-            def find(c: int) -> int:
-                while root.get(c, c) != c:
-                    c = root[c]
-                return c
-
-            for a, b, lo, hi in pairs.itertuples(index=False):
-                lo, hi = find(lo), find(hi)
-                if lo != hi:
-                    root[max(lo, hi)] = min(lo, hi)
-                    out.append((a, b))
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        (ix, cx, hx, bx), (iy, cy, hy, by) = sides
+        for p in range(0, len(ix), SETS):
+            for q in range(0, len(iy), SETS):
+                px, py = bx[p: p + SETS + 1], by[q: q + SETS + 1]
+                sx, sy, kx, ky = np.diff(px), np.diff(py), cx[p: p + SETS], cy[q: q + SETS]
+                inter = common_counts(hx[px[0]: px[-1]], np.repeat(np.arange(len(sx)), sx), len(sx), hy[py[0]: py[-1]], np.repeat(np.arange(len(sy)), sy), len(sy))
+                ok = linked(inter, sx[:, None], sy[None, :], percent) & (sx[:, None] > 0) & (kx[:, None] != ky[None, :])
+                i, j = np.nonzero(ok)
+                pairs = pd.DataFrame({"a": ix[p + i], "b": iy[q + j], "lo": np.minimum(kx[i], ky[j]), "hi": np.maximum(kx[i], ky[j])})
+                for a, b, lo, hi in pairs.drop_duplicates(["lo", "hi"]).itertuples(index=False):
+                    lo, hi = find(lo), find(hi)
+                    if lo != hi:
+                        root[max(lo, hi)] = min(lo, hi)
+                        out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
 
@@ -216,36 +220,12 @@ def _block_sides(o: DataFrame) -> tuple[DataFrame, DataFrame]:
     return xs, ys
 
 
-def _best_first(pairs: DataFrame, verify) -> list[DataFrame]:
-    """Links among candidate pairs (a, b, their components ca and cb, estimate), enough to join all components they join.
-
-    The likeliest pairs of every two components are verified first; pairs whose components
-    a link has joined meanwhile are not needed, all others are verified in the end."""
-    links = []
-    for most in FIRST_TRIES:
-        w = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b")
-        ranked = materialize(pairs.withColumn("r", F.row_number().over(w)))
-        tried = ranked.where(F.col("r") <= most)
-        links.append(materialize(verify(tried.select("a", "b"))))
-        joined = materialize(components(links[-1].join(tried, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        pairs = ranked.where(F.col("r") > most).drop("r")
-        for c in ("ca", "cb"):
-            pairs = pairs.join(joined.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-        pairs = materialize(pairs.where("ca <> cb"))
-        if pairs.isEmpty():
-            return links
-    return links + [materialize(verify(pairs.select("a", "b")))]
-
-
-def _crowded_links(xs: DataFrame, ys: DataFrame, crowded: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _crowded_links(xs: DataFrame, ys: DataFrame, crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links across components in the blocks with many likely pairs, by their full sets."""
     keys = ["band", "x", "y"]
-    x = xs.join(crowded, keys, "left_semi").select(*keys, F.col("a").alias("id"), F.lit(0).alias("side"))
-    y = ys.join(crowded, keys, "left_semi").select(*keys, F.col("b").alias("id"), F.lit(1).alias("side"))
-    rows = x.unionByName(y).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    still = rows.groupBy(keys).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select(keys)
-    rows = rows.join(still, keys, "left_semi").join(texts, "id")
-    return rows.groupBy(keys).applyInPandas(_search_blocks(percent), "a long, b long")
+    x = xs.join(crowded, keys, "left_semi").select(*keys, F.col("a").alias("id"), F.col("a_component").alias("component"), F.lit(0).alias("side"))
+    y = ys.join(crowded, keys, "left_semi").select(*keys, F.col("b").alias("id"), F.col("b_component").alias("component"), F.lit(1).alias("side"))
+    return x.unionByName(y).join(texts, "id").groupBy(keys).applyInPandas(_search_blocks(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -295,15 +275,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = xs.join(ys, ["band", "x", "y"]).where(apart & (estimated_similarity() >= low))
     # blocks where many pairs look alike are compared as sets at once, the pairs of the others one by one
     crowded = materialize(met.groupBy("band", "x", "y").count().where(F.col("count") > CROWD).select("band", "x", "y"))
-    sparse = met.join(crowded, ["band", "x", "y"], "left_anti").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_component")).otherwise(F.col("b_component")).alias("ca"),
-        F.when(F.col("a") < F.col("b"), F.col("b_component")).otherwise(F.col("a_component")).alias("cb"), estimated_similarity().alias("estimate")).distinct()
-    gained = _best_first(materialize(sparse), lambda pairs: pairs.join(ta, "a").join(tb, "b").mapInArrow(_verify(percent), "a long, b long"))
-    links = verified.unionByName(same)
-    for g in gained:
-        links = links.unionByName(g)
+    sparse = met.join(crowded, ["band", "x", "y"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialize(sparse).join(ta, "a").join(tb, "b").mapInArrow(_verify(percent), "a long, b long")
+    links = verified.unionByName(same).unionByName(more)
     if not crowded.isEmpty():
-        links = links.unionByName(_crowded_links(xs, ys, crowded, components(links), texts, percent))
+        links = links.unionByName(_crowded_links(xs, ys, crowded, texts, percent))
     links = materialize(links.distinct())
 
     final = components(links)

@@ -508,3 +508,13 @@ def test_several_blocks_and_crowded_ones_match_brute_force(spark, block, crowd,
             at += 1
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in _components(spark, data)}
     assert got == brute.near_components(data)
+
+
+def test_sets_in_several_slices_match_brute_force(spark, monkeypatch):
+    from curatio.llm import minhash
+    monkeypatch.setattr(minhash, "SETS", 3)
+    monkeypatch.setattr(minhash, "CROWD", 0)
+    base = edge.passage(200, 80).split(" ")
+    data = [(k, " ".join(base[: 3 * k] + [f"n{k}"] + base[3 * k + 1:])) for k in range(25)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in _components(spark, data)}
+    assert got == brute.near_components(data)
