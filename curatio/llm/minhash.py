@@ -11,8 +11,8 @@ sequence are one node.  First, each member of a bucket is compared with the
 bucket's smallest id.  Then buckets that still hold more than one component are
 searched in bounded blocks of packed signatures, only across components: a bit
 count of an exclusive or per pair, no text.  Likely pairs are distinct over all
-bands and verified one by one.  Two blocks with very many likely pairs are compared
-by their full sets at once instead, and return a spanning set of the links.
+bands and verified one by one.  Two blocks with more than a few likely pairs a member
+are compared by their full sets at once instead, and return a spanning set of the links.
 
 Defined cases: a null or empty text has no shingles and no links; rows that
 share a doc_id are one document; a null doc_id is never linked, its component
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, signed
@@ -38,8 +38,8 @@ BANDS = HASHES // ROWS
 LONGS = HASHES * BITS // 64
 #: members of a bucket in one block (packed signatures only), and of them those whose sets are compared at once
 BLOCK, SETS = 1024, 256
-#: likely pairs of two blocks beyond which they are compared as sets
-CROWD = 4096
+#: likely pairs for each member of two blocks beyond which the blocks are compared as sets
+CROWD = 4
 _MULT, _ADD = random_odd(HASHES, 11), random_odd(HASHES, 12)
 
 
@@ -202,30 +202,51 @@ def _search_blocks(percent: int):
     return run
 
 
-def _block_sides(o: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of open buckets dealt to tasks (band, x, y): a minor block x against a minor block of no smaller
-    number or a major block (y = -1, -2, ...).  Blocks hold about BLOCK members."""
+def _block_tasks(o: DataFrame) -> DataFrame:
+    """Members of open buckets dealt to tasks (band, x, y): a minor block x (side 0) against a minor block of no
+    smaller number or a major block (side 1; y = -1, -2, ...).  Blocks hold about BLOCK members."""
     sizes = o.groupBy("band").agg(
         F.ceil(F.sum(F.col("minor").cast("long")) / BLOCK).cast("long").alias("n_minor"),
         F.ceil(F.sum((~F.col("minor")).cast("long")) / BLOCK).cast("long").alias("n_major"))
     o = o.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("n_minor")).otherwise(F.col("n_major"))))
-    longs = [f"s{i}" for i in range(LONGS)]
+    keep = ["id", "component", *[f"s{i}" for i in range(LONGS)]]
     xs = o.where("minor").select("band", F.col("own").alias("x"), F.explode(F.concat(
         F.sequence(F.col("own"), F.col("n_minor") - 1), F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_major")), lambda i: -i))).alias("y"),
-        F.col("id").alias("a"), F.col("component").alias("a_component"), *[F.col(c).alias(f"a_{c}") for c in longs])
+        F.lit(0).alias("side"), *keep)
     zero = F.lit(0).cast("long")
     ys = o.select("band", F.explode(F.when(F.col("minor"), F.sequence(zero, F.col("own"))).otherwise(F.sequence(zero, F.col("n_minor") - 1))).alias("x"),
-                  F.when(F.col("minor"), F.col("own")).otherwise(-F.col("own") - 1).alias("y"),
-                  F.col("id").alias("b"), F.col("component").alias("b_component"), *[F.col(c).alias(f"b_{c}") for c in longs])
-    return xs, ys
+                  F.when(F.col("minor"), F.col("own")).otherwise(-F.col("own") - 1).alias("y"), F.lit(1).alias("side"), *keep)
+    return xs.unionByName(ys)
+
+
+def _likely_pairs(low: float):
+    """Arrow kernel of one task: its likely pairs across components, or one row without ids if they are more than CROWD a member."""
+    odd = U64(0x5555555555555555)
+
+    def run(task: pa.Table) -> pa.Table:
+        side = task.column("side").to_numpy() == 0
+        ids, of = task.column("id").to_numpy(), task.column("component").to_numpy()
+        differ = np.zeros((int(side.sum()), int((~side).sum())), np.int16)
+        for i in range(LONGS):
+            bits = task.column(f"s{i}").to_numpy().view(U64)
+            x = bits[side][:, None] ^ bits[~side][None, :]
+            differ += np.bitwise_count((x | (x >> U64(1))) & odd)
+        chance = 2.0 ** -BITS
+        likely = ((1 - differ / HASHES) - chance) / (1 - chance) >= low
+        a, b = np.nonzero(likely & (of[side][:, None] != of[~side][None, :]))
+        many = len(a) > CROWD * task.num_rows
+        pairs = [pa.nulls(1, pa.int64())] * 2 if many else [pa.array(ids[side][a]), pa.array(ids[~side][b])]
+        n = len(pairs[0])
+        keys = [pa.array(np.full(n, task.column(k)[0].as_py())) for k in ("band", "x", "y")]
+        return pa.Table.from_arrays([*keys, *pairs], names=["band", "x", "y", "a", "b"])
+    return run
 
 
-def _crowded_links(xs: DataFrame, ys: DataFrame, crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links across components in the blocks with many likely pairs, by their full sets."""
+def _crowded_links(tasks: DataFrame, crowded: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links across components in the tasks with many likely pairs, by their full sets."""
     keys = ["band", "x", "y"]
-    x = xs.join(crowded, keys, "left_semi").select(*keys, F.col("a").alias("id"), F.col("a_component").alias("component"), F.lit(0).alias("side"))
-    y = ys.join(crowded, keys, "left_semi").select(*keys, F.col("b").alias("id"), F.col("b_component").alias("component"), F.lit(1).alias("side"))
-    return x.unionByName(y).join(texts, "id").groupBy(keys).applyInPandas(_search_blocks(percent), "a long, b long")
+    rows = tasks.join(crowded, keys, "left_semi").select(*keys, "side", "id", "component").join(texts, "id")
+    return rows.groupBy(keys).applyInPandas(_search_blocks(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -270,16 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.join(mixed.select("band"), "band").join(headed, "band").select(
         "band", "id", "component", (F.col("component") != F.col("head_component")).alias("minor"))
     open_ = materialize(open_.join(bits, "id"))
-    xs, ys = _block_sides(open_)
-    apart = F.col("a_component") != F.col("b_component")
-    met = xs.join(ys, ["band", "x", "y"]).where(apart & (estimated_similarity() >= low))
+    tasks = materialize(_block_tasks(open_))
+    met = materialize(tasks.groupBy("band", "x", "y").applyInArrow(_likely_pairs(low), "band long, x long, y long, a long, b long"))
     # blocks where many pairs look alike are compared as sets at once, the pairs of the others one by one
-    crowded = materialize(met.groupBy("band", "x", "y").count().where(F.col("count") > CROWD).select("band", "x", "y"))
-    sparse = met.join(crowded, ["band", "x", "y"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowded = met.where("a IS NULL").select("band", "x", "y")
+    sparse = met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(sparse).join(ta, "a").join(tb, "b").mapInArrow(_verify(percent), "a long, b long")
     links = verified.unionByName(same).unionByName(more)
     if not crowded.isEmpty():
-        links = links.unionByName(_crowded_links(xs, ys, crowded, texts, percent))
+        links = links.unionByName(_crowded_links(tasks, crowded, texts, percent))
     links = materialize(links.distinct())
 
     final = components(links)
