@@ -16,7 +16,8 @@ The radius is fixed by the threshold (C3), or per row by the k-th distance insid
 row's own block (C4) or one near block (C11), which bounds the true one.
 
 Blocks hold about ``block_rows`` rows whatever the key skew; one block pair is one
-Arrow group multiplied in numpy, in chunks of ``CHUNK_ROWS`` left rows.  A kernel
+Arrow group multiplied in numpy, in chunks of
+``CHUNK_ROWS`` left rows (fewer beside a long block).  A kernel
 emits hits, flags or local top-k, never the dense product.  Distances kept apart by
 a threshold (the Manhattan quirk of ``similarity``) have no radius: all block pairs meet.
 """
@@ -34,14 +35,14 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 DEFAULT_BLOCK_ROWS = None       # None: sized from the dimension
-CHUNK_ROWS = 1024
+CHUNK_ROWS, CHUNK_CELLS = 1024, 1 << 23
 BLOCK_BYTES = 1 << 26
 #: pivots at most, and bytes of the sample of vectors that they are picked from on the driver
 MAX_PIVOTS, SAMPLE_BYTES = 256, 8 << 20
 
 
 def auto_block_rows(dim: int) -> int:
-    return int(min(8192, max(512, BLOCK_BYTES // (8 * max(1, dim)))))
+    return int(min(16384, max(512, BLOCK_BYTES // (8 * max(1, dim)))))
 
 
 def size_of(df: DataFrame, vec_col: str) -> tuple[int, int]:
@@ -52,7 +53,7 @@ def size_of(df: DataFrame, vec_col: str) -> tuple[int, int]:
 
 def sim_chunks(a: np.ndarray, b: np.ndarray, metric: str, chunk: int | None = None):
     """(start, end, similarity of a[start:end] to all of b), chunk by chunk."""
-    chunk = chunk or CHUNK_ROWS
+    chunk = chunk or max(32, min(CHUNK_ROWS, CHUNK_CELLS // max(1, len(b))))
     if metric == "cosine":
         b = l2_normalise(b)
         for i in range(0, a.shape[0], chunk):

@@ -139,7 +139,7 @@ class IndicatorFlow(Flow):
         p, i = self.params, self.params.get("knn_i", 3)
         texts = stored(pairs.select(id_col, "instruction", "response", F.concat_ws("\n", "instruction", "response").alias("whole")))
         emb = hashed_embedding(texts.select(id_col, "whole"), id_col, "whole", p.get("dim", 64), bucket_hash=p.get("bucket_hash", "xxhash64"))
-        knn = knn_distance(emb, i, id_col=id_col, vec_col="embedding")
+        knn = knn_distance(stored(emb.select(id_col, "embedding")), i, id_col=id_col, vec_col="embedding")
         if perplexities is None:
             perplexities = pair_perplexities(texts, keys=[id_col]).withColumnRenamed("ppl_answer", "ppl")
         main = texts.select(id_col, F.length("whole").cast("long").alias("length"), mtld(F.col("whole")).alias("mtld"))
