@@ -864,3 +864,4 @@ def indicator_set_q(spark, sf):
 
 from . import store_queries  # noqa: E402,F401  (registers)
 from . import mask_queries  # noqa: E402,F401  (registers)
+from . import stream_queries  # noqa: E402,F401  (registers)

@@ -1,14 +1,24 @@
-"""Structured Streaming entry points.
+"""Structured Streaming entry points.
 
 The reference inserts dialogues one by one and skips exact repeats, and
-restarts its vector job where it stopped.  Both become ``foreachBatch``
-sinks whose write is an insert-if-absent set operation, so a replayed
-micro-batch (after a failure) is a no-op and the stream checkpoint gives
-the restart point.
+restarts its vector job where it stopped.  Here the keys already seen live in
+the state store, and each micro-batch writes its new rows to a folder of its
+own, ``epoch=<n>``, which a replay (same offsets, same state version)
+overwrites with the same rows.  No micro-batch reads the table, so its cost
+does not grow with what is stored, and a crash at any point leaves neither a
+lost nor a repeated row once the query has been started again.
+
+A table belongs to one checkpoint: a new checkpoint has no memory of rows
+that a table already holds, so that pairing is refused.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -17,6 +27,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.store import absent_rows
 
 RAW_DIALOG_SCHEMA = "message array<struct<role: string, content: string>>, turn int"
+#: keys on local disk beside memory, so that state may outgrow an executor's heap
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,36 +47,103 @@ def upsert_batch(spark: SparkSession, batch: DataFrame, table_path: str, keys, s
     absent_rows(_read_table(spark, table_path, schema), batch, keys).write.mode("append").parquet(table_path)
 
 
-def dialog_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint_location: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """JSON-lines files of raw dialogues arriving in ``source_dir`` are
-    stored once each (match on message and turn)."""
-    src = spark.readStream.schema(RAW_DIALOG_SCHEMA).json(source_dir)
-    keyed = src.withColumn("message_json", F.to_json("message"))
+@contextmanager
+def _settings(spark: SparkSession, values: dict):
+    """Session settings that hold while a query is started (it copies them), then are as before."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _first_of_batch(batches):
+    """The first row of each key of an Arrow batch: repeats of one hot key shrink before they are shuffled."""
+    for b in batches:
+        codes = b.column("key").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        yield b.take(pa.array(np.sort(np.unique(codes, return_index=True)[1])))
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        upsert_batch(spark, batch.select("message_json", "turn"), table_path, ["message_json", "turn"],
-                     "message_json string, turn int")
 
-    w = keyed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
+def write_epoch(table_path: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: the micro-batch becomes folder ``epoch=<n>``, whatever an earlier try left there."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/epoch={epoch}")
+    return sink
+
+
+def store_new(rows: DataFrame, sink: Callable[[DataFrame, int], None], table_path: str, checkpoint_location: str,
+              available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
+    """Stream the first row of every ``key`` (a binary column, dropped from the result) to the sink.
+
+    ``state_partitions`` is fixed by the first start of a checkpoint; default: the shuffle partitions of the session.
+    """
+    spark = rows.sparkSession
+    if _exists(spark, table_path) and not _exists(spark, checkpoint_location):
+        raise ValueError(f"{table_path} holds rows that a new checkpoint does not know of")
+    new = rows.mapInArrow(_first_of_batch, rows.schema).dropDuplicates(["key"]).drop("key")
+    w = new.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    conf = {"spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER}
+    if state_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(state_partitions)
+    with _settings(spark, conf):
+        return w.start()
+
+
+def dialog_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint_location: str,
+                  available_now: bool = True, max_files: int | None = None,
+                  state_partitions: int | None = None) -> StreamingQuery:
+    """JSON-lines files of raw dialogues arriving in ``source_dir`` are
+    stored once each (match on message and turn, by the SHA-256 of both)."""
+    src = spark.readStream.schema(RAW_DIALOG_SCHEMA)
+    src = (src.option("maxFilesPerTrigger", max_files) if max_files else src).json(source_dir)
+    rows = src.select(F.to_json("message").alias("message_json"), "turn",
+                      F.unhex(F.sha2(F.to_json(F.struct("message", "turn")), 256)).alias("key"))
+    return store_new(rows, write_epoch(table_path), table_path, checkpoint_location, available_now, state_partitions)
+
+
+def vector_stream(spark: SparkSession, source_dir: str, schema: str, out_path: str, checkpoint_location: str,
+                  compute: Callable[[DataFrame], DataFrame] | None = None, id_col: str = "row_id", chunk_rows: int = 160,
+                  available_now: bool = True, max_files: int | None = None,
+                  state_partitions: int | None = None) -> StreamingQuery:
+    """The restartable vector job.  Rows of Parquet files arriving in
+    ``source_dir`` whose id is new go through ``compute`` (default: as they
+    are) and are stored with their ``chunk`` number for ``merged_vectors``.
+    Of rows that share an id (NULL counts as one id) any one is kept."""
+    src = spark.readStream.schema(schema)
+    src = (src.option("maxFilesPerTrigger", max_files) if max_files else src).parquet(source_dir)
+    rows = src.withColumn("key", F.unhex(F.sha2(F.to_json(F.struct(id_col)), 256)))
+
+    def finish(batch: DataFrame) -> DataFrame:
+        out = compute(batch) if compute else batch
+        return out.withColumn("chunk", F.expr(f"`{id_col}` div {int(chunk_rows)}"))
+
+    return store_new(rows, write_epoch(out_path, finish), out_path, checkpoint_location, available_now, state_partitions)
 
 
 def append_new_vectors(spark: SparkSession, vectors: DataFrame, out_path: str, id_col: str = "row_id",
                        chunk_rows: int = 160) -> DataFrame:
     """A19/J2 batch form: vectors whose id is already stored are skipped
     (resume), the rest are appended with a ``chunk`` number so the merge
-    (A20) can order by (chunk, id)."""
+    (A20) can order by (chunk, id).  One pass over the stored ids a call;
+    ``vector_stream`` keeps them as state instead."""
     done = _read_table(spark, out_path, f"{id_col} long").select(id_col)
     todo = vectors.join(done, id_col, "left_anti")
     out = todo.withColumn("chunk", (F.col(id_col) / F.lit(chunk_rows)).cast("long"))
-    out.write.mode("append").partitionBy("chunk").parquet(out_path)
+    out.write.mode("append").parquet(out_path)
     return out
 
 
 def merged_vectors(spark: SparkSession, path: str, id_col: str = "row_id", normalise: bool = False) -> DataFrame:
     """All chunks in (chunk, id) order, optionally row-normalised."""
     from ..functions.vectors import l2_normalise
-    df = spark.read.parquet(path).orderBy("chunk", id_col)
+    df = spark.read.parquet(path).drop("epoch").orderBy("chunk", id_col)
     return df.withColumn("vec", l2_normalise("vec")) if normalise else df
