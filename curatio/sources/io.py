@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_split import read_array, split_records
+
 SHAREGPT = "id long, conversations array<struct<`from`: string, value: string>>"
 TRIPLET = "instruction string, input string, output string"
 EMBEDDING = "idx long, embedding array<float>"
@@ -24,20 +26,21 @@ def _paths(p):
 
 
 def is_json_array(spark: SparkSession, path: str) -> bool:
-    """First non-space character of a file is ``[``."""
-    first = (spark.read.text(path).select(F.ltrim("value").alias("v"))
+    """First non-space character of a file is ``[`` (read up to its first closing brace)."""
+    first = (spark.read.option("lineSep", "}").text(path).select(F.regexp_replace("value", r"^[\uFEFF\s]+", "").alias("v"))
              .filter(F.col("v") != "").limit(1).collect())
     return bool(first) and first[0]["v"].startswith("[")
 
 
 def read_json_records(spark: SparkSession, path, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    """A1/A2/A3: one JSON array per file or JSON lines; a list of paths is read
-    as one set (UNION ALL, G1), each path by its own kind."""
+    """A1/A2/A3: one JSON array per file, cut into records by many tasks, or
+    JSON lines; a list of paths is read as one set (UNION ALL, G1), each path
+    by its own kind."""
     kinds: dict[bool, list[str]] = {}
     for p in _paths(path):
         kinds.setdefault(is_json_array(spark, p), []).append(p)
-    frames = [spark.read.schema(schema).option("multiLine", multi).option("mode", mode).json(some)
-              for multi, some in sorted(kinds.items())]
+    frames = [read_array(spark, some, schema, mode) if array else spark.read.schema(schema).option("mode", mode).json(some)
+              for array, some in sorted(kinds.items())]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -138,12 +141,13 @@ def read_preferences(spark: SparkSession, path, split: str | None = None) -> Dat
 
 def read_category_map(spark: SparkSession, path: str) -> DataFrame:
     """``{category: [instruction, ...]}`` file -> long
-    ``(category, instruction, position)`` (file order kept for C10)."""
-    txt = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
-    return (txt.select(F.posexplode(m).alias("cat_pos", "category", "items"))
-            .select("category", "cat_pos", F.posexplode("items").alias("item_pos", "instruction"))
-            .select("category", "instruction", (F.col("cat_pos") * F.lit(1 << 32) + F.col("item_pos")).alias("position")))
+    ``(category, instruction, position)`` (file order kept for C10: place of
+    the category in the file, then of the instruction in it).  The file is cut
+    at its categories; one category is one record."""
+    one = F.from_json(F.concat(F.lit("{"), "record", F.lit("}")), "map<string,array<string>>", {"mode": "FAILFAST"})
+    return (split_records(spark, path, "]").select("pos", F.explode(one).alias("category", "items"))
+            .select("category", "pos", F.posexplode("items").alias("item_pos", "instruction"))
+            .select("category", "instruction", F.struct("pos", "item_pos").alias("position")))
 
 
 def invert_category_map(cm: DataFrame) -> DataFrame:
