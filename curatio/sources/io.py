@@ -32,14 +32,26 @@ def is_json_array(spark: SparkSession, path: str) -> bool:
     return bool(first) and first[0]["v"].startswith("[")
 
 
+#: a JSON array up to this size is one task's work; a larger one is cut by many (both read the same records)
+ONE_TASK_BYTES = 256 << 20
+
+
+def _read_arrays(spark: SparkSession, paths: list[str], schema: str, mode: str) -> DataFrame:
+    large = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path", "length")
+             .filter(F.col("length") > ONE_TASK_BYTES).select("path").collect()]
+    if not large:
+        return spark.read.schema(schema).option("multiLine", True).option("mode", mode).json(paths)
+    return read_array(spark, paths, schema, mode)
+
+
 def read_json_records(spark: SparkSession, path, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    """A1/A2/A3: one JSON array per file, cut into records by many tasks, or
-    JSON lines; a list of paths is read as one set (UNION ALL, G1), each path
+    """A1/A2/A3: one JSON array per file, cut into records by many tasks where
+    one is larger than ``ONE_TASK_BYTES``, or JSON lines; a list of paths is read as one set (UNION ALL, G1), each path
     by its own kind."""
     kinds: dict[bool, list[str]] = {}
     for p in _paths(path):
         kinds.setdefault(is_json_array(spark, p), []).append(p)
-    frames = [read_array(spark, some, schema, mode) if array else spark.read.schema(schema).option("mode", mode).json(some)
+    frames = [_read_arrays(spark, some, schema, mode) if array else spark.read.schema(schema).option("mode", mode).json(some)
               for array, some in sorted(kinds.items())]
     out = frames[0]
     for f in frames[1:]:

@@ -50,12 +50,12 @@ def pieces(spark: SparkSession, path, close: str) -> DataFrame:
 def _ranges(batches):
     """Runs of rows of one range, in order: (path, start, values)."""
     for b in batches:
-        paths, starts, values = (b.column(k).to_pylist() for k in ("path", "start", "value"))
-        at = 0
-        for i in range(1, len(paths) + 1):
-            if i == len(paths) or starts[i] != starts[at] or paths[i] != paths[at]:
-                yield paths[at], starts[at], values[at:i]
-                at = i
+        names = b.column("path").dictionary_encode()
+        code, starts = names.indices.to_numpy(zero_copy_only=False), b.column("start").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(starts) != 0)) + 1
+        for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            if to > at:
+                yield names.dictionary[code[at]].as_py(), int(starts[at]), b.column("value").slice(at, to - at).to_pylist()
 
 
 def _effects(close: str):

@@ -10,8 +10,9 @@ SCHEMA = "id long, s string, items array<struct<a: string, b: array<long>>>"
 
 
 @pytest.fixture
-def small_ranges(spark):
+def small_ranges(spark, monkeypatch):
     """Ranges of a few hundred bytes, so that records, strings and escapes cross them."""
+    monkeypatch.setattr(io, "ONE_TASK_BYTES", 0)
     keys = {"spark.sql.files.maxPartitionBytes": "400", "spark.sql.files.openCostInBytes": "1"}
     old = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
@@ -53,7 +54,8 @@ def test_scan_takes_escapes_and_both_string_states():
 
 
 @pytest.mark.parametrize("bad", ['[{"id": 1}', '[{"id": 1}, {"id": 2', '[{"id": 1, "s": "x}]', '[{"id": 1}] {"id": 2}', '[{"id": 1}, 7]', '[7, {"id": 1}]'])
-def test_cut_or_mixed_arrays_are_errors(spark, tmp_path, bad):
+def test_cut_or_mixed_arrays_are_errors(spark, tmp_path, monkeypatch, bad):
+    monkeypatch.setattr(io, "ONE_TASK_BYTES", 0)
     p = tmp_path / "bad.json"
     p.write_text(bad)
     with pytest.raises(Exception):
