@@ -731,6 +731,34 @@ def random_projection_q(spark, sf):
         "vec_id", F.col("j").cast("long").alias("j"), "value")
 
 
+def _sizes_sql(kept: str) -> str:
+    """Both sizes from shared signs; components for which ``kept`` does not hold count as nothing."""
+    from ..operators.projection import sign_sql
+    return f"""
+WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+j AS (SELECT unnest(range(16)) AS j), s AS (SELECT unnest([4, 16]) AS size),
+y AS (SELECT vec_id, j, sum(CASE WHEN {kept} THEN v * {sign_sql('i', 'j', 3)} ELSE 0 END) AS v FROM x, j GROUP BY ALL)
+SELECT vec_id, size::BIGINT AS size, j::BIGINT AS j, v / sqrt(size) AS value FROM y JOIN s ON j < size"""
+
+
+@query("projection_entries", _sizes_sql("v > 0"))
+def projection_entries_q(spark, sf):
+    """H33, sparse: the positive components of every vector as entries, projected to 4 and to 16 components."""
+    from ..operators.projection import project_entries
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return project_entries(e.withColumn("v", F.when(F.col("v") > 0, F.col("v"))), "vec_id", "i", "v", [4, 16], seed=3)
+
+
+@query("projection_blocks", _sizes_sql("true"))
+def projection_blocks_q(spark, sf):
+    """H33, long vectors: every vector as blocks of 24 components, projected to 4 and to 16 components."""
+    from ..operators.projection import project_blocks
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 24)),
+                      lambda b: F.slice("embedding", b * 24 + 1, 24))
+    b = table(spark, sf, "embeddings").select("vec_id", F.posexplode(cut).alias("block", "values"))
+    return project_blocks(b, "vec_id", "block", "values", 24, [4, 16], seed=3)
+
+
 def _cleanup_sql() -> str:
     """DuckDB form of the gemma-2 / llama-3.1 clean-up arms (staged CTEs).
     RE2 has no Unicode ``\\w``: letters, digits, marks and ``_`` stand in."""

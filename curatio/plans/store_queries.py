@@ -9,9 +9,11 @@ from ..functions import text as T
 from ..operators import indicators as I
 from ..operators import sample as SM
 from ..operators import store as ST
+from ..operators.bucket_store import BucketStore
 from ..operators.dialogs import bucket6, positions, turn_pairs, word_count
 from ..operators.indicators import distinct_texts
 from ..operators.render import TEMPLATES, render
+from ..session import new_folder
 from ..sources.tables import table
 from .flows import Flow
 from .registry import SQL_PAIRS, SQL_POSITIONS, greedy_sql, query
@@ -198,3 +200,36 @@ def render_plain_templates_q(spark, sf):
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+@query("store_rewrites", """
+WITH u AS (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS p, max_by(o_totalprice, o_orderkey) AS t FROM orders GROUP BY 1),
+m AS (SELECT c_custkey, c_nationkey, coalesce(p, c_mktsegment) AS c_mktsegment, coalesce(t, c_acctbal) AS c_acctbal
+      FROM customer LEFT JOIN u ON o_custkey = c_custkey),
+f AS (SELECT min(c_custkey) AS k FROM m GROUP BY c_nationkey, c_mktsegment HAVING c_mktsegment <> '1-URGENT'),
+d AS (SELECT * FROM m WHERE c_custkey NOT IN (SELECT k FROM f) AND c_nationkey <> 3)
+SELECT * FROM d UNION ALL
+SELECT s_suppkey, s_nationkey, NULL, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM d)""")
+def store_rewrites_q(spark, sf):
+    """Customers in a written store; orders update them, the first of each nation and
+    segment and all of one nation are deleted, suppliers with free keys are inserted, the store is opened again."""
+    path = new_folder(spark)
+    made = BucketStore.create(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"), path, ["c_custkey"], 16)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"),
+                                          F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    made.update(o, "c_custkey", order_col="o_orderkey")
+    groups = made.rows().where("c_mktsegment <> '1-URGENT'").select("c_nationkey", "c_mktsegment")
+    made.delete(groups, ["c_nationkey", "c_mktsegment"], first_only=True, id_col="c_custkey")
+    made.delete(table(spark, sf, "nation").where("n_nationkey = 3").select(F.col("n_nationkey").alias("c_nationkey")), ["c_nationkey"])
+    made.insert(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"),
+                                                    F.lit(None).cast("string").alias("c_mktsegment"), F.col("s_acctbal").alias("c_acctbal")))
+    return BucketStore.open(spark, path).rows()
+
+
+@query("delete_matching", """
+SELECT event_id FROM events WHERE NOT ((event_type IS NULL OR event_type = 'click') AND user_id IN
+  (SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'click') > 0))""")
+def delete_matching_q(spark, sf):
+    """Every row that matches a key goes, NULL keys included."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.nullif("event_type", F.lit("click")).alias("kind"))
+    return ST.delete_by(e, e.where("kind IS NULL").select("kind", "user_id"), ["kind", "user_id"]).select("event_id")
