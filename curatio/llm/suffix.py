@@ -39,12 +39,25 @@ from .words import U64, RangeHash, buffers, chunks, mix64
 
 HOT = 4096
 CHUNK = 1 << 19
-#: one anchor as it travels; the six low bytes of the key are enough inside a partition
-ANCHOR = np.dtype([("key", "<u4"), ("key2", "<u2"), ("ctx", "<u8"), ("start", "<u4"), ("n", "u1")])
+#: one anchor as it travels; the four low bytes of the key are enough inside a partition:
+#: anchors that share them by chance have several contexts, whose bytes are compared
+ANCHOR = np.dtype([("key", "<u4"), ("ctx", "<u8"), ("start", "<u4"), ("n", "u1")])
+#: a document of a row: the step from the id before it, its tag and the number of its items
+HEAD = np.dtype([("step", "<i8"), ("tag", "<i4"), ("count", "<i4")])
 SPANS = np.dtype([("start", "<u4"), ("end", "<u4")])
 ASK = np.dtype([("key", "<u8"), ("start", "<u4"), ("n", "u1"), ("hot", "?")])
 CONTEXT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
-SENT = "part int, kind int, docs binary, counts binary, items binary"
+SENT = "part int, kind int, heads binary, items binary"
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The records byte place by byte place: places that hardly vary lie together and the shuffle's compression drops them."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+
+
+def records(blob: bytes, kind: np.dtype) -> np.ndarray:
+    """The records of ``planes``."""
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +90,15 @@ def by_document(doc: np.ndarray, tag: np.ndarray, items: np.ndarray) -> tuple[np
 
 
 def _rows(part, kind, doc, tag, items) -> dict:
-    _, counts, heads, items = by_document(doc, tag, items)
-    return {"part": part, "kind": kind, "docs": heads.astype("<i8").tobytes(), "counts": counts.astype("<i4").tobytes(), "items": items.tobytes()}
+    _, counts, docs, items = by_document(doc, tag, items)
+    heads = np.empty(len(docs), HEAD)
+    heads["step"], heads["tag"], heads["count"] = np.diff(docs[:, 0], prepend=0), docs[:, 1], counts
+    return {"part": part, "kind": kind, "heads": planes(heads), "items": planes(items)}
 
 
-def _read(docs: bytes, counts: bytes, items: bytes, kind: np.dtype):
-    heads, n = np.frombuffer(docs, "<i8").reshape(-1, 2), np.frombuffer(counts, "<i4")
-    return np.repeat(heads[:, 0], n), np.repeat(heads[:, 1], n), np.frombuffer(items, kind)
+def _read(heads: bytes, items: bytes, kind: np.dtype):
+    h = records(heads, HEAD)
+    return np.repeat(np.cumsum(h["step"]), h["count"]), np.repeat(h["tag"].astype(np.int64), h["count"]), records(items, kind)
 
 
 def _send_anchors(parts: int):
@@ -115,7 +130,7 @@ def _send_anchors(parts: int):
                 order = np.argsort(where, kind="stable")
                 keep, where = keep[order], where[order]
                 items = np.empty(len(keep), ANCHOR)
-                items["key"], items["key2"] = a["key"][keep] & U64(0xFFFFFFFF), (a["key"][keep] >> U64(32)) & U64(0xFFFF)
+                items["key"] = a["key"][keep] & U64(0xFFFFFFFF)
                 items["ctx"], items["start"], items["n"] = a["ctx"][keep], a["start"][keep], a["n"][keep]
                 d, t = doc[keep], tags[a["text"][keep]]
                 cuts = np.append(runs(where), len(where))
@@ -126,7 +141,7 @@ def _send_anchors(parts: int):
     return run
 
 
-_SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())])
+_SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("heads", pa.binary()), ("items", pa.binary())])
 _LISTS = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("gone", pa.binary()), ("asks", pa.binary())])
 LISTS = "doc long, tag int, gone binary, asks binary"
 
@@ -151,8 +166,8 @@ def _lists(doc: np.ndarray, tag: np.ndarray, items: np.ndarray, spans: bool) ->
 def _gather(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> dict[int, list]:
     got: dict[int, list] = {k: [[], [], []] for k in kinds}
     for batch in batches:
-        for kind, d, c, x in zip(*(batch.column(k).to_pylist() for k in ("kind", "docs", "counts", "items")), strict=True):
-            for to, what in zip(got[kind], _read(d, c, x, kinds[kind]), strict=True):
+        for kind, h, x in zip(*(batch.column(k).to_pylist() for k in ("kind", "heads", "items")), strict=True):
+            for to, what in zip(got[kind], _read(h, x, kinds[kind]), strict=True):
                 to.append(what)
     return {k: [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(v, (np.int64, np.int64, kinds[k]), strict=True)] for k, v in got.items()}
 
@@ -166,7 +181,7 @@ def _settle_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     doc, tag, x = got[1]
     if not len(doc):
         return
-    key = x["key"].astype(U64) | (x["key2"].astype(U64) << U64(32))
+    key = x["key"].astype(U64)
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     again = np.zeros(len(key), bool)
@@ -246,7 +261,7 @@ def _send_contexts(parts: int):
                     size = n[m] + WIDTH - 1
                     base = np.cumsum(size) - size
                     take = np.arange(size.sum()) + np.repeat(begin[m] - base, size)
-                    out.append({"part": int(where[m[0]]), "kind": 1, "docs": b"", "counts": c[m].tobytes(), "items": buf[take].tobytes()})
+                    out.append({"part": int(where[m[0]]), "kind": 1, "heads": planes(c[m]), "items": buf[take].tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=_SENT)
     return run
 
@@ -268,11 +283,11 @@ def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Longest previous factors inside one partition of contexts."""
     heads, bytes_ = [], []
     for batch in batches:
-        for kind, d, c, x in zip(*(batch.column(k).to_pylist() for k in ("kind", "docs", "counts", "items")), strict=True):
+        for kind, h, x in zip(*(batch.column(k).to_pylist() for k in ("kind", "heads", "items")), strict=True):
             if kind == 0:
-                yield _lists(*_read(d, c, x, SPANS), True)
+                yield _lists(*_read(h, x, SPANS), True)
             else:
-                heads.append(np.frombuffer(c, CONTEXT))
+                heads.append(records(h, CONTEXT))
                 bytes_.append(np.frombuffer(x, np.uint8))
     if not heads:
         return
