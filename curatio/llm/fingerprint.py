@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import pick, range_part, range_starts, shuffle_parts
 
 SPLIT = r"\n|(?<=[.!?])\x20"
-BASE_THIRD, THIRD, LOAD, ROUNDS, TRIES = 4, 12, 8, 12, 8
+BASE_THIRD, THIRD, LOAD, ROUNDS, TRIES = 4, 6, 8, 12, 8
 CELL = "struct<c:int,k:bigint,h:bigint>"
 
 
@@ -40,14 +40,14 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, SPLIT, -1), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def entries(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
-    """Digests with their check value, block and three cells."""
+def entries(keys: Column, seed: Column, blocks: Column | None, third: int) -> Column:
+    """Digests with their check value, block (if there are several) and three cells."""
     def at(k: Column, j: int) -> Column:
         return (F.pmod(F.xxhash64(k, seed, F.lit(j)), F.lit(third)) + j * third).cast("int")
 
+    own = (lambda k: []) if blocks is None else (lambda k: [block(k, seed, blocks).alias("b")])
     return F.transform(keys, lambda k: F.struct(
-        block(k, seed, blocks).alias("b"), k.alias("k"), check(k, seed).alias("h"),
-        at(k, 0).alias("p0"), at(k, 1).alias("p1"), at(k, 2).alias("p2")))
+        *own(k), k.alias("k"), check(k, seed).alias("h"), at(k, 0).alias("p0"), at(k, 1).alias("p1"), at(k, 2).alias("p2")))
 
 
 def block(k: Column, seed: Column, blocks: Column) -> Column:
@@ -68,8 +68,8 @@ def changed(cell: Column, e: Column, sign) -> Column:
     return F.struct((cell["c"] + sign).cast("int").alias("c"), cell["k"].bitwiseXOR(e["k"]).alias("k"), cell["h"].bitwiseXOR(e["h"]).alias("h"))
 
 
-def sketch(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
-    """array (blocks) of arrays (3 * third) of cells."""
+def sketch(keys: Column, seed: Column, blocks: Column | None, third: int) -> Column:
+    """array (blocks, None: one) of arrays (3 * third) of cells."""
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
     def cells(own: Column) -> Column:
@@ -87,6 +87,8 @@ def sketch(keys: Column, seed: Column, blocks: Column, third: int) -> Column:
         last = F.size(x["b"]) + 1 - F.array_position(x["r"], b).cast("int")
         return F.when(first > 0, F.slice(x["e"], first, last - first + 1)).otherwise(F.slice(x["e"], 1, 0))
 
+    if blocks is None:
+        return F.array(let(entries(keys, seed, None, third), cells))
     return let(F.array_sort(entries(keys, seed, blocks, third)), blocks_of)
 
 
@@ -99,7 +101,7 @@ def minus(a: Column, b: Column) -> Column:
 def peeled(cells: Column, seed: Column, third: int) -> Column:
     """Number of digests one block gives up, or null if some stay hidden."""
     def signed(out: Column) -> Column:
-        return F.zip_with(entries(F.transform(out, lambda o: o["k"]), seed, F.lit(1).cast("bigint"), third), out, lambda e, o: F.struct(
+        return F.zip_with(entries(F.transform(out, lambda o: o["k"]), seed, None, third), out, lambda e, o: F.struct(
             e["k"].alias("k"), e["h"].alias("h"), e["p0"].alias("p0"), e["p1"].alias("p1"), e["p2"].alias("p2"), o["c"].alias("c")))
 
     def without(state: Column, out: Column) -> Column:
@@ -152,7 +154,7 @@ def likeness(keys_a: Column, keys_b: Column, base_a: Column, base_b: Column) ->
 
 
 def base_sketch(keys: Column) -> Column:
-    return sketch(keys, F.lit(0), F.lit(1).cast("bigint"), BASE_THIRD)
+    return sketch(keys, F.lit(0), None, BASE_THIRD)
 
 
 def written(sketch_: Column) -> Column:
