@@ -167,6 +167,14 @@ def common_counts(hx: np.ndarray, ox: np.ndarray, nx: int, hy: np.ndarray, oy: n
     return inter.astype(np.int64)
 
 
+def sets_of_many(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and bounds of any number of texts, hashed in slices: beside the texts only the sets are held whole."""
+    pieces = [shingle_sets(part.column("text"))[:2] for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")]
+    sizes = [np.diff(bounds) for _, bounds in pieces]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+    return np.concatenate([np.zeros(0, U64), *[h for h, _ in pieces]]), bounds
+
+
 def _search_blocks(percent: int):
     """Exact links across components between two blocks, as a spanning set."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +182,7 @@ def _search_blocks(percent: int):
         sides = []
         for side in (0, 1):
             rows = pdf[pdf.side == side]
-            h, bounds, _ = shingle_sets(pa.array(rows.text, pa.large_string()))
+            h, bounds = sets_of_many(pa.array(rows.text, pa.large_string()))
             sides.append((rows.id.to_numpy(), rows.component.to_numpy(), h, bounds))
         root: dict[int, int] = {}
         out: list[tuple[int, int]] = []

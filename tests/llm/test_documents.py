@@ -518,3 +518,19 @@ def test_sets_in_several_slices_match_brute_force(spark, monkeypatch):
     data = [(k, " ".join(base[: 3 * k] + [f"n{k}"] + base[3 * k + 1:])) for k in range(25)]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in _components(spark, data)}
     assert got == brute.near_components(data)
+
+
+def test_sets_hashed_in_slices_equal_those_hashed_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from curatio.llm import minhash, words
+
+    texts = pa.array(["a b c d e f g", None, "", "one", "x y z x y z x y z " * 40, "a b c d e f g"] * 5, pa.large_string())
+    whole = minhash.shingle_sets(texts)
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(words.chunks, "__defaults__", (size,))
+        h, bounds = minhash.sets_of_many(texts)
+        assert np.array_equal(bounds, whole[1]) and all(
+            set(h[s:e]) == set(whole[0][s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True))
+    assert [len(x) for x in minhash.sets_of_many(texts[:0])] == [0, 1]
