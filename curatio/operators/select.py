@@ -184,9 +184,11 @@ def greedy_diverse(scored: DataFrame, tau: float, data_size: int = -1, batch_siz
             free = free.join(ruled_out.withColumnRenamed("id", "rk"), "rk", "left_anti")
         if batch_size > 1:
             free = free.join(_after_batch_mates(chunk, batch_size, tau, metric), "rk", "left_anti")
+        left = to - at
         if n_kept or batch_size > 1:
             free = stored(free)
-        pairs = similar_pairs(free, tau, "rk", "v", metric, size=(to - at, dim)).select(F.col("id_b").alias("later"), F.col("id_a").alias("earlier"))
+            left = free.count()         # often far fewer than the chunk's rows
+        pairs = similar_pairs(free, tau, "rk", "v", metric, size=(left, dim)).select(F.col("id_b").alias("later"), F.col("id_a").alias("earlier"))
         stays = free.join(settle(pairs), "rk", "left_anti")
         stays.select("id", "score", "rk", "v").write.mode("append").parquet(kept_path)
         n_kept = spark.read.schema(schema).parquet(kept_path).count()

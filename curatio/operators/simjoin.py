@@ -95,6 +95,8 @@ def _space(v: pd.Series, metric: str) -> np.ndarray:
 
 def spread_out(sample: np.ndarray, k: int) -> np.ndarray:
     """k rows of a sample, each the farthest from those before it."""
+    if not len(sample):
+        return sample
     picks, far = [0], np.full(len(sample), np.inf)
     while len(picks) < min(k, len(sample)):
         far = np.minimum(far, ((sample - sample[picks[-1]]) ** 2).sum(1))
@@ -112,6 +114,9 @@ def file_rows(df: DataFrame, n: int, dim: int, metric: str, block_rows: int) ->
     pivots = spread_out(_space(some.toPandas()["v"], metric), want)
     if not len(pivots):
         pivots = _space(df.select("v").limit(1).toPandas()["v"], metric)
+    if not len(pivots):             # no rows at all: n is an upper bound
+        one = np.zeros(1)
+        return df.withColumn("blk", F.lit(0)), Filing(np.zeros((1, dim)), np.zeros(1, int), one, one, one.copy(), 0.0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", cell int, far double"
 
     def file_(frames):

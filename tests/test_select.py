@@ -310,3 +310,19 @@ def test_coreset_covers_within_its_bound(spark):
         got = SEL.covering_radius(df, spark.createDataFrame([(p,) for p in picks], "id long")).first()["radius"]
         assert abs(got - radius) < 1e-6
     assert SEL.kcenter_coreset(df.where("false"), 5).count() == 0
+
+
+@pytest.mark.parametrize("batch", [1, 4])
+def test_chunks_of_many_rows_with_few_or_none_left(spark, monkeypatch, batch):
+    monkeypatch.setattr(SJ, "auto_block_rows", lambda dim: 16)
+    copies = [(i, 9.0, [1.0, 0.0]) for i in range(200)] + [(500, 1.0, [0.0, 1.0])]
+    assert sel_ids(SEL.greedy_diverse(vecs(spark, copies), tau=0.5, batch_size=batch, chunk_rows=64)) == [0, 500]
+    # zero vectors are like nothing: all stay, and none of them can rule a later row out
+    zeros = [(i, 9.0, [0.0, 0.0]) for i in range(100)] + [(500 + i, 1.0, [0.0, 1.0]) for i in range(3)]
+    want = list(range(100)) + [500]
+    assert sel_ids(SEL.greedy_diverse(vecs(spark, zeros), tau=0.5, batch_size=batch, chunk_rows=50)) == want
+
+
+def test_pairs_of_no_rows_under_an_upper_bound(spark):
+    none = vecs(spark, [(1, 1.0, [0.0, 0.0])])
+    assert SJ.similar_pairs(none, 0.5, block_rows=4, size=(1000, 2)).collect() == []
