@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .dialogs import positions
 from .turns import message_pairs
 
@@ -228,16 +229,30 @@ def _start(t: dict) -> str:
     return system
 
 
+def gathered_messages(conv: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """One stored row per dialogue with its messages (leading non-user message dropped), for several renderings."""
+    p = positions(conv, True, conv_col=conv_col)
+    return stored(p.groupBy(conv_col).agg(F.collect_list(F.struct(F.col("pos").alias("o"), F.col("text").alias("v"))).alias("_m")))
+
+
 def render(conv: DataFrame, template_name: str, conv_col: str = "conv_id",
-           add_generation_prompt: bool = False) -> DataFrame:
+           add_generation_prompt: bool = False, gathered: DataFrame | None = None) -> DataFrame:
     """One rendered prompt per dialogue (leading non-user message
     dropped, roles by alternation).  ``add_generation_prompt`` appends the
-    empty assistant turn used before generation."""
+    empty assistant turn used before generation.  ``gathered``: the
+    ``gathered_messages`` of ``conv``, where it is rendered more than once."""
     t = template(template_name)
-    p = positions(conv, True, conv_col=conv_col)
-    role = F.when(F.col("pos") % 2 == 0, F.lit(t["user"])).otherwise(F.lit(t["assistant"]))
-    piece = _piece(t, F.col("pos"), role, F.col("text"))
-    per = _ordered_texts(p, conv_col, "pos", piece, "_t")
+
+    def piece(pos, text):
+        role = F.when(pos % 2 == 0, F.lit(t["user"])).otherwise(F.lit(t["assistant"]))
+        return _piece(t, pos, role, text)
+
+    if gathered is None:
+        p = positions(conv, True, conv_col=conv_col)
+        per = _ordered_texts(p, conv_col, "pos", piece(F.col("pos"), F.col("text")), "_t")
+    else:
+        pieces = F.transform("_m", lambda x: F.struct(x["o"].alias("o"), piece(x["o"], x["v"]).alias("v")))
+        per = gathered.select(conv_col, F.transform(F.array_sort(pieces), lambda x: x["v"]).alias("_t"))
     body = F.array_join("_t", "")
     if add_generation_prompt:
         # the next (empty) message renders as the role-only piece of its style

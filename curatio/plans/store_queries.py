@@ -12,7 +12,7 @@ from ..operators import store as ST
 from ..operators.bucket_store import BucketStore
 from ..operators.dialogs import bucket6, positions, turn_pairs, word_count
 from ..operators.indicators import distinct_texts
-from ..operators.render import TEMPLATES, render
+from ..operators.render import TEMPLATES, gathered_messages, render
 from ..session import new_folder
 from ..sources.tables import table
 from .flows import Flow
@@ -194,7 +194,8 @@ def render_plain_templates_q(spark, sf):
     first = positions(conv).select("conv_id", "turn", "pos")
     empty = F.when((F.col("conv_id") + F.col("pos")) % 5 == 0, F.lit("")).when((F.col("conv_id") + F.col("pos")) % 7 != 0, F.col("text"))
     conv = conv.join(first, ["conv_id", "turn"], "left").withColumn("text", F.when(F.col("pos").isNull(), F.col("text")).otherwise(empty))
-    frames = [render(conv, t[0]).select(F.lit(t[0]).alias("template"), "conv_id", F.sha2("prompt", 256).alias("sha"))
+    messages = gathered_messages(conv)      # sorted into dialogues once, not once a template
+    frames = [render(conv, t[0], gathered=messages).select(F.lit(t[0]).alias("template"), "conv_id", F.sha2("prompt", 256).alias("sha"))
               for t in TEMPLATES if t[1] in _PLAIN]
     out = frames[0]
     for f in frames[1:]:

@@ -71,3 +71,21 @@ def test_h23_h24_h26(spark):
     assert (p.prompt, p.chosen, p.rejected) == (" user: p ", "assistant: good</s>", "assistant: bad</s>")
     m = R.prompt_answer_mask(df, "i", "o", 10).collect()[0]["tokens"]
     assert [(t.token, t.is_target) for t in m] == [("Q", False), ("A", True)]
+
+
+def test_gathered_messages_render_as_the_long_table_does(spark):
+    rows = [(1, 0, "assistant", "dropped"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (2, 0, "user", ""), (2, 1, "assistant", "yo"),
+            (2, 2, "user", "q"), (3, 0, "user", "twice a"), (3, 0, "user", "twice"), (None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages = R.gathered_messages(df)
+    for name in ("one_shot", "vicuna_v1.1", "chatglm2", "llama-2", "starchat", "scorer"):
+        for tail in (False, True):
+            assert sorted(map(str, R.render(df, name, add_generation_prompt=tail, gathered=messages).collect())) == sorted(
+                map(str, R.render(df, name, add_generation_prompt=tail).collect()))
+
+
+def test_many_templates_share_one_gathering(spark):
+    from conftest import SF_SMALL
+    from curatio.plans.store_queries import render_plain_templates_q
+    plan = render_plain_templates_q(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan            # no sort or shuffle of the texts for each template
