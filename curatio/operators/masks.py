@@ -41,7 +41,7 @@ from .render import _piece, _start, template
 WORDS = r"[^\x20\x09-\x0D]+"
 RULES = ("tagged", "inst", "answers", "replies")
 #: rows of an Arrow slice and the characters after which a slice ends early
-SLICE_ROWS, SLICE_CHARS = 1024, 8 << 20
+SLICE_ROWS, SLICE_CHARS = 1024, 1 << 20
 
 
 def _pieces(df: DataFrame, conv_col: str, order: str, piece: Column, skip: Column) -> DataFrame:
@@ -52,29 +52,30 @@ def _pieces(df: DataFrame, conv_col: str, order: str, piece: Column, skip: Colum
 
 def _with_spans(per: DataFrame, start: Column) -> DataFrame:
     """Pieces ``_p`` laid end to end from ``start``: their loss spans, cut to the text, by one running sum a dialogue."""
-    wide = per.withColumns({"_len": F.transform("_p", lambda x: F.length(x["piece"])), "_skip": F.transform("_p", lambda x: x["skip"]),
-                            "_at": start.cast("int")}).drop("_p")
-    keep = [c for c in wide.columns if not c.startswith("_")]
-    out_type = wide.select(*keep, F.expr("cast(null as array<struct<start:int,end:int>>)").alias("spans")).schema
-
-    def run(batches):
-        for b in batches:
-            lens, skips = b.column("_len"), b.column("_skip")
-            bounds, length = lens.offsets.to_numpy(), lens.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            skip = skips.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            shift = skips.offsets.to_numpy()[0] - bounds[0]
-            size = pa.compute.utf8_length(b.column("text")).to_numpy(zero_copy_only=False)
-            starts, ends, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
-            for i, at in enumerate(b.column("_at").to_pylist()):
-                n, k = length[bounds[i]:bounds[i + 1]], skip[bounds[i] + shift:bounds[i + 1] + shift]
-                end = at + np.cumsum(n)
-                begin = np.clip((end - n + k)[k >= 0], 0, size[i])
-                starts.append(begin.astype(np.int32)), ends.append(np.clip(end[k >= 0], 0, size[i]).astype(np.int32)), counts.append(len(begin))
-            spans = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], names=["start", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), spans)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, "spans"])
-
-    return wide.mapInArrow(run, out_type)
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def laid(lens: pa.Array, skips: pa.Array, ats: pa.Array, sizes: pa.Array) -> pa.Array:
+        """The texts themselves stay out of the Python worker."""
+        bounds, length = _bounds(lens), lens.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        skip = skips.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        shift = _bounds(skips)[0] - bounds[0]
+        size = sizes.to_numpy(zero_copy_only=False)
+        starts, ends, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+        for i, at in enumerate(ats.to_pylist()):
+            n, k = length[bounds[i]:bounds[i + 1]], skip[bounds[i] + shift:bounds[i + 1] + shift]
+            end = at + np.cumsum(n)
+            begin = np.clip((end - n + k)[k >= 0], 0, size[i])
+            starts.append(begin.astype(np.int32)), ends.append(np.clip(end[k >= 0], 0, size[i]).astype(np.int32)), counts.append(len(begin))
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), spans)
+
+    lens, skips = F.transform("_p", lambda x: F.length(x["piece"])), F.transform("_p", lambda x: x["skip"])
+    keep = [c for c in per.columns if not c.startswith("_")]
+    return per.select(*keep, laid(lens, skips, start.cast("int"), F.length("text")).alias("spans"))
+
+
+def _bounds(lists: pa.Array) -> np.ndarray:
+    """Where each list begins in ``values``, and where the last one ends."""
+    return lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
 
 
 def _joined(start: str) -> Column:
@@ -172,12 +173,13 @@ def tokenizer_offsets(path: str) -> Callable[[list[str]], list[list[tuple[int, i
     return offsets
 
 
-def _slices(batch: pa.RecordBatch, column: str):
-    size = pa.compute.utf8_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+def _slices(texts: pa.Array):
+    """(start, rows) of bounded slices."""
+    size = pa.compute.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         n = max(1, int(np.searchsorted(np.cumsum(size[at:at + SLICE_ROWS]), SLICE_CHARS)))
-        yield batch.slice(at, n)
+        yield at, min(n, len(texts) - at)
         at += n
 
 
@@ -190,38 +192,35 @@ def token_masks(spans: DataFrame, max_len: int | None = None, offsets: Callable
     """
     offsets = offsets or word_offsets
     keep = [c for c in spans.columns if c not in ("spans", "whole", "tokens")]
-    counted = "whole" in spans.columns
-    out_type = spans.select(*keep, F.expr("cast(null as array<struct<start:int,end:int,is_target:boolean>>)").alias("tokens")).schema
     token_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("is_target", pa.bool_())]))
 
-    def run(batches):
-        for whole_batch in batches:
-            for b in _slices(whole_batch, "text"):
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                lists = b.column("spans")
-                bounds, flat = lists.offsets.to_numpy(), lists.values
-                lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                whole = b.column("whole").to_pylist() if counted else [None] * b.num_rows
-                starts, ends, marks, counts = [], [], [], []
-                for i, toks in enumerate(offsets(texts)):
-                    o = np.asarray(toks, np.int32).reshape(-1, 2)
-                    a, z = lo[bounds[i]:bounds[i + 1]], hi[bounds[i]:bounds[i + 1]]
-                    s = o[:, 0]
-                    k = np.searchsorted(a, s, "right") - 1          # the last span that starts at or before the token
-                    on = (k >= 0) & (s < z[k]) if len(a) else np.zeros(len(s), bool)
-                    if whole[i] is not None and whole[i] < len(texts[i]):
-                        # a round that is not whole: nothing counts unless whole rounds fill the limit
-                        full = max_len is not None and np.count_nonzero(s < whole[i]) >= max_len
-                        on &= full
-                    o, on = o[:max_len], on[:max_len]
-                    starts.append(o[:, 0]), ends.append(o[:, 1]), marks.append(on), counts.append(len(on))
-                cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
-                values = pa.StructArray.from_arrays([pa.array(cat(starts, np.int32)), pa.array(cat(ends, np.int32)), pa.array(cat(marks, bool))],
-                                                    fields=list(token_type.value_type))
-                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), tokens], names=[*keep, "tokens"])
-
-    return spans.mapInArrow(run, out_type)
+    @F.arrow_udf("array<struct<start:int,end:int,is_target:boolean>>")
+    def masked(text: pa.Array, lists: pa.Array, wholes: pa.Array) -> pa.Array:
+        bounds, flat = _bounds(lists), lists.values
+        lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        starts, ends, marks, counts = [], [], [], []
+        for at, rows in _slices(text):
+            texts, whole = ([*a.slice(at, rows).to_pylist()] for a in (text, wholes))
+            texts = [t or "" for t in texts]
+            for i, toks in enumerate(offsets(texts)):
+                o = np.asarray(toks, np.int32).reshape(-1, 2)
+                a, z = lo[bounds[at + i]:bounds[at + i + 1]], hi[bounds[at + i]:bounds[at + i + 1]]
+                s = o[:, 0]
+                k = np.searchsorted(a, s, "right") - 1          # the last span that starts at or before the token
+                on = (k >= 0) & (s < z[k]) if len(a) else np.zeros(len(s), bool)
+                if whole[i] is not None and whole[i] < len(texts[i]):
+                    # a round that is not whole: nothing counts unless whole rounds fill the limit
+                    full = max_len is not None and np.count_nonzero(s < whole[i]) >= max_len
+                    on &= full
+                # copies, so that the offsets past the limit do not stay in memory
+                starts.append(o[:max_len, 0].copy()), ends.append(o[:max_len, 1].copy()), marks.append(on[:max_len].copy()), counts.append(len(marks[-1]))
+        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        values = pa.StructArray.from_arrays([pa.array(cat(starts, np.int32)), pa.array(cat(ends, np.int32)), pa.array(cat(marks, bool))],
+                                            fields=list(token_type.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
+
+    whole = F.col("whole") if "whole" in spans.columns else F.lit(None).cast("int")
+    return spans.select(*keep, masked(F.col("text"), F.col("spans"), whole).alias("tokens"))
 
 
 def target_texts(masks: DataFrame) -> Column:

@@ -108,3 +108,19 @@ def test_no_dialogues_and_long_texts(spark):
     big = dialogue(spark, ("user", "q " * 10), ("assistant", "w " * 2_000_000))
     got = M.token_masks(M.loss_spans(big.unionByName(dialogue(spark, ("user", "q")).withColumn("conv_id", F.lit(2))), "tagged"))
     assert got.where("conv_id = 1").select(F.size("tokens")).first()[0] == 2_000_000 + 12 and got.count() == 2
+
+
+def test_spans_are_laid_without_sending_texts_to_python(spark):
+    c = dialogue(spark, ("user", "q w"), ("assistant", "a"))
+    for rule in ("tagged", "inst", "replies"):
+        plan = M.token_masks(M.loss_spans(c, rule), 4)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan
+    assert M.token_masks(M.loss_spans(c.where("conv_id < 0"), "inst"), 4).collect() == []
+
+
+def test_token_masks_hold_few_offsets_at_a_time():
+    sizes = []
+    texts = ["word " * 1000] * 900           # 4.5 million characters
+    for at, n in M._slices(M.pa.array(texts)):
+        sizes.append(sum(len(t) for t in texts[at:at + n]))
+    assert sum(sizes) == 4_500_000 and max(sizes) <= 1 << 20
