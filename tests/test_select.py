@@ -326,3 +326,34 @@ def test_chunks_of_many_rows_with_few_or_none_left(spark, monkeypatch, batch):
 def test_pairs_of_no_rows_under_an_upper_bound(spark):
     none = vecs(spark, [(1, 1.0, [0.0, 0.0])])
     assert SJ.similar_pairs(none, 0.5, block_rows=4, size=(1000, 2)).collect() == []
+
+
+def _peak_mb(run):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_products_of_full_blocks_stay_small(metric):
+    r = np.random.default_rng(3)
+    a, b, ids = r.normal(size=(1024, 8)), r.normal(size=(24576, 8)), np.arange(24576)
+
+    def run():
+        for _, _, s in SJ.sim_chunks(a, b, metric):
+            SJ.topk_by_distance_then_id(s, ids, 3)
+    assert _peak_mb(run) < 100
+
+
+def test_mtld_holds_the_words_of_a_few_texts():
+    import pandas as pd
+    from curatio.operators.indicators import _mtld_batch
+    texts = pd.Series([" ".join(f"w{(i * j) % 97}" for j in range(300)) for i in range(4000)])
+    want = _mtld_batch(texts[:10], pd.Series([0.72] * 10)).tolist()
+    got = []
+    assert _peak_mb(lambda: got.extend(_mtld_batch(texts, pd.Series([0.72] * 4000)).tolist())) < 60
+    assert got[:10] == want
