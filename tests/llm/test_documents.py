@@ -534,3 +534,21 @@ def test_sets_hashed_in_slices_equal_those_hashed_at_once(monkeypatch):
         assert np.array_equal(bounds, whole[1]) and all(
             set(h[s:e]) == set(whole[0][s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True))
     assert [len(x) for x in minhash.sets_of_many(texts[:0])] == [0, 1]
+
+
+def test_versions_of_a_passage_are_linked_with_each_other(spark):
+    """Three versions, each like the two before it: the second link of the third is no less a link."""
+    from curatio.llm.compact import near_duplicate_passages
+    data, want = [], set()
+    for k in range(4):
+        words, at = edge.passage(7000 + k, 150).split(" "), 100 * k
+        for v in range(4):
+            mine = list(words)
+            mine[20 + 30 * v] = f"other{v}"
+            data.append((at + v, " ".join(mine)))
+            want |= {(at + v, at + u) for u in range(v)}
+        data.append((at + 9, data[-1][1]))           # a copy is linked with its text
+        want.add((at + 9, at + 3))                   # its links with other texts are those of the text
+    rows = near_duplicate_passages(edge.frame(spark, data)).collect()
+    got = {(r.doc_id, r.match_doc_id) for r in rows}
+    assert want <= got and all(4 * r.n_common >= 3 * r.n_union for r in rows)
