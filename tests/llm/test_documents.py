@@ -552,3 +552,21 @@ def test_versions_of_a_passage_are_linked_with_each_other(spark):
     rows = near_duplicate_passages(edge.frame(spark, data)).collect()
     got = {(r.doc_id, r.match_doc_id) for r in rows}
     assert want <= got and all(4 * r.n_common >= 3 * r.n_union for r in rows)
+
+
+def test_repeated_words_are_searched_as_one_region(spark, monkeypatch):
+    """A run of one word has a window for each place; they meet the runs of other documents once, not place by place."""
+    from curatio.llm import compact
+    data = [(10 + i, " ".join([edge.passage(8000 + i, 30), *["the"] * (150 + i), edge.passage(8100 + i, 30)])) for i in range(12)]
+    copied = edge.passage(8200, 70)
+    data += [(40 + i, edge.passage(8300 + i, 40) + " " + copied + " " + edge.passage(8400 + i, 40)) for i in range(4)]
+    met, search = [], compact._second_search
+
+    def counted(*args):
+        met.append(search(*args))
+        return met[0]
+
+    monkeypatch.setattr(compact, "_second_search", counted)
+    got = {(r.doc_id, r.match_doc_id) for r in compact.near_duplicate_passages(edge.frame(spark, data)).collect()}
+    assert {(10 + i, 10 + j) for i in range(12) for j in range(i)} | {(40 + i, 40) for i in range(1, 4)} <= got
+    assert met[0].count() <= 2 * compact.FUNCTIONS * 12 * 11
