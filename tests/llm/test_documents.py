@@ -570,3 +570,42 @@ def test_repeated_words_are_searched_as_one_region(spark, monkeypatch):
     got = {(r.doc_id, r.match_doc_id) for r in compact.near_duplicate_passages(edge.frame(spark, data)).collect()}
     assert {(10 + i, 10 + j) for i in range(12) for j in range(i)} | {(40 + i, 40) for i in range(1, 4)} <= got
     assert met[0].count() <= 2 * compact.FUNCTIONS * 12 * 11
+
+
+def test_shuffle_files_of_the_passage_search_go_with_their_step(spark):
+    """Every step is written out; its shuffle files used to stay on disk until the driver collected its garbage."""
+    import time
+
+    from curatio.llm.compact import near_duplicate_passages
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i).getName()): files.apply(i).length() for i in range(files.size())}
+
+    copied = edge.passage(8500, 70)
+    data = [(i, edge.passage(8600 + i, 40) + " " + copied + " " + edge.passage(8700 + i, 40)) for i in range(8)]
+    before, until = set(held()), time.time() + 30
+    got = near_duplicate_passages(edge.frame(spark, data))
+    while (left := sum(n for x, n in held().items() if x.startswith("shuffle_") and x not in before)) > 5_000 and time.time() < until:
+        time.sleep(1)
+    assert left <= 5_000
+    assert {(r.doc_id, r.match_doc_id) for r in got.collect()} >= {(i, 0) for i in range(1, 8)}
+
+
+def test_slices_and_blocks_of_the_passage_search_change_nothing(spark, monkeypatch):
+    from curatio.llm import compact
+    words, data = edge.passage(8800, 90).split(" "), []
+    for i in range(16):
+        mine = list(words)
+        mine[5 * i: 5 * i + 2] = [f"x{i}", f"y{i}"]
+        data.append((i, " ".join([edge.passage(8900 + i, 20 + i), *mine, *["so"] * (60 + i % 3)])))
+
+    def found():
+        return sorted(map(tuple, compact.near_duplicate_passages(edge.frame(spark, data)).collect()))
+
+    want = found()
+    search, asked = compact._second_search, []
+    monkeypatch.setattr(compact, "_second_search", lambda *args: (asked.append(args), search(*args))[1])
+    for name, value in (("BLOCK", 4), ("FEW", 3), ("PAIRS", 4)):
+        monkeypatch.setattr(compact, name, value)
+    assert found() == want and len({r[:1] + r[3:4] for r in want}) >= 15 and len(asked) > 1
